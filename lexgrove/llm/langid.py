@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 PER_LANG = 1000
+SCALE = 100.0  # of a gram's share of the text, so that the penalties meet values near 1
 CHUNK = 1_000_000  # code points that are scored together
 _fold: np.ndarray | None = None
 
@@ -173,12 +174,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     draw = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = own.where(draw < share[F.col("_lang")]).limit(2 * per_lang * len(langs)).select("_text", "_lang").mapInArrow(_counted, "lang string, at binary, tf binary").collect()
     rows = sorted(((r.lang, bytes(r["at"]), bytes(r["tf"])) for r in sample))
-    ready = [(a := np.frombuffer(at, "<u2"), np.frombuffer(tf, "<f4") * idf[a], langs.index(lang)) for lang, at, tf in rows]
+    ready = [(a := np.frombuffer(at, "<u2"), SCALE * np.frombuffer(tf, "<f4") * idf[a], langs.index(lang)) for lang, at, tf in rows]
     check, learn = ready[::5], [r for i, r in enumerate(ready) if i % 5] or ready
     w = ftrl(learn, len(langs))
     logits, y = np.array([x @ w[a] for a, x, _ in check]), np.array([y for *_, y in check])
     loss = lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean()
-    return Model(langs, w * idf[:, None], float(min(np.geomspace(0.05, 5, 60), key=loss)))
+    return Model(langs, SCALE * w * idf[:, None], float(min(np.geomspace(0.05, 5, 60), key=loss)))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -171,6 +171,15 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE, segments: int = SEG
     return dealt.mapInArrow(lambda it: _links(it, distance), "a long, b long")
 
 
+def _near(docs: DataFrame, kept: list[str], id_col: str, width: int, distance: int, segments: int) -> DataFrame:
+    marked = cut(with_fingerprint(docs.select(*kept, "_simhash_text"), "_simhash_text", width))
+    least = marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(F.col(f"`{id_col}`")).alias("least"))
+    found = components(links(least, distance, segments))
+    joined = least.join(found, least.fp == found.id, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("_fp"), "component_id")
+    return marked.join(named, F.col("fingerprint") == F.col("_fp")).drop("_fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """(id, fingerprint long, component_id): component_id is the smallest id reachable over links of at most `distance` bits.
 
@@ -179,20 +188,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other columns of docs play no part. No documents give no rows.
     """
     own = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_simhash_text"))
-    marked = cut(with_fingerprint(own, "_simhash_text", width))
-    least = marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(F.col(f"`{id_col}`")).alias("least"))
-    found = components(links(least, distance, segments))
-    joined = least.join(found, least.fp == found.id, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(named, F.col("fingerprint") == F.col("_fp")).drop("_fp")
+    return _near(own, [f"`{id_col}`"], id_col, width, distance, segments)
+
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """docs with one document of each component: of the rows with its smallest id, the one of the least text hash.
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
-    """docs with one document of each component: the one of the smallest id, and of rows with that id one."""
+    All columns pass through. Repeated rows count as one document and one of them stays.
+    """
     th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    near = near_duplicates(docs.select(F.col(f"`{id_col}`").alias("_near_id"), F.col(f"`{text_col}`").alias("_near_text")), "_near_id", "_near_text", width, distance)
-    stay = near.where(F.col("_near_id").eqNullSafe(F.col("component_id"))).select(F.col("_near_id"), F.col("fingerprint").alias("_near_fp")).distinct()
-    kept = docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_near_id")), "left_semi").withColumn("_near_th", th)
-    one = kept.groupBy(F.col(f"`{id_col}`").alias("_near_id")).agg(F.min("_near_th").alias("_near_least"))
-    out = kept.join(one, kept[f"`{id_col}`"].eqNullSafe(one["_near_id"]) & (kept["_near_th"] == one["_near_least"]), "left_semi")
-    return out.drop("_near_th")
+    own = docs.select(F.col(f"`{id_col}`").alias("_near_id"), F.col(f"`{text_col}`").alias("_simhash_text"), th.alias("_near_th"))
+    near = _near(own, ["_near_id", "_near_th"], "_near_id", width, distance, segments)
+    stay = near.where(F.col("_near_id").eqNullSafe(F.col("component_id"))).groupBy("_near_id").agg(F.min("_near_th").alias("_stay_th"))
+    d = docs.withColumn("_near_th", th)
+    kept = d.join(stay, d[f"`{id_col}`"].eqNullSafe(stay["_near_id"]) & (d["_near_th"] == stay["_stay_th"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_near_th"]).drop("_near_th")
