@@ -51,10 +51,10 @@ def _at(offset: int) -> Column:
 
 
 def _later(rows: DataFrame) -> DataFrame:
-    """The rows but for the first of each rank, by (document, seq)."""
-    place = F.struct(*_DOC, "seq")
-    first = rows.groupBy("rank").agg(F.min(place).alias("first"))
-    return rows.join(first, "rank").where(~place.eqNullSafe(F.col("first")))
+    """The rows but for the first of each rank, by (document, seq). Joined by place, as one rank may have a third of the rows."""
+    first = rows.groupBy("rank").agg(F.min(F.struct(*_DOC, "seq")).alias("f")).select("f.*")
+    same = rows["_doc"].eqNullSafe(first["_doc"]) & (rows["_th"] == first["_th"]) & (rows["seq"] == first["seq"])
+    return rows.join(first, same, "left_anti")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_line_chars: int = MIN_LINE_CHARS) -> DataFrame:

@@ -6,15 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexgrove.llm import decontaminate, langid, line_dedup, packing, simhash
+from lexgrove.llm import chat, decontaminate, fingerprints, langid, line_dedup, packing, pii, simhash, token_counts
 from lexgrove.llm.common import load
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, digests read back from the formatted text."""
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT -1L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, :control AS text FROM range(2)", {"control": control})
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    done = chat.format_conversations(turns)
+    read = chat.read_back(done.select("conv_id", "formatted", "spans", "rewrites"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints_with_edits(load(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(load(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -34,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op6_benchmark_decontamination, op7_line_dedup, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_chat_format, op3_document_fingerprints, op4_simhash_near_dedup, op5_token_counts, op6_benchmark_decontamination, op7_line_dedup, op9_packing, op10_language_id)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
