@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexgrove.llm import chat, decontaminate, fingerprints, langid, line_dedup, packing, pii, simhash, token_counts
+from lexgrove.llm import chat, compact_windows, decontaminate, fingerprints, langid, line_dedup, packing, pii, simhash, token_counts
 from lexgrove.llm.common import load
 
 
@@ -47,6 +47,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(load(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_chat_format, op3_document_fingerprints, op4_simhash_near_dedup, op5_token_counts, op6_benchmark_decontamination, op7_line_dedup, op9_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_chat_format, op3_document_fingerprints, op4_simhash_near_dedup, op5_token_counts, op6_benchmark_decontamination, op7_line_dedup, op8_substring_dedup, op9_packing, op10_language_id)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
