@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 LENGTH = 2048
 GROUP_TOKENS = 2_000_000
 END_ID = 1
-CACHE = 400_000  # words whose ids a worker keeps
+CACHE = 1_400_000  # words whose ids a worker keeps
+_MARK = "|"
 _ODD = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 _words: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict = {}
@@ -43,25 +44,70 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _id_type(path: str) -> str:
+    """Two bytes hold an id if the vocabulary is small enough."""
+    return "<u2" if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
+def _encode_words(words: list[str], path: str) -> list[bytes]:
+    """Ids of runs without white space; many go to the library as one text, parted by a mark that none of them has."""
+    tok, kind = _tokenizer(path), _id_type(path)
+    (mark,) = tok.encode(_MARK, add_special_tokens=False).ids
+    size, out = np.dtype(kind).itemsize, []
+    lists = [words[i : i + 256] for i in range(0, len(words), 256)]
+    for part, e in zip(lists, tok.encode_batch_fast([f" {_MARK} ".join(x) for x in lists], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, kind)
+        ends = np.flatnonzero(ids == mark)
+        if len(ends) != len(part) - 1:
+            raise ValueError("the mark is no token of its own")
+        whole, ends = ids.tobytes(), ends * size
+        out += [whole[a:b] for a, b in zip([0, *(ends + size).tolist()], [*ends.tolist(), len(whole)], strict=True)]
+    return out
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
-    """Token ids, little-endian unsigned 32-bit, of each text, as the library gives them without special tokens.
+    """Token ids, little-endian, of each text, as the library gives them without special tokens.
 
-    The tokenizer treats what stands between white space independently, so each distinct run is
-    tokenized once and its ids are kept by the worker.
+    The tokenizer takes lower case and treats what stands between white space, and letters and
+    the comma or full stop after them, independently. So each distinct run is tokenized once, and
+    its ids are kept by the worker. Runs with the parting mark or of many characters are not kept.
     """
-    tok, known = _tokenizer(path), _words.setdefault(path, {})
+    tok, kind, known = _tokenizer(path), _id_type(path), _words.setdefault(path, {})
     if len(known) > CACHE:
         known.clear()
-    pieces = [None if _ODD.search(t) else t.split() for t in texts]
-    fresh = {w for p in pieces if p for w in p}.difference(known)
+    get = known.get
+    found: list[list[bytes | None] | None] = []
+    fresh: dict[str, list[tuple[int, int]]] = {}
+    for i, t in enumerate(texts):
+        if _ODD.search(t):
+            found.append(None)
+            continue
+        found.append(own := list(map(get, words := t.split())))
+        if None in own:
+            for k, x in enumerate(own):
+                if x is None:
+                    fresh.setdefault(words[k], []).append((i, k))
+    bases: dict[str, bytes] = {}
+    plain: dict[str, tuple[str, str]] = {}
     once: dict[str, bytes] = {}
-    new = [w for w in fresh if len(w) <= 40]
-    for words, keep in ((new, known), ([w for w in fresh if len(w) > 40], once)):
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            keep.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True))
-    get = (known if not once else known | once).__getitem__
-    return [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces, strict=True)]
+    for w in fresh:
+        if len(w) > 40 or _MARK in w:
+            once[w] = np.array(tok.encode(w, add_special_tokens=False).ids, kind).tobytes()
+            continue
+        low = w if "Σ" in w else w.lower()
+        tail = low[-1] if low[-1] in ",." and low[:-1].isalpha() else ""
+        plain[w] = (base := low[:-1] if tail else low), tail
+        bases[base] = b""
+    bases = {w: known.get(w) or b"" for w in bases}
+    todo = [w for w, ids in bases.items() if not ids]
+    bases.update(zip(todo, _encode_words(todo, path), strict=True))
+    tails = {t: np.array(tok.encode(t, add_special_tokens=False).ids, kind).tobytes() for t in ("", ",", ".")}
+    known.update((w, bases[base] + tails[tail]) for w, (base, tail) in plain.items())
+    for w, places in fresh.items():
+        ids = known.get(w) or once.get(w, b"")
+        for i, k in places:
+            found[i][k] = ids
+    return [np.array(tok.encode(t, add_special_tokens=False).ids, kind).tobytes() if own is None else b"".join(own) for t, own in zip(texts, found, strict=True)]
 
 
 class Tournament:
@@ -134,7 +180,7 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[list[tuple[int, int, in
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], _id_type(path)).tobytes()
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
@@ -142,16 +188,17 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary())], names=["doc", "deal", "ids"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch], length: int, group_tokens: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], length: int, group_tokens: int, path: str) -> Iterator[pa.RecordBatch]:
+    ids_type = _id_type(path)
     done, docs, ids, size, kind = TaskContext.get().partitionId() << 33, [], [], 0, None
 
     def flush() -> pa.RecordBatch:
         nonlocal done, docs, ids, size
         out: list[tuple] = []
-        for row in pack([len(x) // 4 for x in ids], length):
+        for row in pack(list(map(len, ids)), length):
             offset = 0
             for d, start, n in row:
-                out.append((docs[d], start, n, zlib.crc32(memoryview(ids[d])[4 * start : 4 * (start + n)]), len(ids[d]) // 4, done, offset))
+                out.append((docs[d], start, n, zlib.crc32(ids[d][start : start + n].astype("<u4")), len(ids[d]), done, offset))
                 offset += n
             done += 1
         docs, ids, size = [], [], 0
@@ -162,8 +209,8 @@ def _packed(batches: Iterator[pa.RecordBatch], length: int, group_tokens: int) -
         kind = b.column(0).type
         for doc, x in zip(b["doc"].to_pylist(), b["ids"].to_pylist(), strict=True):
             docs.append(doc)
-            ids.append(x)
-            size += len(x) // 4
+            ids.append(np.frombuffer(x, ids_type))
+            size += len(ids[-1])
             if size >= group_tokens:
                 yield flush()
     if docs:
@@ -183,5 +230,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(own.dtypes)["doc"]
     tokens = own.mapInArrow(lambda it: _tokens(it, path), f"doc {kind}, deal long, ids binary")
     dealt = tokens.repartition("deal").sortWithinPartitions("deal")
-    out = dealt.mapInArrow(lambda it: _packed(it, length, group_tokens), f"doc {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = dealt.mapInArrow(lambda it: _packed(it, length, group_tokens, path), f"doc {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("doc", id_col)

@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lexgrove.llm import packing
@@ -59,6 +61,12 @@ def test_first_fit_decreasing():
     assert [tree.place(n) for n in (6, 5, 4, 5, 10)] == [0, 1, 0, 1, 2]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAbÉé's 12\n\t\x0b\x1c\x85\xa0\u3000!?.,||한İΣσ\u0301<|endoftext|>"), max_size=40), min_size=1, max_size=4))
+def test_any_text(texts):
+    assert packing.encode(texts, packing.tokenizer_path()) == [np.array(x[:-1], "<u2").tobytes() for x in ids_of(texts)]
+
+
 def test_odd_rows(odd, none):
     pieces = packing.pack_documents(odd).collect()
     texts = [(r.doc_id, r.text) for r in odd.collect()]
@@ -66,5 +74,5 @@ def test_odd_rows(odd, none):
     assert sum(p.length for p in pieces) == sum(map(len, want))
     for (d, _), ids in zip(texts, want, strict=True):
         assert any(p.doc_id == d and p.doc_tokens == len(ids) for p in pieces)
-    assert packing.encode([t or "" for _, t in texts], packing.tokenizer_path()) == [np.array(x[:-1], "<u4").tobytes() for x in want]
+    assert packing.encode([t or "" for _, t in texts], packing.tokenizer_path()) == [np.array(x[:-1], "<u2").tobytes() for x in want]
     assert packing.pack_documents(none).count() == 0
