@@ -1,3 +1,3 @@
 """Importing this registers every query."""
 
-from lexgrove.plans import corpus_queries, graph_queries, passage_queries  # noqa: F401
+from lexgrove.plans import audit_queries, corpus_queries, graph_queries, passage_queries, rule_queries  # noqa: F401
