@@ -1,13 +1,14 @@
 """Benchmark decontamination: BM25 inverted index of test items, queried by every passage with block-max WAND.
 
 Items are the documents of the index and a passage's distinct words the query. Impacts are
-divided by the item's score for itself, so one threshold serves all items. A first pass over all
-words, by arrays, drops passages whose essential words (those outside the frequent lists that
-can't reach half the threshold alone) bound the score below the threshold. For the rest, WAND
-walks the posting lists: the pivot comes from list maxima, block maxima decide whether to score.
-Every item at or above the threshold is then verified by the overlap of its question and answer
-with the passage. The index holds a bounded number of item words; more items are indexed in
-shards, one pass over the documents each.
+divided by the item's score for itself, so one threshold serves all items. Posting lists are cut
+into blocks at the same item numbers, and each block of a list knows its largest impact. A batch
+of passages sums these maxima for all blocks by arrays; a block that can't reach the threshold is
+skipped as a whole. In the others WAND walks the lists: the pivot is the first item at which
+the list maxima of the block add up to the threshold, and only pivots are scored. Every item at
+or above the threshold is then verified by the overlap of its question and answer with the
+passage. The index holds a bounded number of item words; more items are indexed in shards, one
+pass over the documents each.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD = 0.5  # of the item's score for itself
+THRESHOLD = 0.65  # of the item's score for itself
 OVERLAP = 0.8  # of the question's shingles
 ANSWER_OVERLAP = 0.5  # of the answer's distinct words
 WIDTH = 5
 ANSWER_WORDS = 8
-BLOCK = 8
-INDEX_WORDS = 2_000_000  # item words in one shard of the index, and so in a broadcast
+BLOCK = 4
+COMMON = 8  # blocks from which on a term is summed by a matrix product
+INDEX_WORDS = 400_000  # item words in one shard of the index, and so in a broadcast
 K1, B = 1.2, 0.75
 
 
@@ -43,73 +46,83 @@ def shingles(words: list[str], width: int = WIDTH) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """Posting lists (item numbers ascending, impacts, block maxima) by term number."""
+    """Posting lists by block and term number: items ascending, impacts, and the block's largest impact of each list."""
 
     def __init__(self, items: list[tuple[int, list[str]]], df: dict[str, int], n_items: int, mean_words: float, threshold: float) -> None:
-        self.items = [(i, w) for i, w in items if w]
-        self.threshold = threshold
+        # items that share common words, as those of one language do, get neighbouring numbers: bounds of blocks are closer
+        self.items = sorted(((i, w) for i, w in items if w), key=lambda x: (sorted(set(x[1]), key=lambda t: (-df[t], t))[:3], x[0]))
+        self.threshold = threshold - 1e-9
         raw: dict[str, list[tuple[int, float]]] = {}
         for k, (_, words) in enumerate(self.items):
             own = {t: np.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean_words)) for t, f in Counter(words).items()}
             total = sum(own.values())
             for t, x in own.items():
-                raw.setdefault(t, []).append((k, x / total))
+                raw.setdefault(t, []).append((k, float(x / total)))
         self.terms = sorted(raw)
-        self.lists = [[k for k, _ in raw[t]] for t in self.terms]
-        self.impacts = [[x for _, x in raw[t]] for t in self.terms]
-        self.blocks = [[max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)] for x in self.impacts]
-        self.most = np.array([max(x) for x in self.impacts] or [0.0])
         self.longest = max((len(w) for _, w in self.items), default=0)
-        self._essential()
+        self.n_blocks = -(-len(self.items) // BLOCK)
+        self.blocks: list[dict[int, tuple[list[int], list[float], float]]] = [{} for _ in range(self.n_blocks)]
+        at, block, most = [0], [], []
+        for t, term in enumerate(self.terms):
+            for k, x in raw[term]:
+                own, impacts, top = self.blocks[k // BLOCK].get(t, ([], [], 0.0))
+                self.blocks[k // BLOCK][t] = ([*own, k], [*impacts, x], max(top, x))
+            for n in sorted({k // BLOCK for k, _ in raw[term]}):
+                block.append(n)
+                most.append(self.blocks[n][t][2])
+            at.append(len(block))
+        self.at, self.block, self.most = np.array(at), np.array(block, np.int64), np.array(most)
+        common = np.flatnonzero(np.diff(self.at) >= COMMON)
+        self.common = np.full(len(self.terms) + 1, -1)
+        self.common[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), self.n_blocks), np.float32)
+        for row, t in enumerate(common):
+            self.table[row, self.block[self.at[t] : self.at[t + 1]]] = self.most[self.at[t] : self.at[t + 1]]
         self.parts = []
         for _, w in self.items:
             cut = max(len(w) - ANSWER_WORDS, (len(w) + 1) // 2)
             self.parts.append((shingles(w[:cut]), set(w[cut:])))
 
-    def _essential(self) -> None:
-        """Bounds for the first pass: the longest lists are left out as long as no item gets over half the threshold from them."""
-        left_out, self.bound = np.zeros(len(self.items)), self.most.copy()
-        for t in sorted(range(len(self.terms)), key=lambda t: -len(self.lists[t])):
-            more = left_out.copy()
-            more[self.lists[t]] += self.impacts[t]
-            if more.max() > self.threshold / 2:
-                break
-            left_out, self.bound[t] = more, 0.0
-        self.base = left_out.max(initial=0.0)
+    def bounds(self, cells: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+        """(n, blocks): the most that any item of a block can score for each of n passages, from (passage, term) pairs."""
+        often = self.common[terms] >= 0
+        has = np.zeros((n, len(self.table)), np.float32)
+        has[cells[often], self.common[terms[often]]] = 1
+        out = (has @ self.table).astype(np.float64)
+        rare = np.unique(cells[~often] * (len(self.terms) + 1) + terms[~often])
+        cell, term = rare // (len(self.terms) + 1), rare % (len(self.terms) + 1)
+        sizes = self.at[term + 1] - self.at[term]
+        each = np.repeat(self.at[term] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        out.ravel()[:] += np.bincount(np.repeat(cell, sizes) * self.n_blocks + self.block[each], self.most[each], out.size)
+        return out
 
-    def wand(self, query: set[int]) -> list[tuple[int, float]]:
-        """All (item, score) at or above the threshold for a set of term numbers."""
-        cursors = [[self.lists[t][0], t, 0] for t in query]
-        out, theta = [], self.threshold - 1e-12
+    def wand(self, query: set[int], block: int) -> list[tuple[int, float]]:
+        """All (item, score) of a block at or above the threshold for a set of term numbers."""
+        lists = self.blocks[block]
+        cursors = [[own[0], 0, own, impacts, most] for t in query if t in lists for own, impacts, most in (lists[t],)]
+        out = []
         while cursors:
-            cursors.sort()
-            bound, pivot = 0.0, None
-            for n, (item, t, _) in enumerate(cursors):
-                bound += self.most[t]
-                if bound >= theta:
+            cursors.sort(key=itemgetter(0))
+            bound, pivot = 0.0, -1
+            for n, c in enumerate(cursors):
+                bound += c[4]
+                if bound >= self.threshold:
                     pivot = n
                     break
-            if pivot is None:
+            if pivot < 0:
                 break
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            close = 0.0
-            for c in cursors[: pivot + 1]:  # shallow moves: the block that would hold the item
-                at = bisect_left(self.lists[c[1]], item, c[2])
-                if at < len(self.lists[c[1]]):
-                    close += self.blocks[c[1]][at // BLOCK]
-            score = 0.0
-            alive = cursors[pivot + 1 :]
-            for c in cursors[: pivot + 1]:
-                own = self.lists[c[1]]
-                at = bisect_left(own, item, c[2])
-                if close >= theta and at < len(own) and own[at] == item:
-                    score += self.impacts[c[1]][at]
-                at += at < len(own) and own[at] == item
-                if at < len(own):
-                    alive.append([own[at], c[1], at])
-            if score >= theta:
+            item, score, alive = cursors[pivot][0], 0.0, []
+            for c in cursors:
+                if c[0] <= item:
+                    at = bisect_left(c[2], item, c[1])
+                    if at < len(c[2]) and c[2][at] == item:
+                        score += c[3][at]
+                        at += 1
+                    if at == len(c[2]):
+                        continue
+                    c[0], c[1] = c[2][at], at
+                alive.append(c)
+            if score >= self.threshold:
                 out.append((item, score))
             cursors = alive
         return out
@@ -125,21 +138,23 @@ class Index:
         """(document, first word, item, score, question, answer) for passages of all documents; ids: the words' term numbers, -1 for others."""
         half = max(64, self.longest)  # a passage has two halves and starts at each half: every item fits in one
         lengths = np.diff(offsets)
-        cells = np.maximum(1, -(-lengths // half))
+        cells = -(-lengths // half)
         first = np.concatenate(([0], np.cumsum(cells)))
-        doc = np.repeat(np.arange(len(lengths)), cells)
-        at = offsets[:-1][doc] + (np.arange(first[-1]) - first[:-1][doc]) * half
-        weight = np.where(ids >= 0, self.bound[ids], 0.0)
-        sums = np.concatenate(([0.0], np.cumsum(weight)))
-        end = offsets[1:][doc]
-        hopeful = self.base + sums[np.minimum(at + 2 * half, end)] - sums[at] >= self.threshold - 1e-6
-        for cell in np.flatnonzero(hopeful):
-            a, b = int(at[cell]), int(min(at[cell] + 2 * half, end[cell]))
-            found = self.wand({int(t) for t in ids[a:b] if t >= 0})
-            if found:
-                passage = words[a:b].to_pylist()
-                for item, score in found:
-                    yield int(doc[cell]), a - int(offsets[doc[cell]]), item, score, *self.verify(item, passage)
+        known = np.flatnonzero(ids >= 0)
+        doc = np.searchsorted(offsets, known, side="right") - 1
+        part = (known - offsets[doc]) // half
+        cell = first[doc] + part
+        also = part > 0
+        bounds = self.bounds(np.concatenate((cell, cell[also] - 1)), np.concatenate((ids[known], ids[known[also]])), int(first[-1]))
+        last, query, a, b, d = -1, set(), 0, 0, 0
+        for c, block in zip(*np.nonzero(bounds >= self.threshold - 1e-5), strict=True):
+            if c != last:
+                last, d = c, int(np.searchsorted(first, c, side="right")) - 1
+                a = int(offsets[d] + (c - first[d]) * half)
+                b = min(a + 2 * half, int(offsets[d + 1]))
+                query = set(ids[a:b].tolist())
+            for item, score in self.wand(query, block):
+                yield d, a - int(offsets[d]), item, score, *self.verify(item, words[a:b].to_pylist())
 
 
 def _shards(items: DataFrame, id_col: str, text_col: str, threshold: float) -> Iterator[Index]:

@@ -31,15 +31,22 @@ def test_wand_finds_all_above_the_threshold():
     items = [(i, [vocab[int(k)] for k in rng.zipf(1.3, 12) % 60]) for i in range(80)]
     df = {t: sum(t in w for _, w in items) for t in vocab}
     index = dc.Index(items, df, len(items), 12.0, 0.5)
-    for _ in range(60):
-        query = {int(t) for t in rng.integers(0, len(index.terms), 15)}
-        want = {}
-        for t in query:
-            for k, x in zip(index.lists[t], index.impacts[t], strict=True):
-                want[k] = want.get(k, 0) + x
-        want = {k: s for k, s in want.items() if s >= 0.5}
-        got = dict(index.wand(query))
-        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    queries = [sorted({int(t) for t in rng.integers(0, len(index.terms), 15)}) for _ in range(60)]
+    bounds = index.bounds(np.repeat(np.arange(60), [len(q) for q in queries]), np.concatenate(queries), 60)
+    found = 0
+    for query, bound in zip(queries, bounds, strict=True):
+        scores = np.zeros(len(items))
+        for block in index.blocks:
+            for t in set(query) & block.keys():
+                scores[block[t][0]] += block[t][1]
+        for k, block in enumerate(range(0, len(items), dc.BLOCK)):
+            own = scores[block : block + dc.BLOCK]
+            assert own.max() <= bound[k] + 1e-5
+            want = {block + i: x for i, x in enumerate(own) if x >= 0.5}
+            got = dict(index.wand(set(query), k))
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+            found += len(want)
+    assert found > 20
 
 
 def test_shards_find_the_same(spark, docs, monkeypatch):
