@@ -30,7 +30,9 @@ TEXT_AGG = "string_agg(surface || after, ' ' ORDER BY doc_id, line, word)"
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    """The documents; dealt out by id if the scan has fewer tasks than there are cores, as with one small file."""
+    d, cores = spark.read.parquet(f"{sf}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return d.repartition(cores, "doc_id") if d.rdd.getNumPartitions() < cores else d
 
 
 def tok(spark: SparkSession, sf: str) -> DataFrame:
