@@ -19,14 +19,14 @@ KEY = "change-me"
 KINDS = ("email", "date", "ssn", "ip", "card", "phone")
 #: What a candidate of each kind looks like.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*?\.[A-Za-z]{2,}+",
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*?\.[A-Za-z]{2,}+",
     "date": r"\d{4}-\d{2}-\d{2}(?![\d-])|\d{2}/\d{2}/\d{4}(?![\d/])",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "card": r"\d{13,19}(?!\d)|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d)|\d{4}[ -]\d{6}[ -]\d{5}(?!\d)",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d|[.-]\d)",
 }
-CANDIDATE = rf"(?<![A-Za-z0-9._%+-])(?:{PATTERNS['email']})|(?<![A-Za-z0-9.])(?<!\d[-/])(?:" + "|".join(PATTERNS[k] for k in KINDS[1:]) + ")"
+CANDIDATE = rf"(?<![\p{{L}}\p{{N}}._%+-])(?:{PATTERNS['email']})|(?<![A-Za-z0-9.])(?<!\d[-/])(?:" + "|".join(PATTERNS[k] for k in KINDS[1:]) + ")"
 _CYCLE = 146_097  # days of 400 years, 189 * 773
 _EPOCH = 62_091  # days from 1800-01-01 to 1970-01-01
 
