@@ -1,4 +1,4 @@
-"""What several operators share: checkpoints and connected components."""
+"""What several operators share: checkpoints, joins by keys that may be hot, connected components."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HOT_KEYS = 1000  # so many keys at most can each have more than one row in so many
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -15,26 +17,42 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut, kept in the shared checkpoint folder of the session.
 
-    Only where the session names no folder (tests on one machine) a temporary one is set.
+    A session on one machine that names no folder (tests) gets a temporary one; on a cluster a
+    folder must be named, as executors don't see the driver's own disk.
     """
-    sc = df.sparkSession.sparkContext
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
+def attach(left: DataFrame, by: DataFrame, key: str, count: str = "n_rows") -> DataFrame:
+    """left joined with `by`, which has a row for each key and in `count` the rows that left has of it, at least.
+
+    A key with more than 1 in HOT_KEYS of all rows is hot; there can't be more than HOT_KEYS of
+    those, so they are broadcast and their rows stay where they are. Only other keys are shuffled.
+    """
+    total = by.agg(F.sum(count).alias("_total"))
+    hot = by.crossJoin(F.broadcast(total)).where(F.col(count) * HOT_KEYS > F.col("_total")).drop("_total", count)  # total is one row
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(by.drop(count), key)
+    return left.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Each vertex links its larger neighbours to the smallest of its neighbours and itself."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n_rows"))
+    return attach(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each vertex links its smaller neighbours and itself to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n_rows"))
+    moved = attach(down, least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -42,9 +60,9 @@ def components(links: DataFrame) -> DataFrame:
     """(a, b) links between ids -> (id, root): the smallest id reachable, for each id that has a link.
 
     Alternates large and small stars until nothing changes. Nothing is collected: the driver
-    sees one count and one checksum a round. Links with a null end and of an id to itself are
-    ignored; repeated links count once; no links give no rows. Two ids of a link have one type
-    that can be ordered.
+    sees one count and one checksum a round. Vertices with very many links are joined where
+    their links are. Links with a null end and of an id to itself are ignored; repeated links
+    count once; no links give no rows. Two ids of a link have one type that can be ordered.
     """
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
