@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000  # so many keys at most can each have more than one row in so many
+HOT_ROWS = 1000  # keys with fewer rows are never hot
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,30 +30,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def attach(left: DataFrame, by: DataFrame, key: str, count: str = "n_rows") -> DataFrame:
+def attach(left: DataFrame, by: DataFrame, key: list[str], total: int, count: str = "n_rows") -> DataFrame:
     """left joined with `by`, which has a row for each key and in `count` the rows that left has of it, at least.
 
-    A key with more than 1 in HOT_KEYS of all rows is hot; there can't be more than HOT_KEYS of
-    those, so they are broadcast and their rows stay where they are. Only other keys are shuffled.
+    total: rows of left, about. A key with more than HOT_ROWS rows and one in HOT_KEYS of all is
+    hot; there can't be more than HOT_KEYS of those, so they are broadcast and left's rows of
+    them stay where they are. Only rows of other keys are shuffled.
     """
-    total = by.agg(F.sum(count).alias("_total"))
-    hot = by.crossJoin(F.broadcast(total)).where(F.col(count) * HOT_KEYS > F.col("_total")).drop("_total", count)  # total is one row
-    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(by.drop(count), key)
+    many = F.col(count) > max(HOT_ROWS, total // HOT_KEYS)
+    hot = by.where(many).drop(count)
+    cold = left.join(F.broadcast(hot.select(*key)), key, "left_anti").join(by.where(~many).drop(count), key)
     return left.join(F.broadcast(hot), key).unionByName(cold)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Each vertex links its larger neighbours to the smallest of its neighbours and itself."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n_rows"))
-    return attach(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return attach(both.where("b > a"), least, ["a"], 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Each vertex links its smaller neighbours and itself to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n_rows"))
-    moved = attach(down, least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = attach(down, least, ["a"], total).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -65,9 +67,9 @@ def components(links: DataFrame) -> DataFrame:
     count once; no links give no rows. Two ids of a link have one type that can be ordered.
     """
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before = (links.count(),)
     while True:
-        links = cut(_small_star(_large_star(links)))
+        links = cut(_small_star(cut(_large_star(links, before[0])), before[0]))
         now = tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first())
         if now == before:
             break
