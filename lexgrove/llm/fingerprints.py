@@ -1,10 +1,12 @@
 """Document fingerprints: one-permutation MinHash, optimal densification, packed low-order bits.
 
-All of it is array expressions within a row, without a shuffle: a word shingle's hash is taken
+All of a sketch is array expressions within a row: a word shingle's hash is taken
 once, its top bits name its bin, and sorting the hashes brings each bin's minimum to the front
 of its bin. One ceiling value a bin is sorted along, so that the first of each bin gives exactly
 `BINS` values and a bin that has only its ceiling is seen to be empty. An empty bin then copies
-the bin that its own sequence of random probes meets first (optimal densification).
+the bin that its own sequence of random probes meets first (optimal densification): a table of
+drawn probes, then all bins in an order drawn by a hash of both bins, so that probing ends only
+where it meets a filled bin.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexgrove.llm.common import cut
+
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 BITS = 8  # low-order bits kept of each bin
 WIDTH = 5
 PROBES = 24
-ROWS_PER_BUCKET = 2000
-MOST_BUCKETS = 4000  # length of the list of cut points in the plan
+ROWS_PER_RANGE = 100_000  # ids, of 24 bytes each, that are put in order together
 
 
 def _probes() -> list[list[int]]:
@@ -57,9 +60,8 @@ def with_signature(df: DataFrame, text: Column, name: str) -> DataFrame:
 
     def dense(x: Column, i: Column) -> Column:
         tries = [F.get(F.col("_bins"), F.get(_array(p), i)) for p in _probes()]
-        # beyond the probes (few shingles only): the next filled bin round the circle
-        rest = F.concat(F.slice("_bins", i + 1, F.lit(BINS)), F.col("_bins"))
-        return F.coalesce(x, *tries, F.get(F.filter(rest, lambda v: v.isNotNull()), F.lit(0)))
+        order = F.transform("_bins", lambda v, j: F.struct(F.xxhash64(i, j).alias("h"), v.alias("v")))
+        return F.coalesce(x, *tries, F.array_min(F.filter(order, lambda p: p["v"].isNotNull()))["v"])
 
     low = filled.select(*kept, "_n", F.transform("_bins", dense).alias("_dense"))
     packed = F.transform("_dense", lambda x, i: F.xxhash64(x, i).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
@@ -83,45 +85,50 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), (equal - chance) / (1 - chance)))
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str], prefix: str = "next_") -> DataFrame:
-    """docs with columns of the next row by descending id (ties by the columns); after the last comes the first. Null ids come last.
+def _with_next(rows: DataFrame, key: list[Column]) -> DataFrame:
+    """Distinct rows (id, th) with next_id, next_th: those of the row after it in the order of the key; after the last comes the first.
 
-    Rows are dealt by ranges of ids with cut points that are ids themselves, so a range's first
-    row is a row whose id is a cut point; it also goes to the range above as its next. One
-    shuffle, and no range holds more than its share but for rows that repeat one id.
+    Rows are dealt out in ranges of the key. A range's last row gets the first of the next range,
+    which a window over one row for each range gives.
     """
-    low = F.lit(-(1 << 63)).cast("long")
-    d = docs.withColumn("_id", F.coalesce(F.col(f"`{id_col}`").cast("long"), low))
-    ids = d.select(F.col("_id").cast("double").alias("x"), "_id")
-    n = d.count()
-    parts = min(MOST_BUCKETS, -(-n // ROWS_PER_BUCKET))
-    cuts = sorted({int(x) for x in ids.approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    top, bottom = (d.agg(F.max("_id"), F.min("_id")).first() if n else (None, None))
-    cuts = [c for c in cuts if c != top]
-    held = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.expr("cast(array() as array<long>)")
-    range_ = F.size(F.filter(held, lambda c: c < F.col("_id")))
-    also = F.when(F.array_contains(held, F.col("_id")), F.array(range_ + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    also = F.concat(also, F.when(F.col("_id") == F.lit(top), F.array(F.lit(-1))).otherwise(F.expr("cast(array() as array<int>)")))
-    dealt = d.withColumn("_own", range_).withColumn("_range", F.explode(F.concat(F.array(F.col("_own")), F.transform(also, lambda r: F.greatest(r, F.lit(-1))))))
-    dealt = dealt.withColumn("_guest", F.col("_range") != F.col("_own")).withColumn("_wrap", F.col("_range") == -1).withColumn("_range", F.greatest("_range", F.lit(0)))
-    w = Window.partitionBy("_range").orderBy(F.col("_wrap"), F.col("_id").desc(), *(F.col(f"`{c}`") for c in columns))
-    out = dealt.select(*dealt.columns, *(F.lead(f"`{c}`").over(w).alias(prefix + c) for c in columns))
-    return out.where("NOT _guest AND NOT _wrap").select(*docs.columns, *(prefix + c for c in columns))
+    parts = max(1, -(-rows.count() // ROWS_PER_RANGE))
+    dealt = cut(rows.repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id()))
+    w, at = Window.partitionBy("_part").orderBy(*key), F.struct("id", "th")
+    placed = dealt.select("*", F.lead(at).over(w).alias("_next"), F.row_number().over(w).alias("_n"))
+    ranges = Window.orderBy("_part")
+    heads = placed.where("_n = 1").select("_part", at.alias("_head"))
+    heads = heads.select("_part", F.coalesce(F.lead("_head").over(ranges), F.first("_head").over(ranges)).alias("_following"))  # a row for each range
+    last = placed.where("_next IS NULL").join(heads, "_part").withColumn("_next", F.col("_following"))
+    return placed.where("_next IS NOT NULL").unionByName(last.drop("_following")).select(*rows.columns, F.col("_next.id").alias("next_id"), F.col("_next.th").alias("next_th"))
 
 
 def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
 
     The edited text has its last third replaced by as many characters from the start of the next
-    document by descending id. Null text is empty; a single document is its own next; rows that
-    repeat an id are ordered by their text; null ids come last; other columns play no part; no
-    documents give no rows.
+    document by descending id. Ids are integers, of any size. Null text is empty; a single
+    document is its own next; rows that repeat an id are ordered by a hash of their text, and
+    one that repeats id and text has its twin as next, but for the last of them; null ids come
+    last; other columns play no part; no documents give no rows.
+
+    Rows are known by id and text hash. Only ids are put in order; a text is shuffled once, and
+    the third of it that another row needs once more.
     """
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"))
-    both = with_next(with_signature(own, F.col("body"), "sig"), "id", ["body", "sig"])
+    id_ = F.col(f"`{id_col}`").cast("long")
+    own = docs.select(id_.alias("own_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"))
+    own = own.select("own_id", F.coalesce("own_id", F.lit(0)).alias("id"), F.xxhash64("body", F.col("own_id").isNull()).alias("th"), "body")
+    ids = own.groupBy("id", "th").agg(F.first("own_id").alias("own_id"), F.max(F.floor(F.length("body") / 3)).cast("int").alias("third"))
+    order = _with_next(ids, [F.col("own_id").desc_nulls_last(), F.col("th")]).drop("own_id")
+    texts = with_signature(own, F.col("body"), "sig").groupBy("id", "th").agg(F.first("own_id").alias("own_id"), F.first("body").alias("body"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    asked = order.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("for_id"), F.col("th").alias("for_th"), "third")
+    given = texts.join(asked, ["id", "th"]).select(F.col("for_id").alias("id"), F.col("for_th").alias("th"), F.substring(F.col("body"), F.lit(1), F.col("third")).alias("tail"), F.col("sig").alias("next_sig"), "third")
+    both = texts.join(given, ["id", "th"])
+    # of equal rows all but one have a twin as next
+    twin = F.when(F.col("copies") > 1, F.struct((F.col("copies") - 1).alias("times"), F.substring(F.col("body"), F.lit(1), F.col("third")).alias("tail"), F.col("sig").alias("next_sig")))
+    kinds = F.filter(F.array(F.struct(F.lit(1).cast("long").alias("times"), "tail", "next_sig"), twin), lambda x: x.isNotNull())
+    rows = both.select("own_id", "body", "sig", "third", F.explode(kinds).alias("k"))
     n = F.length("body")
-    third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("body"), F.lit(1), n - third), F.substring(F.col("next_body"), F.lit(1), third))
-    texts = both.select("id", n.cast("long").alias("n_chars"), "sig", "next_sig", edited.alias("edited"))
-    out = with_signature(texts, F.col("edited"), "edited_sig")
-    return out.select(F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("sig")).alias("fingerprint"), packed(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
+    edited = F.concat(F.substring(F.col("body"), F.lit(1), n - F.col("third")), F.col("k.tail"))
+    out = with_signature(rows.select("own_id", n.cast("long").alias("n_chars"), "sig", F.col("k.next_sig").alias("next_sig"), F.col("k.times").alias("times"), edited.alias("edited")), F.col("edited"), "edited_sig")
+    out = out.select(F.col("own_id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("sig")).alias("fingerprint"), packed(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"), "times")
+    return out.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("times")

@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -44,10 +46,36 @@ def test_query(spark, rows):
 
 
 def test_many_ranges(docs, rows, monkeypatch):
-    monkeypatch.setattr(fp, "ROWS_PER_BUCKET", 7)
+    monkeypatch.setattr(fp, "ROWS_PER_RANGE", 7)
     check(fp.fingerprints_with_edits(docs).collect(), [(i, rows[i].text or "") for i in sorted(rows, reverse=True)])
 
 
+def test_ids_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(fp, "ROWS_PER_RANGE", 20)
+    ids = sorted({random.Random(3).randrange(-(1 << 63), 1 << 63) for _ in range(200)} | {(1 << 60) + k for k in range(150)} | {-1, 0, 1, (1 << 63) - 1, -(1 << 63)}, reverse=True)
+    rows = [(i, f"text {k % 7} of {k} " * (k % 5)) for k, i in enumerate(ids)]
+    check(fp.fingerprints_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_rows_that_repeat_an_id(spark, monkeypatch):
+    monkeypatch.setattr(fp, "ROWS_PER_RANGE", 5)
+    rows = [(9, "abcdef"), *[(7, "ghijkl")] * 4, (7, "mnopqr"), (None, "stuvwx"), (None, "stuvwx"), (None, None), (2, "yz0123")]
+    out = fp.fingerprints_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    digests = Counter((r.doc_id, r.edited_sha256) for r in out)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert len(out) == 10 and all(r.edited_sha256 and 0 <= r.near_next <= 1 for r in out) and digests[7, sha("ghijgh")] >= 3
+    assert digests[2, sha("yz01st")] + digests[2, sha("yz01")] == 1 and digests[None, sha("stuvst")] >= 1
+
+
+def test_probing_ends_at_a_filled_bin_drawn_evenly(spark):
+    """With one to five shingles no bin stays empty, and two disjoint sets agree by chance only."""
+    df = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(5 + k % 5))) for k in range(100)], "k int, t string")
+    sigs = [r.s for r in fp.with_signature(df, F.col("t"), "s").collect()]
+    assert all(len(s) == fp.BINS and None not in s for s in sigs)
+    shares = [Counter(s).most_common(1)[0][1] / fp.BINS for k, s in enumerate(sigs) if k % 5 == 4]  # low bytes are mixed with the bin
+    assert max(shares) < 0.2
+
+
 def test_densified_bins_estimate_small_sets(spark):
     """Sets of few shingles, where most bins are empty."""
     words = [f"w{k}" for k in range(400)]
