@@ -3,8 +3,11 @@
 One pattern finds candidates; each is validated by its kind (check digits, value ranges, the
 calendar) and becomes a pair of numbers below two sizes whose product is exactly the number of
 valid values of its format. A keyed Feistel network permutes the pair, and the format is filled
-again. So a pseudonym is valid, the mapping is one-to-one, and equal values stay equal across
-documents. Mail addresses have no such format: a keyed digest takes the place of the local part.
+again. So a pseudonym is valid, the mapping permutes the values of each format, and equal values
+stay equal across documents. A date is permuted within its 400 years, counted from the year 1 to
+9999. What could be read day first is; what can only be read month first, as its day is above 12,
+is permuted among such dates. A zero before an octet of an address is part of its format. Mail
+addresses have no such format: a keyed digest of 96 bits takes the place of the local part.
 Everything is a column expression; a round of the network is a projection, so that its terms
 don't multiply.
 """
@@ -15,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-KEY = "change-me"
 KINDS = ("email", "date", "ssn", "ip", "card", "phone")
 #: What a candidate of each kind looks like.
 PATTERNS = {
@@ -27,8 +29,11 @@ PATTERNS = {
     "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d|[.-]\d)",
 }
 CANDIDATE = rf"(?<![\p{{L}}\p{{N}}._%+-])(?:{PATTERNS['email']})|(?<![A-Za-z0-9.])(?<!\d[-/])(?:" + "|".join(PATTERNS[k] for k in KINDS[1:]) + ")"
-_CYCLE = 146_097  # days of 400 years, 189 * 773
-_EPOCH = 62_091  # days from 1800-01-01 to 1970-01-01
+_CYCLE = 146_097  # days of 400 years
+_EPOCH = 719_162  # days from 0001-01-01 to 1970-01-01
+#: Sizes of the pair for all dates of 400 years, and for those after the 12th of a month; then of the last 399 years, to 9999.
+_DAYS, _LATE, _LAST_DAYS, _LAST_LATE = (189, 773), (9, 9833), (93, 1567), (825, 107)
+FORMS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy")
 
 
 def _digits(x: Column) -> Column:
@@ -61,7 +66,7 @@ def _validated(values: DataFrame) -> DataFrame:
     full = lambda kind: v.rlike(f"^(?:{PATTERNS[kind]})$")
     part = [F.regexp_extract(v, r"^(\d+)[-.](\d+)[-.](\d+)(?:[.](\d+))?$", k) for k in range(1, 5)]
     number = [F.when(p != "", p.cast("long")) for p in part]
-    dated = values.withColumns({"form": F.when(_day(v, "yyyy-MM-dd").isNotNull(), "yyyy-MM-dd").when(_day(v, "dd/MM/yyyy").isNotNull(), "dd/MM/yyyy").when(_day(v, "MM/dd/yyyy").isNotNull(), "MM/dd/yyyy")})
+    dated = values.withColumns({"form": F.coalesce(*(F.when(_day(v, f).isNotNull(), f) for f in FORMS))})
     kind = (
         F.when(full("email"), "email")
         .when(full("date") & F.col("form").isNotNull(), "date")
@@ -71,22 +76,43 @@ def _validated(values: DataFrame) -> DataFrame:
         .when(full("phone") & n.between(8, 15), "phone")
     )
     moved = F.when(F.col("kind") == "card", F.substring(d, F.lit(1), n - 1)).when(F.col("kind") == "phone", F.substring(d, n - F.when(n >= 10, 10).otherwise(n - 2) + 1, n))
-    return dated.withColumn("kind", kind).withColumns({"moved": moved, **{f"p{k}": F.when(F.col("kind").isin("ssn", "ip"), number[k]) for k in range(4)}})
+    octet = [F.when(~p.startswith("0") | (F.length(p) == 1), 256).when(F.length(p) == 2, 10).otherwise(100) for p in part]  # values with as many zeros before
+    return dated.withColumn("kind", kind).withColumns({"moved": moved, **{f"p{k}": F.when(F.col("kind").isin("ssn", "ip"), number[k]) for k in range(4)}, **{f"s{k}": octet[k] for k in range(4)}})
+
+
+def _late(base: Column, rank: Column) -> Column:
+    """The date of that rank among those of 400 years that are after the 12th of their month."""
+    start = F.date_from_unix_date((base * _CYCLE - _EPOCH).cast("int"))
+    guess = F.floor(rank * 4800 / (_LATE[0] * _LATE[1])).cast("int")  # months have 16 to 19 such days, so it is one off at most
+
+    def tried(m: Column) -> Column:
+        month = F.add_months(start, m)
+        d = rank - (F.datediff(month, start) - m * 12)
+        return F.when((d >= 0) & (d < F.dayofmonth(F.last_day(month)) - 12), F.date_add(month, (d + 12).cast("int")))
+
+    return F.coalesce(*(tried(guess + k) for k in (0, -1, 1)))
 
 
 def _pairs(values: DataFrame) -> DataFrame:
     """Adds the pair a, b and its sizes size_a, size_b; base is the 400 years that a date stays in."""
-    kind, m = F.col("kind"), F.length("moved")
-    day = F.when(kind == "date", F.unix_date(F.coalesce(*(F.when(F.col("form") == f, _day(F.col("v"), f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy")))).cast("long") + _EPOCH)
-    based = values.withColumns({"base": F.floor(day / _CYCLE), "day": F.pmod(day, F.lit(_CYCLE)), "low": F.floor(m / 2).cast("int")})
+    kind, m, form = F.col("kind"), F.length("moved"), F.col("form")
+    date = F.when(kind == "date", F.coalesce(*(F.when(form == f, _day(F.col("v"), f)) for f in FORMS)))
+    day = F.unix_date(date).cast("long") + _EPOCH
+    based = values.withColumns({"base": F.floor(day / _CYCLE), "low": F.floor(m / 2).cast("int"), "late": form == FORMS[2]})
+    months = (F.year(date) - 1 - F.col("base") * 400) * 12 + F.month(date)
+    based = based.withColumn("day", F.pmod(day, F.lit(_CYCLE)) - F.when(F.col("late"), months * 12).otherwise(0))
     low, high = F.col("low"), m - F.col("low")
     ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
     by = lambda date, ssn, ip, number: F.when(kind == "date", date).when(kind == "ssn", ssn).when(kind == "ip", ip).otherwise(number)
-    return based.withColumns({
-        "a": by(F.col("day") % 189, F.col("p0") - 1 - F.when(F.col("p0") > 666, 1).otherwise(0), F.col("p0") * 256 + F.col("p1"), F.substring("moved", F.lit(1), high).cast("long")),
-        "b": by(F.floor(F.col("day") / 189), (F.col("p1") - 1) * 9999 + F.col("p2") - 1, F.col("p2") * 256 + F.col("p3"), F.substring("moved", high + 1, low).cast("long")),
-        "size_a": by(F.lit(189), F.lit(898), F.lit(65_536), ten(high)).cast("long"),
-        "size_b": by(F.lit(773), F.lit(99 * 9999), F.lit(65_536), ten(low)).cast("long"),
+    last = F.col("base") == 24
+    dates = lambda k: F.when(F.col("late") & last, _LAST_LATE[k]).when(F.col("late"), _LATE[k]).when(last, _LAST_DAYS[k]).otherwise(_DAYS[k])
+    sized = based.withColumns({
+        "size_a": by(dates(0), F.lit(898), F.col("s0") * F.col("s1"), ten(high)).cast("long"),
+        "size_b": by(dates(1), F.lit(99 * 9999), F.col("s2") * F.col("s3"), ten(low)).cast("long"),
+    })
+    return sized.withColumns({
+        "a": by(F.col("day") % F.col("size_a"), F.col("p0") - 1 - F.when(F.col("p0") > 666, 1).otherwise(0), F.col("p0") * F.col("s1") + F.col("p1"), F.substring("moved", F.lit(1), high).cast("long")),
+        "b": by(F.floor(F.col("day") / F.col("size_a")), (F.col("p1") - 1) * 9999 + F.col("p2") - 1, F.col("p2") * F.col("s3") + F.col("p3"), F.substring("moved", high + 1, low).cast("long")),
     })
 
 
@@ -105,19 +131,21 @@ def pseudonyms(values: DataFrame, key: str) -> DataFrame:
     kept, v, kind = values.columns, F.col("v"), F.col("kind")
     p = _permuted(_pairs(_validated(values)), key)
     a, b, text = F.col("a"), F.col("b"), lambda x, n: F.lpad(x.cast("string"), n, "0")
-    day = F.date_from_unix_date((F.col("base") * _CYCLE + a + b * 189 - _EPOCH).cast("int"))
-    date = F.coalesce(*(F.when(F.col("form") == f, F.date_format(day, f)) for f in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy")))
+    rank = a + b * F.col("size_a")
+    day = F.when(F.col("late"), _late(F.col("base"), rank)).otherwise(F.date_from_unix_date((F.col("base") * _CYCLE + rank - _EPOCH).cast("int")))
+    date = F.coalesce(*(F.when(F.col("form") == f, F.date_format(day, f)) for f in FORMS))
     ssn = F.concat_ws("-", text(a + 1 + F.when(a + 1 >= 666, 1).otherwise(0), 3), text(F.floor(b / 9999) + 1, 2), text(b % 9999 + 1, 4))
-    ip = F.concat_ws(".", *(x.cast("string") for x in (F.floor(a / 256), a % 256, F.floor(b / 256), b % 256)))
+    octets = (F.floor(a / F.col("s1")), a % F.col("s1"), F.floor(b / F.col("s3")), b % F.col("s3"))
+    ip = F.concat_ws(".", *(F.when(F.col(f"s{k}") == 256, x.cast("string")).otherwise(text(x, F.length(F.col(f"s{k}").cast("string")))) for k, x in enumerate(octets)))
     number = F.concat(text(a, F.length("moved") - F.col("low")), F.when(F.col("low") > 0, text(b, F.col("low"))).otherwise(""))
     filled = p.select(*kept, "kind", date.alias("date"), ssn.alias("ssn"), ip.alias("ip"), number.alias("number"), "moved")
     card = _refilled(v, F.concat("number", _luhn_digit(F.col("number"))))
     phone = _refilled(v, F.concat(F.substring(_digits(v), F.lit(1), F.length(_digits(v)) - F.length("moved")), F.col("number")))
-    email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(v)), 256), 1, 12), F.lit("@"), F.substring_index(v, "@", -1))
+    email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(v)), 256), 1, 24), F.lit("@"), F.substring_index(v, "@", -1))
     return filled.select(*kept, "kind", F.when(kind == "email", email).when(kind == "date", F.col("date")).when(kind == "ssn", F.col("ssn")).when(kind == "ip", F.col("ip")).when(kind == "card", card).when(kind == "phone", phone).alias("pseudonym"))
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with pseudonyms in the text, and n_email ... n_phone, the values replaced by kind.
 
     All rows and columns stay; texts without a valid value stay as they are; null stays null with

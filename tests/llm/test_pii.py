@@ -1,3 +1,4 @@
+import datetime
 import re
 
 from lexgrove.llm import pii
@@ -48,8 +49,8 @@ def test_formats_and_validation(spark):
 
 
 def test_an_accented_address_goes_whole(spark):
-    out = pii.pseudonymise(spark.createDataFrame([(1, "Voilà: été.12@mail3.example.com, «ÉTÉ@x.org»")], "doc_id long, text string")).first()
-    assert re.fullmatch(r"Voilà: u[0-9a-f]{12}@mail3\.example\.com, «u[0-9a-f]{12}@x\.org»", out.text) and out.n_email == 2
+    out = pii.pseudonymise(spark.createDataFrame([(1, "Voilà: été.12@mail3.example.com, «ÉTÉ@x.org»")], "doc_id long, text string"), "k").first()
+    assert re.fullmatch(r"Voilà: u[0-9a-f]{24}@mail3\.example\.com, «u[0-9a-f]{24}@x\.org»", out.text) and out.n_email == 2
 
 
 def test_one_to_one_and_keyed(spark):
@@ -62,16 +63,50 @@ def test_one_to_one_and_keyed(spark):
     assert len({p for _, p in small.values()}) == 90
 
 
+def permuted(spark, strings):
+    """Whether the pseudonyms of all these values are the same values in another order."""
+    got = pii.pseudonyms(spark.createDataFrame([(v,) for v in strings], "v string"), "k").select("v", "pseudonym").collect()
+    return {r.pseudonym for r in got} == set(strings) and len(got) == len(set(strings)) and sum(r.v == r.pseudonym for r in got) < 10
+
+
+def days(first, last):
+    day, end = datetime.date(first, 1, 1), datetime.date(last, 12, 31)
+    return [day + datetime.timedelta(k) for k in range((end - day).days + 1)]
+
+
+def text(day, form):
+    return form.replace("y", f"{day.year:04}").replace("m", f"{day.month:02}").replace("d", f"{day.day:02}")
+
+
+def test_dates_are_permuted_in_each_form_up_to_the_first_and_last_year(spark):
+    for first, last in ((1, 400), (9601, 9999)):
+        every = days(first, last)
+        assert permuted(spark, [text(d, "y-m-d") for d in every])
+        assert permuted(spark, [text(d, "d/m/y") for d in every] + [text(d, "m/d/y") for d in every if d.day > 12])
+
+
+def test_octets_keep_their_zeros(spark):
+    assert permuted(spark, [f"0{a}.0{b}.0{c}.0{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(10)])
+    got = values(spark, ["010.0.0.1", "10.0.0.1", "10.00.0.1", "0.0.0.0"])
+    assert len({p for _, p in got.values()}) == 4 and re.fullmatch(r"0\d\d\.\d+\.\d+\.\d+", got["010.0.0.1"][1])
+
+
+def test_other_numbers_stay_apart(spark):
+    ssn = [f"{a:03}-{b:02}-0001" for a in range(1, 900) if a != 666 for b in range(1, 100, 7)]
+    got = {r.pseudonym for r in pii.pseudonyms(spark.createDataFrame([(v,) for v in ssn], "v string"), "k").collect()}
+    assert len(got) == len(ssn)
+
+
 def test_links_and_odd_rows(spark, odd, none):
     both = spark.createDataFrame([(1, "a 4111111111111111, b"), (2, "4111111111111111"), (2, "4111111111111111"), (None, "x 1.2.3.4 1.2.3.4."), (3, None)], "doc_id long, text string")
-    out = pii.pseudonymise(both).collect()
+    out = pii.pseudonymise(both, "k").collect()
     card = next(r.text for r in out if r.doc_id == 2)
     assert next(r.text for r in out if r.doc_id == 1) == f"a {card}, b" and sum(r.doc_id == 2 for r in out) == 2
     ip = next(r for r in out if r.doc_id is None)
     a, b = ip.text[2:-1].split(" ")
     assert a == b != "1.2.3.4" and ip.n_ip == 2
     assert next(r for r in out if r.doc_id == 3).text is None
-    same = pii.pseudonymise(odd)
+    same = pii.pseudonymise(odd, "k")
     assert same.columns == [*odd.columns, *(f"n_{k}" for k in pii.KINDS)]
     assert sorted((r.doc_id or 0, r.text or "") for r in same.collect()) == sorted((r.doc_id or 0, r.text or "") for r in odd.collect())
-    assert pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(none, "k").count() == 0
