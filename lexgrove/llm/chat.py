@@ -4,7 +4,8 @@ A template is anything with render(turns) -> str and unescape(str) -> str. Succe
 a conversation are rendered; what a prefix adds to the one before is its last turn's span. The
 text in the span is found by rendering the turn with two probe texts: what both outputs share
 at their ends belongs to the template. A prefix that doesn't begin with the prefix before shows
-a template that rewrites history; texts are then located in the whole output, a turn at a time.
+a template that rewrites history, even if a later prefix looks as if it hadn't; texts are then
+located in the whole output, a turn at a time.
 """
 
 from __future__ import annotations
@@ -17,9 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WHOLE = 512  # turns up to which every whole prefix is rendered
-WINDOW = 128
-CONTEXT = 8
 _PROBES = ("Pa", "Qb")
 
 
@@ -87,18 +85,17 @@ def _margins(template: Template, before: list[Turn], turn: Turn, after: list[Tur
     return _shared(a, b), _shared(a[::-1], b[::-1])
 
 
-def _prefixes(template: Template, before: list[Turn], turns: list[Turn]) -> list[tuple[str, int, int]] | None:
-    """(added text, margin to the text, margin after it) by turn; None if the template rewrites history."""
-    out, last = [], template.render(before) if before else ""
+def _prefixes(template: Template, turns: list[Turn]) -> list[Span] | None:
+    """The span of each turn; None if the template rewrites history."""
+    out, last = [], ""
     for k, turn in enumerate(turns):
-        own = [*before, *turns[:k]]
-        now = template.render([*own, turn])
+        now = template.render(turns[: k + 1])
         if not now.startswith(last):
             return None
-        head, tail = _margins(template, own, turn, [])
+        head, tail = _margins(template, turns[:k], turn, [])
         if head < len(last) or len(now) - tail < head:
             return None
-        out.append((now[len(last) :], head - len(last), tail))
+        out.append(Span(len(last), head, len(now) - tail, len(now)))
         last = now
     return out
 
@@ -106,30 +103,13 @@ def _prefixes(template: Template, before: list[Turn], turns: list[Turn]) -> list
 def render(template: Template, turns: list[Turn]) -> tuple[str, list[Span], bool]:
     """The formatted conversation, the span of each turn, and whether the template rewrites history.
 
-    Conversations of over WHOLE turns are rendered in windows after the first turn and CONTEXT
-    turns before; if the pieces don't add up to the whole output, every prefix is rendered.
+    Every prefix is rendered, whatever its length, as a black box may rewrite at any turn; the
+    work grows with the square of a conversation's turns.
     """
     whole = template.render(turns) if turns else ""
-    added = None
-    if len(turns) > WHOLE:
-        added = []
-        for at in range(0, len(turns), WINDOW):
-            before = turns[:at] if at <= CONTEXT + 1 else [turns[0], *turns[at - CONTEXT : at]]
-            piece = _prefixes(template, before, turns[at : at + WINDOW])
-            if piece is None:
-                added = None
-                break
-            added += piece
-        if added is not None and "".join(a for a, _, _ in added) != whole:
-            added = None
-    if added is None:
-        added = _prefixes(template, [], turns)
-    spans, at = [], 0
-    if added is not None:
-        for text, head, tail in added:
-            spans.append(Span(at, at + head, at + len(text) - tail, at + len(text)))
-            at += len(text)
+    if (spans := _prefixes(template, turns)) is not None:
         return whole, spans, False
+    spans, at = [], 0
     for k, turn in enumerate(turns):  # spans then are those of the texts, with what stands before each
         head, tail = _margins(template, turns[:k], turn, turns[k + 1 :])
         spans.append(Span(at, head, len(whole) - tail, len(whole) - tail))

@@ -52,19 +52,23 @@ def test_a_template_that_rewrites_history_is_found_and_its_texts_located():
     assert rewrites and [text[s.text_start : s.text_end] for s in spans] == ["hi", "", "hi", "yes"]
 
 
-class FarSighted(Marked):
-    """Looks 300 turns back, past any window."""
+class Transient(Marked):
+    """Has a header while a conversation is between two lengths."""
+
+    def __init__(self, low, high):
+        self.low, self.high = low, high
 
     def render(self, turns):
-        return "".join(f"{len(turns[max(0, k - 300)].text) if k >= 300 else 0}{super(FarSighted, self).render([t])}" for k, t in enumerate(turns))
+        return ("HEADER" if self.low <= len(turns) <= self.high else "") + super().render(turns)
 
 
-@pytest.mark.parametrize("template", [Marked(), FarSighted()])
-def test_windows_give_what_whole_prefixes_give(template, monkeypatch):
+@pytest.mark.parametrize("low", [1, 300, 550, 690])
+def test_a_passing_rewrite_is_seen_at_any_length(low):
     turns = [Turn("user" if k % 2 else "assistant", f"text {k}" * (k % 3)) for k in range(700)]
-    windows = chat.render(template, turns)
-    monkeypatch.setattr(chat, "WHOLE", 10_000)
-    assert windows == chat.render(template, turns)
+    _, spans, rewrites = chat.render(Transient(low, low + 10), turns)
+    assert rewrites and len(spans) == 700
+    plain, spans, rewrites = chat.render(Marked(), turns)
+    assert not rewrites and [plain[s.text_start : s.text_end] for s in spans] == [t.text for t in turns]
 
 
 def test_odd_rows(spark):
