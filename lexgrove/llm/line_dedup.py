@@ -1,12 +1,15 @@
 """Line dedup: a suffix array over line-id sequences by distributed prefix doubling.
 
-A document is the sequence of its non-blank lines. Doubling ranks all positions by their
-first 1, 2, 4, ... lines: a round pairs each position's rank with the rank `h` lines further
-on and ranks the pairs. Positions whose rank nobody shares are settled and leave, so a round
-touches repeated text only. Equal ranks at depth `min_lines` are the intervals of the suffix
-array whose longest common prefix has that many lines; their members are the occurrences of
-one repeated run, and overlapping runs add up to the maximal ones. Deeper rounds would only
-order the members of an interval, which changes nothing that is deleted.
+A document is the sequence of its lines that aren't blank (spaces only). Doubling ranks all
+positions by their first 1, 2, 4, ... lines: a round pairs each position's rank with the rank `h`
+lines further on and ranks the pairs. Positions whose rank nobody shares are settled and leave,
+so a round touches repeated text only, and rounds go on until every rank is unique or ends with
+its document. Positions of one rank are an interval of the suffix array whose longest common
+prefix has that many lines at least. Each position is matched with the first one of the deepest
+interval in which it isn't the first itself; matches that follow one another along two documents
+are one run, and the longest common prefix of its two starts, found by the ranks from the deepest
+round down, is its length. A run that isn't part of a longer one in its document is maximal. Later
+copies are deleted.
 """
 
 from __future__ import annotations
@@ -34,14 +37,15 @@ def _positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key occurs again, with `rank` in the order of the keys.
+    """The rows whose key occurs again, with `rank` in the order of the keys, `first`, the first row of that rank, and whether the row is a later one.
 
     Counts are combined before the shuffle and only keys, not rows, are sorted, so a key with a
     third of all rows makes no hot task.
     """
-    repeated = rows.groupBy(*keys).count().where("count > 1").drop("count")
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("count"), F.min(F.struct(*_DOC, "seq")).alias("first")).where("count > 1").drop("count")
     ranks = cut(repeated.orderBy(*keys).withColumn("rank_", F.monotonically_increasing_id()))
-    return rows.join(ranks, keys).drop(*keys).withColumnRenamed("rank_", "rank")
+    own = F.col("_doc").eqNullSafe(F.col("first._doc")) & (F.col("_th") == F.col("first._th")) & (F.col("seq") == F.col("first.seq"))
+    return rows.join(ranks, keys).drop(*keys).withColumnRenamed("rank_", "rank").withColumn("later", ~own)
 
 
 def _at(offset: int) -> Column:
@@ -50,11 +54,52 @@ def _at(offset: int) -> Column:
     return F.max("rank").over(w)
 
 
-def _later(rows: DataFrame) -> DataFrame:
-    """The rows but for the first of each rank, by (document, seq). Joined by place, as one rank may have a third of the rows."""
-    first = rows.groupBy("rank").agg(F.min(F.struct(*_DOC, "seq")).alias("f")).select("f.*")
-    same = rows["_doc"].eqNullSafe(first["_doc"]) & (rows["_th"] == first["_th"]) & (rows["seq"] == first["seq"])
-    return rows.join(first, same, "left_anti")
+def _doubled(lines: DataFrame) -> dict[int, DataFrame]:
+    """Length of a run -> the positions whose run of that length is repeated, ranked; up to the longest there is."""
+    levels, h = {1: lines}, 1
+    while True:
+        paired = levels[h].select(*_DOC, "seq", "rank").withColumn("next", _at(h)).where("next IS NOT NULL").withColumnRenamed("rank", "this")
+        rows = cut(_ranked(paired, ["this", "next"]))
+        if rows.isEmpty():
+            return levels
+        h *= 2
+        levels[h] = rows
+
+
+def _runs(levels: dict[int, DataFrame]) -> DataFrame:
+    """(_doc, _th, seq, s_doc, s_th, s_seq, n): maximal runs of two lines or more, each beside the earlier one it copies."""
+    matched = None
+    for h, rows in levels.items():
+        own = rows.where("later").select(*_DOC, "seq", F.struct(F.lit(h).alias("n"), "first").alias("m"))
+        matched = own if matched is None else matched.unionByName(own)
+    deepest = matched.groupBy(*_DOC, "seq").agg(F.max_by("m", "m.n").alias("m"))
+    w = Window.partitionBy(*_DOC).orderBy("seq")
+    before = F.lag(F.struct("seq", "m.first")).over(w)
+    goes_on = (F.col("b.seq") == F.col("seq") - 1) & F.col("b.first._doc").eqNullSafe(F.col("m.first._doc")) & (F.col("b.first._th") == F.col("m.first._th")) & (F.col("b.first.seq") == F.col("m.first.seq") - 1)
+    heads = deepest.withColumn("b", before).where(~F.coalesce(goes_on, F.lit(False)))
+    runs = cut(heads.select(*_DOC, "seq", F.col("m.first._doc").alias("s_doc"), F.col("m.first._th").alias("s_th"), F.col("m.first.seq").alias("s_seq"), F.col("m.n").alias("n")))
+    for h in sorted(levels, reverse=True)[1:]:
+        for doc, th, seq, name in (("_doc", "_th", "seq", "one"), ("s_doc", "s_th", "s_seq", "two")):
+            there = levels[h].select(F.col("_doc").alias("l_doc"), F.col("_th").alias("l_th"), F.col("seq").alias("l_seq"), F.col("rank").alias(name))
+            on = F.col(doc).eqNullSafe(F.col("l_doc")) & (F.col(th) == F.col("l_th")) & (F.col(seq) + F.col("n") == F.col("l_seq"))
+            runs = runs.join(there, on, "left").drop("l_doc", "l_th", "l_seq")
+        runs = cut(runs.withColumn("n", F.col("n") + F.when(F.col("one") == F.col("two"), h).otherwise(0)).drop("one", "two"))
+    end = F.col("seq") + F.col("n")
+    earlier = Window.partitionBy(*_DOC).orderBy("seq", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return runs.where("n > 1").withColumn("within", F.coalesce(F.max(end).over(earlier) >= end, F.lit(False))).where("NOT within").drop("within")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+    """(id, first_line, last_line, n_lines, source_doc, source_line): maximal runs of lines, each beside the earlier copy it was matched with.
+
+    Line numbers count all lines from 0; n_lines counts those that aren't blank.
+    """
+    lines = cut(_ranked(_positions(docs, id_col, text_col), ["h1", "h2"]))
+    runs = _runs(_doubled(lines)).where(F.col("n") >= min_lines)
+    for doc, th, seq, name in (("_doc", "_th", F.col("seq"), "first_line"), ("_doc", "_th", F.col("seq") + F.col("n") - 1, "last_line"), ("s_doc", "s_th", F.col("s_seq"), "source_line")):
+        there = lines.select(F.col("_doc").alias("l_doc"), F.col("_th").alias("l_th"), F.col("seq").alias("l_seq"), F.col("line").cast("long").alias(name))
+        runs = runs.join(there, F.col(doc).eqNullSafe(F.col("l_doc")) & (F.col(th) == F.col("l_th")) & (seq == F.col("l_seq"))).drop("l_doc", "l_th", "l_seq")
+    return runs.select(F.col("_doc").alias(id_col), "first_line", "last_line", F.col("n").cast("long").alias("n_lines"), F.col("s_doc").alias("source_doc"), "source_line")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_line_chars: int = MIN_LINE_CHARS) -> DataFrame:
@@ -66,17 +111,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if min_lines < 2:
         raise ValueError("min_lines is 2 or more; single lines are governed by min_line_chars")
     lines = cut(_ranked(_positions(docs, id_col, text_col), ["h1", "h2"]))
-    single = _later(lines.where(F.col("chars") >= min_line_chars)).select(*_DOC, "line")
-    rows, h = lines.select(*_DOC, "seq", "rank"), 1
-    while h < min_lines:  # the last step overlaps if min_lines is no power of two
-        step = min(h, min_lines - h)
-        paired = rows.withColumn("next", _at(step)).where("next IS NOT NULL").withColumnRenamed("rank", "this")
-        rows, h = cut(_ranked(paired, ["this", "next"])), h + step
-    starts = _later(rows).select(*_DOC, "seq")
-    covered = starts.select(*_DOC, F.explode(F.sequence("seq", F.col("seq") + (min_lines - 1))).alias("seq")).distinct()
+    single = lines.where(F.col("later") & (F.col("chars") >= min_line_chars)).select(*_DOC, "line")
+    runs = _runs(_doubled(lines)).where(F.col("n") >= min_lines)
+    covered = runs.select(*_DOC, F.explode(F.sequence("seq", F.col("seq") + F.col("n") - 1)).alias("seq")).distinct()
     same = lines["_doc"].eqNullSafe(covered["_doc"]) & (lines["_th"] == covered["_th"]) & (lines["seq"] == covered["seq"])
-    runs = lines.join(covered, same, "left_semi").select(*_DOC, "line")
-    return single.union(runs)
+    return single.union(lines.join(covered, same, "left_semi").select(*_DOC, "line"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_line_chars: int = MIN_LINE_CHARS) -> DataFrame:

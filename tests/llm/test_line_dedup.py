@@ -1,3 +1,5 @@
+import random
+
 from lexgrove.llm import line_dedup
 from lexgrove.llm.queries import ORACLES, op7_line_dedup
 from tests.llm.conftest import SMALL
@@ -41,6 +43,29 @@ def test_a_maximal_run_goes_once(spark):
     assert got == {1: (a, 0), 2: ("x\n\ny", 7), 3: ("a\nb", 0), 4: ("z", 4)}
 
 
+def test_runs_are_maximal(spark):
+    """Runs of 3 to 100 lines among lines of their own, each copied once or more; a run in a run, and one that overlaps itself."""
+    rng, docs, want = random.Random(4), [], set()
+    fresh = lambda n: [f"l{rng.randrange(10**9)}" for _ in range(n)]
+    for k, n in enumerate([3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 33, 64, 100]):
+        run, a, b, c = fresh(n), rng.randrange(5), rng.randrange(9), rng.randrange(9)
+        docs += [(10 * k, [*fresh(a), *run, *fresh(2)]), (10 * k + 1, [*fresh(b), *run, *fresh(1)]), (10 * k + 2, [*fresh(c), *run])]
+        want |= {(10 * k + 1, b, b + n - 1, n, 10 * k, a), (10 * k + 2, c, c + n - 1, n, 10 * k, a)}
+    whole = fresh(30)
+    docs += [(500, fresh(1) + whole[10:20] + fresh(1)), (501, whole), (502, whole), (503, ["z"] * 40)]
+    want |= {(501, 10, 19, 10, 500, 1), (502, 0, 29, 30, 501, 0), (503, 1, 39, 39, 503, 0)}  # 502 has the run of 500 within that of 501
+    out = line_dedup.repeated_runs(spark.createDataFrame([(i, "\n".join(x)) for i, x in docs], "doc_id long, text string"))
+    assert {tuple(r) for r in out.collect()} == want
+
+
+def test_doubling_ends_when_ranks_are_unique(spark):
+    text = "\n".join(f"line {k}" for k in range(37))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "line 3\nother")], "doc_id long, text string")
+    lines = line_dedup.cut(line_dedup._ranked(line_dedup._positions(docs, "doc_id", "text"), ["h1", "h2"]))
+    levels = line_dedup._doubled(lines)
+    assert sorted(levels) == [1, 2, 4, 8, 16, 32] and levels[32].count() == 12
+
+
 def test_odd_rows(odd, none):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"] and out.count() == odd.count()
