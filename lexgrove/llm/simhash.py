@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import components, cut
+from lexgrove.llm.common import attach, components, cut
 
 SHINGLE = 4
 DISTANCE = 4
@@ -173,11 +173,15 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE, segments: int = SEG
 
 def _near(docs: DataFrame, kept: list[str], id_col: str, width: int, distance: int, segments: int) -> DataFrame:
     marked = cut(with_fingerprint(docs.select(*kept, "_simhash_text"), "_simhash_text", width))
-    least = marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(F.col(f"`{id_col}`")).alias("least"))
+    least = marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(F.col(f"`{id_col}`")).alias("least"), F.count("*").alias("n_rows"))
+    least = cut(least)
     found = components(links(least, distance, segments))
-    joined = least.join(found, least.fp == found.id, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(named, F.col("fingerprint") == F.col("_fp")).drop("_fp")
+    joined = cut(least.join(found, least.fp == found.id))
+    groups = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    linked = attach(joined.drop("id"), groups, ["root"], joined.count(), "members").drop("root", "least")
+    alone = least.join(found, least.fp == found.id, "left_anti").withColumnRenamed("least", "component_id")
+    named = linked.unionByName(alone).withColumnRenamed("fp", "fingerprint")
+    return attach(marked, named, ["fingerprint"], marked.count()).select(*marked.columns, "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
