@@ -59,21 +59,31 @@ def clean(text: Column) -> Column:
 
 
 def padded(number: Column, width: int) -> Column:
-    return F.lpad(number.cast("string"), width, "0")
+    """The number with zeros before it up to the width; longer numbers stay whole."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), "0")
+
+
+def _minted(start: str, fields: tuple[tuple[Column, int], ...]) -> Column:
+    """An id of fixed-width fields whose order is surface order; if a number is too long for its field all are parted by full stops."""
+    parts = [padded(x, n) for x, n in fields]
+    fits = F.lit(True)
+    for x, n in fields:
+        fits = fits & (x < 10**n)
+    return F.concat(F.lit(start), F.when(fits, F.concat(*parts)).otherwise(F.concat_ws(".", *parts)))
 
 
 def token_id(doc: Column, line: Column, word: Column) -> Column:
-    """Fixed-width id whose order is surface order."""
-    return F.concat(F.lit("doc:n"), padded(doc, 9), padded(line, 5), padded(word, 5))
+    return _minted("doc:n", ((doc, 9), (line, 5), (word, 5)))
 
 
 def line_id(doc: Column, line: Column) -> Column:
-    return F.concat(F.lit("doc:l"), padded(doc, 9), padded(line, 5))
+    return _minted("doc:l", ((doc, 9), (line, 5)))
 
 
 #: The id grammar, first match wins.
 ID_GRAMMAR = (
-    ("token", r"^doc:n\d{19}$"), ("line", r"^doc:l\d{14}$"), ("sentence", r"^doc:s:n\d{19}$"),
+    ("token", r"^doc:n(?:\d{19}|\d{9,}\.\d{5,}\.\d{5,})$"), ("line", r"^doc:l(?:\d{14}|\d{9,}\.\d{5,})$"), ("sentence", r"^doc:s:n\d{19}$"),
     ("group", r"^doc:g:n\d{19}\.\d+$"), ("book", r"^book:\S+$"), ("lemma", r"^lemma:\S.*$"),
 )
 CITABLE = ("token", "line", "book", "lemma")
@@ -88,10 +98,19 @@ def kind_of(ident: Column) -> Column:
     return kind
 
 
-def token_parts(ident: Column) -> tuple[Column, Column, Column]:
+def _parts(ident: Column, start: str, widths: tuple[int, ...]) -> list[Column]:
+    fixed, parted = ("^" + start + sep.join(rf"(\d{{{n}{more}}})" for n in widths) + "$" for sep, more in (("", ""), (r"\.", ",")))
+    return [F.coalesce(*(clean(F.regexp_extract(ident, p, k)) for p in (fixed, parted))).cast("long") for k in range(1, len(widths) + 1)]
+
+
+def token_parts(ident: Column) -> list[Column]:
     """Document, line and word of a token id; null for other ids."""
-    part = lambda k: clean(F.regexp_extract(ident, r"^doc:n(\d{9})(\d{5})(\d{5})$", k)).cast("long")
-    return part(1), part(2), part(3)
+    return _parts(ident, "doc:n", (9, 5, 5))
+
+
+def line_parts(ident: Column) -> list[Column]:
+    """Document and line of a line id; null for other ids."""
+    return _parts(ident, "doc:l", (9, 5))
 
 
 def labels(separator: str, *parts: Column) -> Column:
@@ -112,7 +131,8 @@ def extract_ids(text: Column, pattern: str) -> Column:
 
 def plain_numbers(text: Column) -> Column:
     """Thousands separators dropped and number words up to twenty as digits."""
-    out = F.regexp_replace(text, "(?<=\\d)[,\u202f\u00a0 ](?=\\d{3}\\b)", "")
+    three = "[0-9]{3}(?![0-9A-Za-z_])"
+    out = F.regexp_replace(text, f"([0-9])[, \u00a0\u202f](?={three})", "$1")
     for n, word in enumerate(NUMBER_WORDS):
         out = F.regexp_replace(out, rf"(?i)\b{word}\b", str(n))
     return out

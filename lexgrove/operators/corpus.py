@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text as T
-
-BUCKET = 4096  # neighbouring documents whose sizes are summed together
-
+from lexgrove.operators.graph import cut
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, source, line, ltxt), lines counted from 1, empty ones included."""
@@ -37,26 +35,41 @@ def with_sentences(tok: DataFrame) -> DataFrame:
     return tok.withColumn("sent", F.coalesce(F.sum(F.when(F.col("after").rlike("[.!?]"), 1).otherwise(0)).over(w), F.lit(0)).cast("long"))
 
 
-def document_offsets(docs: DataFrame) -> DataFrame:
-    """(doc_id, offset): tokens in all documents before this one by (source, doc_id).
+def documents_in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, offset, next_head): tokens in all documents before this one by (source, doc_id), and the id of the next token of the source after it.
 
-    Sums go up three levels - documents in a bucket of ids, buckets of a source, sources - so no
-    window spans more than a bucket or the bucket totals of one source.
+    Documents are dealt out in ranges of that order; a window runs inside each range, and one
+    over a row for each range carries on from range to range.
     """
-    n = docs.select("source", "doc_id", F.floor(F.col("doc_id") / BUCKET).alias("bucket"), F.size(_pieces(F.col("text"))).cast("long").alias("n")).groupBy("source", "bucket", "doc_id").agg(F.sum("n").alias("n"))
-    before = lambda part, order: F.coalesce(F.sum("n").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner = n.withColumn("in_bucket", before(("source", "bucket"), "doc_id"))
-    buckets = n.groupBy("source", "bucket").agg(F.sum("n").alias("n"))
-    in_source = buckets.withColumn("in_source", before(("source",), "bucket")).drop("n")
-    totals = buckets.groupBy("source").agg(F.sum("n").alias("n"))
-    ranked = totals.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("s"))  # a row for each book
-    books = ranked.select(F.explode(F.transform("s", lambda x, i: F.struct(x["source"].alias("source"), F.aggregate(F.slice("s", 1, i), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("base")))).alias("b")).select("b.*")
-    return inner.join(in_source, ["source", "bucket"]).join(F.broadcast(books), "source").select("doc_id", (F.col("base") + F.col("in_source") + F.col("in_bucket")).alias("offset"))
+    pieces = _pieces(F.col("text"))
+    head = F.when(F.size(pieces) > 0, T.token_id(F.col("doc_id"), F.get(pieces, F.lit(0))["line"], F.get(pieces, F.lit(0))["word"]))
+    own = docs.select("source", "doc_id", F.size(pieces).cast("long").alias("n"), head.alias("head"))
+    by_doc = own.groupBy("source", "doc_id").agg(F.sum("n").alias("n"), F.min("head").alias("head"))
+    start = F.when(F.col("head").isNotNull(), F.struct("source", "head"))
+    dealt = cut(by_doc.repartitionByRange("source", "doc_id").select("*", F.spark_partition_id().alias("part"), start.alias("start")))
+    up = Window.partitionBy("part").orderBy("source", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("part").orderBy(F.col("source").desc(), F.col("doc_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.select("source", "doc_id", "part", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("inner"), F.last("start", ignorenulls=True).over(down).alias("inner_next"))
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("n"), F.min("start").alias("start"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.last("start", ignorenulls=True).over(after).alias("later"))
+    following = F.coalesce("inner_next", "later")
+    return placed.join(parts, "part").select("doc_id", (F.col("base") + F.col("inner")).alias("offset"), F.when(following["source"] == F.col("source"), following["head"]).alias("next_head"))
+
+
+def with_order(tok: DataFrame, docs: DataFrame) -> DataFrame:
+    """Adds ord, the token's place in the whole corpus, from 1, by (source, doc_id, line, word), and, if tokens have ids, next_id: the following token of the same book, across documents."""
+    placed = tok.join(documents_in_order(docs), "doc_id").withColumn("ord", F.col("offset") + F.col("doc_ord"))
+    if "id" in tok.columns:
+        own = F.lead("id").over(Window.partitionBy("doc_id").orderBy("line", "word"))
+        placed = placed.withColumn("next_id", F.coalesce(own, F.col("next_head")))
+    return placed.drop("offset", "next_head")
 
 
 def with_ordinals(tok: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds ord: the token's place in the whole corpus, from 1, by (source, doc_id, line, word)."""
-    return tok.join(document_offsets(docs), "doc_id").withColumn("ord", F.col("offset") + F.col("doc_ord")).drop("offset")
+    """Adds ord alone."""
+    return tok.join(documents_in_order(docs).drop("next_head"), "doc_id").withColumn("ord", F.col("offset") + F.col("doc_ord")).drop("offset")
 
 
 def identified(tok: DataFrame) -> DataFrame:
@@ -64,18 +77,6 @@ def identified(tok: DataFrame) -> DataFrame:
     return tok.withColumns({"id": T.token_id(F.col("doc_id"), F.col("line"), F.col("word")), "key": T.search_key(F.col("surface")), "lemma": F.lower("surface")})
 
 
-def next_ids(tok: DataFrame) -> DataFrame:
-    """(id, next_id): the following token of the same book, across documents.
-
-    Inside a document by its own window; the last token of a document gets the first of the next
-    document that has one, from a window over documents, so no window holds a book's tokens.
-    """
-    t = tok.withColumn("own_next", F.lead("id").over(Window.partitionBy("doc_id").orderBy("line", "word")))
-    heads = tok.groupBy("source", "doc_id").agg(F.min("id").alias("head"))
-    after = heads.select("doc_id", F.lead("head").over(Window.partitionBy("source").orderBy("doc_id")).alias("next_head"))
-    return t.join(after, "doc_id").select("id", F.coalesce("own_next", "next_head").alias("next_id"))
-
-
 def trigrams(tok: DataFrame, unit: Column | None = None) -> DataFrame:
     """(doc_id, source, sent, line, word, l1, l2, l3): runs of three tokens in a sentence."""
     w = Window.partitionBy("doc_id", "sent").orderBy("line", "word")

@@ -10,22 +10,32 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame in the session's shared checkpoint folder, so that a loop's plan doesn't grow."""
-    sc = df.sparkSession.sparkContext
+    """The frame in the session's shared checkpoint folder, so that a loop's plan doesn't grow; a session on one machine without one gets a temporary folder."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
+class CycleError(ValueError):
+    """A node is its own ancestor."""
+
+
 def closure(nodes: DataFrame, ident: str = "id", parent: str = "parent") -> DataFrame:
     """(node, anc, dist): all proper ancestors by path doubling: after k rounds all of distance up to 2^k are known.
 
     A round joins only ancestors at the largest distance so far with what is known about them, so
-    a tree of depth d takes ceil(log2 d) rounds and no row is found twice.
+    a tree of depth d takes ceil(log2 d) rounds and no row is found twice. A node that meets
+    itself is no tree's and raises a CycleError.
     """
     known = cut(nodes.where(F.col(parent).isNotNull()).select(F.col(ident).alias("node"), F.col(parent).alias("anc"), F.lit(1).cast("long").alias("dist")))
-    reach = 1
+    more, reach = known, 1
     while True:
+        if own := more.where(F.col("node") == F.col("anc")).select("node").first():
+            raise CycleError(f"{own[0]} is its own ancestor")
         tip = known.where(F.col("dist") == reach).select("node", F.col("anc").alias("mid"), F.col("dist").alias("d1"))
         up = known.select(F.col("node").alias("mid"), "anc", F.col("dist").alias("d2"))
         more = cut(tip.join(up, "mid").select("node", "anc", (F.col("d1") + F.col("d2")).alias("dist")))
@@ -58,20 +68,27 @@ def preorder(nodes: DataFrame, clo: DataFrame, ident: str = "id", child_ord: str
     return by.select(F.col("node").alias("id"), (F.size("s") - 1).cast("long").alias("depth"), F.array_join(F.transform("s", lambda x: x["o"]), ".").alias("path"))
 
 
-def chains(starts: DataFrame, edges: DataFrame, cap: int = 50) -> DataFrame:
+def chains(starts: DataFrame, edges: DataFrame, cap: int = 50, hops: int = 5) -> DataFrame:
     """(start, step, id): follows a functional graph (src, dst) from many starts at once.
 
-    A chain ends at a null target, at a node it has been to, or after cap steps.
+    A chain ends at a null target, at a node it has been to, or after cap steps. A row is a chain
+    with its path; a round follows `hops` edges before chains that go on are parted from the rest.
     """
-    first = edges.where("dst IS NOT NULL")
-    front = cut(starts.select("start", F.lit(0).cast("long").alias("step"), F.col("start").alias("id"), F.array("start").alias("path")))
-    out = front
-    for _ in range(cap):
-        front = cut(front.join(first, F.col("id") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select("start", (F.col("step") + 1).alias("step"), F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path")))
-        if front.isEmpty():
+    first = cut(edges.where("dst IS NOT NULL").select("src", "dst"))
+    going = starts.select("start", F.array("start").alias("path"), F.lit(False).alias("done"))
+    ended = None
+    for at in range(0, cap, hops):
+        for _ in range(min(hops, cap - at)):
+            j = going.withColumn("src", F.when(~F.col("done"), F.element_at("path", -1))).join(first, "src", "left")
+            on = F.col("dst").isNotNull() & ~F.array_contains("path", F.col("dst"))
+            going = j.select("start", F.when(on, F.array_append("path", F.col("dst"))).otherwise(F.col("path")).alias("path"), (~on).alias("done"))
+        going = cut(going)
+        over = going.where("done")
+        ended, going = over if ended is None else ended.unionByName(over), going.where("NOT done")
+        if going.isEmpty():
             break
-        out = out.unionByName(front)
-    return out.select("start", "step", "id")
+    paths = going if ended is None else ended.unionByName(going)
+    return paths.select("start", F.posexplode("path").alias("step", "id")).withColumn("step", F.col("step").cast("long"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -33,89 +33,128 @@ def alias_collisions(aliases: DataFrame, allowed: DataFrame) -> DataFrame:
     return by.join(allowed.select(norm_alias(F.col("alias")).alias("alias")), "alias", "left_anti").select("alias", F.array_join("c", "|").alias("codes"))
 
 
-_RANGE = r"^(\d+)[:.](\d+)([abc])?(?:-(?:(\d+)[:.])?(\d+)([abc])?)?$"
-_NUMBER = r"^(\d+)([abc])?(?:-(\d+)([abc])?)?$"
-_WORDS = r"^(\S+) (\d+):(\d+)!(\d+)(?:-(\d+))?$"
-_HEAD = r"^(\S*[A-Za-z]\d+|(?:[1-4]\s*)?[^\d]+?)\s*(?:(?<=\s)(\d.*))?$"
+#: What an item of a reference may look like, numbers written 0: where in its numbers stand the
+#: first and last chapter, verse and word. Of items with bare numbers the context tells what they count.
+SHAPES = {
+    "0:0": (1, 2, 1, 2, None, None), "0:0-0": (1, 2, 1, 3, None, None), "0:0-0:0": (1, 2, 3, 4, None, None),
+    "0:0!0": (1, 2, 1, 2, 3, 3), "0:0!0-0": (1, 2, 1, 2, 3, 4),
+}
+BARE = {"0": (1, 1), "0-0": (1, 2)}
+SPAN = ("c1", "v1", "c2", "v2", "w1", "w2")
+
+
+def _lexed(item: Column) -> tuple[Column, Column, Column]:
+    """An item's numbers, its shape without half-verse letters, and whether it has such letters."""
+    drawn = F.regexp_replace(item, "[0-9]+", "0")
+    plain = F.regexp_replace(drawn, "(?<=0)[abc](?![:.])", "")
+    return F.regexp_extract_all(item, F.lit("[0-9]+"), F.lit(0)).cast("array<bigint>"), F.translate(plain, ".", ":"), drawn != plain
+
+
+def _place(shape: Column, numbers: Column, k: int) -> Column:
+    """Part k of the span of an item with a chapter and verse."""
+    at = F.create_map(*(F.lit(x) for name, parts in SHAPES.items() if parts[k] for x in (name, parts[k])))
+    return F.try_element_at(numbers, F.try_element_at(at, shape))
 
 
 def parse_refs(refs: DataFrame, ident: str, text: str, books: DataFrame, aliases: DataFrame) -> DataFrame:
     """(ident, n, book, c1, v1, c2, v2, w1, w2, partial, error): the spans of each reference, in order, or one row with an error.
 
-    Accepts `B c:v-v`, `B c:v-c:v`, `B c`, `B c-c`, lists by , (same chapter) and ; (new chapter), a
-    full stop for the colon, half verses (widened, partial), books of one chapter, bare books,
-    `B c:v!w-w` and token ids. books: (code, single); aliases: (code, alias). An error in one item
-    refuses the whole reference; nothing is raised.
+    A reference is an id of a token, a line or a book, or a book's name alone, or the name, a
+    space and items parted by , and ;. An item is numbers parted by : or . (chapter from verse),
+    - (first from last) and ! (verse from word), with a, b or c behind a verse for a half of it,
+    which is widened and marked partial. A number by itself counts chapters; it counts verses
+    behind a , that follows a chapter, and in books of one chapter. books: (code, single);
+    aliases: (code, alias). An error in one item refuses the whole reference; nothing is raised.
     """
     s = F.trim(F.regexp_replace(F.col(text), r"\s+", " "))
-    d = refs.select(F.col(ident).alias("_id"), s.alias("s"))
+    d = refs.select(F.col(ident).alias("_id"), s.alias("s")).withColumn("kind", T.kind_of(F.col("s")))
     doc, line, word = T.token_parts(F.col("s"))
-    words = lambda k: T.clean(F.regexp_extract("s", _WORDS, k))
-    head = lambda k: T.clean(F.trim(F.regexp_extract("s", _HEAD, k)))
-    d = d.withColumns({"by_id": doc.isNotNull(), "book_text": F.coalesce(words(1), head(1)), "loc": F.when(words(1).isNull(), F.translate(head(2), "‐‑‒–—− ", "------")), "id_c": doc, "id_v": line, "id_w": word, "kind": T.kind_of(F.col("s"))})
-    named = lookup(d.where(~F.col("by_id") & F.col("book_text").isNotNull()).select("book_text").distinct(), "book_text", aliases)
-    d = d.join(named, "book_text", "left").join(books.select(F.col("code").alias("codes"), "single"), "codes", "left")
-    num = lambda x: x.cast("long")
+    l_doc, l_line = T.line_parts(F.col("s"))
+    named = F.regexp_extract("s", r"^(.+?) ([0-9].*)$", 1)
+    book_text = F.when(F.col("kind") == "book", F.substring_index("s", ":", -1)).when(F.col("kind").isNull() & (F.col("s") != ""), F.coalesce(T.clean(named), F.col("s")))
+    loc = F.when(F.col("kind").isNull() & (named != ""), F.regexp_replace(F.expr("substring(s, length(_named) + 2)"), "[\u2010-\u2014\u2212]", "-"))
+    d = d.withColumn("_named", named).withColumns({"book_text": book_text, "loc": F.regexp_replace(loc, " ", ""), "by_id": F.col("kind").isin("token", "line"), "id_c": F.coalesce(doc, l_doc), "id_v": F.coalesce(line, l_line), "id_w": word})
+    d = d.withColumn("by_id", F.coalesce("by_id", F.lit(False)))
+    found = lookup(d.where("book_text IS NOT NULL").select("book_text").distinct(), "book_text", aliases)
+    d = d.join(found, "book_text", "left").join(books.select(F.col("code").alias("codes"), F.col("single").alias("_single")), "codes", "left").withColumn("single", F.coalesce("_single", F.lit(False)))
     early = (
         F.when(F.coalesce(F.col("s"), F.lit("")) == "", "empty reference")
-        .when(F.col("kind").isNotNull() & ~F.col("by_id"), F.concat(F.lit("a "), F.col("kind"), F.lit(" id is no passage")))
-        .when(~F.col("by_id") & F.col("book_text").isNull(), "cannot read")
+        .when(F.col("kind").isNotNull() & ~F.col("kind").isin("token", "line", "book"), F.concat(F.lit("a "), F.col("kind"), F.lit(" id is no passage")))
         .when(~F.col("by_id") & (F.col("status") == "ambiguous"), "ambiguous book")
         .when(~F.col("by_id") & (F.coalesce("status", F.lit("unknown")) == "unknown"), "unknown book")
-        .when(F.col("loc").rlike(r"\dff?\.?(?:[,;]|$)"), "open-ended range")
     )
     d = d.withColumn("early", early)
-    items = F.when(F.col("by_id") | F.col("early").isNotNull() | F.col("loc").isNull(), F.array(F.lit(""))).otherwise(F.split("loc", "(?=[,;])"))
-    rows = d.select("*", F.posexplode(items).alias("n", "item"))
-    sep = F.when(F.col("item").rlike("^,"), ",").otherwise(";")
-    piece = F.regexp_replace("item", "^[,;]", "")
-    rows = rows.withColumns({"sep": sep, "piece": piece})
-    cv, n_ = F.col("piece").rlike(_RANGE), F.col("piece").rlike(_NUMBER)
-    a, b = (lambda k: T.clean(F.regexp_extract("piece", _RANGE, k))), (lambda k: T.clean(F.regexp_extract("piece", _NUMBER, k)))
-    rows = rows.withColumns({"is_cv": cv, "is_n": n_, "n1": num(b(1)), "n2": num(F.coalesce(b(3), b(1))), "half": F.coalesce(a(3), a(6), b(2), b(4)).isNotNull()})
-    sets = F.when(F.col("is_cv"), num(F.coalesce(a(4), a(1)))).when(F.col("is_n") & F.col("single"), F.lit(1).cast("long")).when(F.col("is_n") & (F.col("sep") == ";"), F.col("n2"))
+    items = F.when(F.col("early").isNotNull() | F.col("loc").isNull(), F.array(F.lit(""))).otherwise(F.split("loc", "(?=[,;])"))
+    rows = d.select("*", F.posexplode(items).alias("n", "item")).withColumns({"after_comma": F.col("item").startswith(","), "piece": F.regexp_replace("item", "^[,;]", "")})
+    numbers, shape, half = _lexed(F.col("piece"))
+    rows = rows.withColumns({"numbers": numbers, "shape": shape, "half": half})
+    whole, bare = F.col("shape").isin(*SHAPES), F.col("shape").isin(*BARE)
+    low = F.when(bare, F.get("numbers", F.lit(0)))
+    high = F.when(bare, F.get("numbers", F.size("numbers") - 1))
+    rows = rows.withColumns({"whole": whole, "bare": bare, "low": low, "high": high, **{f"i_{c}": F.when(whole, _place(F.col("shape"), F.col("numbers"), k)) for k, c in enumerate(SPAN)}})
+    # the chapter that an item leaves to a bare number behind a comma
+    leaves = F.when(F.col("whole"), F.col("i_c2")).when(F.col("bare") & F.col("single"), F.lit(1).cast("long")).when(F.col("bare") & ~F.col("after_comma"), F.col("high"))
     before = Window.partitionBy("_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("chapter", F.last(sets, ignorenulls=True).over(before))
-    verse = F.col("is_n") & (F.col("single") | ((F.col("sep") == ",") & F.col("chapter").isNotNull()))
-    ch = F.when(F.col("single"), F.lit(1).cast("long")).otherwise(F.col("chapter"))
-    word_c, word_v, word_w1, word_w2 = num(words(2)), num(words(3)), num(words(4)), num(F.coalesce(words(5), words(4)))
+    rows = rows.withColumn("chapter", F.when(F.col("single"), F.lit(1).cast("long")).otherwise(F.last(leaves, ignorenulls=True).over(before)))
+    verses = F.col("bare") & (F.col("single") | (F.col("after_comma") & F.col("chapter").isNotNull()))
+    counted = lambda c, number: F.when(verses, F.col("chapter")).when(F.col("bare"), number) if c else F.when(verses, number)
     rows = rows.withColumns({
-        "c1": F.coalesce("id_c", word_c, F.when(F.col("is_cv"), num(a(1))).when(verse, ch).when(F.col("is_n"), F.col("n1"))),
-        "v1": F.coalesce("id_v", word_v, F.when(F.col("is_cv"), num(a(2))).when(verse, F.col("n1"))),
-        "c2": F.coalesce("id_c", word_c, F.when(F.col("is_cv"), num(F.coalesce(a(4), a(1)))).when(verse, ch).when(F.col("is_n"), F.col("n2"))),
-        "v2": F.coalesce("id_v", word_v, F.when(F.col("is_cv"), num(F.coalesce(a(5), a(2)))).when(verse, F.col("n2"))),
-        "w1": F.coalesce("id_w", word_w1), "w2": F.coalesce("id_w", word_w2),
+        "c1": F.coalesce("id_c", "i_c1", counted(True, F.col("low"))), "v1": F.coalesce("id_v", "i_v1", counted(False, F.col("low"))),
+        "c2": F.coalesce("id_c", "i_c2", counted(True, F.col("high"))), "v2": F.coalesce("id_v", "i_v2", counted(False, F.col("high"))),
+        "w1": F.coalesce("id_w", "i_w1"), "w2": F.coalesce("id_w", "i_w2"),
     })
-    start = F.struct("c1", F.coalesce("v1", F.lit(0)), F.coalesce("w1", F.lit(0)))
-    end = F.struct("c2", F.coalesce("v2", F.lit(0)), F.coalesce("w2", F.lit(0)))
-    located = ~F.col("by_id") & F.col("loc").isNotNull()
+    zero = F.lit(0).cast("long")
+    edge = lambda *parts: F.struct(*(F.coalesce(F.col(p), zero).alias(p[0]) for p in parts))
+    located = F.col("loc").isNotNull()
     late = (
-        F.when(located & (F.col("piece") == ""), "empty item")
-        .when(located & ~F.col("is_cv") & ~F.col("is_n"), "cannot read")
-        .when(F.col("is_n") & F.col("half") & F.col("v1").isNull(), "half verse marks no chapter")
-        .when(end < start, "backwards range")
-        .when(~F.col("by_id") & (F.least("c1", "c2", "v1", "v2") == 0), "count from 1")
+        F.when(F.col("piece").rlike(r"[0-9]ff?\.?$"), "open-ended range")
+        .when(located & (F.col("piece") == ""), "empty item")
+        .when(located & ~F.col("whole") & ~F.col("bare"), "cannot read")
+        .when(F.col("bare") & F.col("half") & F.col("v1").isNull(), "half verse marks no chapter")
+        .when(edge("c2", "v2", "w2") < edge("c1", "v1", "w1"), "backwards range")
+        .when(located & F.array_contains("numbers", zero), "count from 1")
     )
     rows = rows.withColumn("own_error", F.coalesce("early", late))
-    whole = Window.partitionBy("_id")
-    rows = rows.withColumn("error", F.min(F.when(F.col("own_error").isNotNull(), F.struct("n", "own_error"))).over(whole)["own_error"])
-    bad = F.col("error").isNotNull()
-    keep = lambda c: F.when(~bad, F.col(c)).alias(c)
-    out = rows.where(~bad | (F.col("n") == 0))
-    return out.select(F.col("_id").alias(ident), (F.col("n") + 1).cast("long").alias("n"), F.when(~bad & ~F.col("by_id"), F.col("codes")).alias("book"), *map(keep, ("c1", "v1", "c2", "v2", "w1", "w2")), (F.col("half") & ~bad).alias("partial"), "error")
+    rows = rows.withColumn("error", F.min(F.when(F.col("own_error").isNotNull(), F.struct("n", "own_error"))).over(Window.partitionBy("_id"))["own_error"])
+    good = F.col("error").isNull()
+    kept = rows.where(good | (F.col("n") == 0))
+    return kept.select(F.col("_id").alias(ident), (F.col("n") + 1).cast("long").alias("n"), F.when(good & ~F.col("by_id"), F.col("codes")).alias("book"), *(F.when(good, F.col(c)).alias(c) for c in SPAN), (F.col("half") & good).alias("partial"), "error")
+
+
+def _written(book: Column, whole: Column, dash: str, chapterless: Column, words: bool) -> Column:
+    """A span as text: `whole` if it is all of a book, else the book and its ends, equal parts written once."""
+    c1, v1, c2, v2, w1, w2 = (F.col(c).cast("string") for c in SPAN)
+    one = F.when(F.col("c1") == F.col("c2"), "").otherwise(F.concat(F.lit(dash), c2))
+    start = F.concat(F.when(chapterless, "").otherwise(F.concat(c1, F.lit(":"))), v1)
+    end = F.when((F.col("c1") == F.col("c2")) & (F.col("v1") == F.col("v2")), "").when(F.col("c1") == F.col("c2"), F.concat(F.lit(dash), v2)).otherwise(F.concat(F.lit(dash), c2, F.lit(":"), v2))
+    place = F.when(F.col("v1").isNull(), F.concat(c1, one)).otherwise(F.concat(start, end))
+    if words:
+        place = F.concat(place, F.when(F.col("w1").isNull(), "").otherwise(F.concat(F.lit("!"), w1, F.when(F.col("w1") == F.col("w2"), "").otherwise(F.concat(F.lit("-"), w2)))))
+    return F.when(F.col("c1").isNull(), whole).otherwise(F.concat(book, F.lit(" "), place))
 
 
 def canonical() -> Column:
-    """A span as text, equal ends written once."""
-    c1, v1, c2, v2, w1, w2 = (F.col(c).cast("string") for c in ("c1", "v1", "c2", "v2", "w1", "w2"))
-    same = F.col("c1") == F.col("c2")
-    tail = (
-        F.when(F.col("c1").isNull(), "")
-        .when(F.col("v1").isNull(), F.concat(F.lit(" "), c1, F.when(same, "").otherwise(F.concat(F.lit("-"), c2))))
-        .otherwise(F.concat(F.lit(" "), c1, F.lit(":"), v1, F.when(same & (F.col("v1") == F.col("v2")), "").when(same, F.concat(F.lit("-"), v2)).otherwise(F.concat(F.lit("-"), c2, F.lit(":"), v2))))
-    )
-    words = F.when(F.col("w1").isNull(), "").when(F.col("w1") == F.col("w2"), F.concat(F.lit("!"), w1)).otherwise(F.concat(F.lit("!"), w1, F.lit("-"), w2))
-    return F.concat(F.col("book"), tail, words)
+    """A span as text by its book's code, never shortened; null for spans of ids, which name no book."""
+    return _written(F.col("book"), F.col("book"), "-", F.lit(False), True)
+
+
+def displayed(spans: DataFrame, names: DataFrame) -> DataFrame:
+    """spans with `display`: a book's name if all of it is meant, else its short name, an en dash between ends, no chapter in books of one; words aren't shown.
+
+    names: (code, name, short, single).
+    """
+    j = spans.join(names.select(F.col("code").alias("book"), "name", "short", "single"), "book", "left")
+    alone = F.col("single") & (F.col("c1") == 1) & (F.col("c2") == 1)
+    return j.withColumn("display", _written(F.col("short"), F.col("name"), "–", F.coalesce(alone, F.lit(False)), False)).drop("name", "short", "single")
+
+
+def _opened(spans: DataFrame, chapters: DataFrame) -> DataFrame:
+    """A row for each chapter (doc_id) that spans of chapters or verses touch; ranges find theirs among the book's own chapters."""
+    placed = spans.where("error IS NULL AND c1 IS NOT NULL")
+    one = placed.where("c1 = c2").withColumn("_doc", F.col("c1"))
+    of = chapters.select(F.col("source").alias("book"), F.col("doc_id").alias("_doc"))
+    many = placed.where("c1 < c2").join(of, "book").where(F.col("_doc").between(F.col("c1"), F.col("c2")))
+    return one.unionByName(many)
 
 
 def resolve(spans: DataFrame, ident: str, tok: DataFrame) -> DataFrame:
@@ -123,38 +162,51 @@ def resolve(spans: DataFrame, ident: str, tok: DataFrame) -> DataFrame:
 
     tok: (id, source, doc_id, line, word); a chapter is a document, a verse a line with tokens. A
     range needs both its ends, a chapter range every chapter, a word range both words; gaps in
-    between are tolerated. Status is found, absent or malformed. Spans are opened to chapters, so
-    the join to lines is on (book, chapter) and no range join spans a book.
+    between are tolerated. Status is found, absent or malformed. Spans are joined to lines by
+    chapter, and whole books to one row a book, so no join lists a book's lines for a reference.
     """
     verses = tok.groupBy("source", "doc_id", "line").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last"))
     good = spans.where("error IS NULL")
-    opened = good.where("c1 IS NOT NULL AND w1 IS NULL").select("*", F.explode(F.sequence("c1", "c2")).alias("doc_id"))
-    place = lambda c, v: F.struct(F.col(c), F.col(v))
     at = F.struct("doc_id", "line")
-    hits = opened.join(verses, (F.col("book") == F.col("source")) & (opened.doc_id == verses.doc_id)).drop(opened.doc_id).where(F.col("v1").isNull() | ((at >= place("c1", "v1")) & (at <= place("c2", "v2"))))
-    books = good.where("c1 IS NULL").join(verses, F.col("book") == F.col("source"))
-    both = hits.select(ident, "n_span", "c1", "v1", "c2", "v2", "doc_id", "line", "size", "first", "last").unionByName(books.select(ident, "n_span", "c1", "v1", "c2", "v2", "doc_id", "line", "size", "first", "last"))
+    wanted = F.col("v1").isNull() | ((at >= F.struct("c1", "v1")) & (at <= F.struct("c2", "v2")))
+    opened = _opened(good.where("w1 IS NULL"), verses.select("source", "doc_id").distinct())
+    hits = opened.join(verses, F.col("_doc") == F.col("doc_id")).where((F.col("book").isNull() | (F.col("book") == F.col("source"))) & wanted)
     starts = F.max((F.col("doc_id") == F.col("c1")) & (F.col("line") == F.col("v1")))
     ends = F.max((F.col("doc_id") == F.col("c2")) & (F.col("line") == F.col("v2")))
-    ok = F.when(F.first("c1").isNull(), True).when(F.first("v1").isNull(), F.count_distinct("doc_id") == F.first("c2") - F.first("c1") + 1).otherwise(starts & ends)
-    by_span = both.groupBy(ident, "n_span").agg(ok.alias("ok"), F.sum("size").alias("size"), F.count("*").alias("lines"), F.min("first").alias("first"), F.max("last").alias("last"))
+    ok = F.when(F.first("v1").isNull(), F.count_distinct("doc_id") == F.first("c2") - F.first("c1") + 1).otherwise(starts & ends)
+    parts = [F.sum("size").alias("size"), F.count("*").alias("lines"), F.min("first").alias("first"), F.max("last").alias("last")]
+    by_span = hits.groupBy(ident, "n_span").agg(ok.alias("ok"), *parts)
+    by_book = verses.groupBy(F.col("source").alias("book")).agg(*parts)
+    whole = good.where("c1 IS NULL").join(by_book, "book").select(ident, "n_span", F.lit(True).alias("ok"), "size", "lines", "first", "last")
     word = good.where("w1 IS NOT NULL").join(tok, (F.col("c1") == tok.doc_id) & (F.col("v1") == tok.line) & (tok.word.between(F.col("w1"), F.col("w2"))) & (F.col("book").isNull() | (F.col("book") == tok.source)))
     has = lambda w: F.max(F.col("word") == F.col(w))
     by_word = word.groupBy(ident, "n_span").agg((has("w1") & has("w2")).alias("ok"), F.count("*").alias("size"), F.lit(1).cast("long").alias("lines"), F.min("id").alias("first"), F.max("id").alias("last"))
-    found = spans.select(ident, "n_span", "error").join(by_span.unionByName(by_word), [ident, "n_span"], "left")
+    found = spans.select(ident, "n_span", "error").join(by_span.unionByName(by_word).unionByName(whole), [ident, "n_span"], "left")
     all_ok = F.bool_and(F.coalesce("ok", F.lit(False)))
-    out = found.groupBy(ident).agg(F.when(F.max("error").isNotNull(), "malformed").when(all_ok, "found").otherwise("absent").alias("status"), *(F.sum(F.when(F.col("ok"), F.col(c))).alias(a) for c, a in (("size", "n_tokens"), ("lines", "n_lines"))), F.min(F.when(F.col("ok"), F.col("first"))).alias("first_token"), F.max(F.when(F.col("ok"), F.col("last"))).alias("last_token"))
-    return out
+    return found.groupBy(ident).agg(F.when(F.max("error").isNotNull(), "malformed").when(all_ok, "found").otherwise("absent").alias("status"), *(F.sum(F.when(F.col("ok"), F.col(c))).alias(a) for c, a in (("size", "n_tokens"), ("lines", "n_lines"))), F.min(F.when(F.col("ok"), F.col("first"))).alias("first_token"), F.max(F.when(F.col("ok"), F.col("last"))).alias("last_token"))
+
+
+def resolve_refs(refs: DataFrame, ident: str, text: str, books: DataFrame, aliases: DataFrame, tok: DataFrame) -> DataFrame:
+    """What resolve gives, from the texts of references; ids of lemmas are found if they occur, with their tokens counted and no passage."""
+    s = F.trim(F.col(text))
+    is_lemma = F.coalesce(T.kind_of(s) == "lemma", F.lit(False))
+    passages = resolve(parse_refs(refs.where(~is_lemma), ident, text, books, aliases).withColumn("n_span", F.col("n")), ident, tok)
+    counts = tok.groupBy(F.concat(F.lit("lemma:"), "lemma").alias("_lemma")).agg(F.count("*").alias("n_tokens"))
+    none = F.lit(None)
+    lemmas = refs.where(is_lemma).select(ident, s.alias("_lemma")).join(counts, "_lemma", "left")
+    return passages.unionByName(lemmas.select(ident, F.when(F.col("n_tokens").isNull(), "absent").otherwise("found").alias("status"), "n_tokens", none.cast("long").alias("n_lines"), none.cast("string").alias("first_token"), none.cast("string").alias("last_token")))
 
 
 def interlinear(spans: DataFrame, ident: str, tok: DataFrame) -> DataFrame:
-    """(ident, tok columns): the tokens of the lines, or words, that each span names."""
-    opened = spans.where("error IS NULL AND c1 IS NOT NULL").select(ident, "book", "c1", "v1", "c2", "v2", "w1", "w2", F.explode(F.sequence("c1", "c2")).alias("_doc"))
+    """(ident, tok columns): the tokens of the books, lines or words that each span names, each once for a reference."""
+    opened = _opened(spans, tok.select("source", "doc_id").distinct())
     at = F.struct("doc_id", "line")
     hit = F.col("v1").isNull() | ((at >= F.struct("c1", "v1")) & (at <= F.struct("c2", "v2")))
     word = F.col("w1").isNull() | F.col("word").between(F.col("w1"), F.col("w2"))
     same = (F.col("_doc") == F.col("doc_id")) & (F.col("book").isNull() | (F.col("book") == F.col("source")))
-    return opened.join(tok, same).where(hit & word).select(ident, *tok.columns).distinct()
+    placed = opened.join(tok, same).where(hit & word).select(ident, *tok.columns)
+    whole = spans.where("error IS NULL AND c1 IS NULL").select(ident, F.col("book").alias("source")).join(tok, "source").select(ident, *tok.columns)
+    return placed.unionByName(whole).distinct()
 
 
 def cells(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import text as T
 from lexgrove.operators.audit import union_all
+from lexgrove.operators.graph import cut
 
 TIERS = ("data", "asserted", "computed")
 SHOWN = 20
@@ -140,7 +141,7 @@ def report(found: Iterable[DataFrame]) -> DataFrame:
     Counts combine before the shuffle; examples come from a ranked window whose filter keeps
     SHOWN rows of each task, so a rule that fires on most rows gathers nothing large.
     """
-    all_ = union_all(list(found))
+    all_ = cut(union_all(list(found)))  # read for the counts and for the examples
     w = Window.partitionBy("tbl", "rule").orderBy("id")
     few = all_.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SHOWN).groupBy("tbl", "rule").agg(F.array_join(F.sort_array(F.collect_list("id")), " ").alias("examples"))
     return all_.groupBy("tbl", "rule").agg(F.count("*").alias("n")).join(few, ["tbl", "rule"])

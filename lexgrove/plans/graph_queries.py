@@ -90,12 +90,12 @@ def functional(spark, sf):
 
 
 @register("g2_chains", "WITH RECURSIVE " + FUNCTION + """,
-w(start, step, id, path) AS (SELECT src, 0, src, [src] FROM f WHERE src % 7 = 3
+w(start, step, id, path) AS (SELECT src, 0, src, [src] FROM f
   UNION ALL SELECT w.start, w.step + 1, f.dst, list_append(w.path, f.dst) FROM w JOIN f ON f.src = w.id WHERE w.step < 50 AND NOT list_contains(w.path, f.dst))
 SELECT start, step::BIGINT AS step, id FROM w""")
 def g2(spark, sf):
     f = functional(spark, sf)
-    return G.chains(f.where("src % 7 = 3").select(F.col("src").alias("start")), f)
+    return G.chains(f.select(F.col("src").alias("start")), f)
 
 
 @register("q3_referent_chain", "WITH RECURSIVE " + FUNCTION + """,
@@ -260,7 +260,7 @@ def q4(spark, sf):
 
 @register("s2_dom_forest")
 def s2(spark, sf):
-    """Element trees of the pages; tests hold them against a recursive walk."""
+    """Element trees of the pages; a test holds them against one page worked out by hand."""
     return dom_forest(table(spark, sf, "pages"))
 
 

@@ -42,7 +42,7 @@ def f9b(spark, sf):
 
 
 def references(spark, sf):
-    """Four shapes of reference to documents and lines, by the id's remainder by 4."""
+    """Four shapes of reference to documents and lines, by the id's remainder by 4; line ids, ranges of documents and whole books besides."""
     d, i = docs(spark, sf).select("doc_id", "source"), F.col("doc_id")
     k = i % 4
     s = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
@@ -52,7 +52,15 @@ def references(spark, sf):
         .when(k == 2, s(F.col("source"), " ", i, ".2a, 4; ", i, ":1"))
         .otherwise(s(F.col("source"), " ", i, ":", 2 + i % 3, "–1"))
     )
-    return d.select(i.alias("ref_id"), text.alias("ref"))
+    own = d.select(i.alias("ref_id"), text.alias("ref"))
+    other = lambda where, n, x: d.where(where).select((-4 * i - n).alias("ref_id"), x.alias("ref"))
+    books = d.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    return own.union(other("doc_id % 10 = 0", 1, T.line_id(i, F.lit(1)))).union(other("doc_id % 10 = 5", 2, s(F.col("source"), " ", i, "-", i + 1))).union(books.select((-4 * i - 3).alias("ref_id"), F.upper("source").alias("ref")))
+
+
+def lemma_references(spark, sf):
+    i = F.col("doc_id")
+    return docs(spark, sf).where("doc_id % 10 = 1").select((-4 * i - 4).alias("ref_id"), F.when(i % 20 == 1, "lemma:the").otherwise("lemma:zzzz").alias("ref"))
 
 
 def book_table(spark, sf):
@@ -65,7 +73,15 @@ SELECT doc_id AS ref_id, 1 AS n, source AS book, doc_id AS c1, 1 AS v1, doc_id A
 UNION ALL SELECT doc_id, 1, source, doc_id, NULL, doc_id, NULL, false, NULL FROM documents WHERE doc_id % 4 = 1
 UNION ALL SELECT doc_id, unnest([1, 2, 3]), source, doc_id, unnest([2, 4, 1]), doc_id, unnest([2, 4, 1]), unnest([true, false, false]), NULL FROM documents WHERE doc_id % 4 = 2
 UNION ALL SELECT doc_id, 1, NULL, NULL, NULL, NULL, NULL, false, 'backwards range' FROM documents WHERE doc_id % 4 = 3
-UNION ALL SELECT doc_id, 1, NULL, NULL, NULL, NULL, NULL, false, 'count from 1' FROM documents WHERE doc_id = 0)"""
+UNION ALL SELECT doc_id, 1, NULL, NULL, NULL, NULL, NULL, false, 'count from 1' FROM documents WHERE doc_id = 0
+UNION ALL SELECT -4 * doc_id - 1, 1, NULL, doc_id, 1, doc_id, 1, false, NULL FROM documents WHERE doc_id % 10 = 0
+UNION ALL SELECT -4 * doc_id - 2, 1, source, doc_id, NULL, doc_id + 1, NULL, false, NULL FROM documents WHERE doc_id % 10 = 5
+UNION ALL SELECT -4 * min(doc_id) - 3, 1, source, NULL, NULL, NULL, NULL, false, NULL FROM documents GROUP BY source)"""
+#: spans beside the rows of a table x that they cover: one document, a range of them, a whole book.
+COVERS = """(SELECT s.ref_id, s.n AS k, s.c1, s.v1, s.c2, s.v2, x.* FROM spans s JOIN {t} x ON x.doc_id = s.c1 WHERE s.c1 = s.c2 AND (s.book IS NULL OR x.source = s.book) AND (s.v1 IS NULL OR x.line BETWEEN s.v1 AND s.v2)
+UNION ALL SELECT s.ref_id, s.n, s.c1, s.v1, s.c2, s.v2, x.* FROM spans s JOIN {t} x ON x.source = s.book AND x.doc_id BETWEEN s.c1 AND s.c2 WHERE s.c1 < s.c2
+UNION ALL SELECT s.ref_id, s.n, s.c1, s.v1, s.c2, s.v2, x.* FROM spans s JOIN {t} x ON x.source = s.book WHERE s.c1 IS NULL)"""
+CANONICAL = "CASE WHEN c1 IS NULL THEN book ELSE {book} || ' ' || c1 || CASE WHEN v1 IS NULL THEN CASE WHEN c1 = c2 THEN '' ELSE '{dash}' || c2 END WHEN v1 = v2 THEN ':' || v1 ELSE ':' || v1 || '{dash}' || v2 END END"
 
 
 def spans(spark, sf):
@@ -77,41 +93,50 @@ def f10(spark, sf):
     return spans(spark, sf).drop("w1", "w2")
 
 
-@register("f11_canonical", f"WITH {SPANS} SELECT ref_id, n::BIGINT AS n, book || ' ' || c1 || CASE WHEN v1 IS NULL THEN '' WHEN v1 = v2 THEN ':' || v1 ELSE ':' || v1 || '-' || v2 END AS canonical FROM spans WHERE error IS NULL")
+@register("f11_canonical", f"WITH {SPANS} SELECT ref_id, n::BIGINT AS n, {CANONICAL.format(book='book', dash='-')} AS canonical FROM spans WHERE error IS NULL")
 def f11(spark, sf):
     return spans(spark, sf).where("error IS NULL").select("ref_id", "n", P.canonical().alias("canonical"))
 
 
+@register("f11_display", f"WITH {SPANS} SELECT ref_id, n::BIGINT AS n, CASE WHEN c1 IS NULL THEN 'The book ' || book ELSE {CANONICAL.format(book='upper(book)', dash='–')} END AS display FROM spans WHERE error IS NULL AND book IS NOT NULL")
+def f11b(spark, sf):
+    """Spans in their display form; books here have names made from their sources."""
+    books, _ = book_table(spark, sf)
+    names = books.select("code", F.concat(F.lit("The book "), "code").alias("name"), F.upper("code").alias("short"), "single")
+    return P.displayed(spans(spark, sf).where("error IS NULL AND book IS NOT NULL"), names).select("ref_id", "n", "display")
+
+
 @register("x1_resolve", TOK + f""", {SPANS},
 lines_ AS (SELECT source, doc_id, line, count(*) AS n, min(id) AS f, max(id) AS l FROM keyed GROUP BY ALL),
-hit AS (SELECT s.ref_id, s.n AS k, s.v1, s.v2, x.* FROM spans s JOIN lines_ x ON x.source = s.book AND x.doc_id = s.c1 AND (s.v1 IS NULL OR x.line BETWEEN s.v1 AND s.v2)),
-sp AS (SELECT ref_id, k, v1 IS NULL OR (bool_or(line = v1) AND bool_or(line = v2)) AS ok, sum(n) AS n, count(*) AS lines, min(f) AS f, max(l) AS l FROM hit GROUP BY ref_id, k, v1, v2),
+hit AS {COVERS.format(t="lines_")},
+sp AS (SELECT ref_id, k, CASE WHEN c1 IS NULL THEN true WHEN v1 IS NULL THEN count(DISTINCT doc_id) = c2 - c1 + 1 ELSE bool_or(line = v1) AND bool_or(line = v2) END AS ok, sum(n) AS n, count(*) AS lines, min(f) AS f, max(l) AS l FROM hit GROUP BY ref_id, k, c1, c2, v1, v2),
 al AS (SELECT s.ref_id, s.error, coalesce(sp.ok, false) AS ok, sp.n, sp.lines, sp.f, sp.l FROM spans s LEFT JOIN sp ON sp.ref_id = s.ref_id AND sp.k = s.n)
-SELECT ref_id, CASE WHEN max(error) IS NOT NULL THEN 'malformed' WHEN bool_and(ok) THEN 'found' ELSE 'absent' END AS status, (sum(n) FILTER (WHERE ok))::BIGINT AS n_tokens, (sum(lines) FILTER (WHERE ok))::BIGINT AS n_lines, min(f) FILTER (WHERE ok) AS first_token, max(l) FILTER (WHERE ok) AS last_token FROM al GROUP BY 1""")
+SELECT ref_id, CASE WHEN max(error) IS NOT NULL THEN 'malformed' WHEN bool_and(ok) THEN 'found' ELSE 'absent' END AS status, (sum(n) FILTER (WHERE ok))::BIGINT AS n_tokens, (sum(lines) FILTER (WHERE ok))::BIGINT AS n_lines, min(f) FILTER (WHERE ok) AS first_token, max(l) FILTER (WHERE ok) AS last_token FROM al GROUP BY 1
+UNION ALL SELECT -4 * d.doc_id - 4, CASE WHEN c.n IS NULL THEN 'absent' ELSE 'found' END, c.n, NULL, NULL, NULL FROM documents d LEFT JOIN (SELECT lemma, count(*)::BIGINT AS n FROM keyed GROUP BY 1) c ON c.lemma = CASE WHEN d.doc_id % 20 = 1 THEN 'the' ELSE 'zzzz' END WHERE d.doc_id % 10 = 1""")
 def x1(spark, sf):
-    return P.resolve(spans(spark, sf).withColumn("n_span", F.col("n")), "ref_id", keyed(spark, sf))
+    return P.resolve_refs(references(spark, sf).union(lemma_references(spark, sf)), "ref_id", "ref", *book_table(spark, sf), keyed(spark, sf))
 
 
-@register("x2_reverse", TOK + "SELECT k.id, k.source || ' ' || k.doc_id || ':' || k.line || '!' || k.word AS ref, k.surface, k.lemma, l.n AS lemma_total FROM keyed k JOIN (SELECT lemma, count(*)::BIGINT AS n FROM keyed GROUP BY 1) l USING (lemma) WHERE k.word = 3")
+@register("x2_reverse", TOK + "SELECT k.id, k.source || ' ' || k.doc_id || ':' || k.line || '!' || k.word AS ref, k.surface, k.lemma, l.n AS lemma_total FROM keyed k JOIN (SELECT lemma, count(*)::BIGINT AS n FROM keyed GROUP BY 1) l USING (lemma)")
 def x2(spark, sf):
     """Ids back to their place: parsed from the id, then joined to what they name."""
     k = keyed(spark, sf)
     doc, line, word = T.token_parts(F.col("id"))
-    asked = k.where("word = 3").select("id").withColumns({"doc_id": doc, "line": line, "word": word})
+    asked = k.select("id").withColumns({"doc_id": doc, "line": line, "word": word})
     totals = k.groupBy("lemma").agg(F.count("*").alias("lemma_total"))
     rows = asked.join(k.select("doc_id", "line", "word", "source", "surface", "lemma"), ["doc_id", "line", "word"]).join(totals, "lemma")
     c = lambda x: F.col(x).cast("string")
     return rows.select("id", F.concat("source", F.lit(" "), c("doc_id"), F.lit(":"), c("line"), F.lit("!"), c("word")).alias("ref"), "surface", "lemma", "lemma_total")
 
 
-@register("x3_interlinear_rows", TOK + f", {SPANS} SELECT DISTINCT s.ref_id, k.id, k.surface, k.lemma FROM spans s JOIN keyed k ON k.source = s.book AND k.doc_id = s.c1 AND (s.v1 IS NULL OR k.line BETWEEN s.v1 AND s.v2)")
+@register("x3_interlinear_rows", TOK + f", {SPANS} SELECT DISTINCT ref_id, id, surface, lemma FROM {COVERS.format(t='keyed')}")
 def x3(spark, sf):
     return P.interlinear(spans(spark, sf), "ref_id", keyed(spark, sf)).select("ref_id", "id", "surface", "lemma")
 
 
-@register("x4_cells", TOK + "SELECT doc_id, line, string_agg(surface || after || '/' || lemma, ' ' ORDER BY word) AS cells FROM keyed WHERE line <= 3 GROUP BY 1, 2")
+@register("x4_cells", TOK + "SELECT doc_id, line, string_agg(surface || after || '/' || lemma, ' ' ORDER BY word) AS cells FROM keyed GROUP BY 1, 2")
 def x4(spark, sf):
-    out = P.cells(keyed(spark, sf).where("line <= 3"), ["doc_id", "line"])
+    out = P.cells(keyed(spark, sf), ["doc_id", "line"])
     return out.select("doc_id", "line", F.array_join(F.transform("cells", lambda c: F.concat(c["form"], F.lit("/"), c["lemma"])), " ").alias("cells"))
 
 

@@ -9,7 +9,7 @@ from lexgrove.operators import audit as A
 from lexgrove.operators import corpus as C
 from lexgrove.operators import graph as G
 from lexgrove.operators import rules as R
-from lexgrove.plans.corpus_queries import TOK, docs, keyed, sents
+from lexgrove.plans.corpus_queries import TOK, dealt, keyed, sents
 from lexgrove.plans.graph_queries import CLO, NODE, PACKED, frames, leaf_clo, nodes
 from lexgrove.plans.registry import register
 
@@ -39,11 +39,13 @@ def l2(spark, sf):
 
 @register("l3_token_order", TOK + "SELECT 'token' AS tbl, 'token-order' AS rule, id FROM keyed WHERE doc_id % 97 = 0 AND word = 2")
 def l3(spark, sf):
-    d = docs(spark, sf)
-    tok = C.with_ordinals(C.identified(C.tokens(d)), d)
-    nxt = C.next_ids(C.identified(C.tokens(d)))
-    want = tok.select("id", F.col("ord").alias("want_ord")).join(nxt.withColumnRenamed("next_id", "want_next"), "id")
-    stored = tok.join(nxt, "id").withColumn("ord", F.when((F.col("doc_id") % 97 == 0) & (F.col("word") == 2), F.col("ord") + 1).otherwise(F.col("ord")))
+    d = dealt(spark, sf)
+    return _l3(G.cut(C.with_order(C.identified(C.tokens(d)), d).select("id", "doc_id", "word", "ord", "next_id")))
+
+
+def _l3(tok):
+    want = tok.select("id", F.col("ord").alias("want_ord"), F.col("next_id").alias("want_next"))
+    stored = tok.withColumn("ord", F.when((F.col("doc_id") % 97 == 0) & (F.col("word") == 2), F.col("ord") + 1).otherwise(F.col("ord")))
     return R.token_order(stored, want)
 
 
@@ -60,18 +62,29 @@ def _span(keys, frame, table_, rule, ident):
 
 @register("l4_line_span", TOK + "SELECT DISTINCT 'line' AS tbl, 'line-span' AS rule, 'doc:l' || lpad(doc_id::VARCHAR, 9, '0') || lpad(line::VARCHAR, 5, '0') AS id FROM keyed WHERE doc_id % 97 = 0")
 def l4(spark, sf):
-    return _span(["doc_id", "line"], keyed(spark, sf), "line", "line-span", T.line_id(F.col("doc_id"), F.col("line")))
+    return _l4(keyed(spark, sf))
+
+
+def _l4(tok):
+    return _span(["doc_id", "line"], tok, "line", "line-span", T.line_id(F.col("doc_id"), F.col("line")))
 
 
 @register("l5_sentence_span", TOK + "SELECT DISTINCT 'sentence' AS tbl, 'sentence-span' AS rule, doc_id || '.' || sent AS id FROM keyed WHERE doc_id % 97 = 0")
 def l5(spark, sf):
-    return _span(["doc_id", "sent"], sents(spark, sf), "sentence", "sentence-span", F.concat_ws(".", F.col("doc_id").cast("string"), F.col("sent").cast("string")))
+    return _l5(sents(spark, sf))
+
+
+def _l5(tok):
+    return _span(["doc_id", "sent"], tok, "sentence", "sentence-span", F.concat_ws(".", F.col("doc_id").cast("string"), F.col("sent").cast("string")))
 
 
 @register("l6_group_span", CLO + "SELECT DISTINCT 'group' AS tbl, 'group-span' AS rule, anc AS id FROM clo WHERE anc LIKE 'c%7'")
 def l6(spark, sf):
-    n = nodes(spark, sf)
-    spans = G.group_spans(leaf_clo(spark, sf), n.where("is_leaf"), order="num")
+    return _l6(nodes(spark, sf), leaf_clo(spark, sf))
+
+
+def _l6(n, clo):
+    spans = G.group_spans(clo, n.where("is_leaf"), order="num")
     stored = spans.withColumn("contiguous", F.when(F.col("anc").rlike("^c.*7$"), ~F.col("contiguous")).otherwise(F.col("contiguous")))
     return R.span_mismatch(stored, spans, ["anc"], ["first_leaf", "last_leaf", "n_leaves", "contiguous"], "group", "group-span", F.col("anc"), missing=False)
 
@@ -104,7 +117,10 @@ def trees(spark, sf):
 
 @register("l8_forest_root", TREES + "SELECT 'tree' AS tbl, 'forest-root' AS rule, tree AS id FROM (SELECT DISTINCT tree, CASE WHEN tree = 'r2' THEN 'r1' ELSE tree END AS root FROM tr) s LEFT JOIN (SELECT tree AS k, count(*) AS n, any_value(id) AS found FROM tr WHERE parent IS NULL GROUP BY 1) r ON r.k = s.tree WHERE n IS DISTINCT FROM 1 OR root IS DISTINCT FROM found")
 def l8(spark, sf):
-    t = trees(spark, sf)
+    return _l8(trees(spark, sf))
+
+
+def _l8(t):
     stored = t.select("tree").distinct().withColumn("root", F.when(F.col("tree") == "r2", "r1").otherwise(F.col("tree")))
     return R.forest_root(t, stored)
 
@@ -128,23 +144,27 @@ def j12(spark, sf):
 BROKEN = CLO + ", broken AS (SELECT * FROM clo WHERE NOT (dist = 1 AND leaf LIKE 'o%77')) "
 
 
-def broken(spark, sf):
-    return leaf_clo(spark, sf).where("NOT (dist = 1 AND leaf LIKE 'o%77')")
+def broken(clo):
+    return clo.where("NOT (dist = 1 AND leaf LIKE 'o%77')")
 
 
 @register("l11_closure", BROKEN + "SELECT 'closure' AS tbl, 'closure-total' AS rule, (SELECT count(*) FROM broken) || ' of ' || (SELECT sum(depth)::BIGINT FROM node WHERE is_leaf) AS id WHERE (SELECT count(*) FROM broken) <> (SELECT sum(depth) FROM node WHERE is_leaf)")
 def l11(spark, sf):
-    return R.closure_total(broken(spark, sf), nodes(spark, sf).where("is_leaf"))
+    return R.closure_total(broken(leaf_clo(spark, sf)), nodes(spark, sf).where("is_leaf"))
 
 
 @register("j3_full_diff", BROKEN + "SELECT 'closure' AS tbl, 'closure-parents' AS rule, coalesce(t.id, d.leaf) AS id FROM (SELECT leaf, anc FROM broken WHERE dist = 1) d FULL JOIN (SELECT id, parent FROM node WHERE is_leaf) t ON t.id = d.leaf AND t.parent = d.anc WHERE t.id IS NULL OR d.leaf IS NULL")
 def j3(spark, sf):
-    return R.closure_parents(broken(spark, sf), nodes(spark, sf).where("is_leaf"))
+    return R.closure_parents(broken(leaf_clo(spark, sf)), nodes(spark, sf).where("is_leaf"))
 
 
 @register("l12_empty_group", CLO + "SELECT 'group' AS tbl, 'group-empty' AS rule, id FROM node WHERE NOT is_leaf AND NOT EXISTS (SELECT 1 FROM clo WHERE anc = id AND NOT (anc LIKE 'c%5'))")
 def l12(spark, sf):
-    return R.empty_groups(nodes(spark, sf).where("NOT is_leaf"), leaf_clo(spark, sf).where("anc NOT LIKE 'c%5'"))
+    return _l12(nodes(spark, sf), leaf_clo(spark, sf))
+
+
+def _l12(n, clo):
+    return R.empty_groups(n.where("NOT is_leaf"), clo.where("anc NOT LIKE 'c%5'"))
 
 
 TIERED = "WITH " + PACKED + ", e AS (SELECT src, dst, CASE WHEN src % 101 = 0 THEN NOT implicit ELSE implicit END AS implicit, CASE WHEN src % 103 = 0 THEN 'guess' WHEN src % 107 = 0 THEN 'computed' ELSE 'asserted' END AS tier FROM frames) SELECT 'frame_arg' AS tbl, '{rule}' AS rule, src::VARCHAR AS id FROM e WHERE {where}"
@@ -172,13 +192,21 @@ def l15(spark, sf):
 
 @register("l16_not_nfc", TOK + "SELECT 'token' AS tbl, 'not-nfc' AS rule, id FROM (SELECT id, CASE WHEN doc_id % 79 = 3 THEN replace(surface, 'é', 'e' || chr(769)) ELSE surface END AS s FROM keyed) WHERE s <> nfc_normalize(s)")
 def l16(spark, sf):
-    k = keyed(spark, sf).withColumn("surface", F.when(F.col("doc_id") % 79 == 3, F.regexp_replace("surface", "\u00e9", "e\u0301")).otherwise(F.col("surface")))
+    return _l16(keyed(spark, sf))
+
+
+def _l16(tok):
+    k = tok.withColumn("surface", F.when(F.col("doc_id") % 79 == 3, F.regexp_replace("surface", "\u00e9", "e\u0301")).otherwise(F.col("surface")))
     return R.not_nfc(k, "token", "surface")
 
 
 @register("l17_key", TOK + "SELECT 'token' AS tbl, 'lemma-key' AS rule, id FROM keyed WHERE doc_id % 83 = 0 AND key || 'x' <> key")
 def l17(spark, sf):
-    k = keyed(spark, sf).withColumn("key", F.when(F.col("doc_id") % 83 == 0, F.concat("key", F.lit("x"))).otherwise(F.col("key")))
+    return _l17(keyed(spark, sf))
+
+
+def _l17(tok):
+    k = tok.withColumn("key", F.when(F.col("doc_id") % 83 == 0, F.concat("key", F.lit("x"))).otherwise(F.col("key")))
     return R.key_mismatch(k, "token", "surface", "key")
 
 
@@ -232,20 +260,28 @@ def l20(spark, sf):
     return lacking.crossJoin(F.broadcast(o.agg(F.count("*").alias("n_rows"))))  # one row
 
 
-REPORTED = ("l1_id_format", "l2_id_ref", "l3b_word_numbers", "l4_line_span", "l7_dangling", "l9_forest_depth", "l12_empty_group", "l13_tier", "l14_computed", "l15_implicit", "l17_key")
+REPORTED = ("l1_id_format", "l2_id_ref", "l3_token_order", "l3b_word_numbers", "l4_line_span", "l5_sentence_span", "l6_group_span", "l7_dangling", "l8_forest_root", "l9_forest_depth", "l10_forest_tree", "l11_closure", "j3_full_diff", "l12_empty_group", "l13_tier", "l14_computed", "l15_implicit", "l16_not_nfc", "l17_key", "l18_license", "l19_unmapped", "l20_schema")
+#: Rules of another shape than (tbl, rule, id) as such rows.
+SHAPED = {"l18_license": "'catalogue' AS tbl, 'license-not-open' AS rule, \"column\" AS id", "l19_unmapped": "'catalogue' AS tbl, 'license-unmapped' AS rule, \"column\" AS id", "l20_schema": "tbl, rule, id"}
 
 
 def _report_sql() -> str:
     from lexgrove.plans.registry import ORACLES
 
-    parts = " UNION ALL ".join(f"SELECT * FROM ({ORACLES[n]})" for n in REPORTED)
+    parts = " UNION ALL ".join(f"SELECT {SHAPED.get(n, 'tbl, rule, id')} FROM ({ORACLES[n]})" for n in REPORTED)
     return f"WITH v AS ({parts}), k AS (SELECT *, row_number() OVER (PARTITION BY tbl, rule ORDER BY id) AS i FROM v) SELECT tbl, rule, count(*)::BIGINT AS n, string_agg(id, ' ' ORDER BY id) FILTER (WHERE i <= {R.SHOWN}) AS examples FROM k GROUP BY 1, 2"
 
 
 @register("l0_report", _report_sql())
 def l0(spark, sf):
-    """All rules at once; the token table is cut once and read by each."""
-    k = G.cut(planted(keyed(spark, sf).select("id", "doc_id", "line", "word", "surface", "key")))
-    e = G.cut(tiered(spark, sf))
-    found = [R.id_format(k, "token", T.ID_GRAMMAR[0][1]), R.id_place(k), R.word_numbers(k), l4(spark, sf), l7(spark, sf), l9(spark, sf), l12(spark, sf), R.tier_unknown(e, "frame_arg"), R.computed_in_canonical(e, "frame_arg"), R.implicit_target(e, "frame_arg"), l17(spark, sf)]
-    return R.report(found)
+    """All rules at once. Tokens, with what all rules on them need, nodes, closure, trees and edges are each made once."""
+    d = dealt(spark, sf)
+    t = G.cut(C.with_order(C.with_sentences(C.identified(C.tokens(d))), d).select("id", "doc_id", "line", "word", "surface", "after", "key", "sent", "ord", "next_id"))
+    n, tr, e = G.cut(nodes(spark, sf)), G.cut(trees(spark, sf)), G.cut(tiered(spark, sf))
+    clo = G.cut(G.leaf_closure(n, F.col("is_leaf")))
+    k, leaves, gate = planted(t), n.where("is_leaf"), G.cut(_gate(spark, sf))
+    column = lambda status, rule: R.violations(gate, "catalogue", rule, F.col("status") == status, "column")
+    tokens = [R.id_format(k, "token", T.ID_GRAMMAR[0][1]), R.id_place(k), _l3(t), R.word_numbers(k), _l4(t), _l5(t), _l16(t), _l17(t)]
+    forest = [_l6(n, clo), _l8(tr), R.forest_depth(tr), R.forest_tree(tr), R.closure_total(broken(clo), leaves), R.closure_parents(broken(clo), leaves), _l12(n, clo)]
+    edges = [l7(spark, sf), R.tier_unknown(e, "frame_arg"), R.computed_in_canonical(e, "frame_arg"), R.implicit_target(e, "frame_arg")]
+    return R.report([*tokens, *forest, *edges, column("closed", "license-not-open"), column("unmapped", "license-unmapped"), l20(spark, sf).drop("n_rows")])
