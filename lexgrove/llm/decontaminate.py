@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.65  # of the item's score for itself
-OVERLAP = 0.8  # of the question's shingles
+OVERLAP = 0.8  # of the question's words, in runs that the passage has
 ANSWER_OVERLAP = 0.5  # of the answer's distinct words
-WIDTH = 5
+RUN = 3  # words of such a run
+CELLS = 4_000_000  # passages times blocks and common terms that are bounded together
 ANSWER_WORDS = 8
 BLOCK = 4
 COMMON = 8  # blocks from which on a term is summed by a matrix product
@@ -41,8 +42,8 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(pc.utf8_trim(plain, " "), " ")
 
 
-def shingles(words: list[str], width: int = WIDTH) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+def shingles(words: list[str], width: int) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
 class Index:
@@ -81,7 +82,7 @@ class Index:
         self.parts = []
         for _, w in self.items:
             cut = max(len(w) - ANSWER_WORDS, (len(w) + 1) // 2)
-            self.parts.append((shingles(w[:cut]), set(w[cut:])))
+            self.parts.append((w[:cut], set(w[cut:])))
 
     def bounds(self, cells: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
         """(n, blocks): the most that any item of a block can score for each of n passages, from (passage, term) pairs."""
@@ -128,14 +129,18 @@ class Index:
         return out
 
     def verify(self, item: int, passage: list[str]) -> tuple[float, float]:
-        """Shares of the question's shingles and of the answer's distinct words that the passage has."""
+        """Shares of the question's words that stand in runs of RUN words which the passage has, and of the answer's distinct words that it has."""
         question, answer = self.parts[item]
-        width = len(next(iter(question)))
+        width = min(RUN, len(question))
         have = shingles(passage, width)
-        return len(question & have) / len(question), len(answer & set(passage)) / len(answer) if answer else 1.0
+        covered = {k for i in range(len(question) - width + 1) if tuple(question[i : i + width]) in have for k in range(i, i + width)}
+        return len(covered) / len(question), len(answer & set(passage)) / len(answer) if answer else 1.0
 
     def search(self, offsets: np.ndarray, ids: np.ndarray, words: pa.Array) -> Iterator[tuple[int, int, int, float, float, float]]:
-        """(document, first word, item, score, question, answer) for passages of all documents; ids: the words' term numbers, -1 for others."""
+        """(document, first word, item, score, question, answer) for passages of all documents; ids: the words' term numbers, -1 for others.
+
+        As many passages are bounded together as CELLS allows, however long the documents are.
+        """
         half = max(64, self.longest)  # a passage has two halves and starts at each half: every item fits in one
         lengths = np.diff(offsets)
         cells = -(-lengths // half)
@@ -143,14 +148,22 @@ class Index:
         known = np.flatnonzero(ids >= 0)
         doc = np.searchsorted(offsets, known, side="right") - 1
         part = (known - offsets[doc]) // half
-        cell = first[doc] + part
-        also = part > 0
-        bounds = self.bounds(np.concatenate((cell, cell[also] - 1)), np.concatenate((ids[known], ids[known[also]])), int(first[-1]))
+        cell = first[doc] + part  # ascending
+        step = max(1, CELLS // (self.n_blocks + len(self.table) + 1))
+        for low in range(0, int(first[-1]), step):
+            high = min(low + step, int(first[-1]))
+            a, z = np.searchsorted(cell, (low, high + 1))  # a passage also has the words of the next half of its document
+            own, terms, p = cell[a:z], ids[known[a:z]], part[a:z]
+            inside, also = own < high, (p > 0) & (own > low)
+            bounds = self.bounds(np.concatenate((own[inside], own[also] - 1)) - low, np.concatenate((terms[inside], terms[also])), high - low)
+            yield from self._walk(low, bounds, first, offsets, half, ids, words)
+
+    def _walk(self, low: int, bounds: np.ndarray, first: np.ndarray, offsets: np.ndarray, half: int, ids: np.ndarray, words: pa.Array) -> Iterator[tuple[int, int, int, float, float, float]]:
         last, query, a, b, d = -1, set(), 0, 0, 0
         for c, block in zip(*np.nonzero(bounds >= self.threshold - 1e-5), strict=True):
             if c != last:
-                last, d = c, int(np.searchsorted(first, c, side="right")) - 1
-                a = int(offsets[d] + (c - first[d]) * half)
+                last, d = c, int(np.searchsorted(first, low + c, side="right")) - 1
+                a = int(offsets[d] + (low + c - first[d]) * half)
                 b = min(a + 2 * half, int(offsets[d + 1]))
                 query = set(ids[a:b].tolist())
             for item, score in self.wand(query, block):
@@ -180,8 +193,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(id, item_id, start_word, score, question_overlap, answer_overlap): the best verified passage of each document for each item it holds.
 
     The answer is an item's last ANSWER_WORDS words, at most half of it, the question the rest.
-    A passage is verified if it has `overlap` of the question's word shingles (five words, or all
-    if there are fewer) and `answer_overlap` of the answer's words. Null or empty texts, and
+    A passage is verified if `overlap` of the question's words stand in runs of three words (or
+    all, if there are fewer) that the passage has, and it has `answer_overlap` of the answer's
+    words: a replaced word costs itself and what it leaves alone. Null or empty texts, and
     items without words, match nothing; repeated rows count once; ties between passages go to
     the first. No documents or no items give no rows. Rows with a null id can't be named and are left out.
     """
@@ -214,7 +228,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return best.select(F.col("doc").alias(id_col), "item_id", (-F.col("best.s")).alias("start_word"), "best.score", "best.question_overlap", "best.answer_overlap")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold an item; all columns and all other rows, null ids included, stay."""
-    found = contaminated(docs, items, id_col, text_col).select(F.col(f"`{id_col}`").alias("_leak")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`") == F.col("_leak"), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without the documents that hold an item; all columns and all other rows stay.
+
+    Documents are known by a digest of their text, so rows without id or with a repeated one are
+    judged like any other.
+    """
+    digest = F.md5(F.col(f"`{text_col}`").cast("binary"))
+    found = contaminated(docs.select(digest.alias("_leak"), F.col(f"`{text_col}`").alias("text")), items, "_leak").select("_leak").distinct()
+    return docs.withColumn("_digest", digest).join(found, F.col("_digest") == F.col("_leak"), "left_anti").drop("_digest")
