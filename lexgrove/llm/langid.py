@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 PER_LANG = 1000
+MAX_GRAMS = 20_000_000  # of the whole sample, 6 bytes each on the driver
 SCALE = 100.0  # of a gram's share of the text, so that the penalties meet values near 1
 CHUNK = 1_000_000  # code points that are scored together
 _fold: np.ndarray | None = None
@@ -75,8 +76,8 @@ def _total(lengths: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The task's document frequency by bucket, and its documents by language under negative buckets."""
-    df, langs = np.zeros(BUCKETS + 1, np.int64), {}
+    """The task's document frequency by bucket, and under -1 and -2 its documents and their distinct grams by language."""
+    df, langs, sizes = np.zeros(BUCKETS + 1, np.int64), {}, {}
     for b in batches:
         for t, lang in zip(b["_text"].to_pylist(), b["_lang"].to_pylist(), strict=True):
             langs[lang] = langs.get(lang, 0) + 1
@@ -84,8 +85,10 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for h in _grams([t])[2]:
                 seen[h] = True
             df += seen
+            sizes[lang] = sizes.get(lang, 0) + int(np.count_nonzero(seen[:BUCKETS]))
     at = np.flatnonzero(df[:BUCKETS])
-    yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.concatenate((at, np.full(len(langs), -1))), pa.int32()), "lang": pa.array([None] * len(at) + list(langs), pa.string()), "n": pa.array(np.concatenate((df[at], np.array(list(langs.values()), np.int64))), pa.int64())})
+    bucket = np.concatenate((at, np.full(len(langs), -1), np.full(len(sizes), -2)))
+    yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "lang": pa.array([None] * len(at) + list(langs) + list(sizes), pa.string()), "n": pa.array([*df[at].tolist(), *langs.values(), *sizes.values()], pa.int64())})
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,23 +157,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_grams: int = MAX_GRAMS) -> Model:
     """Learns from documents that aren't held out and have a language and a text.
 
-    per_lang bounds the sample for the regression: the expected number of rows of a language,
-    chosen by a hash of id and text. Document frequencies have no bound. Without such rows the
-    model knows no language and predicts `und`.
+    The sample for the regression is chosen by a hash of id and text. It is bounded: per_lang
+    rows of a language, as expected and twice that in all cases for all languages together, or
+    fewer if languages are so many or texts so long that it would have over max_grams different
+    grams, as expected. Document frequencies have no bound. Without such rows the model knows no
+    language and predicts `und`.
     """
     own = docs.where(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").cast("string").alias("_lang"))
     found = own.select("_text", "_lang").mapInArrow(_frequencies, "bucket int, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).toPandas()
-    by_lang = {r.lang: r.n for r in found[found.bucket < 0].itertuples()}
+    by_lang, grams_of = ({r.lang: r.n for r in found[found.bucket == k].itertuples()} for k in (-1, -2))
     langs = sorted(by_lang)
     if not langs:
         return Model([], np.zeros((BUCKETS + 1, 0)), 1.0)
     df, grams = np.zeros(BUCKETS + 1), found[found.bucket >= 0]
     df[grams.bucket.to_numpy()] = grams.n.to_numpy()
     idf = np.where(df > 0, np.log((1 + sum(by_lang.values())) / (1 + df)) + 1, 0.0)
-    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, per_lang / by_lang[k]))))
+    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, per_lang / by_lang[k], max_grams / len(langs) / max(1, grams_of[k])))))
     draw = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = own.where(draw < share[F.col("_lang")]).limit(2 * per_lang * len(langs)).select("_text", "_lang").mapInArrow(_counted, "lang string, at binary, tf binary").collect()
     rows = sorted(((r.lang, bytes(r["at"]), bytes(r["tf"])) for r in sample))
