@@ -103,7 +103,7 @@ def _with_next(rows: DataFrame, key: list[Column]) -> DataFrame:
 
 
 def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_id) for each row of docs.
 
     The edited text has its last third replaced by as many characters from the start of the next
     document by descending id. Ids are integers, of any size. Null text is empty; a single
@@ -117,18 +117,19 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
     id_ = F.col(f"`{id_col}`").cast("long")
     own = docs.select(id_.alias("own_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"))
     own = own.select("own_id", F.coalesce("own_id", F.lit(0)).alias("id"), F.xxhash64("body", F.col("own_id").isNull()).alias("th"), "body")
-    ids = own.groupBy("id", "th").agg(F.first("own_id").alias("own_id"), F.max(F.floor(F.length("body") / 3)).cast("int").alias("third"))
+    ids = own.groupBy("id", "th").agg(F.first("own_id").alias("own_id"), F.max(F.floor(F.length("body") / 3)).cast("int").alias("third"), F.count("*").alias("copies"))
     order = _with_next(ids, [F.col("own_id").desc_nulls_last(), F.col("th")]).drop("own_id")
-    texts = with_signature(own, F.col("body"), "sig").groupBy("id", "th").agg(F.first("own_id").alias("own_id"), F.first("body").alias("body"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
-    asked = order.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("for_id"), F.col("th").alias("for_th"), "third")
-    given = texts.join(asked, ["id", "th"]).select(F.col("for_id").alias("id"), F.col("for_th").alias("th"), F.substring(F.col("body"), F.lit(1), F.col("third")).alias("tail"), F.col("sig").alias("next_sig"), "third")
+    texts = with_signature(own, F.col("body"), "sig").groupBy("id", "th").agg(F.first("own_id").alias("own_id"), F.first("body").alias("body"), F.first("sig").alias("sig"))
+    asked = order.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("for_id"), F.col("th").alias("for_th"), "third", "copies")
+    # both joins need every column of texts, so they share its one shuffle
+    given = texts.join(asked, ["id", "th"]).select(F.col("for_id").alias("id"), F.col("for_th").alias("th"), F.substring(F.col("body"), F.lit(1), F.col("third")).alias("tail"), F.col("sig").alias("next_sig"), F.col("own_id").alias("next_doc"), "third", "copies")
     both = texts.join(given, ["id", "th"])
     # of equal rows all but one have a twin as next
-    twin = F.when(F.col("copies") > 1, F.struct((F.col("copies") - 1).alias("times"), F.substring(F.col("body"), F.lit(1), F.col("third")).alias("tail"), F.col("sig").alias("next_sig")))
-    kinds = F.filter(F.array(F.struct(F.lit(1).cast("long").alias("times"), "tail", "next_sig"), twin), lambda x: x.isNotNull())
+    twin = F.when(F.col("copies") > 1, F.struct((F.col("copies") - 1).alias("times"), F.substring(F.col("body"), F.lit(1), F.col("third")).alias("tail"), F.col("sig").alias("next_sig"), F.col("own_id").alias("next_doc")))
+    kinds = F.filter(F.array(F.struct(F.lit(1).cast("long").alias("times"), "tail", "next_sig", "next_doc"), twin), lambda x: x.isNotNull())
     rows = both.select("own_id", "body", "sig", "third", F.explode(kinds).alias("k"))
     n = F.length("body")
     edited = F.concat(F.substring(F.col("body"), F.lit(1), n - F.col("third")), F.col("k.tail"))
-    out = with_signature(rows.select("own_id", n.cast("long").alias("n_chars"), "sig", F.col("k.next_sig").alias("next_sig"), F.col("k.times").alias("times"), edited.alias("edited")), F.col("edited"), "edited_sig")
-    out = out.select(F.col("own_id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("sig")).alias("fingerprint"), packed(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"), "times")
+    out = with_signature(rows.select("own_id", n.cast("long").alias("n_chars"), "sig", F.col("k.next_sig").alias("next_sig"), F.col("k.next_doc").alias("next_doc"), F.col("k.times").alias("times"), edited.alias("edited")), F.col("edited"), "edited_sig")
+    out = out.select(F.col("own_id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("sig")).alias("fingerprint"), packed(F.col("edited_sig")).alias("edited_fingerprint"), likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"), F.col("next_doc").alias(f"next_{id_col}"), "times")
     return out.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("times")
