@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.operators import corpus as C
+from lexgrove.operators import graph as G
 from lexgrove.operators import passages as P
 
 
@@ -32,8 +33,14 @@ class Param:
 class Corpus:
     """Documents and what is derived from them, each lazily and once."""
 
-    def __init__(self, docs: DataFrame) -> None:
-        self.docs = docs
+    def __init__(self, docs: DataFrame, **relations: DataFrame) -> None:
+        """relations, as far as queries need them: refers_to and has_subject (src, dst, ord), frame_arg (src, dst, arg_role, implicit, ord), groups (id, parent, role), inside (anc, leaf), features (id, parent, role, pos, gcase)."""
+        self.docs, self.relations = docs, relations
+
+    def relation(self, name: str) -> DataFrame:
+        if name not in self.relations:
+            raise ParamError(f"this corpus has no {name}")
+        return self.relations[name]
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -90,7 +97,7 @@ def bind(corpus: Corpus, query: Saved, raw: dict[str, str]) -> dict:
                 raise ParamError(f"{query.name} needs {p.name}")
             out[p.name] = None
         elif p.kind == "lemma":
-            out[p.name] = unicodedata.normalize("NFC", value)
+            out[p.name] = unicodedata.normalize("NFC", value.removeprefix("lemma:"))
         elif p.kind == "int":
             if not re.fullmatch(r"[+-]?\d+", value):
                 raise ParamError(f"{p.name} must be a whole number, not {value!r}")
@@ -98,8 +105,9 @@ def bind(corpus: Corpus, query: Saved, raw: dict[str, str]) -> dict:
         elif p.kind == "token":
             if re.fullmatch(r"doc:n\d{19}", value):
                 out[p.name] = value
-            elif m := re.fullmatch(r"\S+ (\d+):(\d+)!(\d+)", value):
-                out[p.name] = f"doc:n{int(m[1]):09}{int(m[2]):05}{int(m[3]):05}"
+            elif m := re.fullmatch(r"(.+) (\d+):(\d+)!(\d+)", value):
+                _bounds(corpus, value)  # refuses other books, and what isn't there
+                out[p.name] = f"doc:n{int(m[2]):09}{int(m[3]):05}{int(m[4]):05}"
             else:
                 raise ParamError(f"{value!r} is no token id or reference to one word")
         elif p.kind == "passage":
@@ -151,3 +159,47 @@ def token(corpus: Corpus, token: str, width: int) -> DataFrame:
     """A token and its neighbours in the document."""
     at = corpus.tokens.where(F.col("id") == token).select(F.col("ord").alias("at"), F.col("doc_id").alias("d"))
     return corpus.tokens.join(F.broadcast(at), (F.col("doc_id") == F.col("d")) & F.col("ord").between(F.col("at") - width, F.col("at") + width)).select("id", "surface", "ord").orderBy("ord")
+
+
+def _words(corpus: Corpus, prefix: str) -> DataFrame:
+    return corpus.tokens.select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("id", "surface", "lemma", "ord")))
+
+
+def _placed(df: DataFrame, scope: tuple[int, int] | None, column: str) -> DataFrame:
+    return df if scope is None else df.where(F.col(column).between(*scope))
+
+
+@saved("referent_chain", Param("token", "token"))
+def referent_chain(corpus: Corpus, token: str) -> DataFrame:
+    """From a word to its first referent, and on, until there is none or one comes again."""
+    start = corpus.docs.sparkSession.createDataFrame([(token,)], "start string")
+    steps = G.chains(start, corpus.relation("refers_to").where("ord = 1"))
+    return steps.join(corpus.tokens, "id").select("step", "id", "surface", "lemma").orderBy("step")
+
+
+@saved("subject_lemma_tree", Param("lemma", "lemma"), Param("scope", "passage", required=False))
+def subject_lemma_tree(corpus: Corpus, lemma: str, scope: tuple[int, int] | None) -> DataFrame:
+    """Verbs beside a subject, a word or group of role s, that holds the lemma in the nominative."""
+    word = corpus.relation("features")
+    inside = corpus.relation("groups").join(corpus.relation("inside"), F.col("id") == F.col("anc")).select(F.col("parent").alias("clause"), "role", F.col("leaf").alias("id"))
+    alone = word.select(F.col("parent").alias("clause"), "role", "id")
+    either = inside.unionByName(alone).join(word.select("id", "pos", "gcase"), "id")
+    subjects = either.where("role = 's' AND gcase = 'nominative'").select("clause", F.col("id").alias("subject_id")).join(_words(corpus, "subject"), "subject_id").where(F.col("subject_lemma") == lemma)
+    verbs = either.where("role = 'v' AND pos = 'verb'").select("clause", F.col("id").alias("verb_id")).join(_words(corpus, "verb"), "verb_id")
+    return _placed(subjects.join(verbs, "clause"), scope, "verb_ord").orderBy("verb_ord", "subject_ord").select("verb_id", "verb_surface", "verb_lemma", "subject_id", "subject_surface")
+
+
+@saved("subject_lemma_subjref", Param("lemma", "lemma"), Param("scope", "passage", required=False))
+def subject_lemma_subjref(corpus: Corpus, lemma: str, scope: tuple[int, int] | None) -> DataFrame:
+    """Verbs whose annotated subject is a word of the lemma."""
+    edges = corpus.relation("has_subject").select(F.col("src").alias("verb_id"), F.col("dst").alias("subject_id"), F.col("ord").alias("edge_ord"))
+    rows = edges.join(_words(corpus, "subject"), "subject_id").where(F.col("subject_lemma") == lemma).join(_words(corpus, "verb"), "verb_id")
+    return _placed(rows, scope, "verb_ord").orderBy("verb_ord", "edge_ord").select("verb_id", "verb_surface", "verb_lemma", "subject_id", "subject_surface")
+
+
+@saved("frame_args", Param("verb_lemma", "lemma"), Param("role", required=False, default="A0"), Param("scope", "passage", required=False))
+def frame_args(corpus: Corpus, verb_lemma: str, role: str, scope: tuple[int, int] | None) -> DataFrame:
+    """What stands in a role of a verb's frames; implicit ones without a word."""
+    edges = corpus.relation("frame_arg").where(F.col("arg_role") == role).select(F.col("src").alias("verb_id"), F.col("dst").alias("argument_id"), "arg_role", "implicit", F.col("ord").alias("edge_ord"))
+    rows = edges.join(_words(corpus, "verb").where(F.col("verb_lemma") == verb_lemma), "verb_id").join(_words(corpus, "argument"), "argument_id", "left")
+    return _placed(rows, scope, "verb_ord").orderBy("verb_ord", "edge_ord").select("verb_id", "verb_surface", "arg_role", "argument_id", "argument_surface", "argument_lemma", "implicit")

@@ -27,3 +27,26 @@ def test_scopes_and_types(corpus):
 def test_refusals(corpus, name, raw, why):
     with pytest.raises(S.ParamError, match=why):
         S.run(corpus, name, raw)
+
+
+def test_queries_on_relations(spark):
+    docs = spark.createDataFrame([(1, "s1", "Anna saw him. He saw Anna.")], "doc_id long, source string, text string")
+    n = [f"doc:n0000000010000100{k:03}" for k in range(1, 7)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    corpus = S.Corpus(
+        docs, refers_to=frame([(n[3], n[2], 1), (n[2], n[5], 1), (n[2], n[0], 2), (n[5], n[3], 1)], "src string, dst string, ord long"),
+        has_subject=frame([(n[1], n[0], 1), (n[4], n[3], 1)], "src string, dst string, ord long"),
+        frame_arg=frame([(n[1], n[0], "A0", False, 1), (n[1], n[2], "A1", False, 2), (n[4], None, "A0", True, 1)], "src string, dst string, arg_role string, implicit boolean, ord long"),
+        groups=frame([("g1", "c1", "s"), ("g2", "c2", "o")], "id string, parent string, role string"), inside=frame([("g1", n[0]), ("g2", n[5])], "anc string, leaf string"),
+        features=frame([(n[0], "g1", None, "noun", "nominative"), (n[1], "c1", "v", "verb", None), (n[4], "c2", "v", "verb", None), (n[5], "g2", None, "noun", "accusative"), (n[3], "c2", "s", "pronoun", "nominative")], "id string, parent string, role string, pos string, gcase string"),
+    )
+    run = lambda name, **raw: [tuple(r) for r in S.run(corpus, name, raw).collect()]
+    assert [r[1] for r in run("referent_chain", token="s1 1:1!4")] == [n[3], n[2], n[5]]
+    assert [(r[0], r[3]) for r in run("subject_lemma_tree", lemma="anna")] == [(n[1], n[0])] and [(r[0], r[3]) for r in run("subject_lemma_tree", lemma="lemma:he")] == [(n[4], n[3])]
+    assert [(r[0], r[3]) for r in run("subject_lemma_subjref", lemma="he", scope="s1 1:1")] == [(n[4], n[3])]
+    assert [(r[0], r[3], r[6]) for r in run("frame_args", verb_lemma="saw")] == [(n[1], n[0], False), (n[4], None, True)]
+    assert [r[4] for r in run("frame_args", verb_lemma="saw", role="A1")] == ["him"]
+    with pytest.raises(S.ParamError, match="unknown book"):
+        S.run(corpus, "token", {"token": "s9 1:1!1"})
+    with pytest.raises(S.ParamError, match="no refers_to"):
+        S.run(S.Corpus(docs), "referent_chain", {"token": n[0]})
