@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text as T
+from lexgrove.operators.graph import cut
 
 
 def norm_alias(name: Column) -> Column:
@@ -165,7 +166,7 @@ def resolve(spans: DataFrame, ident: str, tok: DataFrame) -> DataFrame:
     between are tolerated. Status is found, absent or malformed. Spans are joined to lines by
     chapter, and whole books to one row a book, so no join lists a book's lines for a reference.
     """
-    verses = tok.groupBy("source", "doc_id", "line").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last"))
+    verses = cut(tok.groupBy("source", "doc_id", "line").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last")))  # read for chapters, spans and books
     good = spans.where("error IS NULL")
     at = F.struct("doc_id", "line")
     wanted = F.col("v1").isNull() | ((at >= F.struct("c1", "v1")) & (at <= F.struct("c2", "v2")))

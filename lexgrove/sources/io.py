@@ -18,7 +18,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session's executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise SourceError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -79,9 +82,14 @@ def publish(df: DataFrame, path: str, own: str = "_lexgrove") -> None:
     except Exception:
         fs.delete(new, True)
         raise
-    if fs.exists(at):
-        fs.rename(at, old)
-    if not fs.rename(new, at):
+    if fs.exists(at) and not fs.rename(at, old):
+        fs.delete(new, True)
+        raise SourceError(f"could not move the old table away from {path}")
+    try:
+        moved = fs.rename(new, at)
+    except Exception:
+        moved = False
+    if not moved:
         if fs.exists(old):
             fs.rename(old, at)
         raise SourceError(f"could not move the new table to {path}")
