@@ -7,7 +7,7 @@ from tests.llm.conftest import SMALL
 from tests.llm.test_decontaminate import plain_words
 from tests.llm.test_line_dedup import plain as plain_lines
 from tests.llm.test_packing import check, ids_of
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_similar_texts import plain
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +53,7 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     before, after = texts(stages[2]), texts(stages[3])
-    assert after == {i: before[i] for i, r in plain_components({i: plain_fingerprint(t) for i, t in before.items()}).items() if i == r}
+    assert after == {i: before[i] for i in plain(before)}
 
 
 def test_benchmark(spark, stages):
