@@ -7,7 +7,7 @@ from tests.llm.conftest import SMALL
 from tests.llm.test_decontaminate import plain_words
 from tests.llm.test_line_dedup import plain as plain_lines
 from tests.llm.test_packing import check, ids_of
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_similar_texts import grams, plain_groups
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +53,10 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     before, after = texts(stages[2]), texts(stages[3])
-    assert after == {i: before[i] for i, r in plain_components({i: plain_fingerprint(t) for i, t in before.items()}).items() if i == r}
+    want, _ = plain_groups({i: grams(t) for i, t in before.items()})
+    gone = {i for i, least in want.items() if i != least}
+    assert after.items() <= before.items() and before.keys() - gone <= after.keys()
+    assert len(gone - after.keys()) >= 0.9 * len(gone)
 
 
 def test_benchmark(spark, stages):
