@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexgrove.llm import chat, compact_windows, decontaminate, fingerprints, langid, line_dedup, packing, pii, simhash, token_counts
+from lexgrove.llm import chat, collocations, compact_windows, decontaminate, fingerprints, langid, line_dedup, packing, pii, simhash, token_counts
 from lexgrove.llm.common import load
 
 
@@ -63,7 +63,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_chat_format, op3_document_fingerprints, op4_simhash_near_dedup, op5_token_counts, op6_benchmark_decontamination, op7_line_dedup, op8_substring_dedup, op9_packing, op10_language_id)}
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_chat_format, op3_document_fingerprints, op4_simhash_near_dedup, op5_token_counts, op6_benchmark_decontamination, op7_line_dedup, op8_substring_dedup, op9_packing, op10_language_id, op12_phrase_collocations)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
@@ -86,4 +90,24 @@ rest AS (
          count(g.line)::BIGINT AS n_lines, count(*) FILTER (WHERE g.gone)::BIGINT AS n_removed
   FROM lines l LEFT JOIN gone g USING (doc_id, line) GROUP BY 1)
 SELECT doc_id, n_lines, n_removed, sha256(coalesce(text, '')) AS text_sha256 FROM rest""",
+    "op12_phrase_collocations": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS ws FROM d),
+sizes AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM p GROUP BY 1),
+g AS (
+  SELECT lang, ws[i : i + k - 1] AS p, count(*)::HUGEINT AS f
+  FROM (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k) GROUP BY 1, 2),
+cand AS (SELECT * FROM g WHERE len(p) > 1 AND f >= 100),
+inner_ AS (
+  SELECT DISTINCT c.lang, c.p[i : i + k - 1] AS p, c.f FROM cand c, (SELECT unnest([1, 2, 3, 4]) AS i), (SELECT unnest([2, 3, 4]) AS k) WHERE k < len(c.p) AND i + k - 1 <= len(c.p)),
+gone AS (SELECT DISTINCT c.lang, c.p FROM cand c JOIN inner_ x ON x.lang = c.lang AND x.p = c.p AND 100 * x.f >= 100 * c.f),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, s.n, k, x.f AS l, y.f AS r, (1000 * c.f * s.n) // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(generate_series(1, len(p) - 1)) AS k FROM cand ANTI JOIN gone USING (lang, p)) c
+  JOIN sizes s ON s.lang = c.lang JOIN g x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN g y ON y.lang = c.lang AND y.p = c.p[k + 1 : len(c.p)]),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+said AS (SELECT *, array_to_string(p, ' ') AS phrase FROM low)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM said QUALIFY rank <= 2000""",
 }
