@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexgrove.llm import chat, collocations, compact_windows, decontaminate, fingerprints, langid, line_dedup, packing, pii, simhash, token_counts
+from lexgrove.llm import chat, collocations, compact_windows, decontaminate, fingerprints, langid, lexical, line_dedup, minhash, packing, pii, simhash, token_counts
 from lexgrove.llm.common import load
 
 
@@ -63,11 +63,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).drop("text")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_chat_format, op3_document_fingerprints, op4_simhash_near_dedup, op5_token_counts, op6_benchmark_decontamination, op7_line_dedup, op8_substring_dedup, op9_packing, op10_language_id, op12_phrase_collocations)}
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_pseudonyms, op2_chat_format, op3_document_fingerprints, op4_simhash_near_dedup, op5_token_counts, op6_benchmark_decontamination, op7_line_dedup, op8_substring_dedup, op9_packing, op10_language_id, op11_ranked_search, op12_phrase_collocations, op13_minhash_near_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
@@ -90,6 +98,20 @@ rest AS (
          count(g.line)::BIGINT AS n_lines, count(*) FILTER (WHERE g.gone)::BIGINT AS n_removed
   FROM lines l LEFT JOIN gone g USING (doc_id, line) GROUP BY 1)
 SELECT doc_id, n_lines, n_removed, sha256(coalesce(text, '')) AS text_sha256 FROM rest""",
+    "op11_ranked_search": r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+f AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY 1, 2),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY 1),
+c AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term, nn),
+s AS (
+  SELECT item_id, f.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n.n * nn) // ll)))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN n ON n.doc_id = f.doc_id, c GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20""",
     "op12_phrase_collocations": r"""
 WITH d AS (
   SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
