@@ -4,12 +4,14 @@ A document is the sequence of its lines that aren't blank (spaces only). Doublin
 positions by their first 1, 2, 4, ... lines: a round pairs each position's rank with the rank `h`
 lines further on and ranks the pairs. Positions whose rank nobody shares are settled and leave,
 so a round touches repeated text only, and rounds go on until every rank is unique or ends with
-its document. Positions of one rank are an interval of the suffix array whose longest common
-prefix has that many lines at least. Each position is matched with the first one of the deepest
-interval in which it isn't the first itself; matches that follow one another along two documents
-are one run, and the longest common prefix of its two starts, found by the ranks from the deepest
-round down, is its length. A run that isn't part of a longer one in its document is maximal. Later
-copies are deleted.
+its document. Positions of one rank are an interval of the suffix array.
+
+The intervals of every longest common prefix lie between those of two powers of two. Going down
+the powers, an interval of depth d is split by the rank h lines behind its d lines: parts
+of two or more are intervals of depth d + h, and each part's first position stays in the interval
+for the others. In the end the members of an interval share exactly its depth. A position's longest
+repeat is its deepest interval in which an earlier position is the first; repeats that reach
+further than the one before are the maximal runs. Later copies are deleted.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import cut
+from lexgrove.llm.common import attach, cut
 
 MIN_LINES = 3
 MIN_LINE_CHARS = 40
@@ -36,16 +38,31 @@ def _positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(*_DOC, "seq", F.col("l.line").alias("line"), F.xxhash64("l.s").alias("h1"), F.xxhash64("l.s", F.lit(7)).alias("h2"), F.length("l.s").alias("chars"))
 
 
+_PLACE = (*_DOC, "seq")
+
+
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key occurs again, with `rank` in the order of the keys, `first`, the first row of that rank, and whether the row is a later one.
+    """The rows whose key occurs again, with `rank` in the order of the keys, and whether the row is a later one of its rank.
 
-    Counts are combined before the shuffle and only keys, not rows, are sorted, so a key with a
-    third of all rows makes no hot task.
+    Counts are combined before the shuffle, only keys are sorted, and rows of a key with many
+    are joined where they are.
     """
-    repeated = rows.groupBy(*keys).agg(F.count("*").alias("count"), F.min(F.struct(*_DOC, "seq")).alias("first")).where("count > 1").drop("count")
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.min(F.struct(*_PLACE)).alias("first")).where("n_rows > 1")
     ranks = cut(repeated.orderBy(*keys).withColumn("rank_", F.monotonically_increasing_id()))
-    own = F.col("_doc").eqNullSafe(F.col("first._doc")) & (F.col("_th") == F.col("first._th")) & (F.col("seq") == F.col("first.seq"))
-    return rows.join(ranks, keys).drop(*keys).withColumnRenamed("rank_", "rank").withColumn("later", ~own)
+    joined = attach(rows, ranks, keys, ranks.agg(F.sum("n_rows")).first()[0] or 0).drop(*keys)
+    return joined.withColumnRenamed("rank_", "rank").withColumn("later", ~_is("first")).drop("first")
+
+
+def _is(first: str) -> Column:
+    """The row is the one that `first` names."""
+    return F.col("_doc").eqNullSafe(F.col(f"{first}._doc")) & (F.col("_th") == F.col(f"{first}._th")) & (F.col("seq") == F.col(f"{first}.seq"))
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The repeated lines, ranked; rows that repeat id and text are one document from here on."""
+    ranked = _ranked(cut(_positions(docs, id_col, text_col)), ["h1", "h2"])
+    once = ranked.groupBy(*_PLACE).agg(F.first(F.struct("line", "chars", "rank", "later")).alias("r"))
+    return cut(once.select(*_PLACE, "r.*"))
 
 
 def _at(offset: int) -> Column:
@@ -58,7 +75,7 @@ def _doubled(lines: DataFrame) -> dict[int, DataFrame]:
     """Length of a run -> the positions whose run of that length is repeated, ranked; up to the longest there is."""
     levels, h = {1: lines}, 1
     while True:
-        paired = levels[h].select(*_DOC, "seq", "rank").withColumn("next", _at(h)).where("next IS NOT NULL").withColumnRenamed("rank", "this")
+        paired = cut(levels[h].select(*_PLACE, "rank").withColumn("next", _at(h)).where("next IS NOT NULL").withColumnRenamed("rank", "this"))
         rows = cut(_ranked(paired, ["this", "next"]))
         if rows.isEmpty():
             return levels
@@ -66,39 +83,59 @@ def _doubled(lines: DataFrame) -> dict[int, DataFrame]:
         levels[h] = rows
 
 
+def _there(rows: DataFrame, *more: Column) -> DataFrame:
+    """The rows' places under names of their own, to join with."""
+    return rows.select(F.col("_doc").alias("l_doc"), F.col("_th").alias("l_th"), F.col("seq").alias("l_seq"), *more)
+
+
+def _meets(ahead: Column) -> Column:
+    return F.col("_doc").eqNullSafe(F.col("l_doc")) & (F.col("_th") == F.col("l_th")) & (ahead == F.col("l_seq"))
+
+
+def _members(levels: dict[int, DataFrame], h: int) -> DataFrame:
+    """(node, depth, place) of the intervals of h lines: positions that share no 2 h lines with an earlier one."""
+    rows = levels[h].select(*_PLACE, F.struct(F.lit(h).alias("of"), F.col("rank").alias("id")).alias("node"), F.lit(h).alias("depth"))
+    if 2 * h in levels:
+        rows = rows.join(_there(levels[2 * h].where("later")), _meets(F.col("seq")), "left_anti")
+    return rows
+
+
+def _split(members: DataFrame, ranks: DataFrame, h: int) -> DataFrame:
+    """Intervals split by the rank that stands behind their depth: those of h lines more, and the old ones with the first of each part."""
+    looked = members.join(_there(ranks, F.col("rank").alias("part")), _meets(F.col("seq") + F.col("depth")), "left")
+    looked = cut(looked.select("node", "depth", *_PLACE, "part"))
+    some = looked.where("part IS NOT NULL")
+    parts = cut(some.groupBy("node", "depth", "part").agg(F.count("*").alias("n_rows"), F.min(F.struct(*_PLACE)).alias("first")).withColumn("id", F.monotonically_increasing_id()))
+    several = parts.where("n_rows > 1")
+    deeper = attach(some, several.select("node", "part", "id", "n_rows"), ["node", "part"], some.count())
+    deeper = deeper.select(F.struct(F.lit(-h).alias("of"), "id").alias("node"), (F.col("depth") + h).alias("depth"), *_PLACE)
+    return deeper.unionByName(parts.select("node", "depth", "first.*")).unionByName(looked.where("part IS NULL").drop("part"))
+
+
 def _runs(levels: dict[int, DataFrame]) -> DataFrame:
-    """(_doc, _th, seq, s_doc, s_th, s_seq, n): maximal runs of two lines or more, each beside the earlier one it copies."""
-    matched = None
-    for h, rows in levels.items():
-        own = rows.where("later").select(*_DOC, "seq", F.struct(F.lit(h).alias("n"), "first").alias("m"))
-        matched = own if matched is None else matched.unionByName(own)
-    deepest = matched.groupBy(*_DOC, "seq").agg(F.max_by("m", "m.n").alias("m"))
-    w = Window.partitionBy(*_DOC).orderBy("seq")
-    before = F.lag(F.struct("seq", "m.first")).over(w)
-    goes_on = (F.col("b.seq") == F.col("seq") - 1) & F.col("b.first._doc").eqNullSafe(F.col("m.first._doc")) & (F.col("b.first._th") == F.col("m.first._th")) & (F.col("b.first.seq") == F.col("m.first.seq") - 1)
-    heads = deepest.withColumn("b", before).where(~F.coalesce(goes_on, F.lit(False)))
-    runs = cut(heads.select(*_DOC, "seq", F.col("m.first._doc").alias("s_doc"), F.col("m.first._th").alias("s_th"), F.col("m.first.seq").alias("s_seq"), F.col("m.n").alias("n")))
+    """(_doc, _th, seq, s_doc, s_th, s_seq, n): maximal repeats, each beside the first position that shares so many lines."""
+    members = _members(levels, max(levels))
     for h in sorted(levels, reverse=True)[1:]:
-        for doc, th, seq, name in (("_doc", "_th", "seq", "one"), ("s_doc", "s_th", "s_seq", "two")):
-            there = levels[h].select(F.col("_doc").alias("l_doc"), F.col("_th").alias("l_th"), F.col("seq").alias("l_seq"), F.col("rank").alias(name))
-            on = F.col(doc).eqNullSafe(F.col("l_doc")) & (F.col(th) == F.col("l_th")) & (F.col(seq) + F.col("n") == F.col("l_seq"))
-            runs = runs.join(there, on, "left").drop("l_doc", "l_th", "l_seq")
-        runs = cut(runs.withColumn("n", F.col("n") + F.when(F.col("one") == F.col("two"), h).otherwise(0)).drop("one", "two"))
-    end = F.col("seq") + F.col("n")
-    earlier = Window.partitionBy(*_DOC).orderBy("seq", F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return runs.where("n > 1").withColumn("within", F.coalesce(F.max(end).over(earlier) >= end, F.lit(False))).where("NOT within").drop("within")
+        members = cut(_split(members, levels[h], h).unionByName(_members(levels, h)))
+    firsts = cut(members.groupBy("node").agg(F.count("*").alias("n_rows"), F.min(F.struct(*_PLACE)).alias("first")).where("n_rows > 1"))
+    repeats = attach(members, firsts, ["node"], firsts.agg(F.sum("n_rows")).first()[0] or 0).where(~_is("first"))
+    longest = repeats.groupBy(*_PLACE).agg(F.max_by(F.struct("depth", "first"), "depth").alias("m"))
+    end = F.col("seq") + F.col("m.depth")
+    before = Window.partitionBy(*_DOC).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    heads = longest.withColumn("reached", F.max(end).over(before)).where(F.col("reached").isNull() | (F.col("reached") < end))
+    return cut(heads.select(*_PLACE, F.col("m.first._doc").alias("s_doc"), F.col("m.first._th").alias("s_th"), F.col("m.first.seq").alias("s_seq"), F.col("m.depth").alias("n")))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """(id, first_line, last_line, n_lines, source_doc, source_line): maximal runs of lines, each beside the earlier copy it was matched with.
+    """(id, first_line, last_line, n_lines, source_doc, source_line): maximal runs of lines, each beside the earliest copy of so many lines.
 
     Line numbers count all lines from 0; n_lines counts those that aren't blank.
     """
-    lines = cut(_ranked(_positions(docs, id_col, text_col), ["h1", "h2"]))
+    lines = _lines(docs, id_col, text_col)
     runs = _runs(_doubled(lines)).where(F.col("n") >= min_lines)
-    for doc, th, seq, name in (("_doc", "_th", F.col("seq"), "first_line"), ("_doc", "_th", F.col("seq") + F.col("n") - 1, "last_line"), ("s_doc", "s_th", F.col("s_seq"), "source_line")):
-        there = lines.select(F.col("_doc").alias("l_doc"), F.col("_th").alias("l_th"), F.col("seq").alias("l_seq"), F.col("line").cast("long").alias(name))
-        runs = runs.join(there, F.col(doc).eqNullSafe(F.col("l_doc")) & (F.col(th) == F.col("l_th")) & (seq == F.col("l_seq"))).drop("l_doc", "l_th", "l_seq")
+    last, source = F.col("seq") + F.col("n") - 1, F.col("s_doc").eqNullSafe(F.col("l_doc")) & (F.col("s_th") == F.col("l_th")) & (F.col("s_seq") == F.col("l_seq"))
+    for on, name in ((_meets(F.col("seq")), "first_line"), (_meets(last), "last_line"), (source, "source_line")):
+        runs = runs.join(_there(lines, F.col("line").cast("long").alias(name)), on).drop("l_doc", "l_th", "l_seq")
     return runs.select(F.col("_doc").alias(id_col), "first_line", "last_line", F.col("n").cast("long").alias("n_lines"), F.col("s_doc").alias("source_doc"), "source_line")
 
 
@@ -110,12 +147,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if min_lines < 2:
         raise ValueError("min_lines is 2 or more; single lines are governed by min_line_chars")
-    lines = cut(_ranked(_positions(docs, id_col, text_col), ["h1", "h2"]))
+    lines = _lines(docs, id_col, text_col)
     single = lines.where(F.col("later") & (F.col("chars") >= min_line_chars)).select(*_DOC, "line")
     runs = _runs(_doubled(lines)).where(F.col("n") >= min_lines)
     covered = runs.select(*_DOC, F.explode(F.sequence("seq", F.col("seq") + F.col("n") - 1)).alias("seq")).distinct()
-    same = lines["_doc"].eqNullSafe(covered["_doc"]) & (lines["_th"] == covered["_th"]) & (lines["seq"] == covered["seq"])
-    return single.union(lines.join(covered, same, "left_semi").select(*_DOC, "line"))
+    return single.union(lines.join(_there(covered), _meets(F.col("seq")), "left_semi").select(*_DOC, "line"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_line_chars: int = MIN_LINE_CHARS) -> DataFrame:

@@ -58,10 +58,60 @@ def test_runs_are_maximal(spark):
     assert {tuple(r) for r in out.collect()} == want
 
 
+def plain_runs(texts):
+    """(id, text) in order -> runs: from each line the longest repeat of anything earlier, if it reaches further than the one before; source: the first that shares so much."""
+    at = [(i, k, line) for i, t in texts for k, line in enumerate(t.split("\n"))]
+    ends = {i: max(n for n, x in enumerate(at) if x[0] == i) + 1 for i, _ in texts}
+
+    def shared(x, y):
+        n = 0
+        while x + n < ends[at[x][0]] and y + n < ends[at[y][0]] and at[x + n][2] == at[y + n][2]:
+            n += 1
+        return n
+
+    out, reached = set(), {}
+    for y, (i, k, _) in enumerate(at):
+        n, x = max(((shared(x, y), -x) for x in range(y)), default=(0, 0))
+        if n and k + n > reached.get(i, 0):
+            reached[i] = k + n
+            out.add((i, k, k + n - 1, n, at[-x][0], at[-x][1]))
+    return out
+
+
+def test_runs_against_all_pairs_of_positions(spark):
+    """Short alphabets, so that every document shares runs of all lengths with many others, itself included."""
+    rng = random.Random(9)
+    for letters, n, lengths in ((2, 8, (2, 5)), (5, 16, (3, 4, 9))):
+        texts = [(i, "\n".join(rng.choice("abcdefghijkl"[:letters]) for _ in range(rng.randrange(1, 30)))) for i in range(n)]
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        assert {tuple(r) for r in line_dedup.repeated_runs(docs, min_lines=1).collect()} == plain_runs(texts)
+        for m in lengths:
+            got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, min_lines=m, min_line_chars=99).collect()}
+            assert got == plain(texts, m, 99)
+
+
+def test_copies_behind_a_shorter_shared_prefix(spark):
+    """An earlier document shares two lines of a run that only a later one has whole."""
+    docs = spark.createDataFrame([(1, "L1\nL2\nx1"), (2, "y0\nL1\nL2\nL3\ny1"), (3, "z0\nL1\nL2\nL3\nz1")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: ("L1\nL2\nx1", 0), 2: ("y0\nL1\nL2\nL3\ny1", 0), 3: ("z0\nz1", 3)}
+    long = [f"L{k}" for k in range(7)]
+    docs = spark.createDataFrame([(1, "\n".join(long[:5])), (2, "\n".join(long)), (3, "\n".join(long))], "doc_id long, text string")
+    assert {tuple(r) for r in line_dedup.repeated_runs(docs).collect()} == {(2, 0, 4, 5, 1, 0), (3, 0, 6, 7, 2, 0)}
+
+
+def test_repeated_rows_are_one_document(spark):
+    a, b = "\n".join(f"line {k}" for k in range(6)), "\n".join(f"line {k}" for k in range(1, 5))
+    docs = spark.createDataFrame([(1, a)] * 2000 + [(2, b)] * 1000, "doc_id long, text string")
+    got = {(r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {(1, a, 0), (2, "", 4)}
+    assert line_dedup._lines(docs, "doc_id", "text").count() == 10
+
+
 def test_doubling_ends_when_ranks_are_unique(spark):
     text = "\n".join(f"line {k}" for k in range(37))
     docs = spark.createDataFrame([(1, text), (2, text), (3, "line 3\nother")], "doc_id long, text string")
-    lines = line_dedup.cut(line_dedup._ranked(line_dedup._positions(docs, "doc_id", "text"), ["h1", "h2"]))
+    lines = line_dedup._lines(docs, "doc_id", "text")
     levels = line_dedup._doubled(lines)
     assert sorted(levels) == [1, 2, 4, 8, 16, 32] and levels[32].count() == 12
 
