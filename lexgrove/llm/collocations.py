@@ -51,22 +51,23 @@ def pieces(text: str | None) -> list[bytes]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: a text's word hashes, and how often a batch has a word (n is not null)."""
-    names = ["lang", "ids", "h", "word", "n"]
+    """Rows of two kinds: a text's word hashes, and how often a batch has a word (n is not null), with a second hash of it."""
+    names = ["lang", "ids", "h", "other", "word", "n"]
     for b in batches:
         langs, texts = b["lang"].to_pylist(), [pieces(t) for t in b["text"].to_pylist()]
-        known = {w: xxhash.xxh64_intdigest(w, seed) | 1 for ws in texts for w in ws}
+        known = {w: xxhash.xxh64_intdigest(w, seed) | 1 for w in set().union(*texts)}
         known[_MARK] = 0
         counts: dict[str, Counter] = {}
         rows = []
         for lang, ws in zip(langs, texts, strict=True):
             counts.setdefault(lang, Counter()).update(ws)
             rows.append(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary()), *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.binary(), pa.int64()))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary()), *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=names)
         for lang, of in counts.items():
             of.pop(_MARK, None)
             ids = np.fromiter((known[w] for w in of), np.uint64, len(of)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(of), pa.string()), pa.nulls(len(of), pa.binary()), pa.array(ids), pa.array(list(of), pa.binary()), pa.array(list(of.values()), pa.int64())], names=names)
+            other = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in of), np.uint64, len(of)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(of), pa.string()), pa.nulls(len(of), pa.binary()), pa.array(ids), pa.array(other), pa.array(list(of), pa.binary()), pa.array(list(of.values()), pa.int64())], names=names)
 
 
 def _seed(lang: str) -> np.uint64:
@@ -80,12 +81,13 @@ def _grow(h: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> np.uint64(64 - FILTER_BITS)
+    at = h >> np.uint64(59 - len(bits).bit_length())
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _filter(phrases: DataFrame) -> Broadcast:
-    """A filter of 2^FILTER_BITS bits with those of the phrases (lang, p) set; the driver gets its words of 64 bits, each once."""
+    """A filter with the bits of the phrases (lang, p) set: some 64 bits a phrase, but 2^FILTER_BITS in all at most. The driver gets its words of 64 bits, each once."""
+    log2 = min(FILTER_BITS, max(12, phrases.count().bit_length() + 6))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,11 +98,11 @@ def _filter(phrases: DataFrame) -> Broadcast:
             for j in range(size.max(initial=0)):
                 own = np.flatnonzero(size > j)
                 h[own] = _grow(h[own], flat[start[own] + j])
-            at = h >> np.uint64(64 - FILTER_BITS)
+            at = h >> np.uint64(64 - log2)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["at", "bits"])
 
     words = phrases.select("lang", "p").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    own = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    own = np.zeros(1 << log2 - 6, np.uint64)
     own[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return phrases.sparkSession.sparkContext.broadcast(own)
 
@@ -151,7 +153,7 @@ def _occurrences(texts: DataFrame, wanted: Callable[[list[np.ndarray]], Iterator
                     for j in range(longest):
                         h.append(_grow(h[-1], own[j : j + m]))
                         whole.append(whole[-1] & (own[j : j + m] != 0))
-                    for kind, k, mask in wanted([np.where(w, x, 0) for x, w in zip(h, whole, strict=True)]):
+                    for kind, k, mask in wanted(h):
                         at = np.flatnonzero((mask & whole[k])[:step])
                         if len(at):
                             yield _rows(lang, *_counted(own, at, h[k][at], k), kind)
@@ -195,7 +197,10 @@ def _settled(pick: DataFrame, texts: DataFrame, words: DataFrame, frequent: Broa
     cuts = cuts.select("*", F.slice("p", 1, F.col("at")).alias("one"), F.slice("p", F.col("at") + 1, k).alias("two"))
     parts = cuts.select("lang", F.col("two").alias("p")).where(F.size("p") > 1).distinct()
     open_ = pick.where((k < longest) & ((F.col("right") != F.col("a")) | F.col("right").isNull())).select("lang", "p")
-    seen = cut(_asked(texts, _filter(parts), _filter(open_), frequent, longest))
+    filters = _filter(parts), _filter(open_)
+    seen = cut(_asked(texts, *filters, frequent, longest))
+    for x in filters:
+        x.destroy()
     single = words.select("lang", F.array("h").alias("p"), F.col("f").alias("c"))
     counts = single.unionByName(seen.where("kind = 0").select("lang", "p", F.col("n").alias("c")))
     prefixes = single.unionByName(found.select("lang", "p", F.col("a").alias("c")))
@@ -214,11 +219,12 @@ def _threshold(done: DataFrame, top: int) -> DataFrame:
     return cut(done.where("survives").select("lang", "score", F.row_number().over(w).alias("k")).where(F.col("k") == top).select("lang", F.col("score").alias("tau")))
 
 
-def _text(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """rows (lang, p, ...) with `phrase`."""
-    each = rows.select("lang", "p", F.posexplode("p").alias("i", "h")).join(words.select("lang", "h", "word"), ["lang", "h"])
-    said = each.groupBy("lang", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"].cast("string")), " ").alias("phrase"))
-    return rows.join(said, ["lang", "p"])
+def _text(rows: DataFrame, said: DataFrame) -> DataFrame:
+    """rows (lang, p, ...) with `phrase`; said: (lang, h, word), a word once or more."""
+    each = cut(rows.select("lang", "p", F.posexplode("p").alias("i", "h")))
+    words = said.join(each.select("lang", "h").distinct(), ["lang", "h"]).groupBy("lang", "h").agg(F.first("word").alias("word"))
+    named = each.join(words, ["lang", "h"]).groupBy("lang", "p").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("ws"))
+    return rows.join(named.select("lang", "p", F.array_join(F.transform("ws", lambda x: x["word"].cast("string")), " ").alias("phrase")), ["lang", "p"])
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = MIN_COUNT, longest: int = MAX_WORDS, top: int = TOP, wave: int = WAVE) -> DataFrame:
@@ -235,15 +241,15 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         raise ValueError("phrases have two words or more and occur once or more")
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     for seed in range(42, 52):
-        both = cut(rows.mapInArrow(lambda it, s=seed: _encode(it, s), "lang string, ids binary, h long, word binary, n long"))
+        both = cut(rows.mapInArrow(lambda it, s=seed: _encode(it, s), "lang string, ids binary, h long, other long, word binary, n long"))
         texts = both.where("ids IS NOT NULL").select("lang", "ids")
-        unit = cut(both.where("n IS NOT NULL").groupBy("lang", "h").agg(F.sum("n").alias("f"), F.min("word").alias("word"), F.max("word").alias("last")))
-        if unit.where("word <> last").isEmpty():
+        unit = cut(both.where("n IS NOT NULL").groupBy("lang", "h").agg(F.sum("n").alias("f"), F.min("other").alias("low"), F.max("other").alias("high")))
+        if unit.where("low <> high").isEmpty():
             break
     else:
         raise RuntimeError("words of one hash under every seed")
     sizes = cut(unit.groupBy("lang").agg(F.sum("f").alias("n_lang")))
-    words = cut(unit.where(F.col("f") >= least).join(sizes, "lang").select("lang", "h", "word", "f", "n_lang"))
+    words = cut(unit.where(F.col("f") >= least).join(sizes, "lang").select("lang", "h", "f", "n_lang"))
     frequent = _filter(words.select("lang", F.array("h").alias("p")))
     bound = F.expr("(cast(1000 as decimal(4,0)) * cast(n_lang as decimal(18,0))) div cast(f as decimal(18,0))")
     most = words.agg(F.max("f")).first()[0] or 0
@@ -257,7 +263,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
             continue
         levels = []
         for k in range(2, longest + 1):
-            nodes = cut(_level(texts, k, _filter(nodes), frequent, least))
+            prefixes = _filter(nodes)
+            nodes = cut(_level(texts, k, prefixes, frequent, least))
+            prefixes.destroy()
             if nodes.isEmpty():
                 break
             levels.append(nodes)
@@ -284,9 +292,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
             done = now if done is None else done.unionByName(now)
             tau = _threshold(done, top)
             pending = cut(pending.join(pick.select("lang", "p"), ["lang", "p"], "left_anti"))
+    frequent.destroy()
     if done is None:
         return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     kept = done.where("survives").join(tau, "lang", "left").where(F.col("score") >= F.coalesce("tau", F.lit(0)))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = _text(kept, words).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    ranked = _text(cut(kept), both.where("n IS NOT NULL").select("lang", "h", "word")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", F.col("n_lang").alias("n"), "score")
