@@ -161,14 +161,15 @@ def _occurrences(texts: DataFrame, wanted: Callable[[list[np.ndarray]], Iterator
     return texts.select("lang", "ids").mapInArrow(run, "lang string, p array<long>, n long, kind int").groupBy("lang", "p", "kind").agg(F.sum("n").alias("n"))
 
 
-def _level(texts: DataFrame, k: int, prefixes: Broadcast, words: Broadcast, least: int) -> DataFrame:
+def _level(texts: DataFrame, k: int, nodes: DataFrame, prefixes: Broadcast, words: Broadcast, least: int) -> DataFrame:
     """(lang, p, a): phrases of k words that begin with a prefix of the frontier and end with a frequent word."""
 
     def wanted(h: list[np.ndarray]):
         last = np.append(_has(words.value, h[1])[k - 1 :], np.zeros(k - 1, bool))
         yield 0, k, _has(prefixes.value, h[k - 1]) & last
 
-    return _occurrences(texts, wanted, k).where(F.col("n") >= least).select("lang", "p", F.col("n").alias("a"))
+    found = _occurrences(texts, wanted, k).where(F.col("n") >= least).select("lang", "p", F.col("n").alias("a"), F.slice("p", 1, k - 1).alias("prefix"))
+    return found.join(nodes.select("lang", F.col("p").alias("prefix")), ["lang", "prefix"], "left_semi").drop("prefix")
 
 
 def _asked(texts: DataFrame, parts: Broadcast, followed: Broadcast, words: Broadcast, longest: int) -> DataFrame:
@@ -264,7 +265,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         levels = []
         for k in range(2, longest + 1):
             prefixes = _filter(nodes)
-            nodes = cut(_level(texts, k, prefixes, frequent, least))
+            nodes = cut(_level(texts, k, nodes, prefixes, frequent, least))
             prefixes.destroy()
             if nodes.isEmpty():
                 break
