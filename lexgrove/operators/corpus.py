@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexgrove.functions import text as T
 from lexgrove.operators.graph import cut
 
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, source, line, ltxt), lines counted from 1, empty ones included."""
     return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("p", "ltxt")).select("doc_id", "source", (F.col("p") + 1).cast("long").alias("line"), "ltxt")
@@ -35,32 +36,51 @@ def with_sentences(tok: DataFrame) -> DataFrame:
     return tok.withColumn("sent", F.coalesce(F.sum(F.when(F.col("after").rlike("[.!?]"), 1).otherwise(0)).over(w), F.lit(0)).cast("long"))
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with `name`: their number from 1 inside a group, in order."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+
+def document_sizes(docs: DataFrame) -> DataFrame:
+    """(source, doc_id, n_tokens, n_lines, first_token, last_token): of documents with tokens, from their texts by patterns alone, no token made."""
+    start = F.regexp_extract("text", r"^\s*", 0)
+    with_words = F.filter(F.transform(F.split("text", "\n"), lambda s, i: F.struct((i + 1).alias("line"), s.alias("s"))), lambda x: x["s"].rlike(r"\S"))
+    last = F.element_at(F.col("ls"), -1)
+    own = docs.select("source", "doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).cast("long").alias("n_tokens"), (F.length(start) - F.length(F.replace(start, F.lit("\n"), F.lit(""))) + 1).alias("line"), with_words.alias("ls"))
+    own = own.where("n_tokens > 0").select("source", "doc_id", "n_tokens", F.size("ls").cast("long").alias("n_lines"), T.token_id(F.col("doc_id"), F.col("line"), F.lit(1)).alias("first_token"), T.token_id(F.col("doc_id"), last["line"], F.size(F.regexp_extract_all(last["s"], F.lit(r"\S+"), F.lit(0)))).alias("last_token"))
+    return own.groupBy("source", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_lines").alias("n_lines"), F.min("first_token").alias("first_token"), F.max("last_token").alias("last_token"))
+
+
 def documents_in_order(docs: DataFrame) -> DataFrame:
-    """(doc_id, offset, next_head): tokens in all documents before this one by (source, doc_id), and the id of the next token of the source after it.
+    """Documents with tokens, with what stands before them by (source, doc_id) and what comes after.
 
-    Documents are dealt out in ranges of that order; a window runs inside each range, and one
-    over a row for each range carries on from range to range.
+    doc_no counts them from 1; offset and line_offset are the tokens and lines before; next_head is
+    the id of the next token of the source. Documents are dealt out in ranges of that order; a
+    window runs inside each range, and one over a row for each range carries on from range to
+    range.
     """
-    pieces = _pieces(F.col("text"))
-    head = F.when(F.size(pieces) > 0, T.token_id(F.col("doc_id"), F.get(pieces, F.lit(0))["line"], F.get(pieces, F.lit(0))["word"]))
-    own = docs.select("source", "doc_id", F.size(pieces).cast("long").alias("n"), head.alias("head"))
-    by_doc = own.groupBy("source", "doc_id").agg(F.sum("n").alias("n"), F.min("head").alias("head"))
-    start = F.when(F.col("head").isNotNull(), F.struct("source", "head"))
-    dealt = cut(by_doc.repartitionByRange("source", "doc_id").select("*", F.spark_partition_id().alias("part"), start.alias("start")))
+    start = F.struct("source", F.col("first_token").alias("head"))
+    dealt = cut(document_sizes(docs).repartitionByRange("source", "doc_id").select("*", F.spark_partition_id().alias("part"), start.alias("start")))
     up = Window.partitionBy("part").orderBy("source", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("part").orderBy(F.col("source").desc(), F.col("doc_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt.select("source", "doc_id", "part", F.coalesce(F.sum("n").over(up), F.lit(0)).alias("inner"), F.last("start", ignorenulls=True).over(down).alias("inner_next"))
-    parts = dealt.groupBy("part").agg(F.sum("n").alias("n"), F.min("start").alias("start"))
+    sums = {"offset": F.sum("n_tokens"), "line_offset": F.sum("n_lines"), "doc_no": F.count("*")}
+    placed = dealt.select("source", "doc_id", "n_tokens", "n_lines", "first_token", "last_token", "part", *(F.coalesce(x.over(up), F.lit(0)).alias(f"inner_{k}") for k, x in sums.items()), F.last("start", ignorenulls=True).over(down).alias("inner_next"))
+    parts = dealt.groupBy("part").agg(*(x.alias(k) for k, x in sums.items()), F.min("start").alias("start"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.last("start", ignorenulls=True).over(after).alias("later"))
+    parts = parts.select("part", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums), F.last("start", ignorenulls=True).over(after).alias("later"))
     following = F.coalesce("inner_next", "later")
-    return placed.join(parts, "part").select("doc_id", (F.col("base") + F.col("inner")).alias("offset"), F.when(following["source"] == F.col("source"), following["head"]).alias("next_head"))
+    total = {k: F.col(k) + F.col(f"inner_{k}") for k in sums}
+    return placed.join(parts, "part").select("source", "doc_id", "n_tokens", "n_lines", "first_token", "last_token", total["offset"].alias("offset"), total["line_offset"].alias("line_offset"), (total["doc_no"] + 1).alias("doc_no"), F.when(following["source"] == F.col("source"), following["head"]).alias("next_head"))
 
 
-def with_order(tok: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds ord, the token's place in the whole corpus, from 1, by (source, doc_id, line, word), and, if tokens have ids, next_id: the following token of the same book, across documents."""
-    placed = tok.join(documents_in_order(docs), "doc_id").withColumn("ord", F.col("offset") + F.col("doc_ord"))
+def with_order(tok: DataFrame, docs: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """Adds ord, the token's place in the whole corpus, from 1, by (source, doc_id, line, word), and, if tokens have ids, next_id: the following token of the same book, across documents.
+
+    chapters: what documents_in_order gives, if it is there already.
+    """
+    chapters = documents_in_order(docs) if chapters is None else chapters
+    placed = tok.join(chapters.select("source", "doc_id", "offset", "next_head"), ["source", "doc_id"]).withColumn("ord", F.col("offset") + F.col("doc_ord"))
     if "id" in tok.columns:
         own = F.lead("id").over(Window.partitionBy("doc_id").orderBy("line", "word"))
         placed = placed.withColumn("next_id", F.coalesce(own, F.col("next_head")))
@@ -69,7 +89,7 @@ def with_order(tok: DataFrame, docs: DataFrame) -> DataFrame:
 
 def with_ordinals(tok: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds ord alone."""
-    return tok.join(documents_in_order(docs).drop("next_head"), "doc_id").withColumn("ord", F.col("offset") + F.col("doc_ord")).drop("offset")
+    return tok.join(documents_in_order(docs).select("source", "doc_id", "offset"), ["source", "doc_id"]).withColumn("ord", F.col("offset") + F.col("doc_ord")).drop("offset")
 
 
 def identified(tok: DataFrame) -> DataFrame:
@@ -98,9 +118,9 @@ def joined_text(surface: str = "surface", after: str = "after") -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(place)), lambda x: x["t"]), " ")
 
 
-def span(key: list[str], tok: DataFrame) -> DataFrame:
+def span(key: list[str], tok: DataFrame, *more: Column) -> DataFrame:
     """First and last token, count and text by key."""
-    return tok.groupBy(*key).agg(F.min_by("id", F.struct("doc_id", "line", "word")).alias("first_token"), F.max_by("id", F.struct("doc_id", "line", "word")).alias("last_token"), F.count("*").alias("n_tokens"), joined_text().alias("text"))
+    return tok.groupBy(*key).agg(*more, F.min_by("id", F.struct("doc_id", "line", "word")).alias("first_token"), F.max_by("id", F.struct("doc_id", "line", "word")).alias("last_token"), F.count("*").alias("n_tokens"), joined_text().alias("text"))
 
 
 def lemmas(tok: DataFrame) -> DataFrame:
@@ -112,3 +132,9 @@ def books(tok: DataFrame) -> DataFrame:
     """(source, n_docs, n_lines, n_tokens): lines that have tokens are counted in each document, then summed."""
     by_doc = tok.groupBy("source", "doc_id").agg(F.count_distinct("line").alias("n_lines"), F.count("*").alias("n"))
     return by_doc.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_lines").alias("n_lines"), F.sum("n").alias("n_tokens"))
+
+
+def books_of(chapters: DataFrame) -> DataFrame:
+    """books by sums over documents_in_order, and their first and last token and ordinals."""
+    last = F.col("offset") + F.col("n_tokens")
+    return chapters.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_lines").alias("n_lines"), F.sum("n_tokens").alias("n_tokens"), F.min_by("first_token", "doc_no").alias("first_token"), F.max_by("last_token", "doc_no").alias("last_token"), (F.min("offset") + 1).alias("first_ord"), F.max(last).alias("last_ord"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgrove.functions import text as T
+from lexgrove.operators import corpus as C
 from lexgrove.operators.graph import cut
 
 
@@ -158,56 +161,106 @@ def _opened(spans: DataFrame, chapters: DataFrame) -> DataFrame:
     return one.unionByName(many)
 
 
-def resolve(spans: DataFrame, ident: str, tok: DataFrame) -> DataFrame:
-    """(ident, status, n_tokens, n_lines, first_token, last_token) for references parsed to spans.
+@dataclass(frozen=True)
+class Index:
+    """What references are looked up in, none of it by token.
+
+    lines: source, doc_id, line, n_tokens, first_token, last_token, first_ord, last_ord, line_ord; chapters: what
+    documents_in_order gives; books: what books_of gives. Ordinals and line_ord are cumulated counts, so the size of a span
+    is the difference of the rows of its ends.
+    """
+
+    lines: DataFrame
+    chapters: DataFrame
+    books: DataFrame
+
+
+def index(docs: DataFrame) -> Index:
+    """The index of documents (doc_id, source, text) that no store holds."""
+    chapters = cut(C.documents_in_order(docs))
+    tok = C.with_order(C.identified(C.tokens(docs)), docs, chapters)
+    spans = C.span(["source", "doc_id", "line"], tok, F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")).drop("text")
+    lines = C.numbered(spans, ["source", "doc_id"], ["line"], "n").join(chapters.select("source", "doc_id", "line_offset"), ["source", "doc_id"])
+    return Index(cut(lines.withColumn("line_ord", F.col("line_offset") + F.col("n")).drop("n", "line_offset")), chapters, C.books_of(chapters))
+
+
+def resolve(spans: DataFrame, ident: str, at: Index) -> DataFrame:
+    """(ident, status, n_tokens, n_lines, first_token, last_token, first_ord, last_ord) for references parsed to spans.
 
-    tok: (id, source, doc_id, line, word); a chapter is a document, a verse a line with tokens. A
-    range needs both its ends, a chapter range every chapter, a word range both words; gaps in
-    between are tolerated. Status is found, absent or malformed. Spans are joined to lines by
-    chapter, and whole books to one row a book, so no join lists a book's lines for a reference.
+    A chapter is a document, a verse a line with tokens. A range needs both its ends, a chapter
+    range every chapter, a word range both words; gaps in between are tolerated. Status is found,
+    absent or malformed. Each span looks up its two ends, whatever it covers: chapters are
+    complete if the numbers of the first and last are as far apart as the chapters asked for.
     """
-    verses = cut(tok.groupBy("source", "doc_id", "line").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last")))  # read for chapters, spans and books
-    good = spans.where("error IS NULL")
-    at = F.struct("doc_id", "line")
-    wanted = F.col("v1").isNull() | ((at >= F.struct("c1", "v1")) & (at <= F.struct("c2", "v2")))
-    opened = _opened(good.where("w1 IS NULL"), verses.select("source", "doc_id").distinct())
-    hits = opened.join(verses, F.col("_doc") == F.col("doc_id")).where((F.col("book").isNull() | (F.col("book") == F.col("source"))) & wanted)
-    starts = F.max((F.col("doc_id") == F.col("c1")) & (F.col("line") == F.col("v1")))
-    ends = F.max((F.col("doc_id") == F.col("c2")) & (F.col("line") == F.col("v2")))
-    ok = F.when(F.first("v1").isNull(), F.count_distinct("doc_id") == F.first("c2") - F.first("c1") + 1).otherwise(starts & ends)
-    parts = [F.sum("size").alias("size"), F.count("*").alias("lines"), F.min("first").alias("first"), F.max("last").alias("last")]
-    by_span = hits.groupBy(ident, "n_span").agg(ok.alias("ok"), *parts)
-    by_book = verses.groupBy(F.col("source").alias("book")).agg(*parts)
-    whole = good.where("c1 IS NULL").join(by_book, "book").select(ident, "n_span", F.lit(True).alias("ok"), "size", "lines", "first", "last")
-    word = good.where("w1 IS NOT NULL").join(tok, (F.col("c1") == tok.doc_id) & (F.col("v1") == tok.line) & (tok.word.between(F.col("w1"), F.col("w2"))) & (F.col("book").isNull() | (F.col("book") == tok.source)))
-    has = lambda w: F.max(F.col("word") == F.col(w))
-    by_word = word.groupBy(ident, "n_span").agg((has("w1") & has("w2")).alias("ok"), F.count("*").alias("size"), F.lit(1).cast("long").alias("lines"), F.min("id").alias("first"), F.max("id").alias("last"))
-    found = spans.select(ident, "n_span", "error").join(by_span.unionByName(by_word).unionByName(whole), [ident, "n_span"], "left")
+    good = spans.where("error IS NULL").select(ident, "n_span", "book", *SPAN)
+    columns = ["ok", "size", "lines", "first", "last", "low", "high"]
+
+    def ends(part: DataFrame, table: DataFrame, keys: dict[str, tuple[str, str]], values: dict[str, Column]) -> DataFrame:
+        """part with the rows of its first and last end, as one_ and two_ columns."""
+        out = part
+        for k, name in enumerate(("one", "two")):
+            there = table.select(F.col("source").alias(f"{name}_source"), *(F.col(c).alias(f"{name}_{c}") for c in keys), *(v.alias(f"{name}_{c}") for c, v in values.items()))
+            on = F.col("book").isNull() | (F.col("book") == F.col(f"{name}_source"))
+            for c, pair in keys.items():
+                on = on & (F.col(pair[k]) == F.col(f"{name}_{c}"))
+            out = out.join(there, on)
+        return out.where("one_source = two_source")
+
+    last = F.col("offset") + F.col("n_tokens")
+    chapter = {"no": F.col("doc_no"), "low": F.col("offset") + 1, "high": last, "before": F.col("line_offset"), "upto": F.col("line_offset") + F.col("n_lines"), "first": F.col("first_token"), "last": F.col("last_token")}
+    by_chapter = ends(good.where("c1 IS NOT NULL AND v1 IS NULL"), at.chapters, {"doc_id": ("c1", "c2")}, chapter)
+    by_chapter = by_chapter.select(ident, "n_span", (F.expr("two_no - one_no = c2 - c1")).alias("ok"), F.expr("two_high - one_low + 1").alias("size"), F.expr("two_upto - one_before").alias("lines"), F.col("one_first").alias("first"), F.col("two_last").alias("last"), F.col("one_low").alias("low"), F.col("two_high").alias("high"))
+    line = {"no": F.col("line_ord"), "low": F.col("first_ord"), "high": F.col("last_ord"), "first": F.col("first_token"), "last": F.col("last_token")}
+    by_line = ends(good.where("v1 IS NOT NULL AND w1 IS NULL"), at.lines, {"doc_id": ("c1", "c2"), "line": ("v1", "v2")}, line)
+    by_line = by_line.select(ident, "n_span", F.lit(True).alias("ok"), F.expr("two_high - one_low + 1").alias("size"), F.expr("two_no - one_no + 1").alias("lines"), F.col("one_first").alias("first"), F.col("two_last").alias("last"), F.col("one_low").alias("low"), F.col("two_high").alias("high"))
+    # words are numbered from 1 in their line, so its size tells which there are
+    worded = good.where("w1 IS NOT NULL").join(at.lines, (F.col("c1") == F.col("doc_id")) & (F.col("v1") == F.col("line")) & (F.col("book").isNull() | (F.col("book") == F.col("source"))))
+    by_word = worded.select(ident, "n_span", (F.col("w2") <= F.col("n_tokens")).alias("ok"), F.expr("w2 - w1 + 1").alias("size"), F.lit(1).cast("long").alias("lines"), *(T.token_id(F.col("c1"), F.col("v1"), F.col(w)).alias(a) for w, a in (("w1", "first"), ("w2", "last"))), F.expr("first_ord + w1 - 1").alias("low"), F.expr("first_ord + w2 - 1").alias("high"))
+    book = at.books.select(F.col("source").alias("book"), F.lit(True).alias("ok"), F.col("n_tokens").alias("size"), F.col("n_lines").alias("lines"), F.col("first_token").alias("first"), F.col("last_token").alias("last"), F.col("first_ord").alias("low"), F.col("last_ord").alias("high"))
+    whole = good.where("c1 IS NULL").join(book, "book").select(ident, "n_span", *columns)
+    each = by_chapter.unionByName(by_line).unionByName(by_word).unionByName(whole)
+    found = spans.select(ident, "n_span", "error").join(each, [ident, "n_span"], "left")
+    held = lambda c: F.when(F.col("ok"), F.col(c))
     all_ok = F.bool_and(F.coalesce("ok", F.lit(False)))
-    return found.groupBy(ident).agg(F.when(F.max("error").isNotNull(), "malformed").when(all_ok, "found").otherwise("absent").alias("status"), *(F.sum(F.when(F.col("ok"), F.col(c))).alias(a) for c, a in (("size", "n_tokens"), ("lines", "n_lines"))), F.min(F.when(F.col("ok"), F.col("first"))).alias("first_token"), F.max(F.when(F.col("ok"), F.col("last"))).alias("last_token"))
+    return found.groupBy(ident).agg(F.when(F.max("error").isNotNull(), "malformed").when(all_ok, "found").otherwise("absent").alias("status"), F.sum(held("size")).alias("n_tokens"), F.sum(held("lines")).alias("n_lines"), F.min_by("first", held("low")).alias("first_token"), F.max_by("last", held("high")).alias("last_token"), F.min(held("low")).alias("first_ord"), F.max(held("high")).alias("last_ord"))
 
 
-def resolve_refs(refs: DataFrame, ident: str, text: str, books: DataFrame, aliases: DataFrame, tok: DataFrame) -> DataFrame:
-    """What resolve gives, from the texts of references; ids of lemmas are found if they occur, with their tokens counted and no passage."""
+def resolve_refs(refs: DataFrame, ident: str, text: str, books: DataFrame, aliases: DataFrame, at: Index, lemmas: DataFrame) -> DataFrame:
+    """What resolve gives, from the texts of references; ids of lemmas are found if they occur, with their tokens counted and no passage. lemmas: (lemma, n_tokens)."""
     s = F.trim(F.col(text))
     is_lemma = F.coalesce(T.kind_of(s) == "lemma", F.lit(False))
-    passages = resolve(parse_refs(refs.where(~is_lemma), ident, text, books, aliases).withColumn("n_span", F.col("n")), ident, tok)
-    counts = tok.groupBy(F.concat(F.lit("lemma:"), "lemma").alias("_lemma")).agg(F.count("*").alias("n_tokens"))
+    passages = resolve(parse_refs(refs.where(~is_lemma), ident, text, books, aliases).withColumn("n_span", F.col("n")), ident, at)
     none = F.lit(None)
-    lemmas = refs.where(is_lemma).select(ident, s.alias("_lemma")).join(counts, "_lemma", "left")
-    return passages.unionByName(lemmas.select(ident, F.when(F.col("n_tokens").isNull(), "absent").otherwise("found").alias("status"), "n_tokens", none.cast("long").alias("n_lines"), none.cast("string").alias("first_token"), none.cast("string").alias("last_token")))
-
-
-def interlinear(spans: DataFrame, ident: str, tok: DataFrame) -> DataFrame:
-    """(ident, tok columns): the tokens of the books, lines or words that each span names, each once for a reference."""
-    opened = _opened(spans, tok.select("source", "doc_id").distinct())
-    at = F.struct("doc_id", "line")
-    hit = F.col("v1").isNull() | ((at >= F.struct("c1", "v1")) & (at <= F.struct("c2", "v2")))
-    word = F.col("w1").isNull() | F.col("word").between(F.col("w1"), F.col("w2"))
-    same = (F.col("_doc") == F.col("doc_id")) & (F.col("book").isNull() | (F.col("book") == F.col("source")))
-    placed = opened.join(tok, same).where(hit & word).select(ident, *tok.columns)
-    whole = spans.where("error IS NULL AND c1 IS NULL").select(ident, F.col("book").alias("source")).join(tok, "source").select(ident, *tok.columns)
-    return placed.unionByName(whole).distinct()
+    asked = refs.where(is_lemma).select(ident, F.substring(s, 7, 1 << 30).alias("lemma")).join(lemmas.select("lemma", "n_tokens"), "lemma", "left")
+    return passages.unionByName(asked.select(ident, F.when(F.col("n_tokens").isNull(), "absent").otherwise("found").alias("status"), "n_tokens", *(none.cast("string" if c.endswith("token") else "long").alias(c) for c in ("n_lines", "first_token", "last_token", "first_ord", "last_ord"))))
+
+
+def intervals(spans: DataFrame, ident: str, chapters: DataFrame) -> DataFrame:
+    """(ident, doc_id, source, low, high): the places (line, word) that a reference's spans name in each document; those that overlap are merged."""
+    top = F.lit((1 << 63) - 1)
+    of = chapters.select("source", "doc_id")
+    opened = _opened(spans, of).join(of, (F.col("_doc") == F.col("doc_id")) & (F.col("book").isNull() | (F.col("book") == F.col("source"))))
+    edge = lambda v, w, default: F.struct(F.coalesce(v, default).alias("line"), F.coalesce(w, default).alias("word"))
+    first, last = F.col("_doc") == F.col("c1"), F.col("_doc") == F.col("c2")
+    zero = F.lit(0).cast("long")
+    placed = opened.select(ident, "source", "doc_id", edge(F.when(first, F.col("v1")), F.when(first, F.col("w1")), zero).alias("low"), edge(F.when(last, F.col("v2")), F.when(last, F.col("w2")), top).alias("high"))
+    whole = spans.where("error IS NULL AND c1 IS NULL").select(ident, F.col("book").alias("source")).join(of, "source").select(ident, "source", "doc_id", F.struct(zero.alias("line"), zero.alias("word")).alias("low"), F.struct(top.alias("line"), top.alias("word")).alias("high"))
+    w = Window.partitionBy(ident, "source", "doc_id").orderBy("low", "high")
+    reached = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = placed.unionByName(whole).withColumn("new", F.when(reached.isNull() | (reached < F.col("low")), 1).otherwise(0))
+    parted = marked.withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return parted.groupBy(ident, "source", "doc_id", "part").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("part")
+
+
+def interlinear(spans: DataFrame, ident: str, tok: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """(ident, tok columns): the tokens of the books, lines or words that each span names, each once for a reference.
+
+    Spans are merged before they meet tokens, by document, so token rows are never compared with one another.
+    """
+    merged = intervals(spans, ident, tok.select("source", "doc_id").distinct() if chapters is None else chapters)
+    asked = merged.select(ident, F.col("source").alias("_source"), F.col("doc_id").alias("_of"), "low", "high")
+    place = F.struct("line", "word")
+    return tok.join(asked, (F.col("doc_id") == F.col("_of")) & (F.col("source") == F.col("_source")) & (place >= F.col("low")) & (place <= F.col("high"))).select(ident, *tok.columns)
 
 
 def cells(rows: DataFrame, by: list[str]) -> DataFrame:

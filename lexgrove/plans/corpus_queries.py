@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import text as T
 from lexgrove.operators import corpus as C
+from lexgrove.operators.stored import Store, session_store
 from lexgrove.plans.registry import register
 
 #: The corpus in SQL: tok(doc_id, source, line, word, surface, after, doc_ord, ord, sent), and keyed(..., id, key, lemma).
@@ -39,6 +40,11 @@ def dealt(spark: SparkSession, sf: str) -> DataFrame:
     return d.repartition(cores, "doc_id") if d.rdd.getNumPartitions() < cores else d
 
 
+def store(spark: SparkSession, sf: str) -> Store:
+    """The derived tables of the documents, built at the first use of each and read ever after."""
+    return session_store(spark, f"{sf}/documents.parquet")
+
+
 def tok(spark: SparkSession, sf: str) -> DataFrame:
     return C.tokens(dealt(spark, sf))
 
@@ -51,11 +57,6 @@ def sents(spark: SparkSession, sf: str) -> DataFrame:
     return C.with_sentences(keyed(spark, sf))
 
 
-def ordered(spark: SparkSession, sf: str) -> DataFrame:
-    d = dealt(spark, sf)
-    return C.with_ordinals(C.identified(C.tokens(d)), d)
-
-
 # Projections, filters, predicates
 
 
@@ -66,7 +67,7 @@ def p1(spark, sf):
 
 @register("p3_scope", TOK + "SELECT ord, source, surface FROM tok WHERE ord BETWEEN 5000 AND 9000")
 def p3(spark, sf):
-    return ordered(spark, sf).where(F.col("ord").between(5000, 9000)).select("ord", "source", "surface")
+    return store(spark, sf).table("token").where(F.col("ord").between(5000, 9000)).select("ord", "source", "surface")
 
 
 @register("p4_null_safe", TOK + "SELECT doc_id, line, word, nullif(after, '') AS mark FROM tok WHERE nullif(after, '') IS DISTINCT FROM '.' AND after <> ','")
@@ -182,13 +183,12 @@ def a11(spark, sf):
 
 @register("w1_global_ord", TOK + "SELECT id, ord FROM keyed")
 def w1(spark, sf):
-    return ordered(spark, sf).select("id", "ord")
+    return store(spark, sf).table("token").select("id", "ord")
 
 
 @register("w2_next_id", TOK + "SELECT id, lead(id) OVER (PARTITION BY source ORDER BY id) AS next_id FROM keyed")
 def w2(spark, sf):
-    d = dealt(spark, sf)
-    return C.with_order(C.identified(C.tokens(d)), d).select("id", "next_id")
+    return store(spark, sf).table("token").select("id", "next_id")
 
 
 GRAMS = TOK + ", g AS (SELECT doc_id, source, sent, line, word, lemma AS l1, lead(lemma, 1) OVER w AS l2, lead(lemma, 2) OVER w AS l3 FROM keyed WINDOW w AS (PARTITION BY doc_id, sent ORDER BY line, word)) "
@@ -309,29 +309,28 @@ def f13(spark, sf):
 
 @register("b1_token", TOK + "SELECT id, source, doc_id, line, word, ord, surface, after, key, lemma, sent, lead(id) OVER (PARTITION BY source ORDER BY id) AS next_id FROM keyed")
 def b1(spark, sf):
-    d = dealt(spark, sf)
-    k = C.with_order(C.with_sentences(C.identified(C.tokens(d))), d)
-    return k.select("id", "source", "doc_id", "line", "word", "ord", "surface", "after", "key", "lemma", "sent", "next_id")
+    """The stored tokens; the first query of a corpus writes them."""
+    return store(spark, sf).table("token").select("id", "source", "doc_id", "line", "word", "ord", "surface", "after", "key", "lemma", "sent", "next_id")
 
 
 @register("b2_lemma", TOK + "SELECT 'lemma:' || lemma AS id, lemma, min(key) AS key, count(*)::BIGINT AS n_tokens, string_agg(DISTINCT surface, '|' ORDER BY surface) AS surfaces FROM keyed GROUP BY lemma")
 def b2(spark, sf):
-    return C.lemmas(keyed(spark, sf))
+    return store(spark, sf).table("lemma")
 
 
 @register("b3_line", TOK + f"SELECT doc_id, line, min(id) AS first_token, max(id) AS last_token, count(*)::BIGINT AS n_tokens, {TEXT_AGG} AS text FROM keyed GROUP BY 1, 2")
 def b3(spark, sf):
-    return C.span(["doc_id", "line"], keyed(spark, sf))
+    return store(spark, sf).table("line").select("doc_id", "line", "first_token", "last_token", "n_tokens", "text")
 
 
 @register("b4_sentence", TOK + f"SELECT doc_id, sent, min(id) AS first_token, max(id) AS last_token, count(*)::BIGINT AS n_tokens, {TEXT_AGG} AS text FROM keyed GROUP BY 1, 2")
 def b4(spark, sf):
-    return C.span(["doc_id", "sent"], sents(spark, sf))
+    return store(spark, sf).table("sentence").select("doc_id", "sent", "first_token", "last_token", "n_tokens", "text")
 
 
 @register("b6_book", TOK + "SELECT 'book:' || source AS id, source, count(DISTINCT doc_id)::BIGINT AS n_docs, count(DISTINCT doc_id * 100000 + line)::BIGINT AS n_lines, count(*)::BIGINT AS n_tokens FROM tok GROUP BY 2")
 def b6(spark, sf):
-    return C.books(tok(spark, sf)).withColumn("id", F.concat(F.lit("book:"), "source"))
+    return store(spark, sf).table("book").select("id", "source", "n_docs", "n_lines", "n_tokens")
 
 
 # Saved queries
@@ -339,17 +338,17 @@ def b6(spark, sf):
 
 @register("q1_lemma_occurrences", TOK + "SELECT id, source, doc_id, line, surface, ord FROM keyed WHERE lemma = 'the'")
 def q1(spark, sf):
-    return ordered(spark, sf).where("lemma = 'the'").select("id", "source", "doc_id", "line", "surface", "ord")
+    return store(spark, sf).table("token").where("lemma = 'the'").select("id", "source", "doc_id", "line", "surface", "ord")
 
 
 @register("q2_lemma_by_book", TOK + "SELECT source, count(*)::BIGINT AS n FROM keyed WHERE lemma = 'the' GROUP BY 1")
 def q2(spark, sf):
-    return keyed(spark, sf).where("lemma = 'the'").groupBy("source").agg(F.count("*").alias("n"))
+    return store(spark, sf).table("token").where("lemma = 'the'").groupBy("source").agg(F.count("*").alias("n"))
 
 
 @register("q6_split_lines", TOK + "SELECT doc_id, line, count(DISTINCT sent)::BIGINT AS n_sentences FROM tok GROUP BY 1, 2 HAVING count(DISTINCT sent) > 1")
 def q6(spark, sf):
-    return sents(spark, sf).groupBy("doc_id", "line").agg(F.count_distinct("sent").alias("n_sentences")).where("n_sentences > 1")
+    return store(spark, sf).table("token").groupBy("doc_id", "line").agg(F.count_distinct("sent").alias("n_sentences")).where("n_sentences > 1")
 
 
 SHARED = ", a AS (SELECT l1, l2, l3, count(*)::BIGINT AS n_a FROM g WHERE l3 IS NOT NULL AND {a} GROUP BY 1, 2, 3), b AS (SELECT l1, l2, l3, count(*)::BIGINT AS n_b FROM g WHERE l3 IS NOT NULL AND {b} GROUP BY 1, 2, 3) SELECT l1, l2, l3, n_a, n_b FROM a JOIN b USING (l1, l2, l3)"
@@ -357,8 +356,8 @@ SHARED = ", a AS (SELECT l1, l2, l3, count(*)::BIGINT AS n_a FROM g WHERE l3 IS
 
 @register("q8_shared_trigrams", GRAMS + SHARED.format(a="source = 'src0'", b="source = 'src1'"))
 def q8(spark, sf):
-    d = dealt(spark, sf).where(F.col("source").isin("src0", "src1"))
-    return C.shared_trigrams(C.trigrams(C.with_sentences(C.tokens(d))), F.col("source") == "src0", F.col("source") == "src1")
+    scope = store(spark, sf).table("token").where(F.col("source").isin("src0", "src1"))
+    return C.shared_trigrams(C.trigrams(scope, F.col("lemma")), F.col("source") == "src0", F.col("source") == "src1")
 
 
 @register("j9_trigram_self_join", GRAMS + SHARED.format(a="source IN ('src2', 'src3')", b="source NOT IN ('src2', 'src3')"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import text as T
 from lexgrove.operators import passages as P
-from lexgrove.plans.corpus_queries import TOK, docs, keyed
+from lexgrove.plans.corpus_queries import TOK, docs, store
 from lexgrove.plans.registry import register
 
 
@@ -114,16 +114,20 @@ al AS (SELECT s.ref_id, s.error, coalesce(sp.ok, false) AS ok, sp.n, sp.lines, s
 SELECT ref_id, CASE WHEN max(error) IS NOT NULL THEN 'malformed' WHEN bool_and(ok) THEN 'found' ELSE 'absent' END AS status, (sum(n) FILTER (WHERE ok))::BIGINT AS n_tokens, (sum(lines) FILTER (WHERE ok))::BIGINT AS n_lines, min(f) FILTER (WHERE ok) AS first_token, max(l) FILTER (WHERE ok) AS last_token FROM al GROUP BY 1
 UNION ALL SELECT -4 * d.doc_id - 4, CASE WHEN c.n IS NULL THEN 'absent' ELSE 'found' END, c.n, NULL, NULL, NULL FROM documents d LEFT JOIN (SELECT lemma, count(*)::BIGINT AS n FROM keyed GROUP BY 1) c ON c.lemma = CASE WHEN d.doc_id % 20 = 1 THEN 'the' ELSE 'zzzz' END WHERE d.doc_id % 10 = 1""")
 def x1(spark, sf):
-    return P.resolve_refs(references(spark, sf).union(lemma_references(spark, sf)), "ref_id", "ref", *book_table(spark, sf), keyed(spark, sf))
+    """Each span looks up the rows of its two ends; no token is read."""
+    s = store(spark, sf)
+    refs = references(spark, sf).union(lemma_references(spark, sf))
+    found = P.resolve_refs(refs, "ref_id", "ref", *book_table(spark, sf), P.Index(s.table("line"), s.table("chapter"), s.table("book")), s.table("lemma"))
+    return found.drop("first_ord", "last_ord")
 
 
 @register("x2_reverse", TOK + "SELECT k.id, k.source || ' ' || k.doc_id || ':' || k.line || '!' || k.word AS ref, k.surface, k.lemma, l.n AS lemma_total FROM keyed k JOIN (SELECT lemma, count(*)::BIGINT AS n FROM keyed GROUP BY 1) l USING (lemma)")
 def x2(spark, sf):
     """Ids back to their place: parsed from the id, then joined to what they name."""
-    k = keyed(spark, sf)
+    k = store(spark, sf).table("token")
     doc, line, word = T.token_parts(F.col("id"))
     asked = k.select("id").withColumns({"doc_id": doc, "line": line, "word": word})
-    totals = k.groupBy("lemma").agg(F.count("*").alias("lemma_total"))
+    totals = store(spark, sf).table("lemma").select("lemma", F.col("n_tokens").alias("lemma_total"))
     rows = asked.join(k.select("doc_id", "line", "word", "source", "surface", "lemma"), ["doc_id", "line", "word"]).join(totals, "lemma")
     c = lambda x: F.col(x).cast("string")
     return rows.select("id", F.concat("source", F.lit(" "), c("doc_id"), F.lit(":"), c("line"), F.lit("!"), c("word")).alias("ref"), "surface", "lemma", "lemma_total")
@@ -131,12 +135,13 @@ def x2(spark, sf):
 
 @register("x3_interlinear_rows", TOK + f", {SPANS} SELECT DISTINCT ref_id, id, surface, lemma FROM {COVERS.format(t='keyed')}")
 def x3(spark, sf):
-    return P.interlinear(spans(spark, sf), "ref_id", keyed(spark, sf)).select("ref_id", "id", "surface", "lemma")
+    s = store(spark, sf)
+    return P.interlinear(spans(spark, sf), "ref_id", s.table("token"), s.table("chapter")).select("ref_id", "id", "surface", "lemma")
 
 
 @register("x4_cells", TOK + "SELECT doc_id, line, string_agg(surface || after || '/' || lemma, ' ' ORDER BY word) AS cells FROM keyed GROUP BY 1, 2")
 def x4(spark, sf):
-    out = P.cells(keyed(spark, sf), ["doc_id", "line"])
+    out = P.cells(store(spark, sf).table("token"), ["doc_id", "line"])
     return out.select("doc_id", "line", F.array_join(F.transform("cells", lambda c: F.concat(c["form"], F.lit("/"), c["lemma"])), " ").alias("cells"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexgrove.operators import corpus as C
 from lexgrove.operators import graph as G
 from lexgrove.operators import passages as P
+from lexgrove.operators.stored import Store
 
 
 class ParamError(ValueError):
@@ -33,9 +34,9 @@ class Param:
 class Corpus:
     """Documents and what is derived from them, each lazily and once."""
 
-    def __init__(self, docs: DataFrame, **relations: DataFrame) -> None:
-        """relations, as far as queries need them: refers_to and has_subject (src, dst, ord), frame_arg (src, dst, arg_role, implicit, ord), groups (id, parent, role), inside (anc, leaf), features (id, parent, role, pos, gcase)."""
-        self.docs, self.relations = docs, relations
+    def __init__(self, docs: DataFrame, store: Store | None = None, **relations: DataFrame) -> None:
+        """store: where the tokens and places of these documents are kept, if they are. relations, as far as queries need them: refers_to and has_subject (src, dst, ord), frame_arg (src, dst, arg_role, implicit, ord), groups (id, parent, role), inside (anc, leaf), features (id, parent, role, pos, gcase)."""
+        self.docs, self.store, self.relations = docs, store, relations
 
     def relation(self, name: str) -> DataFrame:
         if name not in self.relations:
@@ -44,8 +45,14 @@ class Corpus:
 
     @cached_property
     def tokens(self) -> DataFrame:
+        if self.store is not None:
+            return self.store.table("token")
         return C.with_ordinals(C.with_sentences(C.identified(C.tokens(self.docs))), self.docs)
 
+    @cached_property
+    def places(self) -> P.Index:
+        return P.index(self.docs) if self.store is None else P.Index(*(self.store.table(t) for t in ("line", "chapter", "book")))
+
     @cached_property
     def books(self) -> tuple[DataFrame, DataFrame]:
         codes = self.docs.select(F.col("source").alias("code")).distinct()
@@ -77,11 +84,10 @@ def _bounds(corpus: Corpus, text: str) -> tuple[int, int]:
     spans = P.parse_refs(ref, "i", "t", *corpus.books).withColumn("n_span", F.col("n"))
     if error := spans.agg(F.max("error")).first()[0]:
         raise ParamError(f"{text!r}: {error}")
-    row = P.resolve(spans, "i", corpus.tokens.select("id", "source", "doc_id", "line", "word")).first()
+    row = P.resolve(spans, "i", corpus.places).first()
     if row is None or row["status"] != "found":
         raise ParamError(f"{text!r} is not in this corpus")
-    ords = corpus.tokens.where(F.col("id").isin(row["first_token"], row["last_token"])).agg(F.min("ord"), F.max("ord")).first()
-    return ords[0], ords[1]
+    return row["first_ord"], row["last_ord"]
 
 
 def bind(corpus: Corpus, query: Saved, raw: dict[str, str]) -> dict:
@@ -137,7 +143,8 @@ def lemma_occurrences(corpus: Corpus, lemma: str, scope: tuple[int, int] | None)
 @saved("lemma_by_book", Param("lemma", "lemma"))
 def lemma_by_book(corpus: Corpus, lemma: str) -> DataFrame:
     """How often each book has a lemma."""
-    return C.identified(C.tokens(corpus.docs)).where(F.col("lemma") == lemma).groupBy("source").agg(F.count("*").alias("n")).orderBy("source")
+    tok = corpus.tokens if corpus.store is not None else C.identified(C.tokens(corpus.docs))
+    return tok.where(F.col("lemma") == lemma).groupBy("source").agg(F.count("*").alias("n")).orderBy("source")
 
 
 @saved("split_lines", Param("scope", "passage", required=False))

@@ -107,7 +107,7 @@ def test_resolution_of_books_ids_and_endless_ranges(spark):
     texts = ["ODY", "ODY 1-2", "ODY 1-999999999", "ODY 1:1-2", "ODY 3", "doc:l00000000300001", "doc:l00000000300002", "book:ILI", "lemma:a", "lemma:q", "ODY 1:1-4:1", "doc:n0000000010000100002"]
     refs = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     aliases = books.select("code", F.col("code").alias("alias"))
-    got = {texts[r.i]: (r.status, r.n_tokens) for r in P.resolve_refs(refs, "i", "t", books, aliases, tok).collect()}
+    got = {texts[r.i]: (r.status, r.n_tokens) for r in P.resolve_refs(refs, "i", "t", books, aliases, P.index(d), C.lemmas(tok)).collect()}
     assert got == {"ODY": ("found", 6), "ODY 1-2": ("found", 4), "ODY 1-999999999": ("absent", None), "ODY 1:1-2": ("found", 3), "ODY 3": ("absent", None), "doc:l00000000300001": ("found", 1), "doc:l00000000300002": ("absent", None), "book:ILI": ("found", 1), "lemma:a": ("found", 1), "lemma:q": ("absent", None), "ODY 1:1-4:1": ("found", 6), "doc:n0000000010000100002": ("found", 1)}
     rows = P.interlinear(P.parse_refs(refs, "i", "t", books, aliases), "i", tok).groupBy("i").count().collect()
     assert {texts[r.i]: r["count"] for r in rows}["ODY"] == 6
@@ -257,6 +257,7 @@ def test_offsets_match_a_plain_count(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, lang string")
     want, at = {}, 0
     for source, d, n in sorted((r[1], r[0], len(r[2].split())) for r in rows):
-        want[d] = at
+        if n:
+            want[d] = (len(want) + 1, at, len(want))  # one line each
         at += n
-    assert {r.doc_id: r.offset for r in C.documents_in_order(docs).collect()} == want
+    assert {r.doc_id: (r.doc_no, r.offset, r.line_offset) for r in C.documents_in_order(docs).collect()} == want
