@@ -44,6 +44,26 @@ def search_key(text: Column) -> Column:
     return F.translate(F.lower(plain), "ς" + ELISION + PUNCTUATION, "σ")
 
 
+def _uncomposed() -> str:
+    """A character class of what may stand in a text that isn't composed: marks, vowels and finals of Hangul, and letters that compose to others by themselves."""
+    alone = [cp for cp in (*range(0xA0, 0xD800), *range(0xF900, 0x30000)) if unicodedata.normalize("NFC", chr(cp)) != chr(cp)]
+    ranges: list[list[int]] = []
+    for cp in alone:
+        if ranges and ranges[-1][1] == cp - 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return r"[\p{M}\x{1160}-\x{11FF}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+_UNCOMPOSED = _uncomposed()
+
+
+def may_lack_nfc(text: Column) -> Column:
+    """False only for texts that are their own canonical composition; decided in the JVM."""
+    return text.rlike(_UNCOMPOSED)
+
+
 def _nfc(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in values.to_pylist()], pa.string())
 

@@ -20,6 +20,28 @@ def violations(df: DataFrame, table: str, rule: str, where: Column, ident: str =
     return df.where(where).select(F.lit(table).alias("tbl"), F.lit(rule).alias("rule"), F.col(ident).cast("string").alias("id"))
 
 
+def found(*rules: tuple[str, str, Column, Column], value: Column | None = None) -> Column:
+    """The rules (table, rule, condition, id) that a row breaks, as an array of (tbl, rule, id, value); null counts as no violation.
+
+    All row rules of a table are so read in one projection. value: what is judged later of those that have one.
+    """
+    kept = F.lit(None).cast("string") if value is None else value
+    each = (F.when(where, F.struct(F.lit(table).alias("tbl"), F.lit(rule).alias("rule"), ident.cast("string").alias("id"), kept.alias("value"))) for table, rule, where, ident in rules)
+    return F.filter(F.array(*each), lambda x: x.isNotNull())
+
+
+def exploded(df: DataFrame, column: str) -> DataFrame:
+    return df.select(F.explode(column).alias("v")).select("v.tbl", "v.rule", "v.id")
+
+
+def with_expected(tok: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Adds want_ord, want_next and want_word: what the order of lines and words gives, with the sums over the documents before; one sorted pass a document."""
+    w = Window.partitionBy("doc_id").orderBy("line", "word")
+    rows = tok.join(chapters.select("source", "doc_id", "offset", "next_head"), ["source", "doc_id"])
+    word = F.when(F.lag("line").over(w) == F.col("line"), F.lag("word").over(w) + 1).otherwise(1)
+    return rows.withColumns({"want_ord": F.col("offset") + F.row_number().over(w), "want_next": F.coalesce(F.lead("id").over(w), "next_head"), "want_word": word}).drop("offset", "next_head")
+
+
 def id_format(df: DataFrame, table: str, pattern: str) -> DataFrame:
     return violations(df, table, "id-format", ~F.col("id").rlike(pattern))
 
@@ -29,10 +51,14 @@ def id_place(tok: DataFrame) -> DataFrame:
     return violations(tok, "token", "id-ref-mismatch", F.col("id") != T.token_id(F.col("doc_id"), F.col("line"), F.col("word")))
 
 
-def token_order(tok: DataFrame, expected: DataFrame) -> DataFrame:
-    """Stored ord or next_id that differ from the ones derived: expected is (id, want_ord, want_next)."""
-    j = tok.join(expected, "id")
-    return violations(j, "token", "token-order", (F.col("ord") != F.col("want_ord")) | ~F.col("next_id").eqNullSafe(F.col("want_next")))
+def out_of_order() -> Column:
+    """Stored ord or next_id differ from the ones of with_expected."""
+    return (F.col("ord") != F.col("want_ord")) | ~F.col("next_id").eqNullSafe(F.col("want_next"))
+
+
+def token_order(tok: DataFrame) -> DataFrame:
+    """Tokens of with_expected whose stored order is another."""
+    return violations(tok, "token", "token-order", out_of_order())
 
 
 def word_numbers(tok: DataFrame) -> DataFrame:
@@ -51,6 +77,21 @@ def span_mismatch(stored: DataFrame, derived: DataFrame, keys: list[str], fields
     return violations(j, table, rule, wrong)
 
 
+def dangling_all(references: list[tuple[str, DataFrame, dict[str, tuple[str, str]]]], targets: dict[tuple[str, str], DataFrame]) -> DataFrame:
+    """Values of declared references that resolve to no row, each once; every table is read once as source and once as target.
+
+    references: (table, frame, {column: (target, key)}); targets: (target, key) -> its frame.
+    """
+    asked, held = [], []
+    for table, df, columns in references:
+        pairs = F.array(*(F.struct(F.lit(f"{table}.{c}").alias("tbl"), F.lit(".".join(to)).alias("to"), F.col(c).cast("string").alias("id")) for c, to in columns.items()))
+        asked.append(df.select(F.explode(pairs).alias("r")).select("r.*").where("id IS NOT NULL").distinct())
+    for to, df in targets.items():
+        held.append(df.select(F.lit(".".join(to)).alias("to"), F.col(to[1]).cast("string").alias("id")))
+    lost = union_all(asked).join(union_all(held), ["to", "id"], "left_anti")
+    return lost.select("tbl", F.lit("dangling-edge").alias("rule"), "id")
+
+
 def dangling(df: DataFrame, table: str, column: str, target: DataFrame, key: str) -> DataFrame:
     """Distinct values that resolve to no row of the target."""
     lost = df.where(F.col(column).isNotNull()).join(target.select(F.col(key).alias("_key")), F.col(column) == F.col("_key"), "left_anti").select(column).distinct()
@@ -90,6 +131,20 @@ def forest_tree(nodes: DataFrame) -> DataFrame:
     return violations(_with_parent(nodes), "node", "forest-tree", F.col("tree") != F.col("_tree"))
 
 
+def forest_links(nodes: DataFrame) -> DataFrame:
+    """forest_depth and forest_tree by one join with the parents."""
+    deep = (F.col("parent").isNull() & (F.col("depth") != 0)) | (F.col("_id").isNotNull() & (F.col("depth") != F.col("_depth") + 1))
+    each = found(("node", "forest-depth", deep, F.col("id")), ("node", "forest-tree", F.col("tree") != F.col("_tree"), F.col("id")))
+    return exploded(_with_parent(nodes).select(each.alias("v")), "v")
+
+
+def edge_rules(edges: DataFrame, table: str) -> DataFrame:
+    """implicit_target, tier_unknown and computed_in_canonical in one pass."""
+    src = F.col("src")
+    each = found((table, "implicit-target", F.col("implicit") != F.col("dst").isNull(), src), (table, "tier-unknown", ~F.col("tier").isin(*TIERS), src), (table, "computed-in-canonical", F.col("tier") == "computed", src))
+    return exploded(edges.select(each.alias("v")), "v")
+
+
 def closure_total(clo: DataFrame, leaves: DataFrame) -> DataFrame:
     """One violation if the closure's rows aren't the sum of the leaves' depths; two one-row sides."""
     have, want = clo.agg(F.count("*").alias("have")), leaves.agg(F.coalesce(F.sum("depth"), F.lit(0)).alias("want"))
@@ -110,8 +165,8 @@ def empty_groups(groups: DataFrame, clo: DataFrame) -> DataFrame:
 
 
 def not_nfc(df: DataFrame, table: str, column: str, ident: str = "id") -> DataFrame:
-    """Values that differ from their canonical composition; ASCII ones are passed over before Python sees them."""
-    some = df.where(F.col(column).rlike(r"[^\x00-\x7F]"))
+    """Values that differ from their canonical composition; those that surely are composed are passed over before Python sees them."""
+    some = df.where(T.may_lack_nfc(F.col(column)))
     return violations(some.withColumn("_nfc", T.nfc(F.col(column))), table, "not-nfc", F.col("_nfc") != F.col(column), ident)
 
 
