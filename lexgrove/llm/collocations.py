@@ -30,7 +30,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import cut
+from lexgrove.llm.common import cut, written
 
 MIN_COUNT = 100
 MAX_WORDS = 5
@@ -50,24 +50,22 @@ def pieces(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).replace(_MARK, b" . ").split()
 
 
-def _encode(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: a text's word hashes, and how often a batch has a word (n is not null), with a second hash of it."""
-    names = ["lang", "ids", "h", "other", "word", "n"]
+def _encode(batches: Iterator[pa.RecordBatch], tail: bytes) -> Iterator[pa.RecordBatch]:
+    """Rows of two kinds: a text's word hashes, and how often a batch has a word (n is not null)."""
+    names = ["lang", "ids", "word", "n"]
     for b in batches:
-        langs, texts = b["lang"].to_pylist(), [pieces(t) for t in b["text"].to_pylist()]
-        known = {w: xxhash.xxh64_intdigest(w, seed) | 1 for w in set().union(*texts)}
-        known[_MARK] = 0
-        counts: dict[str, Counter] = {}
-        rows = []
-        for lang, ws in zip(langs, texts, strict=True):
-            counts.setdefault(lang, Counter()).update(ws)
-            rows.append(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary()), *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=names)
+        known, counts = {_MARK: 0}, {}
+        for part in (b.slice(i, 1024) for i in range(0, b.num_rows, 1024)):  # bounds the words that are objects at once
+            langs, texts = part["lang"].to_pylist(), [pieces(t) for t in part["text"].to_pylist()]
+            known |= {w: xxhash.xxh64_intdigest(w + tail, 42) | 1 for w in set().union(*texts).difference(known)}  # Spark's xxhash64
+            rows = []
+            for lang, ws in zip(langs, texts, strict=True):
+                counts.setdefault(lang, Counter()).update(ws)
+                rows.append(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary()), *(pa.nulls(len(rows), t) for t in (pa.binary(), pa.int64()))], names=names)
         for lang, of in counts.items():
             of.pop(_MARK, None)
-            ids = np.fromiter((known[w] for w in of), np.uint64, len(of)).view(np.int64)
-            other = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in of), np.uint64, len(of)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(of), pa.string()), pa.nulls(len(of), pa.binary()), pa.array(ids), pa.array(other), pa.array(list(of), pa.binary()), pa.array(list(of.values()), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(of), pa.string()), pa.nulls(len(of), pa.binary()), pa.array(list(of), pa.binary()), pa.array(list(of.values()), pa.int64())], names=names)
 
 
 def _seed(lang: str) -> np.uint64:
@@ -241,14 +239,16 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     if longest < 2 or least < 1:
         raise ValueError("phrases have two words or more and occur once or more")
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    for seed in range(42, 52):
-        both = cut(rows.mapInArrow(lambda it, s=seed: _encode(it, s), "lang string, ids binary, h long, other long, word binary, n long"))
-        texts = both.where("ids IS NOT NULL").select("lang", "ids")
-        unit = cut(both.where("n IS NOT NULL").groupBy("lang", "h").agg(F.sum("n").alias("f"), F.min("other").alias("low"), F.max("other").alias("high")))
+    for tail in (b"\0" * k for k in range(8)):
+        both, forget = written(rows.mapInArrow(lambda it, t=tail: _encode(it, t), "lang string, ids binary, word binary, n long"))
+        texts, said = both.where("ids IS NOT NULL").select("lang", "ids"), both.where("n IS NOT NULL")
+        said = said.select("lang", F.xxhash64(F.concat("word", F.lit(tail))).bitwiseOR(F.lit(1)).alias("h"), "word", "n")
+        unit = cut(said.groupBy("lang", "h").agg(F.sum("n").alias("f"), F.min(F.xxhash64(F.lit(7), "word")).alias("low"), F.max(F.xxhash64(F.lit(7), "word")).alias("high")))
         if unit.where("low <> high").isEmpty():
             break
+        forget()
     else:
-        raise RuntimeError("words of one hash under every seed")
+        raise RuntimeError("different words of one hash, whatever is put behind them")
     sizes = cut(unit.groupBy("lang").agg(F.sum("f").alias("n_lang")))
     words = cut(unit.where(F.col("f") >= least).join(sizes, "lang").select("lang", "h", "f", "n_lang"))
     frequent = _filter(words.select("lang", F.array("h").alias("p")))
@@ -295,8 +295,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
             pending = cut(pending.join(pick.select("lang", "p"), ["lang", "p"], "left_anti"))
     frequent.destroy()
     if done is None:
+        forget()
         return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     kept = done.where("survives").join(tau, "lang", "left").where(F.col("score") >= F.coalesce("tau", F.lit(0)))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = _text(cut(kept), both.where("n IS NOT NULL").select("lang", "h", "word")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", F.col("n_lang").alias("n"), "score")
+    ranked = _text(cut(kept), said.select("lang", "h", "word")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    out = cut(ranked.select("lang", "rank", "phrase", "a", "l", "r", F.col("n_lang").alias("n"), "score"))
+    forget()
+    return out

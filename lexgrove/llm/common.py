@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +23,27 @@ def cut(df: DataFrame) -> DataFrame:
     A session on one machine that names no folder (tests) gets a temporary one; on a cluster a
     folder must be named, as executors don't see the driver's own disk.
     """
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    _shared(df.sparkSession)
+    return df.checkpoint()
+
+
+def _shared(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The frame as a compressed table in the shared folder, where it takes less room than a checkpoint, and what deletes it."""
+    path = f"{_shared(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    sc = df.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), lambda: at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def attach(left: DataFrame, by: DataFrame, key: list[str], total: int, count: str = "n_rows") -> DataFrame:
