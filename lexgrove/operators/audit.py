@@ -2,28 +2,83 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
 
 from lexgrove.functions import text as T
+from lexgrove.operators.graph import cut
 
 
-def canonical(columns: list[str]) -> Column:
-    """A row as text: values by name order, nulls marked, parted by a unit separator."""
-    return F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(columns)))
+FAN = 1024  # digests that make one of the next level
 
 
-def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+def _written(value: Column, kind: DataType) -> Column:
+    """A value as text that is the same in every engine; null if it is null."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(F.abs(value) < 1e12, F.floor(value.cast("double") * 1e6 + 0.5).cast("string")).otherwise(value.cast("string"))  # millionths
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp")).cast("string")
+    if isinstance(kind, ArrayType):
+        return F.concat(F.size(value).cast("string"), F.lit("["), F.array_join(F.transform(value, lambda x: _marked(x, kind.elementType)), ""), F.lit("]"))
+    if isinstance(kind, (StructType, MapType)):
+        return F.to_json(value)
+    return value.cast("string")
+
+
+def _marked(value: Column, kind: DataType) -> Column:
+    """Length, colon and text, or a tilde for null: no two different rows of values give one string."""
+    text = _written(value, kind)
+    return F.when(value.isNull(), "~").otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+
+
+def canonical(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """A row as text, its columns (all if none are named) by name order. Doubles count to a millionth, times to a microsecond."""
+    return F.concat(*(_marked(F.col(f"`{c}`"), df.schema[c].dataType) for c in sorted(columns or df.columns)))
+
+
+def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(n, digest): rows and the sum of 60-bit row digests.
 
     The sum doesn't depend on the order of rows, so it needs no sort and combines map-side.
     """
-    low = F.conv(F.substring(F.md5(canonical(columns)), 1, 15), 16, 10).cast("decimal(20,0)")
+    low = F.conv(F.substring(F.md5(canonical(df, columns)), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(low), F.lit(0)).cast("string").alias("digest"))
 
 
+def schema_digest(df: DataFrame) -> str:
+    """16 hex digits of the columns' names, types and nullability, in their order."""
+    return hashlib.sha256("\n".join(f"{f.name} {f.dataType.simpleString()} {f.nullable}" for f in df.schema).encode()).hexdigest()[:16]
+
+
+def ordered_digest(df: DataFrame, key: list[str], columns: list[str] | None = None, fan: int = FAN) -> DataFrame:
+    """(n, root): the root of a tree of SHA-256 over the rows' digests in key order.
+
+    Rows are sorted in ranges; their number in the whole order, not the range, decides which `fan`
+    of them make a node, and so on upwards, so the root is the same however partitions
+    are cut. Rows of one key are ordered by their digests. No rows: the digest of nothing.
+    """
+    spark = df.sparkSession
+    rows = df.select(*(F.col(f"`{k}`") for k in key), F.sha2(canonical(df, columns), 256).alias("_digest"))
+    dealt = cut(rows.repartitionByRange(*key, "_digest").withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    base = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*key, "_digest"))
+    level = dealt.select("_part", "_digest", own.alias("k")).join(F.broadcast(base), "_part").select((F.col("base") + F.col("k") - 1).alias("ord"), F.col("_digest").alias("digest"))
+    total = n = dealt.count()
+    while True:
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "digest"))), lambda x: x["digest"]), "")
+        level = cut(level.groupBy(F.floor(F.col("ord") / fan).alias("ord")).agg(F.sha2(joined, 256).alias("digest")))
+        n = -(-n // fan)
+        if n <= 1:
+            break
+    root = level.agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("root"))
+    return root.select(F.lit(total).cast("long").alias("n"), "root") if total else spark.range(1).select(F.lit(0).cast("long").alias("n"), F.sha2(F.lit(""), 256).alias("root"))
+
+
 def build_id(digests: DataFrame, text: str = "digest", order: str = "tbl") -> DataFrame:
     """16 hex digits over all table digests in the order of their names; a row for each table goes in."""
     rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: F.concat(x[order], F.lit(" "), x[text])), "\n")
@@ -81,3 +136,10 @@ def anomalies(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def catalogue(df: DataFrame, table: str, references: dict[str, tuple[str, str]]) -> DataFrame:
+    """(tbl, column, type, refers_to, label, n_values, n_nulls) for each column. references: `table.column` -> (`table.key`, label)."""
+    counted = df.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in df.columns), F.count("*").alias("_rows"))
+    known = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), *(F.lit(x).cast("string").alias(a) for x, a in zip(references.get(f"{table}.{f.name}", (None, None)), ("refers_to", "label"), strict=True)), F.col(f"`{f.name}`").alias("n_values"), (F.col("_rows") - F.col(f"`{f.name}`")).alias("n_nulls")) for f in df.schema]
+    return counted.select(F.lit(table).alias("tbl"), F.inline(F.array(*known)))

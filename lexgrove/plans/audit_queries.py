@@ -9,7 +9,6 @@ from lexgrove.operators import audit as A
 from lexgrove.plans.corpus_queries import TABLES, TOK, keyed
 from lexgrove.plans.graph_queries import PACKED, frames
 from lexgrove.plans.registry import register
-from lexgrove.plans.rule_queries import value_counts
 from lexgrove.sources import io
 
 
@@ -79,21 +78,56 @@ def s10(spark, sf):
     return io.subset(table(spark, sf, "part"), "p_brand", ("Brand#1", "Brand#3"), drop=("p_name", "p_retailprice"))
 
 
-DIGESTS = {"nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_mktsegment", "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority", "documents": "doc_id text lang source n_chars", "conversations": "conv_id turn role text", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_returnflag"}
+#: All tables with all their columns: names, and the types that are written in another way than by a cast (d double, t timestamp, v vector).
+COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal:d c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal:d", "part": "p_partkey p_name p_brand p_type p_size p_retailprice:d",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:d o_orderdate:t o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:d l_extendedprice:d l_discount:d l_tax:d l_returnflag l_linestatus l_shipdate:t",
+    "events": "event_id ts:t user_id event_type value:d props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding:v label",
+    "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+MILLIONTHS = "floor({c}::DOUBLE * 1e6 + 0.5)::BIGINT::VARCHAR"
+WRITTEN = {"": "{c}::VARCHAR", "d": MILLIONTHS, "t": "epoch_us({c})::VARCHAR", "v": "len({c}) || '[' || array_to_string(list_transform({c}, lambda x: CASE WHEN x IS NULL THEN '~' ELSE length(" + MILLIONTHS.format(c="x") + ") || ':' || " + MILLIONTHS.format(c="x") + " END), '') || ']'"}
 
 
-def _digest_sql(t: str, cs: str) -> str:
-    row = " || chr(31) || ".join(f"coalesce({c}::VARCHAR, '\\N')" for c in sorted(cs.split()))
-    return f"SELECT '{t}' AS tbl, count(*)::BIGINT AS n, sum(('0x' || substring(md5({row}), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM {t}"
+def _row_sql(t: str) -> str:
+    """A row's canonical text in SQL."""
+    parts = []
+    for c, kind in sorted((x.split(":") + [""])[:2] for x in COLUMNS[t].split()):
+        w = WRITTEN[kind].format(c=c)
+        parts.append(f"CASE WHEN {c} IS NULL THEN '~' ELSE length({w}) || ':' || {w} END")
+    return " || ".join(parts)
 
 
-@register("m1_fingerprint", " UNION ALL ".join(_digest_sql(t, cs) for t, cs in DIGESTS.items()))
+def _digest_sql(t: str) -> str:
+    return f"SELECT '{t}' AS tbl, count(*)::BIGINT AS n, sum(('0x' || substring(md5({_row_sql(t)}), 1, 15))::BIGINT::HUGEINT)::VARCHAR AS digest FROM {t}"
+
+
+@register("m1_fingerprint", " UNION ALL ".join(map(_digest_sql, COLUMNS)))
 def m1(spark, sf):
-    one = lambda t, cs: A.fingerprint(table(spark, sf, t), cs.split()).select(F.lit(t).alias("tbl"), "n", "digest")
-    return A.union_all([one(t, cs) for t, cs in DIGESTS.items()])
+    return A.union_all([A.fingerprint(table(spark, sf, t)).select(F.lit(t).alias("tbl"), "n", "digest") for t in COLUMNS])
+
+
+#: Keys by which tables are put in order; they need not be unique.
+KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey l_linenumber", "documents": "doc_id", "conversations": "conv_id turn", "embeddings": "vec_id"}
+
+
+def _root_sql(t: str) -> str:
+    """Three levels are enough for a thousand million rows; a level of one node is the root."""
+    level = lambda name, of: f"{name} AS (SELECT i // {A.FAN} AS i, sha256(string_agg(d, '' ORDER BY i)) AS d FROM {of} GROUP BY 1)"
+    first = f"r AS (SELECT row_number() OVER (ORDER BY {', '.join(KEYS[t].split())}, d) - 1 AS i, d FROM (SELECT *, sha256({_row_sql(t)}) AS d FROM {t}))"
+    picked = "CASE WHEN (SELECT count(*) FROM a) = 1 THEN (SELECT max(d) FROM a) WHEN (SELECT count(*) FROM b) = 1 THEN (SELECT max(d) FROM b) ELSE (SELECT max(d) FROM c) END"
+    return f"SELECT * FROM (WITH {first}, {level('a', 'r')}, {level('b', 'a')}, {level('c', 'b')} SELECT '{t}' AS tbl, (SELECT count(*) FROM r)::BIGINT AS n, {picked} AS root)"
 
 
-@register("m6_build_id", f"SELECT substring(sha256(string_agg(tbl || ' ' || digest, chr(10) ORDER BY tbl)), 1, 16) AS build_id FROM ({' UNION ALL '.join(_digest_sql(t, cs) for t, cs in DIGESTS.items())})")
+@register("m1b_ordered_digest", " UNION ALL ".join(map(_root_sql, KEYS)))
+def m1b(spark, sf):
+    """Roots of the hash trees over the rows in key order."""
+    return A.union_all([A.ordered_digest(table(spark, sf, t), key.split()).select(F.lit(t).alias("tbl"), "n", "root") for t, key in KEYS.items()])
+
+
+@register("m6_build_id", f"SELECT substring(sha256(string_agg(tbl || ' ' || digest, chr(10) ORDER BY tbl)), 1, 16) AS build_id FROM ({' UNION ALL '.join(map(_digest_sql, COLUMNS))})")
 def m6(spark, sf):
     return A.build_id(m1(spark, sf))
 
@@ -113,11 +147,21 @@ def m5(spark, sf):
     return A.manifest_diff(count(c), count(c.where("c_custkey % 20 <> 3 AND tbl <> 7")), ["tbl"], "n")
 
 
-@register("m8_catalogue", " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS \"column\", count({c})::BIGINT AS n_values FROM {t}" for t, cs in {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "events": ("event_id", "ts", "user_id", "event_type", "value", "props"), "documents": ("doc_id", "text", "lang", "source", "n_chars"), "pages": ("page_id", "url", "html"), "benchmark": ("item_id", "text"), "labels": ("doc_id", "quality", "toxic"), "conversations": ("conv_id", "turn", "role", "text")}.items() for c in cs))
+#: What the catalogue knows of columns besides their type: keys, references by label, coded columns.
+REFERENCES = {"nation.n_regionkey": ("region.r_regionkey", "IN_REGION"), "customer.c_nationkey": ("nation.n_nationkey", "IN_NATION"), "supplier.s_nationkey": ("nation.n_nationkey", "FROM_NATION"), "orders.o_custkey": ("customer.c_custkey", "PLACED_BY"), "lineitem.l_orderkey": ("orders.o_orderkey", "PART_OF"), "lineitem.l_partkey": ("part.p_partkey", "OF_PART"), "lineitem.l_suppkey": ("supplier.s_suppkey", "BY_SUPPLIER"), "labels.doc_id": ("documents.doc_id", "LABELS")}
+SQL_TYPES = "CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END"
+
+
+def _catalogue_sql() -> str:
+    counts = " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{c}' AS \"column\", count({c})::BIGINT AS n_values, count(*)::BIGINT - count({c}) AS n_nulls FROM {t}" for t, cs in COLUMNS.items() for c in (x.split(":")[0] for x in cs.split()))
+    refs = ", ".join(f"('{c.split('.')[0]}', '{c.split('.')[1]}', '{to}', '{label}')" for c, (to, label) in REFERENCES.items())
+    return f"SELECT n.tbl, n.\"column\", {SQL_TYPES} AS type, r.refers_to, r.label, n.n_values, n.n_nulls FROM ({counts}) n JOIN duckdb_columns() c ON c.table_name = n.tbl AND c.column_name = n.\"column\" LEFT JOIN (VALUES {refs}) r(tbl, \"column\", refers_to, label) ON r.tbl = n.tbl AND r.\"column\" = n.\"column\""
+
+
+@register("m8_catalogue", _catalogue_sql())
 def m8(spark, sf):
-    """Columns of the tables with their live value counts."""
-    tables = [t for t in TABLES if t not in ("customer", "part", "orders", "lineitem", "embeddings")]
-    return A.union_all([value_counts(spark, sf, t).select(F.lit(t).alias("tbl"), "column", "n_values") for t in tables])
+    """Every column of every table: its type, what it refers to and by which label, its values and nulls counted in one pass a table."""
+    return A.union_all([A.catalogue(table(spark, sf, t), t, REFERENCES) for t in TABLES])
 
 
 GOLD = "gold AS (SELECT c_nationkey AS q, c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'), cited AS (SELECT c_nationkey AS q, CASE WHEN c_custkey % 50 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS id FROM customer WHERE c_acctbal > 0)"
@@ -154,9 +198,9 @@ def m11(spark, sf):
     return A.citable_columns(k)
 
 
-@register("m12_provenance", f"SELECT c_custkey, (SELECT substring(sha256(string_agg(tbl || ' ' || digest, chr(10) ORDER BY tbl)), 1, 16) FROM ({_digest_sql('customer', DIGESTS['customer'])})) AS build_id FROM customer")
+@register("m12_provenance", f"SELECT c_custkey, (SELECT substring(sha256(string_agg(tbl || ' ' || digest, chr(10) ORDER BY tbl)), 1, 16) FROM ({_digest_sql('customer')})) AS build_id FROM customer")
 def m12(spark, sf):
     """Rows with the build id of the table they come from."""
     c = table(spark, sf, "customer")
-    build = A.build_id(A.fingerprint(c, DIGESTS["customer"].split()).withColumn("tbl", F.lit("customer")))
+    build = A.build_id(A.fingerprint(c).withColumn("tbl", F.lit("customer")))
     return c.select("c_custkey").crossJoin(F.broadcast(build))  # one row

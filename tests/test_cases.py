@@ -188,6 +188,23 @@ def test_fingerprints_see_any_change_and_no_order(spark):
     assert digest(a) == digest(same) != digest(other)
 
 
+def test_ordered_digests_see_order_and_not_partitions(spark):
+    rows = [(k, f"v{k % 7}", None if k % 5 else 1.5) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k int, v string, x double")
+    root = lambda d, **kw: tuple(A.ordered_digest(d, ["k"], **kw).first())
+    want = root(df, fan=16)
+    for parts in (1, 7, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        assert root(df.repartition(parts), fan=16) == want
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    swapped = df.withColumn("k", F.when(F.col("k") == 10, 11).when(F.col("k") == 11, 10).otherwise(F.col("k")))
+    assert root(swapped, fan=16) != want and root(df.where("k <> 2999"), fan=16) != want and root(df, fan=8)[1] != want[1]
+    one = lambda *r: root(spark.createDataFrame([r], "k int, v string, w string"))
+    assert len({one(1, None, ""), one(1, "\\N", ""), one(1, "~", ""), one(1, "", None), one(1, "1:a", ""), one(1, "1:", "a"), one(1, "a\x1fb", "c"), one(1, "a", "b\x1fc")}) == 8
+    assert A.ordered_digest(df.where("false"), ["k"]).first().n == 0
+    assert A.schema_digest(df) != A.schema_digest(df.withColumn("x", F.col("x").cast("float"))) != A.schema_digest(df.select("v", "k", "x"))
+
+
 def test_agreement(spark):
     a = spark.createDataFrame([(1, "x", "p"), (2, "y", None), (3, "z", "q")], "k int, f string, g string")
     b = spark.createDataFrame([(1, "x", "p"), (2, "Y", None), (4, "z", "q")], "k int, f string, g string")
