@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -182,11 +182,71 @@ def frame_edges(df: DataFrame, src: str, packed: str, implicit: str) -> DataFram
 
 
 def tag_tree(pages: DataFrame, ident: str = "page_id", html: str = "html", void: tuple[str, ...] = ("br", "hr", "img", "input", "link", "meta")) -> DataFrame:
-    """(ident, n, tag, depth): each opening tag with its number among the tags and its depth, from the running balance of tags."""
+    """(ident, n, tag, depth, parent): each opening tag with its number among the tags, its depth from 1 and the number of the tag it stands in.
+
+    Depth is the running balance of tags, in which an end tag with nothing open counts for nothing: the balance
+    less its lowest value so far, if that is below 0. The parent is the last tag opened one level up.
+    """
     tags = F.filter(F.regexp_extract_all(F.lower(html), F.lit("</?[a-z0-9]+"), F.lit(0)), lambda t: ~F.regexp_replace(t, "[</]", "").isin(*void))
     rows = pages.select(ident, F.posexplode(tags).alias("n", "t"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(ident).orderBy("n")
-    step = F.when(F.col("t").startswith("</"), -1).otherwise(1)
-    return rows.withColumn("depth", F.sum(step).over(w).cast("long")).where("t NOT LIKE '</%'").select(ident, F.col("n").cast("long").alias("n"), F.substring("t", 2, 100).alias("tag"), "depth")
+    w = Window.partitionBy(ident).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum", F.sum(F.when(F.col("t").startswith("</"), -1).otherwise(1)).over(w))
+    rows = rows.withColumn("depth", (F.col("sum") - F.least(F.lit(0), F.min("sum").over(w))).cast("long"))
+    opened = rows.where("t NOT LIKE '</%'").select(ident, F.col("n").cast("long").alias("n"), F.substring("t", 2, 100).alias("tag"), "depth")
+    # each tag is a row of its own level, to be found, and one of the level above, to look
+    level = opened.select("*", F.explode(F.array(F.struct(F.col("depth").alias("level"), F.lit(True).alias("own")), F.struct((F.col("depth") - 1).alias("level"), F.lit(False).alias("own")))).alias("at"))
+    up = Window.partitionBy(ident, "at.level").orderBy("n", "at.own").rowsBetween(Window.unboundedPreceding, 0)
+    return level.withColumn("parent", F.last(F.when(F.col("at.own"), F.col("n")), ignorenulls=True).over(up)).where("NOT at.own").drop("at")
+
+
+def chain_ends(edges: DataFrame) -> DataFrame:
+    """(start, end, length, cyclic) for every node of a functional graph (src, dst): the last node of its chain, its steps, and whether a node came again.
+
+    Tables of the targets 1, 2, 4, ... steps on are made by doubling, so a chain of any length takes
+    log2 rounds. Chains stop at nodes without a target or, on a cycle, at the last one
+    before a node would come again. Nothing is followed edge by edge.
+    """
+    step = cut(edges.where("dst IS NOT NULL").select("src", "dst"))
+    n = step.count()
+    jumps, hops = [step], 1
+    while hops < n:
+        near = jumps[-1]
+        jumps.append(cut(near.join(near.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))))
+        hops *= 2
+    members = cut(jumps[-1].select(F.col("dst").alias("src")).distinct().join(step, "src", "left_semi"))  # whoever is reached after n steps or more is on a cycle
+    ring = cut(step.join(members, "src").withColumn("low", F.least("src", "dst")))
+    size, hops = ring.count(), 1
+    while hops < size:
+        y = ring.select(F.col("src").alias("dst"), F.col("dst").alias("far"), F.col("low").alias("low2"))
+        ring = cut(ring.join(y, "dst").select("src", F.col("far").alias("dst"), F.least("low", "low2").alias("low")))
+        hops *= 2
+    on = ring.select("src", "low")
+    around = on.join(on.groupBy("low").agg(F.count("*").alias("around")), "low").select("src", "around")
+    before = step.join(members, "src", "left_semi").join(members.select(F.col("src").alias("dst")), "dst").select(F.col("dst").alias("src"), F.col("src").alias("last"))
+    stops = cut(around.join(before, "src"))  # on a cycle: its size, and the node before, where a chain that enters here ends
+    nodes = edges.select(F.col("src").alias("start")).distinct()
+    at = nodes.select("start", F.col("start").alias("at"), F.lit(0).cast("long").alias("length"))
+    ringed = stops.select(F.col("src").alias("to"), F.lit(True).alias("hit"))
+    for k in range(len(jumps) - 1, -1, -1):  # as far as no cycle is reached
+        ahead = at.join(jumps[k].select(F.col("src").alias("at"), F.col("dst").alias("to")), "at", "left").join(ringed, "to", "left")
+        ahead = ahead.join(ringed.select(F.col("to").alias("at"), F.col("hit").alias("there")), "at", "left")
+        go = F.col("to").isNotNull() & F.col("hit").isNull() & F.col("there").isNull()
+        at = cut(ahead.select("start", F.when(go, F.col("to")).otherwise(F.col("at")).alias("at"), (F.col("length") + F.when(go, 1 << k).otherwise(0)).alias("length")))
+    one = step.select(F.col("src").alias("at"), F.col("dst").alias("to"))
+    last = at.join(one, "at", "left")
+    entered = F.coalesce(F.when(F.col("own.src").isNotNull(), F.col("own.src")), F.col("next.src"))
+    both = last.join(stops.alias("own"), F.col("at") == F.col("own.src"), "left").join(stops.alias("next"), F.col("to") == F.col("next.src"), "left")
+    extra = F.when(F.col("own.src").isNotNull(), F.col("own.around") - 1).when(F.col("next.src").isNotNull(), F.col("next.around")).otherwise(0)
+    end = F.when(F.col("own.src").isNotNull(), F.col("own.last")).when(F.col("next.src").isNotNull(), F.col("next.last")).otherwise(F.col("at"))
+    return both.select("start", end.alias("end"), (F.col("length") + extra).alias("length"), entered.isNotNull().alias("cyclic"))
+
+
+def chain_from(edges: DataFrame, start: object, cap: int = 50) -> DataFrame:
+    """(step, id): the chain of one start, by Spark's recursive query with the path as an array; it ends at a null target, at a node of its path, or after cap steps."""
+    kind = edges.schema["src"].dataType.simpleString()
+    text = f"""WITH RECURSIVE w(step, id, path) MAX RECURSION LEVEL {cap + 1} AS (
+        SELECT 0L, cast(:start AS {kind}), array(cast(:start AS {kind}))
+        UNION ALL SELECT w.step + 1, e.dst, array_append(w.path, e.dst) FROM w JOIN {{edges}} e ON e.src = w.id
+        WHERE e.dst IS NOT NULL AND w.step < :cap AND NOT array_contains(w.path, e.dst))
+        SELECT step, id FROM w"""
+    return edges.sparkSession.sql(text, args={"start": start, "cap": cap}, edges=edges.select("src", "dst"))

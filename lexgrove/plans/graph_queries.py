@@ -9,6 +9,7 @@ from lexgrove.operators import audit as A
 from lexgrove.operators import graph as G
 from lexgrove.plans.registry import register
 from lexgrove.sources.dom import dom_forest
+from lexgrove.sources.trees import leaf_closure, tree_forest
 
 
 def table(spark, sf, name):
@@ -103,8 +104,17 @@ w(step, id, path) AS (SELECT 0, src, [src] FROM f WHERE src = 3
   UNION ALL SELECT w.step + 1, f.dst, list_append(w.path, f.dst) FROM w JOIN f ON f.src = w.id WHERE w.step < 50 AND NOT list_contains(w.path, f.dst))
 SELECT step::BIGINT AS step, id FROM w""")
 def q3(spark, sf):
-    f = functional(spark, sf)
-    return G.chains(f.where("src = 3").select(F.col("src").alias("start")), f).select("step", "id")
+    """One start: Spark's recursive query follows it."""
+    return G.chain_from(functional(spark, sf), 3)
+
+
+@register("g2b_chain_ends", "WITH RECURSIVE " + FUNCTION + """,
+w(start, step, id, path) AS (SELECT src, 0, src, [src] FROM f
+  UNION ALL SELECT w.start, w.step + 1, f.dst, list_append(w.path, f.dst) FROM w JOIN f ON f.src = w.id WHERE NOT list_contains(w.path, f.dst))
+SELECT start, arg_max(id, step) AS "end", max(step)::BIGINT AS length, true AS cyclic FROM w GROUP BY 1""")
+def g2b(spark, sf):
+    """Every chain's end and length, by tables of targets at powers of two; each of them runs into a cycle here."""
+    return G.chain_ends(functional(spark, sf))
 
 
 @register("g4_cycles", "WITH RECURSIVE " + FUNCTION + """,
@@ -239,22 +249,25 @@ def g5c(spark, sf):
     return G.match(*graph(spark, sf), pattern, {"verb": "v.id", "n_name": "n.n_name"})
 
 
-SUBJECT = """ subj AS (SELECT o_custkey AS clause, o_orderkey AS leaf, 'leaf' AS via FROM orders WHERE o_orderstatus = 'F'
-  UNION ALL SELECT o_custkey, o_orderkey, 'group' FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0),
-verb AS (SELECT o_custkey AS clause, o_orderkey AS leaf FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')
+#: Clauses are customers and nations; subjects and verbs stand anywhere below them. Subjects: dear orders of status F, or all orders of a group (customer) deep in debt; verbs: dear orders of status O.
+SUBJECT = CLO + """, word AS (SELECT c.anc AS clause, o.* FROM clo c JOIN orders o ON 'o' || o.o_orderkey = c.leaf WHERE c.anc NOT LIKE 'r%' AND o_totalprice > 480000),
+debt AS (SELECT 'c' || c_custkey AS grp, 'n' || c_nationkey AS clause FROM customer WHERE c_acctbal < -900),
+subj AS (SELECT clause, o_orderkey AS leaf, 'leaf' AS via FROM word WHERE o_orderstatus = 'F'
+  UNION ALL SELECT d.clause, o.o_orderkey, 'group' FROM debt d JOIN clo c ON c.anc = d.grp JOIN orders o ON 'o' || o.o_orderkey = c.leaf),
+verb AS (SELECT clause, o_orderkey AS leaf FROM word WHERE o_orderstatus = 'O')
 SELECT s.clause, s.leaf AS subject, s.via, v.leaf AS verb FROM subj s JOIN verb v USING (clause)"""
 
 
-@register("q4_subject_tree", "WITH" + SUBJECT)
+@register("q4_subject_tree", SUBJECT)
 def q4(spark, sf):
-    """Subject and verb under one clause (customer); a subject is a leaf of that role, or any leaf of a group of that role, by the closure."""
-    o = table(spark, sf, "orders").withColumn("leaf_id", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))
-    clause = leaf_clo(spark, sf).where("dist = 1").select("leaf", "anc")
-    placed = o.join(clause, o.leaf_id == clause.leaf).select(F.substring("anc", 2, 20).cast("long").alias("clause"), "o_orderkey", "o_orderstatus", "o_orderpriority")
-    groups = table(spark, sf, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("clause"))
-    by_leaf = placed.where("o_orderstatus = 'F'").select("clause", F.col("o_orderkey").alias("subject"), F.lit("leaf").alias("via"))
-    by_group = placed.join(groups, "clause", "left_semi").select("clause", F.col("o_orderkey").alias("subject"), F.lit("group").alias("via"))
-    verbs = placed.where("o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'").select("clause", F.col("o_orderkey").alias("verb"))
+    """Subject and verb below one clause, at any distance: a subject is a leaf of that role, or any leaf of a group of that role, by the closure."""
+    o = table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("leaf"), "o_orderkey", "o_orderstatus", "o_totalprice")
+    clo = G.cut(leaf_clo(spark, sf))
+    word = clo.where("anc NOT LIKE 'r%'").join(o.where("o_totalprice > 480000"), "leaf").withColumnRenamed("anc", "clause")
+    debt = table(spark, sf, "customer").where("c_acctbal < -900").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("anc"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("clause"))
+    by_leaf = word.where("o_orderstatus = 'F'").select("clause", F.col("o_orderkey").alias("subject"), F.lit("leaf").alias("via"))
+    by_group = clo.join(debt, "anc").join(o, "leaf").select("clause", F.col("o_orderkey").alias("subject"), F.lit("group").alias("via"))
+    verbs = word.where("o_orderstatus = 'O'").select("clause", F.col("o_orderkey").alias("verb"))
     return by_leaf.unionByName(by_group).join(verbs, "clause")
 
 
@@ -264,9 +277,29 @@ def s2(spark, sf):
     return dom_forest(table(spark, sf, "pages"))
 
 
+TREE_TEXT = CLO + "SELECT c.anc, c.leaf, c.dist::BIGINT AS dist FROM clo c WHERE c.anc NOT LIKE 'r%'"
+
+
+def tree_documents(spark, sf):
+    """A document for each nation: customers are groups, orders their words; customers without orders are left out, as an empty group is an error."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    words = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda k: F.concat(F.lit('<w id="o'), k.cast("string"), F.lit('"/>'))), "").alias("ws"))
+    groups = c.join(words, F.col("c_custkey") == F.col("o_custkey")).select("c_nationkey", "c_custkey", F.concat(F.lit('<wg Role="s" id="c'), F.col("c_custkey").cast("string"), F.lit('">'), "ws", F.lit("</wg>")).alias("g"))
+    by = groups.groupBy("c_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "g"))), lambda x: x["g"]), "").alias("gs"))
+    return by.select(F.col("c_nationkey").alias("doc"), F.concat(F.lit('<sentence><wg id="n'), F.col("c_nationkey").cast("string"), F.lit('">'), "gs", F.lit("</wg></sentence>")).alias("text"))
+
+
+@register("s2c_tree_ingest", TREE_TEXT)
+def s2c(spark, sf):
+    """Strict tree documents walked once; their closure comes from the walk's lists, without a join."""
+    return leaf_closure(tree_forest(tree_documents(spark, sf), "doc", "text"), "doc").drop("doc")
+
+
 @register("s2b_tag_depth", """WITH t AS (SELECT page_id, list_filter(regexp_extract_all(lower(html), '</?[a-z0-9]+'), lambda x: NOT list_contains(['br','hr','img','input','link','meta'], replace(replace(x, '<', ''), '/', ''))) AS ts FROM pages),
 r AS (SELECT page_id, n - 1 AS n, ts[n] AS x FROM (SELECT *, unnest(generate_series(1, len(ts))) AS n FROM t)),
-d AS (SELECT page_id, n, x, sum(CASE WHEN starts_with(x, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY n) AS depth FROM r)
-SELECT page_id, n::BIGINT AS n, substring(x, 2) AS tag, depth::BIGINT AS depth FROM d WHERE NOT starts_with(x, '</')""")
+c AS (SELECT page_id, n, x, sum(CASE WHEN starts_with(x, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY n) AS s FROM r),
+d AS (SELECT page_id, n, x, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY n)) AS depth FROM c),
+o AS (SELECT * FROM d WHERE NOT starts_with(x, '</'))
+SELECT a.page_id, a.n::BIGINT AS n, substring(a.x, 2) AS tag, a.depth::BIGINT AS depth, b.n::BIGINT AS parent FROM o a ASOF LEFT JOIN o b ON b.page_id = a.page_id AND b.depth + 1 = a.depth AND b.n < a.n""")
 def s2b(spark, sf):
     return G.tag_tree(table(spark, sf, "pages"))

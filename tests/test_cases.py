@@ -15,6 +15,7 @@ from lexgrove.operators import passages as P
 from lexgrove.operators import rules as R
 from lexgrove.sources import io
 from lexgrove.sources.dom import dom_forest
+from lexgrove.sources.trees import leaf_closure, tree_errors, tree_forest
 
 def plain_key(text):
     """The key by its definition: decompose, drop marks, fold case, drop what T leaves out."""
@@ -138,6 +139,66 @@ def test_long_chains_stop_at_the_cap(spark):
     assert sorted((r.start, r.step, r.id) for r in got) == [(0, k, k) for k in range(51)] + [(60, k, 60 + k) for k in range(11)]
 
 
+def test_chain_ends_equal_stepped_chains(spark):
+    drawn = random.Random(6)
+    edges = [(i, drawn.choice([None, *range(60)])) for i in range(60)] + [(k, k + 1) for k in range(100, 190)] + [(300, 301), (301, 302), (302, 300), (310, 300), (311, 310), (320, 320), (321, 320)]
+    step = {a: b for a, b in edges if b is not None}
+    want = {}
+    for a, _ in edges:
+        path = [a]
+        while (to := step.get(path[-1])) is not None and to not in path:
+            path.append(to)
+        want[a] = (path[-1], len(path) - 1, to is not None)
+    df = spark.createDataFrame(edges, "src int, dst int")
+    assert {r.start: (r.end, r.length, r.cyclic) for r in G.chain_ends(df).collect()} == want
+    for start in (0, 7, 100, 311, 321, 999):
+        got = sorted(map(tuple, G.chain_from(df, start, 200).collect()))
+        starts = spark.createDataFrame([(start,)], "start int")
+        assert got == sorted((r.step, r.id) for r in G.chains(starts, df, 200).collect())
+    assert G.chain_from(df, 100).count() == 51 and G.chain_ends(df.where("false")).count() == 0
+
+
+def test_strict_trees(spark):
+    deep = "".join(f'<wg id="g{k}">' for k in range(156)) + '<w id="w1"/>' + "</wg>" * 156
+    good = '<book><sentence><wg id="a" role="cl"><w id="x"/><wg id="b" Role="s"><wg id="c"><w id="y"/></wg><w id="z"/></wg></wg></sentence></book>'
+    bad = {10: "<wg id='a'><w id='x'/><wg id='b'></wg></wg>", 11: "<wg><w id='x'/><w id='x'/></wg>", 12: "<wg><p/></wg>", 13: "<wg><w/></wg><wg><w/></wg>", 14: "<wg><w/>", 15: "<sentence/>", 16: None, 17: "<sentence><wg><w/></wg><w/></sentence>", 18: "<wg><w><w/></w></wg>"}
+    why = {10: "empty group b", 11: "repeated id x", 12: "unexpected tag p", 13: "not well formed", 14: "not well formed", 15: "no root", 16: "not well formed", 17: "more than one root", 18: "w inside a word"}
+    docs = spark.createDataFrame([(1, good), (2, deep), *bad.items()], "doc long, text string")
+    forest = tree_forest(docs, "doc", "text").cache()
+    rows = {r.node: r for r in forest.where("doc = 1").collect()}
+    assert {k: (r.parent, r.depth, r.child_ord, r.group_ord, r.word_ord, r.leftmost, r.role) for k, r in rows.items()} == {
+        "a": (None, 0, 1, 1, None, "x", "cl"), "x": ("a", 1, 1, None, 1, None, None), "b": ("a", 1, 2, 2, None, "y", "s"),
+        "c": ("b", 2, 1, 3, None, "y", None), "y": ("c", 3, 1, None, 2, None, None), "z": ("b", 2, 2, None, 3, None, None),
+    }
+    clo = {tuple(r) for r in leaf_closure(forest, "doc").collect()}
+    inside = {(1, g.node, w.node) for g in rows.values() for w in rows.values() if g.kind == "group" and w.kind == "word" and g.enter < w.enter < g.leave}
+    assert {c[:3] for c in clo if c[0] == 1} == inside and len([c for c in clo if c[0] == 2]) == 156
+    plain = G.leaf_closure(forest.where("kind <> 'error'").withColumnsRenamed({"node": "id"}).withColumn("id", F.concat("doc", F.lit("/"), "id")).withColumn("parent", F.concat("doc", F.lit("/"), "parent")), F.col("kind") == "word")
+    assert {(f"{d}/{a}", f"{d}/{w}", n) for d, a, w, n in clo} == {(r.anc, r.leaf, r.dist) for r in plain.collect()}
+    assert "Exchange" not in leaf_closure(forest, "doc")._jdf.queryExecution().executedPlan().toString()
+    errors = {r.doc: r.error for r in tree_errors(forest, "doc").collect()}
+    assert set(errors) == set(bad) and all(why[d] in errors[d] for d in bad)
+
+
+def test_tags_and_their_parents(spark):
+    pages = spark.createDataFrame([(1, "</p><a><b><br></b><c></c></a></a></x><d><e>"), (2, None), (3, "text")], "page_id long, html string")
+    got = sorted((r.n, r.tag, r.depth, r.parent) for r in G.tag_tree(pages).collect())
+    assert got == [(1, "a", 1, None), (2, "b", 2, 1), (4, "c", 2, 1), (9, "d", 1, None), (10, "e", 2, 9)]
+    drawn = random.Random(8)
+
+    def nest(depth):
+        return "".join(f"<{t}>{nest(depth + 1)}</{t}>" for t in drawn.choices(["div", "p", "ul", "li"], k=drawn.randrange(4 - depth))) if depth < 4 else ""
+
+    whole = spark.createDataFrame([(k, f"<html>{nest(0)}</html>") for k in range(40)], "page_id long, html string")
+    # preorder numbers of the walk against numbers among all tags: both in order of opening
+    ours = sorted((r.page_id, r.n, r.tag, r.depth - 1, r.parent) for r in G.tag_tree(whole).collect())
+    place, numbered = {}, []
+    for page, n, tag, depth, parent in ours:
+        place[page, n] = sum(1 for p, _ in place if p == page)
+        numbered.append((page, place[page, n], None if parent is None else place[page, parent], tag, depth))
+    assert sorted(numbered, key=str) == sorted(((r.page_id, r.node, r.parent, r.tag, r.depth) for r in dom_forest(whole).collect()), key=str)
+
+
 def test_closure_refuses_a_cycle(spark):
     with pytest.raises(G.CycleError):
         G.closure(spark.createDataFrame([(0, None), (1, 3), (2, 1), (3, 2), (4, 0)], "id int, parent int"))
