@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000  # so many keys at most can each have more than one row in so many
 HOT_ROWS = 1000  # keys with fewer rows are never hot
+TASK_LINKS = 1 << 17  # links whose ends one task joins
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -91,3 +93,40 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = now
     return links.select(F.col("a").alias("id"), F.col("b").alias("root")).union(links.select(F.col("b"), F.col("b")).distinct())
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one task as stars: each vertex beside the smallest one that the task's links join it to."""
+    up: dict = {}
+
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema
+        for x, y in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True):
+            p, q = root(x), root(y)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+    if kind is not None:
+        rows = [(x, r) for x in list(up) if (r := root(x)) != x]
+        for i in range(0, len(rows), TASK_LINKS):
+            part = rows[i : i + TASK_LINKS]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], kind.field("a").type), pa.array([r for _, r in part], kind.field("b").type)], names=["a", "b"])
+
+
+def components_by_parts(links: DataFrame) -> DataFrame:
+    """What components gives, after the links were contracted in tasks of TASK_LINKS.
+
+    A task joins the ends of its links and leaves a star for each group, so the rounds that
+    follow start from fewer and shorter ways. If all links fit one task, its stars are the answer.
+    """
+    own = cut(links.where("a <> b").select("a", "b"))
+    parts = max(1, -(-own.count() // TASK_LINKS))
+    stars = cut(own.repartition(parts).mapInArrow(_contract, own.schema))
+    if parts > 1:
+        return components(stars)
+    return stars.select(F.col("a").alias("id"), F.col("b").alias("root")).union(stars.select(F.col("b"), F.col("b")).distinct())

@@ -5,11 +5,12 @@ keeps its least hash, and an empty bin copies the filled one that its own sequen
 first. `BANDS` bands of `ROWS` bins each name a bucket. Equal sets are one node from the start.
 
 A bucket's nodes are linked to its least one: a star, so a bucket of n nodes gives n - 1 candidates.
-Candidates whose signatures are far apart go, the others are confirmed on the full sets. What a
-star can't see, two nodes alike each other but not its centre, comes in rounds: in buckets whose
-nodes aren't all in one component yet, nodes of different components are compared by signature,
-and each node asks for its nearest ones. A round lets it ask for more than the one before,
-and rounds end when no node had to leave one out, so nothing is capped in the end.
+Candidates whose signatures are far apart go; of the others each node's nearest centre comes
+first and is confirmed on the full sets. What this leaves open, other centres and two nodes alike
+each other but not a centre, comes in rounds: in buckets whose nodes aren't all in one component
+yet, nodes of different components are compared by signature, and each node asks for its
+nearest one, then for more from round to round. Rounds end when no node had to leave one out, so
+nothing is capped in the end.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import attach, components, cut
+from lexgrove.llm.common import attach, components_by_parts, cut
 from lexgrove.llm.similar_texts import shingle_hashes
 
 WIDTH = 2
@@ -31,9 +32,9 @@ BIN_BITS = 8
 BINS = 1 << BIN_BITS
 BANDS, ROWS = 42, 6  # two sets 0.8 alike share no bucket with probability 3e-6
 NIBBLES = BINS // 16  # words of 64 bits that hold 4 bits of each bin
-MARGIN = 0.15  # by which a signature may fall short of the similarity, 5.8 standard deviations
+MARGIN = 0.1  # by which a signature may fall short of the similarity, 3.8 standard deviations
 HOMES = 4096  # nodes of a bucket that one task holds
-ASKED = 8  # nodes that a node asks for in a bucket in the second round; eight times as many in each further one
+ASKED = 1  # nodes that a node asks for in a bucket in the first round; GROWTH times as many in each further one
 GROWTH = 8
 PAIRS = 1 << 18  # signatures compared at once
 HOT = 500  # pairs of one text that one task confirms
@@ -139,18 +140,19 @@ def _packed(sets: DataFrame) -> DataFrame:
     return sets.select("digest", "sig").mapInArrow(run, "node long, bits binary")
 
 
-def _likely(pairs: DataFrame, bits: DataFrame, total: int, least: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in `least` bins. a may be in many pairs, b is in at most BANDS."""
+def _nearest_centres(pairs: DataFrame, bits: DataFrame, total: int, least: int) -> DataFrame:
+    """(a, b): each b's nearest centre a, of those whose signatures agree in `least` bins. A centre may be in many pairs, b is in at most BANDS."""
     both = pairs.join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
     ends = pairs.groupBy("a").agg(F.count("*").alias("n_rows")).join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                near = equal_bins(_signatures(b["bits_a"]), _signatures(b["bits_b"])) >= least
-                yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(near))
+                equal = equal_bins(_signatures(b["bits_a"]), _signatures(b["bits_b"]))
+                yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(equal)], names=["a", "b", "equal"]).filter(pa.array(equal >= least))
 
-    return attach(both, ends, ["a"], total).select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    near = attach(both, ends, ["a"], total).select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, equal long")
+    return near.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("m")).select("m.a", "b")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -252,11 +254,11 @@ def _linked(sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     several = cut(buckets.groupBy("key").agg(F.count("*").alias("n_rows"), F.min("node").alias("centre")).where("n_rows > 1"))
     members = cut(attach(buckets, several, ["key"], BANDS * sets.count()))
     total = members.count()
-    tested = cut(_likely(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), bits, total, least))
+    tested = cut(_nearest_centres(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), bits, total, least))
     links = cut(_confirmed(tested, sets, docs, tested.count(), width, percent))
     asked = ASKED
     while True:
-        roots = cut(components(links))
+        roots = cut(components_by_parts(links))
         near = cut(_unsettled(members.select("key", "node"), bits, roots, total, asked, least))
         new = cut(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         n = new.count()
@@ -264,7 +266,7 @@ def _linked(sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             links = cut(links.union(_confirmed(new, sets, docs, n, width, percent)))
             tested = cut(tested.union(new))
         if near.where("more").isEmpty():
-            return components(links) if n else roots
+            return components_by_parts(links) if n else roots
         asked *= GROWTH
 
 
@@ -277,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are linked whatever their signatures. Null text is empty; a null id never names a
     component unless all of it are null; repeated rows are linked, as their sets are equal, unless
     these are empty; other columns play no part; no documents give no rows. A pair of exactly 0.8
-    is seen with probability 1 - 3e-6, one more alike with more.
+    is seen with probability 1 - 1e-4, one more alike with more.
     """
     text = F.col(f"`{text_col}`")
     own = docs.select(F.col(f"`{id_col}`").alias("rid"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
