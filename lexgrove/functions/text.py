@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -163,3 +163,11 @@ def declines(text: Column, topics: tuple[str, ...]) -> Column:
     low = F.lower(text)
     has = lambda words: F.greatest(*(low.contains(w.lower()) for w in words)) if len(words) > 1 else low.contains(words[0].lower())
     return has(DECLINES) & has(topics)
+
+
+def register_sql(spark: SparkSession) -> None:
+    """search_key(text) and nfc(text) for SQL text: the key as an SQL function of built-in ones, which the optimizer opens up, composition as an Arrow function."""
+    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    plain = f"regexp_replace(translate(s, {quoted(_LETTERS)}, {quoted(_BASES)}), '\\\\p{{M}}', '')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION search_key(s STRING) RETURNS STRING RETURN translate(lower({plain}), {quoted('ς' + ELISION + PUNCTUATION)}, 'σ')")
+    spark.udf.register("nfc", F.arrow_udf(_nfc, StringType()))

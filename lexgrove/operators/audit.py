@@ -122,6 +122,13 @@ def golden_check(result: DataFrame, gold: DataFrame, group: str, ident: str) ->
     return g.groupBy(group).agg(F.count("*").alias("n_gold")).join(rows, group, "left").join(lack, group, "left").na.fill(0, ["n_rows", "n_missing"])
 
 
+def golden_values(result: DataFrame, gold: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, wanted, found, status): a golden value for each query against what it gives now: ok, drifted or missing."""
+    have = result.select(group, F.col(value).alias("found"))
+    j = gold.select(group, F.col(value).alias("wanted")).join(have, group, "left")
+    return j.select(group, "wanted", "found", F.when(F.col("found").isNull() & F.col("wanted").isNotNull(), "missing").when(F.col("wanted").eqNullSafe(F.col("found")), "ok").otherwise("drifted").alias("status"))
+
+
 def citable_columns(df: DataFrame) -> DataFrame:
     """(column, citable): string columns with at least one value and only citable ids, in one pass."""
     names = [c for c, t in df.dtypes if t == "string"]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lexgrove.functions import text as T
 from lexgrove.operators import audit as A
-from lexgrove.plans.corpus_queries import TABLES, TOK, keyed
+from lexgrove.operators import graph as G
+from lexgrove.plans.corpus_queries import TABLES, TOK, keyed, store
 from lexgrove.plans.graph_queries import PACKED, frames
 from lexgrove.plans.registry import register
 from lexgrove.sources import io
@@ -20,7 +21,7 @@ def table(spark, sf, name):
 def s1(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", F.lit("x").alias("unused"))
     io.write_tsv(c, path := io.scratch(spark, "tsv"))
-    df, _ = io.read_tsv(spark, path, c.drop("unused").schema, ["c_custkey"])
+    df, _, _ = io.read_tsv(spark, path, c.drop("unused").schema, ["c_custkey"])
     return df
 
 
@@ -49,7 +50,7 @@ def s7(spark, sf):
 def s3(spark, sf):
     """Files of a written table against a lock of their hashes, in which one hash is changed and one file made up."""
     table(spark, sf, "customer").repartition(4).write.parquet(path := io.scratch(spark, "locked"))
-    files = spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    files = G.cut(io.hashed_files(spark, path).where("file LIKE 'part-%'").select("file", "sha256"))
     first = files.agg(F.min("file").alias("first"))
     lock = files.crossJoin(F.broadcast(first)).select("file", F.when(F.col("file") == F.col("first"), "0").otherwise(F.col("sha256")).alias("sha256"))
     lost = first.select(F.concat("first", F.lit(".lost")).alias("file"), F.lit("0").alias("sha256"))
@@ -65,6 +66,27 @@ def s8(spark, sf):
     return out.select(F.from_json("row", c.schema).alias("r"), "build_id").select("r.*", "build_id")
 
 
+ENVELOPE = TOK + ", r AS (SELECT id, 'book:' || source AS book, surface FROM keyed WHERE lemma = 'the'), f AS (SELECT * FROM r ORDER BY id LIMIT 50) SELECT (SELECT count(*) FROM f)::BIGINT AS row_count, (SELECT count(*) > 50 FROM r) AS truncated, 'id book surface' AS columns, 'id book' AS citable, (SELECT string_agg(id || '/' || book || '/' || surface, ' ' ORDER BY id) FROM f) AS rows"
+
+
+@register("s8b_envelope", ENVELOPE)
+def s8b(spark, sf):
+    """A result's envelope: its first rows, whether there were more, which columns can be cited; rows are opened again, as engines space JSON differently."""
+    hits = store(spark, sf).table("token").where("lemma = 'the'").select("id", F.concat(F.lit("book:"), "source").alias("book"), "surface")
+    out = io.envelope(hits, ["id"], 50, "b1")
+    opened = F.transform("rows", lambda r: F.concat_ws("/", *(F.get_json_object(r, f"$.{c}") for c in ("id", "book", "surface"))))
+    return out.select("row_count", "truncated", F.array_join("columns", " ").alias("columns"), F.array_join("citable", " ").alias("citable"), F.array_join(opened, " ").alias("rows"))
+
+
+@register("a12_counters", "SELECT 'balance_below_zero' AS anomaly, count(*) FILTER (WHERE c_acctbal < 0)::BIGINT AS n FROM customer UNION ALL SELECT 'no_segment', count(*) FILTER (WHERE c_mktsegment IS NULL)::BIGINT FROM customer UNION ALL SELECT 'rows', count(*)::BIGINT FROM customer")
+def a12(spark, sf):
+    """Named counts that come with a strict scan: the file is read once, rows are counted as they go by."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    io.write_tsv(c, path := io.scratch(spark, "tsv"))
+    _, _, counts = io.read_tsv(spark, path, c.schema, ["c_custkey"], counters={"balance_below_zero": F.col("c_acctbal") < 0, "no_segment": F.col("c_mktsegment").isNull()})
+    return spark.createDataFrame(sorted(counts.items()), "anomaly string, n long")
+
+
 @register("s9_conform", "SELECT o_orderkey::BIGINT AS id, o_totalprice::DOUBLE AS total, o_orderstatus AS status FROM orders")
 def s9(spark, sf):
     from pyspark.sql.types import StructType
@@ -180,6 +202,15 @@ def m9(spark, sf):
     return A.golden_check(cited, gold, "q", "id")
 
 
+@register("m9b_golden_values", "WITH have AS (SELECT c_nationkey AS q, count(*)::BIGINT AS v FROM customer WHERE c_acctbal > 0 GROUP BY 1), want AS (SELECT n_nationkey::INTEGER AS q, CASE WHEN n_nationkey % 5 = 0 THEN -1 ELSE (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 0) END::BIGINT AS v FROM nation) SELECT want.q, want.v AS wanted, have.v AS found, CASE WHEN have.v IS NULL THEN 'missing' WHEN have.v = want.v THEN 'ok' ELSE 'drifted' END AS status FROM want LEFT JOIN have USING (q)")
+def m9b(spark, sf):
+    """Golden values against results of today; those of every fifth nation are written down wrong."""
+    by = table(spark, sf, "customer").where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("q")).agg(F.count("*").alias("v"))
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("q"))
+    gold = nations.join(by, "q", "left").select("q", F.when(F.col("q") % 5 == 0, -1).otherwise(F.coalesce("v", F.lit(0))).cast("long").alias("v"))
+    return A.golden_values(by, gold, "q", "v")
+
+
 @register("m10_citation_score", f"WITH {GOLD}, c AS (SELECT q, count(*)::BIGINT AS n_cited, (count(*) FILTER (WHERE (q, id) IN (SELECT (q, id) FROM gold)))::BIGINT AS n_hit, (count(*) FILTER (WHERE id NOT IN (SELECT c_custkey FROM customer)))::BIGINT AS n_fabricated FROM cited GROUP BY 1), g AS (SELECT q, count(*)::BIGINT AS n_gold FROM gold GROUP BY 1) SELECT q, n_gold, coalesce(n_cited, 0) AS n_cited, coalesce(n_hit, 0) AS n_hit, coalesce(n_fabricated, 0) AS n_fabricated, round(CASE WHEN n_cited > 0 THEN n_hit / n_cited ELSE 0 END, 6) AS precision, round(coalesce(n_hit, 0) / n_gold, 6) AS recall FROM g LEFT JOIN c USING (q)")
 def m10(spark, sf):
     gold, cited, universe = gold_cited(spark, sf)

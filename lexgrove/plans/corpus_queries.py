@@ -258,6 +258,25 @@ def f3(spark, sf):
     return asked.join(k.select("lemma", "key").distinct(), "key").select("asked", "lemma").distinct()
 
 
+@register("f3c_collated_lookup", TOK + "SELECT DISTINCT l.lemma AS asked, k.lemma FROM keyed l JOIN keyed k ON replace(strip_accents(k.lemma), 'ß', 'ss') = replace(strip_accents(l.lemma), 'ß', 'ss') WHERE l.source = 'src1'")
+def f3c(spark, sf):
+    """Look-up by a collation that ignores case and accents, without a key column.
+
+    Where it differs from f3_lookup: ß is ss here, and punctuation and elision marks, which the key drops, count.
+    """
+    k = store(spark, sf).table("token").select("source", "lemma").distinct()
+    plain = lambda c: F.collate(F.col(c), "UNICODE_CI_AI")
+    asked = k.where("source = 'src1'").select(F.col("lemma").alias("asked")).distinct()
+    return asked.join(k.select("lemma").distinct(), plain("asked") == plain("lemma")).select("asked", "lemma")
+
+
+@register("f2b_sql_functions", TOK + "SELECT key, count(*)::BIGINT AS n FROM keyed WHERE nfc_normalize(surface) = surface GROUP BY 1")
+def f2b(spark, sf):
+    """The key and composition as functions of SQL text."""
+    T.register_sql(spark)
+    return spark.sql("SELECT search_key(surface) AS key, count(*) AS n FROM {tok} WHERE nfc(surface) = surface GROUP BY ALL", tok=store(spark, sf).table("token"))
+
+
 @register("f3b_key_collisions", TOK + "SELECT key, string_agg(DISTINCT lemma, '|' ORDER BY lemma) AS lemmas FROM keyed GROUP BY 1 HAVING count(DISTINCT lemma) > 1")
 def f3b(spark, sf):
     by = keyed(spark, sf).groupBy("key").agg(F.array_sort(F.collect_set("lemma")).alias("s"))

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexgrove.functions import text as T
 from lexgrove.operators import corpus as C
 from lexgrove.operators import graph as G
 from lexgrove.operators import passages as P
@@ -210,3 +211,49 @@ def frame_args(corpus: Corpus, verb_lemma: str, role: str, scope: tuple[int, int
     edges = corpus.relation("frame_arg").where(F.col("arg_role") == role).select(F.col("src").alias("verb_id"), F.col("dst").alias("argument_id"), "arg_role", "implicit", F.col("ord").alias("edge_ord"))
     rows = edges.join(_words(corpus, "verb").where(F.col("verb_lemma") == verb_lemma), "verb_id").join(_words(corpus, "argument"), "argument_id", "left")
     return _placed(rows, scope, "verb_ord").orderBy("verb_ord", "edge_ord").select("verb_id", "verb_surface", "arg_role", "argument_id", "argument_surface", "argument_lemma", "implicit")
+
+
+def parse_sql(text: str) -> tuple[Saved, str]:
+    """A saved query written as SQL: a header of comments, then one statement with :parameters.
+
+    Header lines: `-- name: n`, `-- doc: what it gives`, and for each parameter `-- param: name kind [optional | = default]`.
+    A parameter of kind passage becomes :name_first and :name_last, its ordinals.
+    """
+    name, doc, params, body = None, "", [], []
+    for line in text.strip().splitlines():
+        if m := re.fullmatch(r"--\s*(name|doc|param):\s*(.+?)\s*", line):
+            if m[1] == "name":
+                name = m[2]
+            elif m[1] == "doc":
+                doc = m[2]
+            else:
+                p = re.fullmatch(r"(\w+)\s+(lemma|text|int|token|passage)(?:\s+(optional)|\s*=\s*(.+))?", m[2])
+                if p is None:
+                    raise ParamError(f"cannot read parameter {m[2]!r}")
+                params.append(Param(p[1], p[2], required=not (p[3] or p[4]), default=p[4]))
+        else:
+            body.append(line)
+    if name is None:
+        raise ParamError("a saved query has a name")
+    return Saved(name, doc, tuple(params), lambda corpus, **kw: None), "\n".join(body)
+
+
+def run_sql(corpus: Corpus, text: str, raw: dict[str, str]) -> DataFrame:
+    """Runs a saved query written as SQL over the corpus's tables as views token, line, chapter, book and what relations it has; search_key and nfc are there.
+
+    Values are bound as named parameters, never put into the text.
+    """
+    spark = corpus.docs.sparkSession
+    query, body = parse_sql(text)
+    values, bound = {}, bind(corpus, query, raw)
+    for p in query.params:
+        v = bound[p.name]
+        if p.kind == "passage":
+            values[f"{p.name}_first"], values[f"{p.name}_last"] = v if v is not None else (0, (1 << 63) - 1)
+        else:
+            values[p.name] = v
+    T.register_sql(spark)
+    views = {"token": corpus.tokens, "line": corpus.places.lines, "chapter": corpus.places.chapters, "book": corpus.places.books, **corpus.relations}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(body, args=values)

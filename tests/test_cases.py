@@ -1,5 +1,7 @@
 """Small cases: search keys, ids, aliases, references, chains, cycles, rules, agreement, sources, scoring."""
 
+import hashlib
+import json
 import random
 import unicodedata
 
@@ -294,8 +296,33 @@ def test_strict_scan_refuses(spark, tmp_path, text, why):
 
 def test_strict_scan(spark, tmp_path):
     (tmp_path / "t.tsv").write_text('id\tname\tsecret\tmore\n1\t"a"\tx\t\n2\t\tx\ty\n')
-    df, ignored = io.read_tsv(spark, str(tmp_path / "t.tsv"), SCHEMA, ["id"], ("secret",))
-    assert sorted(map(tuple, df.collect())) == [(1, '"a"'), (2, None)] and ignored == ["more"]
+    df, ignored, counts = io.read_tsv(spark, str(tmp_path / "t.tsv"), SCHEMA, ["id"], ("secret",), {"nameless": F.col("name").isNull()})
+    (tmp_path / "t.tsv").unlink()  # nothing is read again
+    assert sorted(map(tuple, df.collect())) == [(1, '"a"'), (2, None)] and ignored == ["more"] and counts == {"rows": 2, "nameless": 1}
+
+
+def test_files_are_hashed_in_blocks_by_relative_path(spark, tmp_path):
+    for folder, text in (("a", b"one"), ("b", b"two"), ("b/c", b"x" * 3_000_000), ("d", b"")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / "same.bin").write_bytes(text)
+    want = {f"{f}/same.bin": hashlib.sha256((tmp_path / f / "same.bin").read_bytes()).hexdigest() for f in ("a", "b", "b/c", "d")}
+    got = {r.file: (r.bytes, r.sha256) for r in io.hashed_files(spark, str(tmp_path), block=1000).collect()}
+    assert {k: v[1] for k, v in got.items()} == want and got["b/c/same.bin"][0] == 3_000_000
+    lock = spark.createDataFrame([*want.items(), ("a/none.bin", "0"), ("same.bin", want["a/same.bin"])], "file string, sha256 string")
+    (tmp_path / "b" / "same.bin").write_bytes(b"Two")
+    status = {r.file: r.status for r in io.verify_files(spark, f"file://{tmp_path}", lock).collect()}
+    assert status == {"a/same.bin": "ok", "b/same.bin": "changed", "b/c/same.bin": "ok", "d/same.bin": "ok", "a/none.bin": "missing", "same.bin": "missing"}
+
+
+def test_envelope(spark):
+    df = spark.createDataFrame([("book:a", "x", 1), ("book:b", None, 2), ("book:c", "lemma:q", 3)], "id string, t string, n int")
+    one = io.envelope(df, ["n"], 2, "b7").first()
+    assert (one.row_count, one.truncated, one.citable, one.columns, one.build_id) == (2, True, ["id"], ["id", "t", "n"], "b7")
+    assert [json.loads(r) for r in one.rows] == [{"id": "book:a", "t": "x", "n": 1}, {"id": "book:b", "t": None, "n": 2}]
+    three = io.envelope(df.where("n = 3"), ["n"], 2, "b7").first()
+    assert (three.truncated, three.citable, three.row_count) == (False, ["id", "t"], 1) and io.envelope(df, ["n"], 3, "b").first().truncated is False
+    with pytest.raises(io.SourceError):
+        io.envelope(df, ["n"], 0, "b")
 
 
 def test_publish_is_all_or_nothing(spark, tmp_path):

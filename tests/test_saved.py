@@ -50,3 +50,30 @@ def test_queries_on_relations(spark):
         S.run(corpus, "token", {"token": "s9 1:1!1"})
     with pytest.raises(S.ParamError, match="no refers_to"):
         S.run(S.Corpus(docs), "referent_chain", {"token": n[0]})
+
+
+WRITTEN = """
+-- name: words_by_key
+-- doc: Words of a key in a passage, composed.
+-- param: word lemma
+-- param: scope passage optional
+-- param: least int = 1
+SELECT nfc(surface) AS form, count(*) AS n FROM token
+WHERE search_key(surface) = search_key(:word) AND ord BETWEEN :scope_first AND :scope_last
+GROUP BY ALL HAVING count(*) >= :least ORDER BY form
+"""
+
+
+def test_queries_written_as_sql(spark):
+    docs = spark.createDataFrame([(1, "s1", "Ῥόδον, ῥοδον ῥόδον’\nrose"), (2, "s2", "ΡΟΔΟΝ Rose")], "doc_id long, source string, text string")
+    corpus = S.Corpus(docs)
+    run = lambda **raw: [tuple(r) for r in S.run_sql(corpus, WRITTEN, raw).collect()]
+    assert run(word="ροδον") == [("ΡΟΔΟΝ", 1), ("ῥοδον", 1), ("ῥόδον’", 1), ("Ῥόδον", 1)]
+    assert run(word="'; DROP VIEW token; --") == [] and run(word="rose", scope="s2") == [("Rose", 1)] and run(word="rose", least="2") == []
+    for raw, why in (({}, "needs word"), ({"word": "a", "x": "1"}, "no parameter x"), ({"word": "a", "least": "two"}, "whole number"), ({"word": "a", "scope": "s9"}, "unknown book")):
+        with pytest.raises(S.ParamError, match=why):
+            S.run_sql(corpus, WRITTEN, raw)
+    with pytest.raises(S.ParamError, match="cannot read parameter"):
+        S.parse_sql("-- name: a\n-- param: b number\nSELECT 1")
+    with pytest.raises(S.ParamError, match="has a name"):
+        S.parse_sql("SELECT 1")
