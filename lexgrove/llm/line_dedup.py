@@ -49,7 +49,7 @@ def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     repeated = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.min(F.struct(*_PLACE)).alias("first")).where("n_rows > 1")
     ranks = cut(repeated.orderBy(*keys).withColumn("rank_", F.monotonically_increasing_id()))
-    joined = attach(rows, ranks, keys, ranks.agg(F.sum("n_rows")).first()[0] or 0).drop(*keys)
+    joined = attach(rows, ranks, keys, ranks.agg(F.sum("n_rows")).first()[0] or 0, look=True).drop(*keys)
     return joined.withColumnRenamed("rank_", "rank").withColumn("later", ~_is("first")).drop("first")
 
 
@@ -107,7 +107,7 @@ def _split(members: DataFrame, ranks: DataFrame, h: int) -> DataFrame:
     some = looked.where("part IS NOT NULL")
     parts = cut(some.groupBy("node", "depth", "part").agg(F.count("*").alias("n_rows"), F.min(F.struct(*_PLACE)).alias("first")).withColumn("id", F.monotonically_increasing_id()))
     several = parts.where("n_rows > 1")
-    deeper = attach(some, several.select("node", "part", "id", "n_rows"), ["node", "part"], some.count())
+    deeper = attach(some, several.select("node", "part", "id", "n_rows"), ["node", "part"], some.count(), look=True)
     deeper = deeper.select(F.struct(F.lit(-h).alias("of"), "id").alias("node"), (F.col("depth") + h).alias("depth"), *_PLACE)
     return deeper.unionByName(parts.select("node", "depth", "first.*")).unionByName(looked.where("part IS NULL").drop("part"))
 
@@ -118,7 +118,7 @@ def _runs(levels: dict[int, DataFrame]) -> DataFrame:
     for h in sorted(levels, reverse=True)[1:]:
         members = cut(_split(members, levels[h], h).unionByName(_members(levels, h)))
     firsts = cut(members.groupBy("node").agg(F.count("*").alias("n_rows"), F.min(F.struct(*_PLACE)).alias("first")).where("n_rows > 1"))
-    repeats = attach(members, firsts, ["node"], firsts.agg(F.sum("n_rows")).first()[0] or 0).where(~_is("first"))
+    repeats = attach(members, firsts, ["node"], firsts.agg(F.sum("n_rows")).first()[0] or 0, look=True).where(~_is("first"))
     longest = repeats.groupBy(*_PLACE).agg(F.max_by(F.struct("depth", "first"), "depth").alias("m"))
     end = F.col("seq") + F.col("m.depth")
     before = Window.partitionBy(*_DOC).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
