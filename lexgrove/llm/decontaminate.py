@@ -236,4 +236,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text") ->
     """
     digest = F.md5(F.col(f"`{text_col}`").cast("binary"))
     found = contaminated(docs.select(digest.alias("_leak"), F.col(f"`{text_col}`").alias("text")), items, "_leak").select("_leak").distinct()
-    return docs.withColumn("_digest", digest).join(found, F.col("_digest") == F.col("_leak"), "left_anti").drop("_digest")
+    some = docs.where(F.col(f"`{text_col}`").isNotNull()).withColumn("_digest", digest).join(found, F.col("_digest") == F.col("_leak"), "left_anti").drop("_digest")
+    return some.unionByName(docs.where(F.col(f"`{text_col}`").isNull()))  # these hold nothing and need no shuffle

@@ -179,9 +179,19 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[list[tuple[int, int, in
     return full
 
 
+def spread(deal: np.ndarray) -> np.ndarray:
+    """Where rows are dealt to: equal ones of a batch to places of their own. Equal rows can take each other's place, so their order doesn't matter."""
+    order = np.argsort(deal, kind="stable")
+    first = np.flatnonzero(np.append(True, deal[order][1:] != deal[order][:-1])) if len(deal) else order
+    nth = np.empty(len(deal), np.int64)
+    nth[order] = np.arange(len(deal)) - np.repeat(first, np.diff(np.append(first, len(deal))))
+    return (deal.view(np.uint64) + nth.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     end = np.array([END_ID], _id_type(path)).tobytes()
     for whole in batches:
+        whole = whole.set_column(2, "deal", pa.array(spread(whole.column(2).to_numpy())))
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
             ids = [x + end for x in encode([t or "" for t in b.column(1).to_pylist()], path)]
@@ -222,7 +232,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A document is its text's ids and END_ID; null text is empty, so it still has one token. A
     task holds one group: group_tokens and at most one document more. Repeated rows and null ids
-    are documents like others; other columns play no part. No documents give no rows.
+    are documents like others, and a row that repeats very often is dealt out to many tasks; other columns play no part. No documents give no rows.
     """
     path = path or tokenizer_path()
     deal = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import attach, components, cut
+from lexgrove.llm.common import attach, components_by_parts, cut
 from lexgrove.llm.simhash import HOMES, Forest, _errors, _home, _syndrome
 
 SHINGLE = 5
@@ -225,7 +225,7 @@ def _found(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, simi
     """(id, root) by verified pairs: of each fingerprint the nearest few first, then all others whose ends are still apart."""
     order = Window.partitionBy("a").orderBy(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))), F.xxhash64("a", "b"))  # as many rows as anchors
     ranked = cut(pairs.withColumn("rank", F.row_number().over(order)))
-    found = cut(components(verified(ranked.where(F.col("rank") <= FIRST).select("a", "b"), nodes, docs, width, similarity)))
+    found = cut(components_by_parts(verified(ranked.where(F.col("rank") <= FIRST).select("a", "b"), nodes, docs, width, similarity)))
     rest = cut(ranked.where(F.col("rank") > FIRST).select("a", "b").join(found.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left"))
     n = rest.count()
     by = rest.groupBy("b").agg(F.count("*").alias("n_rows")).join(found.select(F.col("id").alias("b"), F.col("root").alias("root_b")), "b", "left")
@@ -233,7 +233,7 @@ def _found(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, simi
     if not apart.count():
         return found
     more = verified(apart, nodes, docs, width, similarity)
-    return components(more.union(found.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    return components_by_parts(more.union(found.select(F.col("id").alias("a"), F.col("root").alias("b"))))
 
 
 def _groups(docs: DataFrame, width: int, similarity: float, segments: int, homes: int) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexgrove.llm import packing
@@ -76,3 +77,16 @@ def test_odd_rows(odd, none):
         assert any(p.doc_id == d and p.doc_tokens == len(ids) for p in pieces)
     assert packing.encode([t or "" for _, t in texts], packing.tokenizer_path()) == [np.array(x[:-1], "<u2").tobytes() for x in want]
     assert packing.pack_documents(none).count() == 0
+
+
+def test_a_row_that_is_a_third_of_all_is_dealt_out(spark):
+    """No task packs over twice the mean, and every copy is packed whole."""
+    docs = spark.createDataFrame([(k, f"word{k} and more") for k in range(8000)] + [(-1, "the same")] * 3000 + [(None, None)] * 1000, "doc_id long, text string")
+    pieces = packing.pack_documents(docs.repartition(4)).cache()
+    tasks = [r["count"] for r in pieces.groupBy(F.shiftright("sequence_id", 33).alias("task")).count().collect()]
+    assert len(tasks) == 8 and max(tasks) < 2 * sum(tasks) / len(tasks)
+    whole = pieces.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).collect()
+    n = {r.doc_id: r.n // r.doc_tokens for r in whole}
+    assert n[-1] == 3000 and n[None] == 1000 and sum(n.values()) == 12000 and all(r.n % r.doc_tokens == 0 for r in whole)
+    deal = np.array([5, 7, 5, 5, 7, 9], np.int64)
+    assert sorted(packing.spread(deal)) == sorted(packing.spread(deal[::-1].copy())) and len(set(packing.spread(deal))) == 6
