@@ -5,18 +5,24 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame in the session's shared checkpoint folder, so that a loop's plan doesn't grow; a session on one machine without one gets a temporary folder."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's own part of the folder that spark.checkpoint.dir names; a session on one machine without one gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame in the session's shared folder, so that a loop's plan doesn't grow."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow.fs as pafs
@@ -12,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from lexgrove.functions import text as T
-from lexgrove.operators.graph import cut
+from lexgrove.operators.graph import cut, shared_folder
 
 MOST_ROWS = 10_000  # of a result that is shown
 
@@ -23,13 +22,7 @@ class SourceError(ValueError):
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session's executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise SourceError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType, key: list[str], excluded: tuple[str, ...] = (), counters: dict[str, Column] | None = None) -> tuple[DataFrame, list[str], dict[str, int]]:
