@@ -39,6 +39,7 @@ WAVE = 8  # first words of one wave differ by this factor in count at most
 SETTLED = 4  # times `top` phrases of a language that are settled at once
 FILTER_BITS = 26
 SLICE = 1 << 20  # words that are looked at together
+ROWS = 100_000  # phrases of one partition
 
 _MARK = b"."
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
@@ -68,6 +69,12 @@ def _encode(batches: Iterator[pa.RecordBatch], tail: bytes) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(of), pa.string()), pa.nulls(len(of), pa.binary()), pa.array(list(of), pa.binary()), pa.array(list(of.values()), pa.int64())], names=names)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """The frame cut, in as many partitions as its rows need."""
+    own = cut(df)
+    return own.coalesce(max(1, -(-own.count() // ROWS)))
+
+
 def _seed(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang, 7))
 
@@ -197,7 +204,7 @@ def _settled(pick: DataFrame, texts: DataFrame, words: DataFrame, frequent: Broa
     parts = cuts.select("lang", F.col("two").alias("p")).where(F.size("p") > 1).distinct()
     open_ = pick.where((k < longest) & ((F.col("right") != F.col("a")) | F.col("right").isNull())).select("lang", "p")
     filters = _filter(parts), _filter(open_)
-    seen = cut(_asked(texts, *filters, frequent, longest))
+    seen = _few(_asked(texts, *filters, frequent, longest))
     for x in filters:
         x.destroy()
     single = words.select("lang", F.array("h").alias("p"), F.col("f").alias("c"))
@@ -209,18 +216,18 @@ def _settled(pick: DataFrame, texts: DataFrame, words: DataFrame, frequent: Broa
     left = seen.where("kind = 1").groupBy("lang", F.slice("p", 2, longest).alias("p")).agg(F.max("n").alias("left"))
     out = pick.join(lowest, ["lang", "p"]).join(left, ["lang", "p"], "left")
     inside = F.coalesce(F.col("right") == F.col("a"), F.lit(False)) | F.coalesce(F.col("left") == F.col("a"), F.lit(False))
-    return cut(out.select("lang", "p", "a", "n_lang", "low.l", "low.r", "low.score", (~inside).alias("survives")))
+    return _few(out.select("lang", "p", "a", "n_lang", "low.l", "low.r", "low.score", (~inside).alias("survives")))
 
 
 def _threshold(done: DataFrame, top: int) -> DataFrame:
     """(lang, tau): the top-th surviving score of each language that has so many."""
     w = Window.partitionBy("lang").orderBy(F.col("score").desc(), "p")
-    return cut(done.where("survives").select("lang", "score", F.row_number().over(w).alias("k")).where(F.col("k") == top).select("lang", F.col("score").alias("tau")))
+    return _few(done.where("survives").select("lang", "score", F.row_number().over(w).alias("k")).where(F.col("k") == top).select("lang", F.col("score").alias("tau")))
 
 
 def _text(rows: DataFrame, said: DataFrame) -> DataFrame:
     """rows (lang, p, ...) with `phrase`; said: (lang, h, word), a word once or more."""
-    each = cut(rows.select("lang", "p", F.posexplode("p").alias("i", "h")))
+    each = _few(rows.select("lang", "p", F.posexplode("p").alias("i", "h")))
     words = said.join(each.select("lang", "h").distinct(), ["lang", "h"]).groupBy("lang", "h").agg(F.first("word").alias("word"))
     named = each.join(words, ["lang", "h"]).groupBy("lang", "p").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("ws"))
     return rows.join(named.select("lang", "p", F.array_join(F.transform("ws", lambda x: x["word"].cast("string")), " ").alias("phrase")), ["lang", "p"])
@@ -249,8 +256,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         forget()
     else:
         raise RuntimeError("different words of one hash, whatever is put behind them")
-    sizes = cut(unit.groupBy("lang").agg(F.sum("f").alias("n_lang")))
-    words = cut(unit.where(F.col("f") >= least).join(sizes, "lang").select("lang", "h", "f", "n_lang"))
+    sizes = _few(unit.groupBy("lang").agg(F.sum("f").alias("n_lang")))
+    words = _few(unit.where(F.col("f") >= least).join(sizes, "lang").select("lang", "h", "f", "n_lang"))
     frequent = _filter(words.select("lang", F.array("h").alias("p")))
     bound = F.expr("(cast(1000 as decimal(4,0)) * cast(n_lang as decimal(18,0))) div cast(f as decimal(18,0))")
     most = words.agg(F.max("f")).first()[0] or 0
@@ -259,13 +266,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         first = words.where((F.col("f") >= least * wave**i) & (F.col("f") < least * wave ** (i + 1)))
         if tau is not None:
             first = first.join(tau, "lang", "left").where(bound >= F.coalesce("tau", F.lit(0)))
-        nodes = cut(first.select("lang", F.array("h").alias("p")))
+        nodes = _few(first.select("lang", F.array("h").alias("p")))
         if nodes.isEmpty():
             continue
         levels = []
         for k in range(2, longest + 1):
             prefixes = _filter(nodes)
-            nodes = cut(_level(texts, k, nodes, prefixes, frequent, least))
+            nodes = _few(_level(texts, k, nodes, prefixes, frequent, least))
             prefixes.destroy()
             if nodes.isEmpty():
                 break
@@ -281,25 +288,25 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         ends = words.select("lang", F.col("h").alias("end"), F.col("f").alias("r"), "n_lang")
         open_ = new.join(children, ["lang", "p"], "left").where("right IS NULL OR right < a")
         open_ = open_.withColumns({"one": F.slice("p", 1, F.size("p") - 1), "end": F.element_at("p", -1)}).join(prefix, ["lang", "one"]).join(ends, ["lang", "end"])
-        pending = cut(open_.select("lang", "p", "a", "right", "n_lang", _score(F.col("a"), F.col("n_lang"), F.col("l"), F.col("r")).alias("bound")))
+        pending = _few(open_.select("lang", "p", "a", "right", "n_lang", _score(F.col("a"), F.col("n_lang"), F.col("l"), F.col("r")).alias("bound")))
         while True:
             if tau is not None:
                 pending = pending.join(tau, "lang", "left").where(F.col("bound") >= F.coalesce("tau", F.lit(0))).drop("tau")
             order = Window.partitionBy("lang").orderBy(F.col("bound").desc(), "p")
-            pick = cut(pending.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SETTLED * top).drop("k"))
+            pick = _few(pending.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SETTLED * top).drop("k"))
             if pick.isEmpty():
                 break
             now = _settled(pick.drop("bound"), texts, words, frequent, found, longest)
             done = now if done is None else done.unionByName(now)
             tau = _threshold(done, top)
-            pending = cut(pending.join(pick.select("lang", "p"), ["lang", "p"], "left_anti"))
+            pending = _few(pending.join(pick.select("lang", "p"), ["lang", "p"], "left_anti"))
     frequent.destroy()
     if done is None:
         forget()
         return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
     kept = done.where("survives").join(tau, "lang", "left").where(F.col("score") >= F.coalesce("tau", F.lit(0)))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = _text(cut(kept), said.select("lang", "h", "word")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    ranked = _text(_few(kept), said.select("lang", "h", "word")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     out = cut(ranked.select("lang", "rank", "phrase", "a", "l", "r", F.col("n_lang").alias("n"), "score"))
     forget()
     return out
