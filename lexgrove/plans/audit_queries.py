@@ -171,7 +171,7 @@ def m5(spark, sf):
 
 #: What the catalogue knows of columns besides their type: keys, references by label, coded columns.
 REFERENCES = {"nation.n_regionkey": ("region.r_regionkey", "IN_REGION"), "customer.c_nationkey": ("nation.n_nationkey", "IN_NATION"), "supplier.s_nationkey": ("nation.n_nationkey", "FROM_NATION"), "orders.o_custkey": ("customer.c_custkey", "PLACED_BY"), "lineitem.l_orderkey": ("orders.o_orderkey", "PART_OF"), "lineitem.l_partkey": ("part.p_partkey", "OF_PART"), "lineitem.l_suppkey": ("supplier.s_suppkey", "BY_SUPPLIER"), "labels.doc_id": ("documents.doc_id", "LABELS")}
-SQL_TYPES = "CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END"
+SQL_TYPES = "CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END"
 
 
 def _catalogue_sql() -> str:
