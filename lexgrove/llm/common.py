@@ -54,13 +54,15 @@ def attach(left: DataFrame, by: DataFrame, key: list[str], total: int, count: st
     total: rows of left, about. A key with more than HOT_ROWS rows and one in HOT_KEYS of all is
     hot; there can't be more than HOT_KEYS of those, so they are broadcast and left's rows of
     them stay where they are. Only rows of other keys are shuffled. look: first see whether
-    there are hot keys at all, where `by` is cheap to read, as each broadcast takes driver memory.
+    there are hot keys at all, where `by` is cheap to read, and merge the rest, as each
+    broadcast takes driver memory.
     """
     many = F.col(count) > max(HOT_ROWS, total // HOT_KEYS)
     hot = by.where(many).drop(count)
+    rest = by.where(~many).drop(count)
     if look and hot.isEmpty():
-        return left.join(by.drop(count), key)
-    cold = left.join(F.broadcast(hot.select(*key)), key, "left_anti").join(by.where(~many).drop(count), key)
+        return left.join(by.drop(count).hint("merge"), key)
+    cold = left.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest.hint("merge") if look else rest, key)
     return left.join(F.broadcast(hot), key).unionByName(cold)
 
 

@@ -84,8 +84,8 @@ def _doubled(lines: DataFrame) -> dict[int, DataFrame]:
 
 
 def _there(rows: DataFrame, *more: Column) -> DataFrame:
-    """The rows' places under names of their own, to join with."""
-    return rows.select(F.col("_doc").alias("l_doc"), F.col("_th").alias("l_th"), F.col("seq").alias("l_seq"), *more)
+    """The rows' places under names of their own, to join with; merged, as there are too many joins to broadcast a side of each."""
+    return rows.select(F.col("_doc").alias("l_doc"), F.col("_th").alias("l_th"), F.col("seq").alias("l_seq"), *more).hint("merge")
 
 
 def _meets(ahead: Column) -> Column:
@@ -163,7 +163,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are no copies of each other. Null ids sort first. No documents give no rows. Columns of
     docs named n_lines or n_removed are replaced; other extra columns pass through.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_lines, min_line_chars).groupBy(*_DOC).agg(F.collect_set("line").alias("_gone"))
+    gone = repeated_lines(docs, id_col, text_col, min_lines, min_line_chars).groupBy(*_DOC).agg(F.collect_set("line").alias("_gone")).hint("merge")
     text = F.col(f"`{text_col}`")
     lines = F.split(text, "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("g._gone"))
