@@ -10,7 +10,8 @@ first and is confirmed on the full sets. What this leaves open, other centres an
 each other but not a centre, comes in rounds: in buckets whose nodes aren't all in one component
 yet, nodes of different components are compared by signature, and each node asks for its
 nearest one, then for more from round to round. Rounds end when no node had to leave one out, so
-nothing is capped in the end.
+nothing is capped in the end. In a crowded bucket sets of at most `WHOLE` shingles travel whole, 16
+bits of each: what they share at most is known there, and pairs that can't be linked aren't emitted.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ HOMES = 4096  # nodes of a bucket that one task holds
 ASKED = 1  # nodes that a node asks for in a bucket in the first round; GROWTH times as many in each further one
 GROWTH = 8
 PAIRS = 1 << 18  # signatures compared at once
+WHOLE = 256  # shingles of a set that travels whole
+CROWDED = 64  # nodes of a bucket from which sets travel whole
 HOT = 500  # pairs of one text that one task confirms
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -96,21 +99,22 @@ def least_equal(percent: int) -> int:
 
 
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(rid, th, text) -> (rid, th, n, digest, sig): the set's size, a hash of it, its signature's bins."""
+    """(rid, th, text) -> (rid, th, n, digest, sig, few): the set's size, a hash of it, its signature's bins, 16 bits of each shingle if there are at most WHOLE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probes()
         for b in batches:
-            n, digests, sigs = [], [], []
+            n, digests, sigs, few = [], [], [], []
             for t in b["text"]:
                 h = shingle_hashes(t.as_py(), width)
                 n.append(len(h))
                 digests.append(xxhash.xxh3_64_intdigest(np.ascontiguousarray(h).tobytes(), 42))
                 sigs.append(signature(np.ascontiguousarray(h[:, 0]), probes).tobytes() if len(h) else b"")
-            yield pa.RecordBatch.from_arrays([b["rid"], b["th"], pa.array(n, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sigs, pa.binary())], names=["rid", "th", "n", "digest", "sig"])
+                few.append(h[:, 0].astype(np.uint16).tobytes() if len(h) <= WHOLE else b"")
+            yield pa.RecordBatch.from_arrays([b["rid"], b["th"], pa.array(n, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(few, pa.binary())], names=["rid", "th", "n", "digest", "sig", "few"])
 
     kind = docs.schema["rid"].dataType.simpleString()
-    return docs.select("rid", "th", "text").mapInArrow(run, f"rid {kind}, th long, n long, digest long, sig binary")
+    return docs.select("rid", "th", "text").mapInArrow(run, f"rid {kind}, th long, n long, digest long, sig binary, few binary")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -130,14 +134,14 @@ def _bucketed(sets: DataFrame) -> DataFrame:
 
 
 def _packed(sets: DataFrame) -> DataFrame:
-    """(digest, sig) -> (node, bits)."""
+    """(digest, sig, few) -> (node, bits, few)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = packed(_signatures(b["sig"])) if b.num_rows else np.empty((0, NIBBLES), np.uint64)
-            yield pa.RecordBatch.from_arrays([b["digest"], pa.array([x.tobytes() for x in bits], pa.binary())], names=["node", "bits"])
+            yield pa.RecordBatch.from_arrays([b["digest"], pa.array([x.tobytes() for x in bits], pa.binary()), b["few"]], names=["node", "bits", "few"])
 
-    return sets.select("digest", "sig").mapInArrow(run, "node long, bits binary")
+    return sets.select("digest", "sig", "few").mapInArrow(run, "node long, bits binary, few binary")
 
 
 def _nearest_centres(pairs: DataFrame, bits: DataFrame, total: int, least: int) -> DataFrame:
@@ -191,9 +195,31 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, total: int, w
     return with_text(with_text(pairs, "b", "a"), "a", "b").select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirm(it, width, percent), "a long, b long")
 
 
-def _asks(ask: dict[str, np.ndarray], home: dict[str, np.ndarray], asked: int, least: int) -> Iterator[pa.RecordBatch]:
+def _whole(few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the sets, 0 of those that don't travel whole, and a row of 16-bit hashes for each, padded with 1 << 16."""
+    n = np.array([len(x) // 2 for x in few], np.int64)
+    rows = np.full((len(few), n.max(initial=0)), 1 << 16, np.int32)
+    rows[np.arange(rows.shape[1]) < n[:, None]] = np.frombuffer(b"".join(few), np.uint16)
+    return n, rows
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, ask: tuple[np.ndarray, np.ndarray], home: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs can be linked, x sorted: not those whose sets both travel whole and share too little even if equal hashes are equal shingles."""
+    keep, has = np.ones(len(x), bool), np.zeros((1 << 16) + 1, bool)
+    first = np.flatnonzero(np.diff(x, prepend=-1)).tolist()
+    for i, j in zip(first, [*first[1:], len(x)] if first else [], strict=True):
+        if n := ask[0][x[i]]:
+            own, others = ask[1][x[i], :n], y[i:j]
+            has[own] = True
+            both = np.minimum(has[home[1][others]].sum(axis=1), n)
+            keep[i:j] = (home[0][others] == 0) | (100 * both >= percent * (n + home[0][others] - both))
+            has[own] = False
+    return keep
+
+
+def _asks(ask: dict[str, np.ndarray], home: dict[str, np.ndarray], asked: int, least: int, percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b, more): the `asked` nearest homes of another component for each asking node; more: there were others."""
-    step = max(1, PAIRS // max(1, len(home["node"])))
+    step, homes = max(1, PAIRS // max(1, len(home["node"]))), _whole(home["few"])
     for i in range(0, len(ask["node"]), step):
         own = {c: x[i : i + step] for c, x in ask.items()}
         x, y = np.nonzero(own["root"][:, None] != home["root"][None, :])
@@ -202,6 +228,7 @@ def _asks(ask: dict[str, np.ndarray], home: dict[str, np.ndarray], asked: int, l
             n = np.append(n, equal_bins(own["bits"][x[j : j + PAIRS]], home["bits"][y[j : j + PAIRS]]))
         near = np.flatnonzero(n >= least)
         near = near[np.lexsort((-n[near], x[near]))]
+        near = near[_may_link(x[near], y[near], _whole(own["few"]), homes, percent)]
         x, y = x[near], y[near]
         place = np.arange(len(x)) - np.searchsorted(x, x)
         more, keep = np.isin(x, x[place >= asked]), place < asked
@@ -209,42 +236,42 @@ def _asks(ask: dict[str, np.ndarray], home: dict[str, np.ndarray], asked: int, l
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(more[keep])], names=["a", "b", "more"])
 
 
-def _nearest(batches: Iterator[pa.RecordBatch], asked: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, replica, node, root, bits) sorted by key and replica: a bucket's homes come first and stay, replicas stream past; homes without replicas ask each other."""
-    empty = {"node": np.empty(0, np.int64), "root": np.empty(0, np.int64), "bits": np.empty((0, NIBBLES), np.uint64)}
+def _nearest(batches: Iterator[pa.RecordBatch], asked: int, least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, replica, node, root, bits, few) sorted by key and replica: a bucket's homes come first and stay, replicas stream past; homes without replicas ask each other."""
+    empty = {"node": np.empty(0, np.int64), "root": np.empty(0, np.int64), "bits": np.empty((0, NIBBLES), np.uint64), "few": np.empty(0, object)}
     bucket, home, streamed = None, empty, False
     for b in batches:
         if not b.num_rows:
             continue
         key, replica = b["key"].to_numpy(), b["replica"].to_numpy(zero_copy_only=False)
-        rows = {"node": b["node"].to_numpy(), "root": b["root"].to_numpy(), "bits": _signatures(b["bits"])}
+        rows = {"node": b["node"].to_numpy(), "root": b["root"].to_numpy(), "bits": _signatures(b["bits"]), "few": np.array(b["few"].to_pylist(), object)}
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist()
         for i, j in zip(first, [*first[1:], len(key)], strict=True):
             if key[i] != bucket:
                 if not streamed:
-                    yield from _asks(home, home, asked, least)
+                    yield from _asks(home, home, asked, least, percent)
                 bucket, home, streamed = key[i], empty, False
             mid = i + int((~replica[i:j]).sum())
             home = {c: np.concatenate((home[c], x[i:mid])) for c, x in rows.items()}
             if mid < j:
                 streamed = True
-                yield from _asks({c: x[mid:j] for c, x in rows.items()}, home, asked, least)
+                yield from _asks({c: x[mid:j] for c, x in rows.items()}, home, asked, least, percent)
     if not streamed:
-        yield from _asks(home, home, asked, least)
+        yield from _asks(home, home, asked, least, percent)
 
 
-def _unsettled(members: DataFrame, bits: DataFrame, roots: DataFrame, total: int, asked: int, least: int) -> DataFrame:
+def _unsettled(members: DataFrame, bits: DataFrame, roots: DataFrame, total: int, asked: int, least: int, percent: int) -> DataFrame:
     """(a, b, more) between components, in buckets that have several: each node's nearest; more: it had to leave some out."""
     named = members.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     state = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_rows")).where("low < high")
-    state = cut(state.select("key", "n_rows", F.ceil(F.col("n_rows") / HOMES).cast("int").alias("parts")))
-    rows = attach(named, state, ["key"], total).join(bits, "node")
+    state = cut(state.select("key", "n_rows", F.ceil(F.col("n_rows") / HOMES).cast("int").alias("parts"), (F.col("n_rows") >= CROWDED).alias("crowded")))
+    rows = attach(named, state, ["key"], total).join(bits, "node").withColumn("few", F.when(F.col("crowded"), F.col("few")).otherwise(F.lit(b"")))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     place = lambda part, replica: F.struct(part.cast("int").alias("part"), F.lit(replica).alias("replica"))
     many = F.concat(F.array(place(own, False)), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: place(i, True)))
-    spread = rows.select("key", "node", "root", "bits", F.explode(F.when(F.col("parts") > 1, many).otherwise(F.array(place(F.lit(0), False)))).alias("at"))
-    dealt = spread.select(F.xxhash64("key", "at.part").alias("key"), "at.replica", "node", "root", "bits").repartition("key").sortWithinPartitions("key", "replica")
-    return dealt.mapInArrow(lambda it: _nearest(it, asked, least), "a long, b long, more boolean")
+    spread = rows.select("key", "node", "root", "bits", "few", F.explode(F.when(F.col("parts") > 1, many).otherwise(F.array(place(F.lit(0), False)))).alias("at"))
+    dealt = spread.select(F.xxhash64("key", "at.part").alias("key"), "at.replica", "node", "root", "bits", "few").repartition("key").sortWithinPartitions("key", "replica")
+    return dealt.mapInArrow(lambda it: _nearest(it, asked, least, percent), "a long, b long, more boolean")
 
 
 def _linked(sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -259,7 +286,7 @@ def _linked(sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     asked = ASKED
     while True:
         roots = cut(components_by_parts(links))
-        near = cut(_unsettled(members.select("key", "node"), bits, roots, total, asked, least))
+        near = cut(_unsettled(members.select("key", "node"), bits, roots, total, asked, least, percent))
         new = cut(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         n = new.count()
         if n:
@@ -284,8 +311,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(f"`{text_col}`")
     own = docs.select(F.col(f"`{id_col}`").alias("rid"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
     marked = cut(_sketched(own, width))
-    sets = marked.where("n > 0").groupBy("digest").agg(F.min("rid").alias("least"), F.count("*").alias("n_rows"), F.min(F.struct("rid", "th")).alias("row"), F.first("sig").alias("sig"))
-    sets = cut(sets.select("digest", "least", "n_rows", "row.*", "sig"))
+    sets = marked.where("n > 0").groupBy("digest").agg(F.min("rid").alias("least"), F.count("*").alias("n_rows"), F.min(F.struct("rid", "th")).alias("row"), F.first("sig").alias("sig"), F.first("few").alias("few"))
+    sets = cut(sets.select("digest", "least", "n_rows", "row.*", "sig", "few"))
     found = cut(_linked(sets, own, width, percent))
     linked = cut(sets.join(found, sets.digest == found.id).select("digest", "least", "n_rows", "root"))
     groups = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))

@@ -76,11 +76,26 @@ def test_nodes_that_their_centre_keeps_apart(spark, monkeypatch):
     monkeypatch.setattr(M, "GROWTH", 2)
     monkeypatch.setattr(M, "HOMES", 8)
     monkeypatch.setattr(M, "HOT", 2)
+    monkeypatch.setattr(M, "CROWDED", 2)
     rows = drawn(2)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, M.near_duplicates(docs).collect())) == plain(rows)
 
 
+def test_sets_that_travel_whole_lose_no_link():
+    rng = np.random.default_rng(5)
+    base = rng.choice(1 << 40, 150, replace=False)
+    sets = [np.unique(np.concatenate((rng.choice(base, k, replace=False), rng.choice(1 << 40, 150 - k)))) for k in rng.integers(100, 151, 80)]
+    few = np.array([x.astype(np.uint16).tobytes() if i % 10 else b"" for i, x in enumerate(sets)], object)
+    x, y = (i.ravel() for i in np.indices((80, 80)))
+    keep = M._may_link(x, y, M._whole(few), M._whole(few), 80).reshape(80, 80)
+    alike = np.array([[len(np.intersect1d(p, q)) / len(np.union1d(p, q)) for q in sets] for p in sets])
+    whole = np.array([len(f) > 0 for f in few])
+    assert keep[alike >= 0.8].all() and keep[~whole].all() and keep[:, ~whole].all()
+    assert not keep[np.outer(whole, whole) & (alike < 0.77)].any()
+    assert M._may_link(x[:0], y[:0], M._whole(few), M._whole(few), 80).shape == (0,)
+
+
 def test_signatures_estimate_similarity():
     rng, probes = np.random.default_rng(3), M._probes()
     for n in (4, 20, 300, 5000):
