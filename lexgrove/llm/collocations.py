@@ -30,7 +30,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import cut, written
+from lexgrove.llm.common import cut, fitted, written
 
 MIN_COUNT = 100
 MAX_WORDS = 5
@@ -71,8 +71,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tail: bytes) -> Iterator[pa.Recor
 
 def _few(df: DataFrame) -> DataFrame:
     """The frame cut, in as many partitions as its rows need."""
-    own = cut(df)
-    return own.coalesce(max(1, -(-own.count() // ROWS)))
+    return fitted(df, ROWS)
 
 
 def _seed(lang: str) -> np.uint64:

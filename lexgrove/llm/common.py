@@ -29,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """The frame cut, in as many partitions as hold so many rows each, so that small frames leave few files behind."""
+    own = cut(df)
+    return own.coalesce(max(1, -(-own.count() // rows)))
+
+
 def _shared(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import attach, components_by_parts, cut
+from lexgrove.llm.common import TASK_LINKS, attach, components_by_parts, cut, fitted
 from lexgrove.llm.similar_texts import shingle_hashes
 
 WIDTH = 2
@@ -40,6 +40,7 @@ GROWTH = 8
 PAIRS = 1 << 18  # signatures compared at once
 WHOLE = 256  # shingles of a set that travels whole
 CROWDED = 64  # nodes of a bucket from which sets travel whole
+SETS = 1 << 14  # sets, with what is known of each, in one partition
 HOT = 500  # pairs of one text that one task confirms
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -183,7 +184,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, total: int, w
     ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("deg"))
     most = max(HOT, total // 1000)  # at most 2,000 nodes are in more pairs
     parts = F.when(F.col("deg") > most, F.ceil(F.col("deg") / HOT).cast("int")).otherwise(1)
-    needed = cut(sets.select("digest", "rid", "th").join(ends, "digest").select("rid", "th", "digest", parts.alias("parts")))
+    needed = fitted(sets.select("digest", "rid", "th").join(ends, "digest").select("rid", "th", "digest", parts.alias("parts")), TASK_LINKS)
     hot = F.broadcast(needed.where("parts > 1").select("digest", "parts"))
     same = docs["rid"].eqNullSafe(needed["rid"]) & (docs["th"] == needed["th"])
     texts = docs.join(needed, same).select("digest", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).dropDuplicates(["digest", "salt"])
@@ -276,22 +277,22 @@ def _unsettled(members: DataFrame, bits: DataFrame, roots: DataFrame, total: int
 
 def _linked(sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, root) for the sets that have a link."""
-    bits, least = cut(_packed(sets)), least_equal(percent)
+    bits, least = fitted(_packed(sets), SETS), least_equal(percent)
     buckets = _bucketed(sets)
     several = cut(buckets.groupBy("key").agg(F.count("*").alias("n_rows"), F.min("node").alias("centre")).where("n_rows > 1"))
     members = cut(attach(buckets, several, ["key"], BANDS * sets.count()))
     total = members.count()
-    tested = cut(_nearest_centres(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), bits, total, least))
-    links = cut(_confirmed(tested, sets, docs, tested.count(), width, percent))
+    tested = fitted(_nearest_centres(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), bits, total, least), TASK_LINKS)
+    links = fitted(_confirmed(tested, sets, docs, tested.count(), width, percent), TASK_LINKS)
     asked = ASKED
     while True:
-        roots = cut(components_by_parts(links))
-        near = cut(_unsettled(members.select("key", "node"), bits, roots, total, asked, least, percent))
-        new = cut(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        roots = fitted(components_by_parts(links), TASK_LINKS)
+        near = fitted(_unsettled(members.select("key", "node"), bits, roots, total, asked, least, percent), TASK_LINKS)
+        new = fitted(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), TASK_LINKS)
         n = new.count()
         if n:
-            links = cut(links.union(_confirmed(new, sets, docs, n, width, percent)))
-            tested = cut(tested.union(new))
+            links = fitted(links.union(_confirmed(new, sets, docs, n, width, percent)), TASK_LINKS)
+            tested = fitted(tested.union(new), TASK_LINKS)
         if near.where("more").isEmpty():
             return components_by_parts(links) if n else roots
         asked *= GROWTH
