@@ -58,11 +58,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray, probes: np.ndarray) -> np.ndarray:
-    """The least hash of each bin, of sorted distinct ones; empty bins copy the first filled one of their probes."""
+    """The low 32 bits of each bin's least hash, of sorted distinct ones; empty bins copy the first filled one of their probes. Equal minima stay equal, others agree once in 2^32."""
     bins = (hashes >> np.uint64(64 - BIN_BITS)).astype(np.int64)
     own, first = np.unique(bins, return_index=True)
-    filled, out = np.zeros(BINS, bool), np.zeros(BINS, np.uint64)
-    filled[own], out[own] = True, hashes[first]
+    filled, out = np.zeros(BINS, bool), np.zeros(BINS, np.uint32)
+    filled[own], out[own] = True, hashes[first].astype(np.uint32)
     empty = np.flatnonzero(~filled)
     if len(empty):
         tries = probes[empty]
@@ -119,6 +119,10 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+
+
+def _nibbles(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
@@ -153,7 +157,7 @@ def _nearest_centres(pairs: DataFrame, bits: DataFrame, total: int, least: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                equal = equal_bins(_signatures(b["bits_a"]), _signatures(b["bits_b"]))
+                equal = equal_bins(_nibbles(b["bits_a"]), _nibbles(b["bits_b"]))
                 yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(equal)], names=["a", "b", "equal"]).filter(pa.array(equal >= least))
 
     near = attach(both, ends, ["a"], total).select("a", "b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, equal long")
@@ -245,7 +249,7 @@ def _nearest(batches: Iterator[pa.RecordBatch], asked: int, least: int, percent:
         if not b.num_rows:
             continue
         key, replica = b["key"].to_numpy(), b["replica"].to_numpy(zero_copy_only=False)
-        rows = {"node": b["node"].to_numpy(), "root": b["root"].to_numpy(), "bits": _signatures(b["bits"]), "few": np.array(b["few"].to_pylist(), object)}
+        rows = {"node": b["node"].to_numpy(), "root": b["root"].to_numpy(), "bits": _nibbles(b["bits"]), "few": np.array(b["few"].to_pylist(), object)}
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist()
         for i, j in zip(first, [*first[1:], len(key)], strict=True):
             if key[i] != bucket:
