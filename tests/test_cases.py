@@ -135,6 +135,16 @@ def test_chains_and_cycles(spark):
     assert got == [("a", 0, "a"), ("a", 1, "b"), ("c", 0, "c"), ("c", 1, "a"), ("c", 2, "b"), ("e", 0, "e")]
 
 
+def test_cycles_up_to_a_length_and_of_any_length(spark):
+    """Rings of 200, 201, 300 and 1 nodes with ways into them; the number of rounds goes by the ways and rings, not by the nodes."""
+    rings = [(base, n) for base, n in ((0, 200), (1000, 201), (2000, 300), (5000, 1))]
+    edges = [(base + i, base + (i + 1) % n) for base, n in rings for i in range(n)] + [(3000, 0), (3001, 1000)] + [(6000 + i, 5000) for i in range(500)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert sorted(r.root for r in G.cycles(df).collect()) == [0, 1000, 2000, 5000]
+    assert sorted(r.root for r in G.cycles(df, longest=200).collect()) == [0, 5000]
+    assert len(G._doubled(df)) <= 3 and len(G._doubled(spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long"))) == 7
+
+
 def test_long_chains_stop_at_the_cap(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)], "src int, dst int")
     got = G.chains(spark.createDataFrame([(0,), (60,)], "start int"), edges).collect()
