@@ -175,13 +175,14 @@ class Index:
     books: DataFrame
 
 
-def index(docs: DataFrame) -> Index:
-    """The index of documents (doc_id, source, text) that no store holds."""
-    chapters = cut(C.documents_in_order(docs))
-    tok = C.with_order(C.identified(C.tokens(docs)), docs, chapters)
-    spans = C.span(["source", "doc_id", "line"], tok, F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")).drop("text")
-    lines = C.numbered(spans, ["source", "doc_id"], ["line"], "n").join(chapters.select("source", "doc_id", "line_offset"), ["source", "doc_id"])
-    return Index(cut(lines.withColumn("line_ord", F.col("line_offset") + F.col("n")).drop("n", "line_offset")), chapters, C.books_of(chapters))
+def index(docs: DataFrame, chapters: DataFrame | None = None) -> Index:
+    """The index of documents (doc_id, source, text) that no store holds; chapters: what documents_in_order gives, if it is there already."""
+    chapters = cut(C.documents_in_order(docs)) if chapters is None else chapters
+    spans = C.line_spans(docs).select("source", "doc_id", "line", "n", "before", "n_tokens")
+    lines = spans.join(chapters.select("source", "doc_id", "offset", "line_offset"), ["source", "doc_id"])
+    before, mint = F.col("offset") + F.col("before"), lambda word: T.token_id(F.col("doc_id"), F.col("line"), word)
+    lines = lines.select("source", "doc_id", "line", "n_tokens", mint(F.lit(1)).alias("first_token"), mint(F.col("n_tokens")).alias("last_token"), (before + 1).alias("first_ord"), (before + F.col("n_tokens")).alias("last_ord"), (F.col("line_offset") + F.col("n")).alias("line_ord"))
+    return Index(lines, chapters, C.books_of(chapters))
 
 
 def resolve(spans: DataFrame, ident: str, at: Index) -> DataFrame:
@@ -210,9 +211,9 @@ def resolve(spans: DataFrame, ident: str, at: Index) -> DataFrame:
     chapter = {"no": F.col("doc_no"), "low": F.col("offset") + 1, "high": last, "before": F.col("line_offset"), "upto": F.col("line_offset") + F.col("n_lines"), "first": F.col("first_token"), "last": F.col("last_token")}
     by_chapter = ends(good.where("c1 IS NOT NULL AND v1 IS NULL"), at.chapters, {"doc_id": ("c1", "c2")}, chapter)
     by_chapter = by_chapter.select(ident, "n_span", (F.expr("two_no - one_no = c2 - c1")).alias("ok"), F.expr("two_high - one_low + 1").alias("size"), F.expr("two_upto - one_before").alias("lines"), F.col("one_first").alias("first"), F.col("two_last").alias("last"), F.col("one_low").alias("low"), F.col("two_high").alias("high"))
-    line = {"no": F.col("line_ord"), "low": F.col("first_ord"), "high": F.col("last_ord"), "first": F.col("first_token"), "last": F.col("last_token")}
+    line = {"no": F.col("line_ord"), "low": F.col("first_ord"), "high": F.col("last_ord"), "size": F.col("n_tokens")}  # ids follow from the places
     by_line = ends(good.where("v1 IS NOT NULL AND w1 IS NULL"), at.lines, {"doc_id": ("c1", "c2"), "line": ("v1", "v2")}, line)
-    by_line = by_line.select(ident, "n_span", F.lit(True).alias("ok"), F.expr("two_high - one_low + 1").alias("size"), F.expr("two_no - one_no + 1").alias("lines"), F.col("one_first").alias("first"), F.col("two_last").alias("last"), F.col("one_low").alias("low"), F.col("two_high").alias("high"))
+    by_line = by_line.select(ident, "n_span", F.lit(True).alias("ok"), F.expr("two_high - one_low + 1").alias("size"), F.expr("two_no - one_no + 1").alias("lines"), T.token_id(F.col("c1"), F.col("v1"), F.lit(1)).alias("first"), T.token_id(F.col("c2"), F.col("v2"), F.col("two_size")).alias("last"), F.col("one_low").alias("low"), F.col("two_high").alias("high"))
     # words are numbered from 1 in their line, so its size tells which there are
     worded = good.where("w1 IS NOT NULL").join(at.lines, (F.col("c1") == F.col("doc_id")) & (F.col("v1") == F.col("line")) & (F.col("book").isNull() | (F.col("book") == F.col("source"))))
     by_word = worded.select(ident, "n_span", (F.col("w2") <= F.col("n_tokens")).alias("ok"), F.expr("w2 - w1 + 1").alias("size"), F.lit(1).cast("long").alias("lines"), *(T.token_id(F.col("c1"), F.col("v1"), F.col(w)).alias(a) for w, a in (("w1", "first"), ("w2", "last"))), F.expr("first_ord + w1 - 1").alias("low"), F.expr("first_ord + w2 - 1").alias("high"))
@@ -263,6 +264,20 @@ def interlinear(spans: DataFrame, ident: str, tok: DataFrame, chapters: DataFram
     return tok.join(asked, (F.col("doc_id") == F.col("_of")) & (F.col("source") == F.col("_source")) & (place >= F.col("low")) & (place <= F.col("high"))).select(ident, *tok.columns)
 
 
+MANY = 64  # intervals that go along with a text at a time
+
+
+def interlinear_texts(spans: DataFrame, ident: str, docs: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(ident, id, doc_id, source, line, word, surface, after, lemma): what interlinear gives, from the texts: a document's intervals go to its text, and only tokens inside of one are given."""
+    merged = intervals(spans, ident, chapters)
+    part = F.floor(F.row_number().over(Window.partitionBy("source", "doc_id").orderBy(ident, "low")) / MANY)
+    asked = merged.withColumn("part", part).groupBy("source", "doc_id", "part").agg(F.collect_list(F.struct(F.col(ident).alias("of"), "low", "high")).alias("asked")).drop("part")
+    tok = C.identified(C.tokens_in_order(docs.select("doc_id", "source", "text").join(asked, ["source", "doc_id"]), "asked"))
+    place = F.struct("line", "word")
+    hit = F.filter("asked", lambda a: (place >= a["low"]) & (place <= a["high"]))
+    return tok.withColumn("a", F.explode_outer(F.transform(hit, lambda a: a["of"]))).where("a IS NOT NULL").select(F.col("a").alias(ident), "id", "doc_id", "source", "line", "word", "surface", "after", "lemma")
+
+
 def cells(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, cells): the tokens of each line as one array of surface, punctuation and lemma, in order."""
     cell = F.struct("word", F.concat("surface", "after").alias("form"), "lemma")
