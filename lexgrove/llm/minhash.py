@@ -7,11 +7,10 @@ first. `BANDS` bands of `ROWS` bins each name a bucket. Equal sets are one node
 A bucket's nodes are linked to its least one: a star, so a bucket of n nodes gives n - 1 candidates.
 Candidates whose signatures are far apart go; of the others each node's nearest centre comes
 first and is confirmed on the full sets. What this leaves open, other centres and two nodes alike
-each other but not a centre, comes in rounds: in buckets whose nodes aren't all in one component
-yet, nodes of different components are compared by signature, and each node asks for its
-nearest one, then for more from round to round. Rounds end when no node had to leave one out, so
-nothing is capped in the end. In a crowded bucket sets of at most `WHOLE` shingles travel whole, 16
-bits of each: what they share at most is known there, and pairs that can't be linked aren't emitted.
+each other but not a centre, is settled where nodes meet: to buckets whose nodes aren't all in one
+component yet their full sets travel, every pair of components still apart whose signatures are
+near is looked at there, nearest first, and a bucket gives the confirmed links that join two
+components, fewer than it has nodes. Nothing is capped, and no pair that isn't a link is emitted.
 """
 
 from __future__ import annotations
@@ -35,11 +34,12 @@ BANDS, ROWS = 42, 6  # two sets 0.8 alike share no bucket with probability 3e-6
 NIBBLES = BINS // 16  # words of 64 bits that hold 4 bits of each bin
 MARGIN = 0.1  # by which a signature may fall short of the similarity, 3.8 standard deviations
 HOMES = 4096  # nodes of a bucket that one task holds
-ASKED = 1  # nodes that a node asks for in a bucket in the first round; GROWTH times as many in each further one
+HELD = 1 << 22  # shingles of a bucket's sets that one task holds, about
+ASKED = 1  # pairs for each node that are looked at before components are compared again; GROWTH times as many each further time
 GROWTH = 8
 PAIRS = 1 << 18  # signatures compared at once
-WHOLE = 256  # shingles of a set that travels whole
-CROWDED = 64  # nodes of a bucket from which sets travel whole
+WHOLE = 1024  # shingles of a set of which 16 bits each are compared first
+CROWDED = 64  # nodes of a bucket from which that is done
 SETS = 1 << 14  # sets, with what is known of each, in one partition
 HOT = 500  # pairs of one text that one task confirms
 
@@ -100,22 +100,21 @@ def least_equal(percent: int) -> int:
 
 
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(rid, th, text) -> (rid, th, n, digest, sig, few): the set's size, a hash of it, its signature's bins, 16 bits of each shingle if there are at most WHOLE."""
+    """(rid, th, text) -> (rid, th, n, digest, sig): the set's size, a hash of it, its signature's bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes = _probes()
         for b in batches:
-            n, digests, sigs, few = [], [], [], []
+            n, digests, sigs = [], [], []
             for t in b["text"]:
                 h = shingle_hashes(t.as_py(), width)
                 n.append(len(h))
                 digests.append(xxhash.xxh3_64_intdigest(np.ascontiguousarray(h).tobytes(), 42))
                 sigs.append(signature(np.ascontiguousarray(h[:, 0]), probes).tobytes() if len(h) else b"")
-                few.append(h[:, 0].astype(np.uint16).tobytes() if len(h) <= WHOLE else b"")
-            yield pa.RecordBatch.from_arrays([b["rid"], b["th"], pa.array(n, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sigs, pa.binary()), pa.array(few, pa.binary())], names=["rid", "th", "n", "digest", "sig", "few"])
+            yield pa.RecordBatch.from_arrays([b["rid"], b["th"], pa.array(n, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(sigs, pa.binary())], names=["rid", "th", "n", "digest", "sig"])
 
     kind = docs.schema["rid"].dataType.simpleString()
-    return docs.select("rid", "th", "text").mapInArrow(run, f"rid {kind}, th long, n long, digest long, sig binary, few binary")
+    return docs.select("rid", "th", "text").mapInArrow(run, f"rid {kind}, th long, n long, digest long, sig binary")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -139,14 +138,14 @@ def _bucketed(sets: DataFrame) -> DataFrame:
 
 
 def _packed(sets: DataFrame) -> DataFrame:
-    """(digest, sig, few) -> (node, bits, few)."""
+    """(digest, sig, n) -> (node, bits, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = packed(_signatures(b["sig"])) if b.num_rows else np.empty((0, NIBBLES), np.uint64)
-            yield pa.RecordBatch.from_arrays([b["digest"], pa.array([x.tobytes() for x in bits], pa.binary()), b["few"]], names=["node", "bits", "few"])
+            yield pa.RecordBatch.from_arrays([b["digest"], pa.array([x.tobytes() for x in bits], pa.binary()), b["n"]], names=["node", "bits", "n"])
 
-    return sets.select("digest", "sig", "few").mapInArrow(run, "node long, bits binary, few binary")
+    return sets.select("digest", "sig", "n").mapInArrow(run, "node long, bits binary, n long")
 
 
 def _nearest_centres(pairs: DataFrame, bits: DataFrame, total: int, least: int) -> DataFrame:
@@ -164,6 +163,19 @@ def _nearest_centres(pairs: DataFrame, bits: DataFrame, total: int, least: int)
     return near.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("m")).select("m.a", "b")
 
 
+def full_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted hashes of the set."""
+    return np.sort(shingle_hashes(text, width)[:, 0])
+
+
+def alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two full sets are linked."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     last: dict[int, np.ndarray] = {}
 
@@ -171,15 +183,13 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
         if node not in last:
             if len(last) > 1:
                 del last[next(iter(last))]
-            last[node] = np.sort(shingle_hashes(text.as_py(), width)[:, 0])
+            last[node] = full_set(text.as_py(), width)
         return last[node]
 
     for b in batches:
         keep = []
         for x, y, s, t in zip(b["a"].to_pylist(), b["b"].to_pylist(), b["text_a"], b["text_b"], strict=True):
-            p, q = of(x, s), of(y, t)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            keep.append(alike(of(x, s), of(y, t), percent))
         yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -222,84 +232,128 @@ def _may_link(x: np.ndarray, y: np.ndarray, ask: tuple[np.ndarray, np.ndarray],
     return keep
 
 
-def _asks(ask: dict[str, np.ndarray], home: dict[str, np.ndarray], asked: int, least: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, more): the `asked` nearest homes of another component for each asking node; more: there were others."""
-    step, homes = max(1, PAIRS // max(1, len(home["node"]))), _whole(home["few"])
+def _top(up: dict[int, int], x: int) -> int:
+    while (y := up.get(x, x)) != x:
+        up[x] = x = up.get(y, y)
+    return x
+
+
+def _tops(up: dict[int, int], roots: np.ndarray) -> np.ndarray:
+    own, at = np.unique(roots, return_inverse=True)
+    return np.array([_top(up, x) for x in own.tolist()], np.int64)[at]
+
+
+def _joins(ask: dict[str, np.ndarray], home: dict[str, np.ndarray], up: dict[int, int], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): links between asking nodes and homes of larger ids that join components still apart; up keeps which are joined.
+
+    All pairs whose signatures agree in `least` bins are looked at, nearest first, but for those
+    whose ends are joined by then.
+    """
+    step = max(1, PAIRS // max(1, len(home["node"])))
+    few = lambda rows: _whole(np.array([x.astype(np.uint16).tobytes() if len(x) <= WHOLE else b"" for x in rows["set"]], object))
+    homes = few(home) if len(home["node"]) >= CROWDED else None
     for i in range(0, len(ask["node"]), step):
-        own = {c: x[i : i + step] for c, x in ask.items()}
-        x, y = np.nonzero(own["root"][:, None] != home["root"][None, :])
-        n = np.array([], np.int64)
-        for j in range(0, len(x), PAIRS):
-            n = np.append(n, equal_bins(own["bits"][x[j : j + PAIRS]], home["bits"][y[j : j + PAIRS]]))
+        own, found = {c: x[i : i + step] for c, x in ask.items()}, []
+        x, y = np.nonzero((_tops(up, own["root"])[:, None] != _tops(up, home["root"])[None, :]) & (own["node"][:, None] < home["node"][None, :]))
+        n = equal_bins(own["bits"][x], home["bits"][y])
         near = np.flatnonzero(n >= least)
-        near = near[np.lexsort((-n[near], x[near]))]
-        near = near[_may_link(x[near], y[near], _whole(own["few"]), homes, percent)]
-        x, y = x[near], y[near]
-        place = np.arange(len(x)) - np.searchsorted(x, x)
-        more, keep = np.isin(x, x[place >= asked]), place < asked
-        p, q = own["node"][x[keep]], home["node"][y[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(more[keep])], names=["a", "b", "more"])
-
-
-def _nearest(batches: Iterator[pa.RecordBatch], asked: int, least: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, replica, node, root, bits, few) sorted by key and replica: a bucket's homes come first and stay, replicas stream past; homes without replicas ask each other."""
-    empty = {"node": np.empty(0, np.int64), "root": np.empty(0, np.int64), "bits": np.empty((0, NIBBLES), np.uint64), "few": np.empty(0, object)}
-    bucket, home, streamed = None, empty, False
+        near = near[np.argsort(-n[near], kind="stable")]
+        asks, at, size = few(own) if homes is not None and len(near) else None, 0, ASKED * len(own["node"])
+        while at < len(near):
+            p, q = x[near[at : at + size]], y[near[at : at + size]]
+            apart = _tops(up, own["root"])[p] != _tops(up, home["root"])[q]
+            p, q = p[apart], q[apart]
+            if asks is not None:
+                by = np.argsort(p, kind="stable")
+                may = by[_may_link(p[by], q[by], asks, homes, percent)]
+                may.sort()
+                p, q = p[may], q[may]
+            for j, k in zip(p.tolist(), q.tolist(), strict=True):
+                r, t = _top(up, int(own["root"][j])), _top(up, int(home["root"][k]))
+                if r != t and alike(own["set"][j], home["set"][k], percent):
+                    up[max(r, t)] = min(r, t)
+                    found.append((own["node"][j], home["node"][k]))
+            at, size = at + size, size * GROWTH
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, replica, node, root, bits, set) sorted by key and replica: a bucket's homes come first and stay, replicas stream past; homes without replicas meet each other."""
+    empty = {"node": np.empty(0, np.int64), "root": np.empty(0, np.int64), "bits": np.empty((0, NIBBLES), np.uint64), "set": np.empty(0, object)}
+    bucket, home, streamed, up = None, empty, False, {}
     for b in batches:
         if not b.num_rows:
             continue
         key, replica = b["key"].to_numpy(), b["replica"].to_numpy(zero_copy_only=False)
-        rows = {"node": b["node"].to_numpy(), "root": b["root"].to_numpy(), "bits": _nibbles(b["bits"]), "few": np.array(b["few"].to_pylist(), object)}
+        own = np.empty(b.num_rows, object)
+        own[:] = [np.frombuffer(x, np.uint64) for x in b["set"].to_pylist()]
+        rows = {"node": b["node"].to_numpy(), "root": b["root"].to_numpy(), "bits": _nibbles(b["bits"]), "set": own}
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist()
         for i, j in zip(first, [*first[1:], len(key)], strict=True):
             if key[i] != bucket:
                 if not streamed:
-                    yield from _asks(home, home, asked, least, percent)
-                bucket, home, streamed = key[i], empty, False
+                    yield from _joins(home, home, up, least, percent)
+                bucket, home, streamed, up = key[i], empty, False, {}
             mid = i + int((~replica[i:j]).sum())
             home = {c: np.concatenate((home[c], x[i:mid])) for c, x in rows.items()}
             if mid < j:
                 streamed = True
-                yield from _asks({c: x[mid:j] for c, x in rows.items()}, home, asked, least, percent)
+                yield from _joins({c: x[mid:j] for c, x in rows.items()}, home, up, least, percent)
     if not streamed:
-        yield from _asks(home, home, asked, least, percent)
+        yield from _joins(home, home, up, least, percent)
+
+
+def _full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, set): the sorted hashes of each node's set, from the text of one row that has it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+                yield pa.RecordBatch.from_arrays([part["digest"], pa.array([full_set(t.as_py(), width).tobytes() for t in part["text"]], pa.binary())], names=["node", "set"])
+
+    needed = fitted(sets.select("digest", F.col("rid").alias("own"), F.col("th").alias("own_th")).join(nodes.select(F.col("node").alias("digest")), "digest"), TASK_LINKS)
+    texts = docs.join(needed, F.col("rid").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("digest", "text").dropDuplicates(["digest"])
+    return texts.mapInArrow(run, "node long, set binary")
 
-def _unsettled(members: DataFrame, bits: DataFrame, roots: DataFrame, total: int, asked: int, least: int, percent: int) -> DataFrame:
-    """(a, b, more) between components, in buckets that have several: each node's nearest; more: it had to leave some out."""
+
+def joining_links(members: DataFrame, bits: DataFrame, roots: DataFrame, sets: DataFrame, docs: DataFrame, total: int, width: int, percent: int) -> DataFrame:
+    """(a, b): links that join components of the nodes of a bucket, so many that none is left to join there.
+
+    members (key, node), bits (node, bits, n), roots (id, root), sets (digest, rid, th): a node's set is that of the named row of docs (rid, th, text).
+    """
+    least = least_equal(percent)
     named = members.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    state = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_rows")).where("low < high")
-    state = cut(state.select("key", "n_rows", F.ceil(F.col("n_rows") / HOMES).cast("int").alias("parts"), (F.col("n_rows") >= CROWDED).alias("crowded")))
-    rows = attach(named, state, ["key"], total).join(bits, "node").withColumn("few", F.when(F.col("crowded"), F.col("few")).otherwise(F.lit(b"")))
+    state = cut(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n_rows")).where("low < high").select("key", "n_rows"))
+    rows = fitted(attach(named, state, ["key"], total).join(bits, "node"), TASK_LINKS)
+    parts = F.greatest(F.ceil(F.count("*") / HOMES), F.ceil(F.sum("n") / HELD)).cast("int")
+    sized = rows.groupBy("key").agg(parts.alias("parts"), F.count("*").alias("n_rows"))
+    dealt = attach(rows, sized, ["key"], total).join(_full_sets(rows.select("node").distinct(), sets, docs, width), "node")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     place = lambda part, replica: F.struct(part.cast("int").alias("part"), F.lit(replica).alias("replica"))
     many = F.concat(F.array(place(own, False)), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: place(i, True)))
-    spread = rows.select("key", "node", "root", "bits", "few", F.explode(F.when(F.col("parts") > 1, many).otherwise(F.array(place(F.lit(0), False)))).alias("at"))
-    dealt = spread.select(F.xxhash64("key", "at.part").alias("key"), "at.replica", "node", "root", "bits", "few").repartition("key").sortWithinPartitions("key", "replica")
-    return dealt.mapInArrow(lambda it: _nearest(it, asked, least, percent), "a long, b long, more boolean")
+    spread = dealt.select("key", "node", "root", "bits", "set", F.explode(F.when(F.col("parts") > 1, many).otherwise(F.array(place(F.lit(0), False)))).alias("at"))
+    met = spread.select(F.xxhash64("key", "at.part").alias("key"), "at.replica", "node", "root", "bits", "set").repartition("key").sortWithinPartitions("key", "replica")
+    return met.mapInArrow(lambda it: _settled(it, least, percent), "a long, b long")
 
 
-def _linked(sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, root) for the sets that have a link."""
-    bits, least = fitted(_packed(sets), SETS), least_equal(percent)
+def shared_buckets(sets: DataFrame) -> DataFrame:
+    """(key, node, centre): the nodes of buckets that have several."""
     buckets = _bucketed(sets)
     several = cut(buckets.groupBy("key").agg(F.count("*").alias("n_rows"), F.min("node").alias("centre")).where("n_rows > 1"))
-    members = cut(attach(buckets, several, ["key"], BANDS * sets.count()))
+    return cut(attach(buckets, several, ["key"], BANDS * sets.count()))
+
+
+def _linked(sets: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, root) for the sets that have a link."""
+    bits = fitted(_packed(sets), SETS)
+    members = shared_buckets(sets)
     total = members.count()
-    tested = fitted(_nearest_centres(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), bits, total, least), TASK_LINKS)
+    pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    tested = fitted(_nearest_centres(pairs, bits, total, least_equal(percent)), TASK_LINKS)
     links = fitted(_confirmed(tested, sets, docs, tested.count(), width, percent), TASK_LINKS)
-    asked = ASKED
-    while True:
-        roots = fitted(components_by_parts(links), TASK_LINKS)
-        near = fitted(_unsettled(members.select("key", "node"), bits, roots, total, asked, least, percent), TASK_LINKS)
-        new = fitted(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), TASK_LINKS)
-        n = new.count()
-        if n:
-            links = fitted(links.union(_confirmed(new, sets, docs, n, width, percent)), TASK_LINKS)
-            tested = fitted(tested.union(new), TASK_LINKS)
-        if near.where("more").isEmpty():
-            return components_by_parts(links) if n else roots
-        asked *= GROWTH
+    roots = fitted(components_by_parts(links), TASK_LINKS)
+    more = fitted(joining_links(members.select("key", "node"), bits, roots, sets, docs, total, width, percent), TASK_LINKS)
+    return roots if more.isEmpty() else components_by_parts(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -316,8 +370,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(f"`{text_col}`")
     own = docs.select(F.col(f"`{id_col}`").alias("rid"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("text"))
     marked = cut(_sketched(own, width))
-    sets = marked.where("n > 0").groupBy("digest").agg(F.min("rid").alias("least"), F.count("*").alias("n_rows"), F.min(F.struct("rid", "th")).alias("row"), F.first("sig").alias("sig"), F.first("few").alias("few"))
-    sets = cut(sets.select("digest", "least", "n_rows", "row.*", "sig", "few"))
+    sets = marked.where("n > 0").groupBy("digest").agg(F.min("rid").alias("least"), F.count("*").alias("n_rows"), F.min(F.struct("rid", "th")).alias("row"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    sets = cut(sets.select("digest", "least", "n_rows", "row.*", "sig", "n"))
     found = cut(_linked(sets, own, width, percent))
     linked = cut(sets.join(found, sets.digest == found.id).select("digest", "least", "n_rows", "root"))
     groups = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from lexgrove.llm import minhash as M
 from lexgrove.llm.queries import op13_minhash_near_dedup
@@ -122,3 +123,25 @@ def test_odd_rows(spark, odd, none):
     assert sorted(by[None], key=str) == sorted([(None, 11, 4, False), (None, 0, None, True)], key=str)  # the null id joins 4's texts
     assert by[6][0][1] == 1 and by[7][0][1] == 1
     assert M.near_duplicates(none).count() == 0
+
+
+def test_a_bucket_gives_fewer_links_than_it_has_nodes():
+    """Nodes in chains whose ends aren't alike, all in one bucket: pairs that are no links and links inside a component aren't emitted."""
+    rng = np.random.default_rng(7)
+    chains = []
+    for n in (40, 400, 1500):
+        for _ in range(10):
+            own = rng.choice(1 << 62, n, replace=False).astype(np.uint64)
+            for _ in range(12):
+                chains.append(np.unique(own))
+                own = np.concatenate((own[n // 12 :], rng.choice(1 << 62, n // 12).astype(np.uint64)))
+    sets, least = chains, M.least_equal(80)
+    sigs = np.stack([M.signature(x, M._probes()) for x in (np.unique(x * np.uint64(4)) for x in sets)])
+    ids = pa.array(np.arange(len(sets)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int64)), pa.array([False] * len(sets)), ids, ids, pa.array([x.tobytes() for x in M.packed(sigs)], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "replica", "node", "root", "bits", "set"])
+    got = [(a, b) for out in M._settled(iter([batch.slice(0, 100), batch.slice(100)]), least, 80) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+    assert len(got) < len(sets) and all(M.alike(sets[a], sets[b], 80) for a, b in got)
+    up = {}
+    for a, b in got:
+        up[M._top(up, max(a, b))] = M._top(up, min(a, b))
+    assert len({M._top(up, x) for x in range(len(sets))}) == 30
