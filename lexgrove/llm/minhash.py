@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrove.llm.common import TASK_LINKS, attach, components_by_parts, cut, fitted
-from lexgrove.llm.similar_texts import shingle_hashes
+from lexgrove.llm.shingles import shingle_hashes
 
 WIDTH = 2
 PERCENT = 80  # of the union that the intersection has at least
@@ -93,7 +93,7 @@ def equal_bins(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return BINS - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
 
 
-def least_equal(percent: int) -> int:
+def least_equal(percent: float) -> int:
     """Bins that agree at least, by expectation for a similarity of `MARGIN` less; chance has one in 16 of the others."""
     j = max(0.0, percent / 100 - MARGIN)
     return int(BINS * (j + (1 - j) / 16))

@@ -8,7 +8,11 @@ sample meet. Two sets 0.8 alike differ in about 15 % of the bits and meet in som
 probability 0.96. Where they meet, the first 64 bits are compared, and an anchor reports a spanning
 forest of the pairs within `limit` bits, nearest first. Reported pairs are verified by their exact
 shingle sets: the nearest few of each fingerprint, then all whose ends verified pairs haven't
-joined. Connected components of verified pairs are the groups.
+joined. Connected components of verified pairs are groups.
+SimHash leaves pairs out: those that meet in no sample, and those that a forest stands for by nearer
+pairs which aren't links. So the groups are closed over buckets of MinHash bands, where two sets 0.8
+alike meet but for 1 in 10,000: in each bucket that has several groups all pairs between them are
+looked at on the full sets, as in `minhash.joining_links`, and links join their groups.
 """
 
 from __future__ import annotations
@@ -21,7 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import attach, components_by_parts, cut
+from lexgrove.llm import minhash
+from lexgrove.llm.common import TASK_LINKS, attach, components_by_parts, cut, fitted
+from lexgrove.llm.shingles import shingle_hashes
 from lexgrove.llm.simhash import HOMES, Forest, _errors, _home, _syndrome
 
 SHINGLE = 5
@@ -35,23 +41,12 @@ FIRST = 3  # candidates of a fingerprint that are verified first
 HOT = 500  # pairs of one text that one task verifies
 
 
-def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """(n, 2) XXH3 halves of the distinct word shingles, by the first half; a shorter text is one shingle, one without words none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
-    if not words:
-        return np.empty((0, 2), np.uint64)
-    whole, digest = b" ".join(words), xxhash.xxh3_128_digest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    n = max(1, len(words) - width + 1)
-    starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
-    stops = (ends[width - 1 :] - 1).tolist() if len(words) > width else [len(whole)]
-    h = np.frombuffer(b"".join([digest(whole[a:b], 42) for a, b in zip(starts, stops, strict=True)]), np.uint64).reshape(-1, 2)
-    return h[np.unique(h[:, 0], return_index=True)[1]]
-
-
 def sketch(text: str | None, width: int = SHINGLE) -> tuple[int, int, int]:
     """(digest of the shingle set, first and last 64 majority bits), signed; bits are 0 if there is no word."""
-    h = shingle_hashes(text, width)
+    return _sketch(shingle_hashes(text, width))
+
+
+def _sketch(h: np.ndarray) -> tuple[int, int, int]:
     n, step = len(h), 1 << 15
     ones = sum((np.unpackbits(np.ascontiguousarray(h[i : i + step]).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, n, step)), np.zeros(128, np.int64))
     own = np.packbits(ones * 2 > n, bitorder="little").view(np.int64)
@@ -59,15 +54,22 @@ def sketch(text: str | None, width: int = SHINGLE) -> tuple[int, int, int]:
 
 
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(rid, th, text) -> (rid, th, digest, lo, hi)."""
+    """(rid, th, text) -> (rid, th, digest, lo, hi, n, sig): also the set's size and its MinHash signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes = minhash._probes()
         for b in batches:
-            own = np.array([sketch(t, width) for t in b["text"].to_pylist()], np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b["rid"], b["th"], *(pa.array(own[:, i]) for i in range(3))], names=["rid", "th", "digest", "lo", "hi"])
+            own, n, sigs = [], [], []
+            for t in b["text"]:
+                h = shingle_hashes(t.as_py(), width)
+                own.append(_sketch(h))
+                n.append(len(h))
+                sigs.append(minhash.signature(np.ascontiguousarray(h[:, 0]), probes).tobytes() if len(h) else b"")
+            own = np.array(own, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b["rid"], b["th"], *(pa.array(own[:, i]) for i in range(3)), pa.array(n, pa.int64()), pa.array(sigs, pa.binary())], names=["rid", "th", "digest", "lo", "hi", "n", "sig"])
 
     kind = docs.schema["rid"].dataType.simpleString()
-    return docs.select("rid", "th", "text").mapInArrow(run, f"rid {kind}, th long, digest long, lo long, hi long")
+    return docs.select("rid", "th", "text").mapInArrow(run, f"rid {kind}, th long, digest long, lo long, hi long, n long, sig binary")
 
 
 def _samples(segments: int) -> list[np.ndarray]:
@@ -236,17 +238,27 @@ def _found(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, simi
     return components_by_parts(more.union(found.select(F.col("id").alias("a"), F.col("root").alias("b"))))
 
 
+def _closed(found: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """found (id, root) with the groups joined that links between nodes of one MinHash bucket join."""
+    own = nodes.where("n > 0").select(F.col("node").alias("digest"), "rid", "th", "n", "sig")
+    members = minhash.shared_buckets(own).select("key", "node")
+    more = minhash.joining_links(members, fitted(minhash._packed(own), minhash.SETS), found, own, docs, members.count(), width, 100 * similarity)
+    more = fitted(more, TASK_LINKS)
+    return found if more.isEmpty() else components_by_parts(more.union(found.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+
+
 def _groups(docs: DataFrame, width: int, similarity: float, segments: int, homes: int) -> DataFrame:
     """(rid, th, text) -> (rid, th, component_id)."""
     marked = cut(_sketched(docs, width))
-    sets = marked.groupBy("digest").agg(F.min("rid").alias("least"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.count("*").alias("n_rows"), F.min(F.struct("rid", "th")).alias("row"))
-    sets = cut(sets.select("digest", "least", "lo", "hi", "n_rows", "row.*"))
+    sets = marked.groupBy("digest").agg(F.min("rid").alias("least"), F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.count("*").alias("n_rows"), F.min(F.struct("rid", "th")).alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sets = cut(sets.select("digest", "least", "lo", "hi", "n_rows", "row.*", "n", "sig"))
     prints = sets.groupBy("lo").agg(F.min(F.struct("digest", "hi")).alias("one")).select("lo", "one.hi", F.col("one.digest").alias("of"))
     # a set of the same first bits as another is a node of its own and a candidate of that one
     nodes = cut(sets.join(prints.select("lo", "of"), "lo").withColumn("node", F.when(F.col("digest") == F.col("of"), F.col("lo")).otherwise(F.col("digest"))))
     same = nodes.where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
     # nothing keeps the anchors' shuffle once the pairs are written
     found = _found(cut(candidates(prints, segments=segments, homes=homes).union(same)), nodes, docs, width, similarity)
+    found = _closed(cut(found), nodes, docs, width, similarity)
     linked = cut(nodes.join(found, nodes.node == found.id).select("digest", "least", "n_rows", "root"))
     groups = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     named = attach(linked, groups, ["root"], linked.count(), "members").select("digest", "n_rows", "component_id")

@@ -105,3 +105,16 @@ def test_odd_rows(spark, odd, none):
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and {1, 4, 5, 6, 7} <= set(ids) and not {2, 3, None} & set(ids)
     assert similar_texts.drop_similar(none).count() == 0 and similar_texts.similar_groups(none).count() == 0
+
+
+def test_links_that_simhash_leaves_out_are_found(spark):
+    """With no more than one sample most pairs meet at no anchor, and still every link counts."""
+    rng, texts = np.random.default_rng(9), {}
+    for d in range(150):
+        words = [f"w{rng.integers(5000)}" for _ in range(70 + 2 * (d % 60))]
+        texts[2 * d] = " ".join(words)
+        texts[2 * d + 1] = edited(words, max(1, int(len(words) * 0.02)), rng)
+    sets = {i: grams(t) for i, t in texts.items()}
+    want, links = plain_groups(sets)
+    assert len(links) > 80 and sum(alike(sets[a], sets[b]) < 0.85 for a, b in links) > 40
+    assert grouped(spark, texts, segments=1) == want
