@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexgrove.operators import rules
 from lexgrove.operators import audit as A
 from lexgrove.operators import corpus as C
 from lexgrove.operators import graph as G
@@ -72,3 +73,12 @@ def test_ordered_digest_sorts_once(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
     roots = {tuple(A.ordered_digest(df.repartition(n), ["k"]).first()) for n in (1, 3, 8)}
     assert len(roots) == 1 and next(iter(roots))[0] == 5000
+
+
+def test_references_are_sought_as_the_numbers_they_are(spark):
+    """Each reference by its own column: no row is unfolded into a string for each of its references; keys of other types still meet."""
+    a = spark.sql("SELECT id AS x, if(id % 5 = 0, NULL, cast(id % 7 AS string)) AS y FROM range(40)")
+    n, m = spark.sql("SELECT id AS k FROM range(38)"), spark.sql("SELECT cast(id AS int) AS k FROM range(5)")
+    lost = rules.dangling_all([("a", a, {"x": ("n", "k"), "y": ("m", "k")})], {("n", "k"): n, ("m", "k"): m})
+    assert sorted(map(tuple, lost.collect())) == [("a.x", "dangling-edge", "38"), ("a.x", "dangling-edge", "39"), ("a.y", "dangling-edge", "5"), ("a.y", "dangling-edge", "6")]
+    assert "Generate" not in lost._jdf.queryExecution().executedPlan().toString()
