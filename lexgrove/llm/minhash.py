@@ -42,6 +42,7 @@ WHOLE = 1024  # shingles of a set of which 16 bits each are compared first
 CROWDED = 64  # nodes of a bucket from which that is done
 SETS = 1 << 14  # sets, with what is known of each, in one partition
 HOT = 500  # pairs of one text that one task confirms
+FEW = 100_000  # so many rows of some numbers are broadcast
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,15 +194,21 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
         yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _texts_of(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """docs joined with the rows (own, own_th, ...) that name some of them; while these are few, no text is shuffled."""
+    by = F.broadcast(named) if named.count() <= FEW else named
+    return docs.join(by, F.col("rid").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th")))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, total: int, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike. Texts of pairs are shuffled by row; one in many pairs is dealt out by a salt."""
+    """The pairs whose full sets are alike. Only texts of pairs are shuffled while their rows are few; one in many pairs is dealt out by a salt."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("deg"))
     most = max(HOT, total // 1000)  # at most 2,000 nodes are in more pairs
     parts = F.when(F.col("deg") > most, F.ceil(F.col("deg") / HOT).cast("int")).otherwise(1)
     needed = fitted(sets.select("digest", "rid", "th").join(ends, "digest").select("rid", "th", "digest", parts.alias("parts")), TASK_LINKS)
     hot = F.broadcast(needed.where("parts > 1").select("digest", "parts"))
-    same = docs["rid"].eqNullSafe(needed["rid"]) & (docs["th"] == needed["th"])
-    texts = docs.join(needed, same).select("digest", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).dropDuplicates(["digest", "salt"])
+    named = needed.select(F.col("rid").alias("own"), F.col("th").alias("own_th"), "digest", "parts")
+    texts = _texts_of(named, docs).select("digest", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).dropDuplicates(["digest", "salt"])
 
     def with_text(df: DataFrame, end: str, other: str) -> DataFrame:
         salted = df.join(hot.withColumnRenamed("digest", end), end, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
@@ -312,7 +319,7 @@ def _full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -
                 yield pa.RecordBatch.from_arrays([part["digest"], pa.array([full_set(t.as_py(), width).tobytes() for t in part["text"]], pa.binary())], names=["node", "set"])
 
     needed = fitted(sets.select("digest", F.col("rid").alias("own"), F.col("th").alias("own_th")).join(nodes.select(F.col("node").alias("digest")), "digest"), TASK_LINKS)
-    texts = docs.join(needed, F.col("rid").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("digest", "text").dropDuplicates(["digest"])
+    texts = _texts_of(needed, docs).select("digest", "text").dropDuplicates(["digest"])
     return texts.mapInArrow(run, "node long, set binary")
 
 
