@@ -1,5 +1,6 @@
 """Work that must not grow faster than the tables: keys that hold most rows, whole groups in one row, words cut and sorted twice."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,12 @@ def test_references_are_sought_as_the_numbers_they_are(spark):
     lost = rules.dangling_all([("a", a, {"x": ("n", "k"), "y": ("m", "k")})], {("n", "k"): n, ("m", "k"): m})
     assert sorted(map(tuple, lost.collect())) == [("a.x", "dangling-edge", "38"), ("a.x", "dangling-edge", "39"), ("a.y", "dangling-edge", "5"), ("a.y", "dangling-edge", "6")]
     assert "Generate" not in lost._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cycles_of_any_length_are_found(spark, tmp_path):
+    """Squares modulo the safe prime 2039: all of the 1018 squares but 1 are one cycle."""
+    spark.range(1, 2040).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    got = sorted(r.root for r in registry.QUERIES["g4_cycles"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == sorted(r[0] for r in con.sql(registry.ORACLES["g4_cycles"]).fetchall()) == [1, 2]
