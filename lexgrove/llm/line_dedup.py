@@ -16,10 +16,12 @@ further than the one before are the maximal runs. Later copies are deleted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from lexgrove.llm.common import attach, cut
+from lexgrove.llm.common import attach, cut, written
 
 MIN_LINES = 3
 MIN_LINE_CHARS = 40
@@ -41,16 +43,27 @@ def _positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _PLACE = (*_DOC, "seq")
 
 
-def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key occurs again, with `rank` in the order of the keys, and whether the row is a later one of its rank.
+def _ranks(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int, int]:
+    """The keys that occur again, with `rank` in their order, rows and first place; with the rows of all of them and of the most frequent.
 
-    Counts are combined before the shuffle, only keys are sorted, and rows of a key with many
-    are joined where they are.
+    Counts are combined before the shuffle, only keys are sorted.
     """
     repeated = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.min(F.struct(*_PLACE)).alias("first")).where("n_rows > 1")
-    ranks = cut(repeated.orderBy(*keys).withColumn("rank_", F.monotonically_increasing_id()))
-    joined = attach(rows, ranks, keys, ranks.agg(F.sum("n_rows")).first()[0] or 0, look=True).drop(*keys)
-    return joined.withColumnRenamed("rank_", "rank").withColumn("later", ~_is("first")).drop("first")
+    return _sized(repeated.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()))
+
+
+def _sized(counted: DataFrame) -> tuple[DataFrame, int, int]:
+    """The frame cut, with the sum and the largest of its n_rows, which are seen as it is written."""
+    seen = Observation()
+    own = cut(counted.observe(seen, F.sum("n_rows").alias("total"), F.max("n_rows").alias("most")))
+    return own, seen.get["total"] or 0, seen.get["most"] or 0
+
+
+def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key occurs again, with `rank` in the order of the keys, and whether the row is a later one of its rank; rows of a key with many are joined where they are."""
+    ranks, total, most = _ranks(rows, keys)
+    joined = attach(rows, ranks, keys, total, most=most).drop(*keys)
+    return joined.withColumn("later", ~_is("first")).drop("first")
 
 
 def _is(first: str) -> Column:
@@ -71,16 +84,28 @@ def _at(offset: int) -> Column:
     return F.max("rank").over(w)
 
 
-def _doubled(lines: DataFrame) -> dict[int, DataFrame]:
-    """Length of a run -> the positions whose run of that length is repeated, ranked; up to the longest there is."""
-    levels, h = {1: lines}, 1
+def _doubled(lines: DataFrame, tables: list[Callable[[], None]] | None = None) -> dict[int, DataFrame]:
+    """Length of a run -> the positions whose run of that length is repeated, ranked, and whether twice that length is a later one; up to the longest there is.
+
+    A round writes the ranks of the pairs, and a table of the positions with their pair's rank and the one that follows it; what
+    deletes the tables is added to `tables`.
+    """
+    tables, levels, h = [] if tables is None else tables, {}, 1
+    at = cut(lines.select(*_PLACE, "rank", "later").withColumn("next", _at(h)))
     while True:
-        paired = cut(levels[h].select(*_PLACE, "rank").withColumn("next", _at(h)).where("next IS NOT NULL").withColumnRenamed("rank", "this"))
-        rows = cut(_ranked(paired, ["this", "next"]))
-        if rows.isEmpty():
-            return levels
+        paired = at.withColumnsRenamed({"rank": "this", "later": "was"})
+        some = paired.where("next IS NOT NULL")
+        ranks, total, most = _ranks(some, ["this", "next"])
+        if not total:
+            return levels | {h: at.select(*_PLACE, "rank", "later", F.lit(False).alias("deeper"))}
+        joined = attach(some, ranks, ["this", "next"], total, most=most, how="left")
+        joined = joined.select(*_PLACE, "this", "was", "rank", F.when(F.col("rank").isNotNull(), ~_is("first")).alias("later"))
+        ends = paired.where("next IS NULL").select(*_PLACE, "this", "was", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("boolean").alias("later"))
+        both, drop = written(joined.unionByName(ends).withColumn("next", _at(2 * h)))
+        tables.append(drop)
+        levels[h] = both.select(*_PLACE, F.col("this").alias("rank"), F.col("was").alias("later"), F.coalesce("later", F.lit(False)).alias("deeper"))
         h *= 2
-        levels[h] = rows
+        at = both.where("rank IS NOT NULL").select(*_PLACE, "rank", "later", "next")
 
 
 def _there(rows: DataFrame, *more: Column) -> DataFrame:
@@ -94,36 +119,46 @@ def _meets(ahead: Column) -> Column:
 
 def _members(levels: dict[int, DataFrame], h: int) -> DataFrame:
     """(node, depth, place) of the intervals of h lines: positions that share no 2 h lines with an earlier one."""
-    rows = levels[h].select(*_PLACE, F.struct(F.lit(h).alias("of"), F.col("rank").alias("id")).alias("node"), F.lit(h).alias("depth"))
-    if 2 * h in levels:
-        rows = rows.join(_there(levels[2 * h].where("later")), _meets(F.col("seq")), "left_anti")
-    return rows
+    return levels[h].where("NOT deeper").select(F.struct(F.lit(h).alias("of"), F.col("rank").alias("id")).alias("node"), F.lit(h).alias("depth"), *_PLACE)
 
 
-def _split(members: DataFrame, ranks: DataFrame, h: int) -> DataFrame:
+def _split(members: DataFrame, ranks: DataFrame, h: int, tables: list[Callable[[], None]]) -> DataFrame:
     """Intervals split by the rank that stands behind their depth: those of h lines more, and the old ones with the first of each part."""
     looked = members.join(_there(ranks, F.col("rank").alias("part")), _meets(F.col("seq") + F.col("depth")), "left")
-    looked = cut(looked.select("node", "depth", *_PLACE, "part"))
+    looked, drop = written(looked.select("node", "depth", *_PLACE, "part"))
+    tables.append(drop)
     some = looked.where("part IS NOT NULL")
-    parts = cut(some.groupBy("node", "depth", "part").agg(F.count("*").alias("n_rows"), F.min(F.struct(*_PLACE)).alias("first")).withColumn("id", F.monotonically_increasing_id()))
+    parts = some.groupBy("node", "depth", "part").agg(F.count("*").alias("n_rows"), F.min(F.struct(*_PLACE)).alias("first"))
+    parts, total, most = _sized(parts.withColumn("id", F.monotonically_increasing_id()))
     several = parts.where("n_rows > 1")
-    deeper = attach(some, several.select("node", "part", "id", "n_rows"), ["node", "part"], some.count(), look=True)
+    deeper = attach(some, several.select("node", "part", "id", "n_rows"), ["node", "part"], total, most=most)
     deeper = deeper.select(F.struct(F.lit(-h).alias("of"), "id").alias("node"), (F.col("depth") + h).alias("depth"), *_PLACE)
     return deeper.unionByName(parts.select("node", "depth", "first.*")).unionByName(looked.where("part IS NULL").drop("part"))
 
 
-def _runs(levels: dict[int, DataFrame]) -> DataFrame:
-    """(_doc, _th, seq, s_doc, s_th, s_seq, n): maximal repeats, each beside the first position that shares so many lines."""
+def _runs(lines: DataFrame) -> DataFrame:
+    """(_doc, _th, seq, s_doc, s_th, s_seq, n): maximal repeats, each beside the first position that shares so many lines.
+
+    What a round leaves for the next one is a table: a checkpoint keeps the size that Spark
+    guessed for it, a join's guess is the product of its sides, and so each round would
+    double the digits of that number, to megabytes in the driver.
+    """
+    tables: list[Callable[[], None]] = []
+    levels = _doubled(lines, tables)
     members = _members(levels, max(levels))
     for h in sorted(levels, reverse=True)[1:]:
-        members = cut(_split(members, levels[h], h).unionByName(_members(levels, h)))
-    firsts = cut(members.groupBy("node").agg(F.count("*").alias("n_rows"), F.min(F.struct(*_PLACE)).alias("first")).where("n_rows > 1"))
-    repeats = attach(members, firsts, ["node"], firsts.agg(F.sum("n_rows")).first()[0] or 0, look=True).where(~_is("first"))
+        members = _split(members, levels[h], h, tables).unionByName(_members(levels, h))
+    members = cut(members)
+    firsts, total, most = _sized(members.groupBy("node").agg(F.count("*").alias("n_rows"), F.min(F.struct(*_PLACE)).alias("first")).where("n_rows > 1"))
+    repeats = attach(members, firsts, ["node"], total, most=most).where(~_is("first"))
     longest = repeats.groupBy(*_PLACE).agg(F.max_by(F.struct("depth", "first"), "depth").alias("m"))
     end = F.col("seq") + F.col("m.depth")
     before = Window.partitionBy(*_DOC).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     heads = longest.withColumn("reached", F.max(end).over(before)).where(F.col("reached").isNull() | (F.col("reached") < end))
-    return cut(heads.select(*_PLACE, F.col("m.first._doc").alias("s_doc"), F.col("m.first._th").alias("s_th"), F.col("m.first.seq").alias("s_seq"), F.col("m.depth").alias("n")))
+    runs = cut(heads.select(*_PLACE, F.col("m.first._doc").alias("s_doc"), F.col("m.first._th").alias("s_th"), F.col("m.first.seq").alias("s_seq"), F.col("m.depth").alias("n")))
+    for drop in tables:
+        drop()
+    return runs
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
@@ -132,7 +167,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Line numbers count all lines from 0; n_lines counts those that aren't blank.
     """
     lines = _lines(docs, id_col, text_col)
-    runs = _runs(_doubled(lines)).where(F.col("n") >= min_lines)
+    runs = _runs(lines).where(F.col("n") >= min_lines)
     last, source = F.col("seq") + F.col("n") - 1, F.col("s_doc").eqNullSafe(F.col("l_doc")) & (F.col("s_th") == F.col("l_th")) & (F.col("s_seq") == F.col("l_seq"))
     for on, name in ((_meets(F.col("seq")), "first_line"), (_meets(last), "last_line"), (source, "source_line")):
         runs = runs.join(_there(lines, F.col("line").cast("long").alias(name)), on).drop("l_doc", "l_th", "l_seq")
@@ -149,7 +184,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("min_lines is 2 or more; single lines are governed by min_line_chars")
     lines = _lines(docs, id_col, text_col)
     single = lines.where(F.col("later") & (F.col("chars") >= min_line_chars)).select(*_DOC, "line")
-    runs = _runs(_doubled(lines)).where(F.col("n") >= min_lines)
+    runs = _runs(lines).where(F.col("n") >= min_lines)
     covered = runs.select(*_DOC, F.explode(F.sequence("seq", F.col("seq") + F.col("n") - 1)).alias("seq")).distinct()
     return single.union(lines.join(_there(covered), _meets(F.col("seq")), "left_semi").select(*_DOC, "line"))
 

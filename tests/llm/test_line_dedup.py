@@ -116,6 +116,18 @@ def test_doubling_ends_when_ranks_are_unique(spark):
     assert sorted(levels) == [1, 2, 4, 8, 16, 32] and levels[32].count() == 12
 
 
+def test_size_estimates_do_not_multiply_by_rounds(spark):
+    """Each round's joins multiplied the sizes that the driver guesses; 150 lines take eight rounds up and down."""
+    text = "\n".join(f"line {k}" for k in range(150))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "line 3\nother")], "doc_id long, text string")
+    lines = line_dedup._lines(docs, "doc_id", "text")
+    bits = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    levels = line_dedup._doubled(lines)
+    assert len(levels) == 8 and max(map(bits, levels.values())) < 1000
+    assert bits(line_dedup.repeated_lines(docs)) < 4000
+    assert {tuple(r) for r in line_dedup.repeated_runs(docs).collect()} == {(2, 0, 149, 150, 1, 0)}
+
+
 def test_odd_rows(odd, none):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"] and out.count() == odd.count()
