@@ -70,6 +70,23 @@ def test_coverage_finds_both_sides_in_one_join_and_keeps_nulls(spark):
     assert plan(A.coverage(a, b, ["k"])).count("Join") == 1
 
 
+def test_fields_are_compared_by_line_not_by_word(spark, tmp_path):
+    """No word is shuffled as a row; rows that repeat an id meet all words of their number, as by word."""
+    text = plan(registry.QUERIES["m3_field_mismatch"](spark, SF))
+    joins = [x for x in text.splitlines() if "Join" in x]
+    assert len(joins) == 1 and "line#" in joins[0] and "word#" not in joins[0]
+    a = spark.createDataFrame([(1, "x y z", ". "), (1, "x", ""), (2, " a", "! "), (3, "q", "")], "k int, f string, g string")
+    b = spark.createDataFrame([(1, "x Y", ", "), (2, " a", " !"), (4, "q", "")], "k int, f string, g string")
+    assert sorted(map(tuple, A.listed_mismatches(a, b, ["k"], ["f", "g"]).collect())) == [("f", 1), ("g", 4)]
+    assert sorted(map(tuple, A.listed_mismatches(a, b.where("k = 4"), ["k"], ["f"]).collect())) == [("f", 0)]
+    rows = [(10, "s", "a b, c.\n\n d!"), (10, "s", "a B"), (11, "s", "é."), (50, "s", "x"), (None, "s", "y"), (20, "s", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, registry.QUERIES["m3_field_mismatch"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(registry.ORACLES["m3_field_mismatch"]).fetchall()) and got[1][1] > 5
+
+
 def test_ordered_digest_sorts_once(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
     roots = {tuple(A.ordered_digest(df.repartition(n), ["k"]).first()) for n in (1, 3, 8)}
