@@ -45,3 +45,23 @@ def test_attach_with_and_without_hot_keys(spark, monkeypatch):
         monkeypatch.setattr(common, "HOT_ROWS", rows)
         for look in (False, True):
             assert sorted(map(tuple, common.attach(left, by, ["k"], 400, look=look).select("k", "v", "x").collect())) == want
+
+
+def test_attach_keeps_rows_without_a_match_if_asked(spark, monkeypatch):
+    """With hot keys and without, as the rows of the most frequent key tell; nothing is broadcast where there is none."""
+    left = spark.createDataFrame([(k % 5 if k % 2 else 7, k) for k in range(400)], "k int, v int")
+    by = left.groupBy("k").count().withColumnRenamed("count", "n_rows").selectExpr("k", "n_rows", "k * 10 AS x").where("k <> 3")
+    want = sorted((r.k, r.v, -1 if r.k == 3 else r.k * 10) for r in left.collect())
+    for rows in (1000, 50):
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        got = common.attach(left, by, ["k"], 400, most=200, how="left")
+        assert sorted(map(tuple, got.selectExpr("k", "v", "coalesce(x, -1)").collect())) == want
+        assert ("Broadcast" in got._jdf.queryExecution().executedPlan().toString()) == (rows == 50)
+
+
+def test_size_estimates_of_components_do_not_multiply_by_rounds(spark):
+    """A long chain takes many rounds; the size that the driver guesses for the result stays a number of few digits."""
+    links = spark.range(3000).selectExpr("id AS a", "id + 1 AS b")
+    out = common.components(links)
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+    assert out.count() == 3001 and out.select("root").distinct().count() == 1
